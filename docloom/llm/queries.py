@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from docloom.llm import decision_list, rule_ensemble, simhash, toxicity
+from docloom.llm import bpe, decision_list, rule_ensemble, simhash, substring, toxicity
 from docloom.llm.common import documents, table
 
 
@@ -22,6 +23,21 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_toxicity(documents(spark, sf_dir), table(spark, sf_dir, "labels"))
 
 
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = substring.remove_repeats(documents(spark, sf_dir))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
+
+
+def vocabulary_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.tokenize(documents(spark, sf_dir).select("doc_id", "text"), vocabulary_path(), with_ids=False).drop("text")
+
+
 def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rule_ensemble.score_quality(documents(spark, sf_dir), table(spark, sf_dir, "labels"))
 
@@ -30,6 +46,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op2_quality_rules": op2_quality_rules,
     "op4_toxicity": op4_toxicity,
+    "op6_substring_dedup": op6_substring_dedup,
+    "op7_bpe": op7_bpe,
     "op10_quality_classifier": op10_quality_classifier,
 }
 
