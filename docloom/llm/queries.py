@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm import bpe, decision_list, rule_ensemble, simhash, substring, toxicity
+from docloom.llm import bpe, decision_list, linededup, pseudonyms, rule_ensemble, sharding, simhash, substring, toxicity
 from docloom.llm.common import documents, table
 
 
@@ -19,10 +19,42 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decision_list.apply_quality_rules(documents(spark, sf_dir), table(spark, sf_dir, "labels"))
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = linededup.dedup_lines(documents(spark, sf_dir).select("doc_id", "text", "source"))
+    return out.select("doc_id", "n_lines", "n_removed", F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"))
+
+
+OP3_SQL = """
+with lines as (
+    select doc_id, source, pos, line, trim(line, chr(32) || chr(9) || chr(13) || chr(12) || chr(11)) as body
+    from (select doc_id, source, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) as pos
+          from documents where text is not null)),
+spread as (select body from lines where length(body) >= 12 group by body having count(distinct source) >= 8),
+marked as (select doc_id, pos, line, body in (select body from spread) and length(body) >= 12 as hit from lines),
+share as (
+    select m.doc_id, count_if(hit) as n_hit, sum(case when hit then length(line) else 0 end) <= 0.5 * any_value(length(d.text)) as some
+    from marked m join documents d using (doc_id) group by m.doc_id),
+kept as (select m.doc_id, string_agg(line, chr(10) order by pos) as text from marked m where not hit group by m.doc_id)
+select d.doc_id,
+    case when d.text is null then 0 else length(string_split(d.text, chr(10))) end as n_lines,
+    case when s.some then s.n_hit else 0 end as n_removed,
+    sha256(case when s.some and s.n_hit > 0 then coalesce(k.text, '') else d.text end) as text_sha256
+from documents d left join share s using (doc_id) left join kept k using (doc_id)
+"""
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_toxicity(documents(spark, sf_dir), table(spark, sf_dir, "labels"))
 
 
+#: The key of the registered query; a real run takes its own from a secret store.
+DEMO_KEY = "pseudonym key of the registered query"
+
+
+def op5_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pseudonyms.pseudonymize(documents(spark, sf_dir).select("doc_id", "text"), DEMO_KEY)
+
+
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = substring.remove_repeats(documents(spark, sf_dir))
     return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
@@ -38,6 +70,10 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.tokenize(documents(spark, sf_dir).select("doc_id", "text"), vocabulary_path(), with_ids=False).drop("text")
 
 
+def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard(documents(spark, sf_dir).select("doc_id", "text")).drop("text")
+
+
 def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rule_ensemble.score_quality(documents(spark, sf_dir), table(spark, sf_dir, "labels"))
 
@@ -45,10 +81,13 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op2_quality_rules": op2_quality_rules,
+    "op3_line_dedup": op3_line_dedup,
     "op4_toxicity": op4_toxicity,
+    "op5_pseudonyms": op5_pseudonyms,
     "op6_substring_dedup": op6_substring_dedup,
     "op7_bpe": op7_bpe,
+    "op9_sharding": op9_sharding,
     "op10_quality_classifier": op10_quality_classifier,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op3_line_dedup": OP3_SQL}
