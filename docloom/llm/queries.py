@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm import bpe, decision_list, linededup, pseudonyms, rule_ensemble, sharding, simhash, substring, toxicity
+from docloom.llm import bpe, decision_list, decontam, linededup, pseudonyms, rule_ensemble, sharding, simhash, substring, toxicity
 from docloom.llm.common import documents, table
 
 
@@ -44,7 +44,7 @@ from documents d left join share s using (doc_id) left join kept k using (doc_id
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return toxicity.score_toxicity(documents(spark, sf_dir), table(spark, sf_dir, "labels"))
+    return toxicity.score_toxicity(documents(spark, sf_dir), table(spark, sf_dir, "labels"), keep=("doc_id",))
 
 
 #: The key of the registered query; a real run takes its own from a secret store.
@@ -70,6 +70,10 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.tokenize(documents(spark, sf_dir).select("doc_id", "text"), vocabulary_path(), with_ids=False).drop("text")
 
 
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.leaks(documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
+
+
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(documents(spark, sf_dir).select("doc_id", "text")).drop("text")
 
@@ -86,6 +90,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_pseudonyms": op5_pseudonyms,
     "op6_substring_dedup": op6_substring_dedup,
     "op7_bpe": op7_bpe,
+    "op8_decontamination": op8_decontamination,
     "op9_sharding": op9_sharding,
     "op10_quality_classifier": op10_quality_classifier,
 }

@@ -145,3 +145,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     named = nodes.join(parts, nodes.rep == parts.node, "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
     text = F.lpad(F.lower(F.hex("fp")), 16, "0")
     return fps.join(named, "fp").select(F.col("id").alias(id_col), text.alias("fingerprint"), "component_id")
+
+
+def keep_one(docs: DataFrame, **options) -> DataFrame:
+    """One row of each group of near-duplicates: the one with the smallest id; all columns of ``docs``.
+
+    A row without an id takes part under a hash of its text. Rows that repeat an id count as one document, of which one row stays.
+    """
+    named = docs.withColumn("__id", F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text")))
+    first = near_duplicates(named.select("__id", "text"), id_col="__id", **options).where("__id = component_id").select("__id").distinct()
+    return named.join(first, "__id", "left_semi").dropDuplicates(["__id"]).drop("__id")

@@ -226,35 +226,38 @@ def calibrate(index: Index, sample: pd.DataFrame, counts: tuple[int, int], k: in
     return Votes(k, prior, tuple(map(float, b)))
 
 
-def score_toxicity(docs: DataFrame, labels: DataFrame, folds: int = 5, held: int = 0, most: int = 1024, k: int = 15) -> DataFrame:
-    """doc_id, held_out, score, predicted and evidence (array of the k nearest examples: id, label, cosine), one row per row of ``docs``.
+def score_toxicity(docs: DataFrame, labels: DataFrame, folds: int = 5, held: int = 0, most: int = 1024, k: int = 15, keep: tuple[str, ...] | None = None) -> DataFrame:
+    """The ``keep`` columns of ``docs`` (all by default) plus held_out, score, predicted and evidence (array of the k nearest examples: id,
+    label, cosine), one row per row of ``docs``.
 
     The index holds at most ``most`` labelled rows of each class outside the held-out fold (the bound on what is broadcast);
     term statistics cover all documents. A null or empty text, or one that shares no term with an example, scores the share of
-    toxic rows among the training labels. Ties of cosine go to the lower example. A null id is never held out.
+    toxic rows among the training labels. Ties of cosine go to the lower example. A null id is never held out. Columns of
+    ``docs`` with the names of new ones are replaced.
     """
+    kept = [c for c in (keep or docs.columns) if c not in ("held_out", "score", "predicted", "evidence")]
     sample = labelled_sample(docs, labels, "toxic", folds, held, most).toPandas().sort_values("doc_id", ignore_index=True)
     index = build_index(sample, docs)
     votes = calibrate(index, sample, class_counts(labels, "toxic", folds, held), k)
     index._dense.clear()
     index._of.clear()
     shared = docs.sparkSession.sparkContext.broadcast((index, votes))
-    kind = docs.schema["doc_id"].dataType.simpleString()
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in (docs.schema[c] for c in kept))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found, curve = shared.value
         evidence = pa.list_(pa.struct([("id", pa.int64()), ("label", pa.int32()), ("cosine", pa.float64())]))
         for batch in batches:
             scores, why = [], []
-            for text in batch.column(1).to_pylist():
+            for text in batch.column(len(kept)).to_pylist():
                 ex, cosines = found.nearest(text, curve.k)
                 scores.append(round(curve.score(found.labels[ex], cosines), 6))
                 why.append([{"id": int(found.ids[e]), "label": int(found.labels[e]), "cosine": float(c)} for e, c in zip(ex, cosines)])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64()), pa.array(why, evidence)], names=["doc_id", "score", "evidence"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], pa.array(scores, pa.float64()), pa.array(why, evidence)], names=[*kept, "score", "evidence"])
 
-    scored = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(
-        run, f"doc_id {kind}, score double, evidence array<struct<id:bigint,label:int,cosine:double>>"
+    scored = docs.select(*[f"`{c}`" for c in kept], F.coalesce("text", F.lit("")).alias("__text")).mapInArrow(
+        run, f"{schema}, score double, evidence array<struct<id:bigint,label:int,cosine:double>>"
     )
     return scored.select(
-        "doc_id", F.coalesce(fold("doc_id", folds) == held, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "evidence"
+        *[f"`{c}`" for c in kept], F.coalesce(fold("doc_id", folds) == held, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "evidence"
     )
