@@ -1,10 +1,9 @@
-"""Registered queries over the driver's tables."""
+"""All registered queries over the driver's tables, and their SQL."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from docloom.plans import joins, relational, rollups, search, state, texts
 
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+MODULES = (rollups, joins, search, texts, relational, state)
+QUERIES = {name: f for m in MODULES for name, f in m.QUERIES.items()}
+ORACLE_SQL = {name: sql for m in MODULES for name, sql in m.SQL.items()}
