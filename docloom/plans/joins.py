@@ -58,11 +58,12 @@ def anti_dismissed(spark, d):
     return read(spark, d, "documents").select("doc_id", "source").join(read(spark, d, "labels"), "doc_id", "left_anti")
 
 
-@register("superseded_sets", f"""with u as (select distinct agent, item from ({USAGE}) where item is not null and kind = 'purchase'), s as (select agent as id, list(item) as m from u where agent % 2 = 0 group by 1), t as (select agent as id, list(item) as m from u where agent % 2 = 1 group by 1)
+@register("superseded_sets", f"""with u as (select distinct agent, item from ({USAGE}) where item is not null and kind = 'purchase'), s as (select agent as id, list(item) as m from u where agent % 2 = 0 and item % 25 = 0 group by 1), t as (select agent as id, list(item) as m from u where agent % 2 = 1 group by 1)
   select s.id as old_id, t.id as new_id from s, t where len(s.m) < len(t.m) and len(list_filter(s.m, lambda x: not list_contains(t.m, x))) = 0""")
 def superseded_sets(spark, d):
-    u = usage_events(spark, d).where("item is not null and kind = 'purchase'").groupBy(F.col("agent").alias("id")).agg(F.collect_set("item").alias("members"))
-    return op.superseded(u.where("id % 2 = 0"), u.where("id % 2 = 1"))
+    u = usage_events(spark, d).where("item is not null and kind = 'purchase'")
+    sets = lambda f: f.groupBy(F.col("agent").alias("id")).agg(F.collect_set("item").alias("members"))
+    return op.superseded(sets(u.where("agent % 2 = 0 and item % 25 = 0")), sets(u.where("agent % 2 = 1")))
 
 
 @register("shared_entity_links", """with e as (select distinct doc_id as i, unnest(regexp_extract_all(lower(text), '[\\p{L}]{9,}')) as e from documents), n as (select count(distinct i) as n from e), d as (select e, count(*) as df from e group by e),

@@ -143,10 +143,10 @@ def majority_dimension(spark, d):
     return op.majority_dimension(vectors(spark, d), F.size("embedding")).select("item_id", "dim", "clean")
 
 
-@register("mean_vector", "with e as (select label as domain, unnest(embedding)::double as x, generate_subscripts(embedding, 1) as i from embeddings), m as (select domain, i, avg(x) as x from e group by 1, 2) select domain, array_to_string(list(printf('%.4f', round(x, 6)) order by i), ',') as mean from m group by domain")
+@register("mean_vector", "with e as (select label as domain, unnest(embedding)::double as x, generate_subscripts(embedding, 1) as i from embeddings), m as (select domain, i, avg(x) as x from e group by 1, 2) select domain, i, round(x, 6) as mean from m")
 def mean_vector(spark, d):
     out = op.mean_vector(vectors(spark, d), "domain", "embedding")
-    return out.select("domain", F.array_join(F.transform("mean", lambda x: F.format_string("%.4f", x)), ",").alias("mean"))
+    return out.select("domain", F.posexplode("mean").alias("i", "mean")).withColumn("i", F.col("i") + 1)
 
 
 @register("claim_support", """with c as (select lower(regexp_replace(substr(text, 1, 40), '[^\\p{L}\\p{N}]', '', 'g')) as claim, source, doc_id from documents)
