@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -19,6 +20,27 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 NONE = np.iinfo(np.int64).max
+# ---- fixed values: letters and numbers of Unicode versions after the tokenizer library's own, which takes them for neither
+LATER = (
+    r"\u0558\u058b-\u058c\u088f\u0c5c\u0cdc\u208f\u209d-\u209f\ua7ce-\ua7cf\ua7d2\ua7d4\ua7dd\ua7e2\ua7f1\uab6c-\uab6d"
+    r"\U000107bb-\U000107bf\U00010940-\U00010959\U00010ec5-\U00010ec7\U00010ed9-\U00010eee\U00011b0a\U00011db0-\U00011ddb\U00011de0-\U00011de9"
+    r"\U00011df1\U0001246f\U00012475-\U0001247f\U00012550-\U00012686\U00016ea0-\U00016eb8\U00016ebb-\U00016ed3\U00016ff2-\U00016ff6\U000187f8-\U000187ff"
+    r"\U00018cd6-\U00018cda\U00018d09-\U00018d20\U00018d80-\U00018df2\U00018e00-\U00019191\U000191a0-\U000191d2\U0001b123-\U0001b128\U0001b168\U0001d6a6"
+    r"\U0001df1f-\U0001df24\U0001df2b-\U0001df81\U0001df90-\U0001df96\U0001dfcd-\U0001dfff\U0001e6c0-\U0001e6de\U0001e6e0-\U0001e6e2\U0001e6e4-\U0001e6e5"
+    r"\U0001e6e7-\U0001e6ed\U0001e6f0-\U0001e6f4\U0001e6fe-\U0001e6ff\U0002b73a-\U0002b73f\U0002b81e\U0002cea2-\U0002cead\U000323b0-\U00033479\U0003d000-\U0003fc3f"
+)
+# capitals of later Unicode versions than Python's, with their small letters
+LATER_LOWER = {0x1C89: 0x1C8A, 0xA7CB: 0x264, 0xA7CC: 0xA7CD, 0xA7CE: 0xA7CF, 0xA7D2: 0xA7D3, 0xA7D4: 0xA7D5, 0xA7DA: 0xA7DB, 0xA7DC: 0x19B}
+LATER_LOWER |= {c: c + 0x20 for c in range(0x10D50, 0x10D66)} | {c: c + 0x1B for c in range(0x16EA0, 0x16EB9)}
+HAS_LATER = re.compile(f"[{LATER}{''.join(map(chr, LATER_LOWER))}]")
+
+
+def older(pattern: str) -> str:
+    """The split pattern with letters and numbers as the library's Unicode version has them."""
+    other = r"[^\s\p{L}\p{N}]"
+    parts = pattern.replace(r"[\p{L}]", r"\p{L}").replace(r"[\p{N}]", r"\p{N}").split(other)
+    known = [p.replace(r"\p{L}", rf"[\p{{L}}--[{LATER}]]").replace(r"\p{N}", rf"[\p{{N}}--[{LATER}]]") for p in parts]
+    return "(?V1)" + rf"(?:{other}|[{LATER}])".join(known)
 
 
 def byte_chars() -> list[str]:
@@ -85,7 +107,8 @@ class Bpe:
 
     def split(self, text: str) -> list[str | int]:
         """Words of a text after normalization, and ids of special tokens that it spells out."""
-        find = regex.compile(self.pattern).findall
+        later = not text.isascii() and HAS_LATER.search(text) is not None
+        find = regex.compile(older(self.pattern) if later else self.pattern).findall
         marks = regex.compile("(" + "|".join(map(regex.escape, self.specials)) + ")").split(text) if any(s in text for s in self.specials) else [text]
         out: list[str | int] = []
         for part in marks:
@@ -93,7 +116,8 @@ class Bpe:
                 out.append(self.specials[part])
             elif part:
                 # lower() treats a final capital sigma by context; the normalizer doesn't
-                out += find(unicodedata.normalize("NFC", part).replace("Σ", "σ").lower())
+                low = unicodedata.normalize("NFC", part).replace("Σ", "σ").lower()
+                out += find(low.translate(LATER_LOWER) if later else low)
         return out
 
     def merge(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
