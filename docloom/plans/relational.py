@@ -51,9 +51,9 @@ def grouping_sets(spark, d):
     return read(spark, d, "events").withColumn("g", F.col("user_id") % 5).cube("event_type", "g").agg(F.count("*").alias("n"), F.grouping_id().alias("gid"))
 
 
-@register("rollup_days", "select date_trunc('day', ts)::date as day, event_type, count(*) as n from events group by rollup (date_trunc('day', ts)::date, event_type)")
+@register("rollup_days", "select strftime(ts, '%Y-%m-%d') as day, event_type, count(*) as n from events group by rollup (strftime(ts, '%Y-%m-%d'), event_type)")
 def rollup_days(spark, d):
-    return read(spark, d, "events").withColumn("day", F.col("ts").cast("date")).rollup("day", "event_type").agg(F.count("*").alias("n"))
+    return read(spark, d, "events").withColumn("day", F.date_format("ts", "yyyy-MM-dd")).rollup("day", "event_type").agg(F.count("*").alias("n"))
 
 
 @register("window_running", "select event_id, user_id, round(sum(value) over (partition by user_id order by ts, event_id rows unbounded preceding), 4) as running, lag(event_type) over (partition by user_id order by ts, event_id) as before from events")
