@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from docloom.plans import joins, relational, rollups, search, state, texts
+from docloom.plans import joins, more, relational, rollups, search, state, texts
 
-MODULES = (rollups, joins, search, texts, relational, state)
+MODULES = (rollups, joins, search, texts, relational, state, more)
 QUERIES = {name: f for m in MODULES for name, f in m.QUERIES.items()}
 ORACLE_SQL = {name: sql for m in MODULES for name, sql in m.SQL.items()}
