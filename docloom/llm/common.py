@@ -1,12 +1,13 @@
-"""Pieces that several corpus operators share: row keys, shared storage, connected components."""
+"""Pieces that several corpus operators share: tables, row keys and words."""
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from docloom.operators.graph import components  # noqa: F401
+from docloom.sources.shared import cut, shared_folder  # noqa: F401
+
 #: A word is a run without ASCII white space; Java's \s is exactly [\x20\x09-\x0D].
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -19,19 +20,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Uses the folder of ``spark.checkpoint.dir``; a temporary one only where none is configured (local runs)."""
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="docloom-ckpt-"))
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Writes the rows to the shared checkpoint folder, so that later jobs neither recompute them nor lose them with an executor."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def row_key(*cols: str) -> Column:
     """64-bit key of a row. Rows alike in all the columns share the key and so the result; nulls are allowed."""
     return F.xxhash64(*[F.col(c) for c in cols])
@@ -40,33 +28,3 @@ def row_key(*cols: str) -> Column:
 def words(text: Column) -> Column:
     """Words of a text in order; a null text has none."""
     return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(WORD), F.lit(0))
-
-
-def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
-    """Connected components of an undirected graph given as (a long, b long): rows (node, component), component = smallest node.
-
-    Alternates large-star and small-star steps, each an aggregate and an equi-join, until nothing changes (a logarithmic
-    number of rounds). Every round is cut into the shared checkpoint folder. Nodes without an edge to another node don't
-    come out. Hub nodes: the side that repeats in a join is the edge list, which adaptive execution can split.
-    """
-    big, small = F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")
-    now = cut(edges.where("a != b").select(big, small).distinct())
-    before = None
-    for _ in range(max_rounds):
-        state = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()
-        if state[0] == 0 or tuple(state) == before:
-            break
-        before = tuple(state)
-        both = now.select(F.col("a").alias("u"), F.col("b").alias("v")).union(now.select(F.col("b").alias("u"), F.col("a").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("a"), F.col("m").alias("b")).where("a != b").distinct()
-        root = large.groupBy("a").agg(F.min("b").alias("m"))
-        joined = large.join(root, "a")
-        step = joined.where("b != m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(root.select("a", F.col("m").alias("b")))
-        now = cut(step.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a != b").distinct())
-    else:
-        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
-    ends = now.groupBy("a").agg(F.min("b").alias("b"))
-    return ends.select(F.col("a").alias("node"), F.col("b").alias("component")).union(
-        ends.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
-    )

@@ -48,7 +48,7 @@ def test_pipeline_matches_brute_force(spark, tables):
     out = {r.doc_id: r for r in pipeline.run(spark, folder).collect()}
     docs, labels = spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/labels.parquet")
     toxic = {r.doc_id for r in toxicity.score_toxicity(docs, labels, keep=("doc_id",)).where("predicted = 1").collect()}
-    assert {i for i in range(260) if i % 6 == 0} <= toxic | {i for i in range(260) if i % 6 == 0 and i not in toxic} and len(toxic) >= 40
+    assert len(toxic & {i for i in range(260) if i % 6 == 0}) >= 40 and len(toxic) <= 50
     kept = [(i, t, s) for i, t, _, s in rows if i not in toxic]
     texts = [(i, t) for i, t, _, _ in slow_lines(kept, 8)]
     groups = {}
