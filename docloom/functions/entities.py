@@ -43,8 +43,8 @@ def entities(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
 
 def numeral(text: str) -> float | None:
     """Value of an amount in capital numerals, e.g. 壹拾万元整; None if it isn't one."""
-    body = re.sub("[整圆元]", "", text)
-    if not body or set(body) - set(DIGITS) - set(UNITS) - set("万亿角分"):
+    body = text.replace("整", "")
+    if not body or set(body) - set(DIGITS) - set(UNITS) - set("万亿圆元角分"):
         return None
     total = section = digit = 0
     cents = 0.0
@@ -54,6 +54,9 @@ def numeral(text: str) -> float | None:
         elif c in UNITS:
             section += (digit or 1) * UNITS[c]
             digit = 0
+        elif c in "圆元":
+            total += section + digit
+            section = digit = 0
         elif c in "万亿":
             total = (total + section + digit) * (10**4 if c == "万" else 10**8)
             section = digit = 0

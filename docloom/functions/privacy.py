@@ -29,7 +29,9 @@ DETECTORS = [
     ("PHONE", r"(?<!\d)1[3-9]\d{9}(?!\d)|(?<![\d+])\+?\d{0,3}[ .-]?\(\d{3}\)[ .-]?\d{3}[ .-]\d{4}(?!\d)"),
     ("PLATE", r"[京津沪渝冀豫云辽黑湘皖鲁新苏浙赣鄂桂甘晋蒙陕吉闽贵粤青藏川宁琼][A-Z][A-Z0-9]{5,6}(?![A-Z0-9])"),
 ]
-COMPILED = [(k, re.compile(p)) for k, p in DETECTORS]
+#: What a text must hold for a detector to be worth running; digits for those not listed.
+NEEDS = {"EMAIL": "@", "URL": "://", "API_KEY": "(?:sk-|AKIA|gh[pousr]_)", "IPV6": ":[0-9A-Fa-f]", "MAC": "[0-9A-Fa-f][:-][0-9A-Fa-f]", "PLATE": "[一-鿿][A-Z]"}
+COMPILED = [(k, re.compile(p), re.compile(NEEDS.get(k, "[0-9]"))) for k, p in DETECTORS]
 
 
 def luhn(digits: str) -> bool:
@@ -58,7 +60,7 @@ def _valid(kind: str, value: str) -> bool:
 
 def find_spans(text: str) -> list[dict]:
     """Valid matches in text order; of overlapping ones the earlier wins, then the longer, then the detector listed first."""
-    found = [(m.start(), -m.end(), i, k) for i, (k, p) in enumerate(COMPILED) for m in p.finditer(text) if _valid(k, m.group())]
+    found = [(m.start(), -m.end(), i, k) for i, (k, p, need) in enumerate(COMPILED) if need.search(text) for m in p.finditer(text) if _valid(k, m.group())]
     out, end = [], 0
     for start, minus, _, kind in sorted(found):
         if start >= end:

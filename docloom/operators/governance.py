@@ -65,12 +65,12 @@ def export_memories(memories: DataFrame, path: str, key: str | None = None) -> N
     """Memory bundle as JSON lines; with a key (16, 24 or 32 characters) the rows are AES-GCM encrypted."""
     rows = memories.select(F.to_json(F.struct(*memories.columns)).alias("value"))
     if key:
-        rows = rows.select(F.base64(F.aes_encrypt("value", F.lit(key), F.lit("GCM"))).alias("value"))
+        rows = rows.select(F.hex(F.aes_encrypt("value", F.lit(key), F.lit("GCM"))).alias("value"))
     rows.write.text(path)
 
 
 def import_memories(existing: DataFrame, bundle: DataFrame, key: str | None = None) -> DataFrame:
     """Rows of a bundle that aren't there yet, by kind and source hashes, in the existing schema."""
-    raw = F.aes_decrypt(F.unbase64("value"), F.lit(key), F.lit("GCM")).cast("string") if key else F.col("value")
+    raw = F.aes_decrypt(F.unhex("value"), F.lit(key), F.lit("GCM")).cast("string") if key else F.col("value")
     rows = bundle.select(F.from_json(raw, existing.schema).alias("m")).select("m.*")
     return rows.join(existing, ["kind", "source_hashes"], "left_anti").select(existing.columns)

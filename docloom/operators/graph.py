@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docloom.functions.vector import dot, norm
+from docloom.functions.vector import dot, let, norm
 from docloom.sources.shared import cut
 
 
@@ -45,11 +45,6 @@ def pivots(vectors: DataFrame, n: int, vector: str = "embedding") -> list[list[f
     return [[x / sum(y * y for y in r.v) ** 0.5 for x in r.v] for r in rows]
 
 
-def let(value: Column, body) -> Column:
-    """Evaluates ``value`` once and hands it to ``body``."""
-    return F.element_at(F.transform(F.array(value), body), 1)
-
-
 def _within(far: Column, limit: Column) -> Column:
     numbered = F.transform(far, lambda d, i: F.struct(d.alias("d"), i.alias("i")))
     return F.transform(F.filter(numbered, lambda s: s["d"] <= limit), lambda s: s["i"])
@@ -73,7 +68,7 @@ def similar_pairs(vectors: DataFrame, min_cosine: float, n_pivots: int = 64, que
         return let(far, lambda f: let(F.array_min(f), lambda near: F.struct(u.alias("u"), (F.array_position(f, near).cast("int") - 1).alias("home"), _within(f, near + 2 * radius + 1e-9).alias("cells"))))
 
     vector = F.col("embedding").cast("array<double>")
-    unit = let(vector, lambda v: let(norm(v), lambda n: F.transform(v, lambda x: x / n)))
+    unit = let(vector, lambda v: let(norm(v), lambda n: F.transform(v, lambda x: F.try_divide(x, n))))
     placed = vectors.where(norm(vector) > 1e-8).select("item_id", let(unit, place).alias("p"))
     at_home = (placed if queries is None else placed.where(queries)).select(F.col("item_id").alias("a"), F.col("p.u").alias("ua"), F.col("p.home").alias("cell"))
     sent = placed.select(F.col("item_id").alias("b"), F.col("p.u").alias("ub"), F.explode("p.cells").alias("cell"))

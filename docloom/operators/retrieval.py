@@ -10,6 +10,7 @@ from pyspark.sql.window import Window
 
 from docloom.functions import text as tx
 from docloom.functions import vector as vx
+from docloom.functions.vector import let
 
 # ---- fixed values: the model constants of the ranking
 K1, B = 1.2, 0.75
@@ -31,9 +32,9 @@ def bm25(items: DataFrame, terms: list[str], top: int) -> DataFrame:
     wanted = sorted({t.lower() for t in terms})
     if not wanted:
         return items.select("item_id", F.lit(0.0).alias("score"), F.lit(0).alias("rank")).limit(0)
-    words = items.select("item_id", tx.tokens(F.col("content")).alias("w"))
-    count = lambda t: F.size(F.filter("w", lambda x: x == t))
-    rows = words.select("item_id", F.size("w").alias("n"), *[count(t).alias(f"tf{i}") for i, t in enumerate(wanted)])
+    words = items.select("item_id", let(tx.tokens(F.col("content")), lambda w: F.struct(F.size(w).alias("n"), F.filter(w, lambda x: x.isin(*wanted)).alias("hits"))).alias("s"))
+    count = lambda t: F.size(F.filter("s.hits", lambda x: x == t))
+    rows = words.select("item_id", F.col("s.n").alias("n"), *[count(t).alias(f"tf{i}") for i, t in enumerate(wanted)])
     stats = rows.agg(F.count_if(F.col("n") > 0).alias("docs"), F.avg(F.when(F.col("n") > 0, F.col("n"))).alias("mean"), *[F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(wanted))])
     hit = F.lit(False)
     total: Column = F.lit(0.0)

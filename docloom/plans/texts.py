@@ -107,7 +107,10 @@ def outline_lines(spark, d):
 def extractive_summary(spark, d):
     from docloom.operators.compress import extract_top
 
-    sentences = items(spark, d).select("item_id", F.posexplode(F.regexp_extract_all("content", F.lit(r"([^.]+\.)"), F.lit(1))).alias("pos", "s"))
+    # a split is linear in the text; a regular expression for sentences would scan an unended tail once for each of its characters
+    parts = F.split("content", r"\.")
+    ended = F.filter(F.slice(parts, F.lit(1), F.greatest(F.size(parts) - 1, F.lit(0))), lambda x: x != "")
+    sentences = items(spark, d).select("item_id", F.posexplode(F.transform(ended, lambda x: F.concat(x, F.lit(".")))).alias("pos", "s"))
     out = extract_top(sentences, "item_id", "pos", "s", F.length("s"), 0.2)
     return out.select("item_id", "n_kept", F.md5(F.col("summary").cast("binary")).alias("h"))
 

@@ -89,12 +89,12 @@ def removed_items(old: DataFrame, new: DataFrame, references: DataFrame) -> Data
 
 def read_text(spark: SparkSession, path: str, suffix: str = "*.{txt,md,csv}") -> DataFrame:
     """Plain, Markdown and CSV files as whole texts; the title is the first level-one heading or the first line."""
-    files = spark.read.option("wholetext", True).option("pathGlobFilter", suffix).option("recursiveFileLookup", True).text(path)
+    files = spark.read.text(path, wholetext=True, pathGlobFilter=suffix, recursiveFileLookup=True)
     return files.select(F.input_file_name().alias("path"), tx.markdown_title(F.col("value")).alias("title"), F.col("value").alias("content"))
 
 
 def read_html(spark: SparkSession, path: str) -> DataFrame:
-    files = spark.read.option("wholetext", True).option("pathGlobFilter", "*.{html,htm}").option("recursiveFileLookup", True).text(path)
+    files = spark.read.text(path, wholetext=True, pathGlobFilter="*.{html,htm}", recursiveFileLookup=True)
     return files.select(F.input_file_name().alias("path"), tx.html_title(F.col("value")).alias("title"), tx.html_text(F.col("value")).alias("content"))
 
 
