@@ -8,9 +8,6 @@ from pyspark.sql import functions as F
 from docloom.operators.graph import components  # noqa: F401
 from docloom.sources.shared import cut, shared_folder  # noqa: F401
 
-#: A word is a run without ASCII white space; Java's \s is exactly [\x20\x09-\x0D].
-WORD = r"[^\x20\x09-\x0D]+"
-
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
@@ -23,8 +20,3 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def row_key(*cols: str) -> Column:
     """64-bit key of a row. Rows alike in all the columns share the key and so the result; nulls are allowed."""
     return F.xxhash64(*[F.col(c) for c in cols])
-
-
-def words(text: Column) -> Column:
-    """Words of a text in order; a null text has none."""
-    return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(WORD), F.lit(0))
