@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from docloom.llm.common import row_key
 
 #: Bytes hashed at once, words of one batch, and text bytes that one bucket of the hash space stands for.
-PIECE, BATCH_WORDS, BUCKET_BYTES = 1 << 21, 2_000_000, 16_000_000
+PIECE, BATCH_WORDS, BUCKET_BYTES = 1 << 20, 1_000_000, 8_000_000
 BASE, STEP = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD95
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
