@@ -175,7 +175,8 @@ def read_mail(spark: SparkSession, path: str, allowed: tuple[str, ...] = ("pdf",
     """RFC 822 files: the plain body where there is one, else the text of the HTML body; attachment names by allowed extension."""
     raw = spark.read.format("binaryFile").option("pathGlobFilter", "*.eml").option("recursiveFileLookup", True).load(path)
     parsed = raw.select("path", parse_mail("content").alias("m"))
-    body = F.when(F.trim("m.plain") != "", F.trim("m.plain")).otherwise(tx.html_text(F.col("m.html")))
+    plain = F.btrim("m.plain", F.lit(" \t\r\n"))
+    body = F.when(plain != "", plain).otherwise(tx.html_text(F.col("m.html")))
     names = F.filter("m.attachments", lambda a: F.lower(F.substring_index(a, ".", -1)).isin(*allowed))
     return parsed.select("path", F.col("m.subject").alias("title"), F.col("m.sender").alias("sender"), body.alias("content"), names.alias("attachments"))
 
