@@ -22,7 +22,7 @@ def duck():
 
 
 def plain(value):
-    if value is None or value is pd.NaT or (isinstance(value, float) and value != value):
+    if value is None or value is pd.NaT or value is pd.NA or (isinstance(value, float) and value != value):
         return "null"
     return f"{value:.6g}" if isinstance(value, float) else str(value)
 
