@@ -74,6 +74,20 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.leaks(documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
 
 
+#: Every alignment of every item with every text, by the words they share.
+OP8_SQL = """
+with dw as (select doc_id, unnest(w) as w, generate_subscripts(w, 1) as p from (select doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') as w from documents where text is not null)),
+iw as (
+    select item_id, unnest(w) as w, generate_subscripts(w, 1) as q, len(w) as n
+    from (select distinct item_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') as w from benchmark where text is not null and item_id is not null) where len(w) >= 8),
+a as (
+    select doc_id, item_id, p - q as start_word, count(*) as n_matched, any_value(n) as n_item_words
+    from dw join iw using (w) group by doc_id, item_id, p - q having count(*) >= 0.8 * any_value(n)),
+r as (select *, row_number() over (partition by doc_id, item_id order by n_matched desc, start_word) as r from a)
+select doc_id, item_id, start_word, n_matched, n_item_words, n_matched / n_item_words as similarity from r where r = 1
+"""
+
+
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(documents(spark, sf_dir).select("doc_id", "text")).drop("text")
 
@@ -95,4 +109,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_quality_classifier": op10_quality_classifier,
 }
 
-ORACLE_SQL: dict[str, str] = {"op3_line_dedup": OP3_SQL}
+ORACLE_SQL: dict[str, str] = {"op3_line_dedup": OP3_SQL, "op8_decontamination": OP8_SQL}
