@@ -105,6 +105,7 @@ def streak_decisions(spark, d):
     return h.select("agent", gov.streak_decision(kind, F.col("n"), F.col("rate"), tier, ["small", "medium", "large"]).alias("decision"))
 
 
-@register("markdown_report", """select '| r_regionkey | r_name |' || chr(10) || '| --- | --- |' || chr(10) || string_agg('| ' || r_regionkey || ' | ' || r_name || ' |', chr(10) order by r_regionkey) as markdown from region""")
+@register("markdown_report", """select '| source | n |' || chr(10) || '| --- | --- |' || chr(10) || string_agg('| ' || source || ' | ' || n || ' |', chr(10) order by source) as markdown from (select source, count(*) as n from documents group by source)""")
 def markdown_report(spark, d):
-    return gov.markdown_table(read(spark, d, "region"), ["r_regionkey", "r_name"], ["r_regionkey"])
+    counts = read(spark, d, "documents").groupBy("source").agg(F.count("*").alias("n"))
+    return gov.markdown_table(counts, ["source", "n"], ["source"])

@@ -52,11 +52,13 @@ def url_domain(spark, d):
     return read(spark, d, "pages").select("page_id", tx.url_domain(F.col("url")).alias("domain"))
 
 
-@register("levenshtein_similarity", """with n as (select n_nationkey as a, n_name as x from nation) select p.a as a, q.a as b, round(1 - levenshtein(regexp_replace(p.x, '\\s', '', 'g'), regexp_replace(q.x, '\\s', '', 'g')) / greatest(length(regexp_replace(p.x, '\\s', '', 'g')), length(regexp_replace(q.x, '\\s', '', 'g'))), 6) as sim from n p join n q on p.a < q.a""")
+@register("levenshtein_similarity", """with t as (select doc_id, regexp_replace(substr(text, 1, 60), '[^A-Za-z]', '', 'g') as x from documents where text <> '') select a.doc_id as a, b.doc_id as b,
+  round(case when greatest(length(a.x), length(b.x)) = 0 then 1 else 1 - levenshtein(a.x, b.x) / greatest(length(a.x), length(b.x)) end, 6) as sim from t a join t b on b.doc_id = a.doc_id + 1""")
 def levenshtein_similarity(spark, d):
-    n = read(spark, d, "nation").select("n_nationkey", "n_name")
-    p, q = n.toDF("a", "x"), n.toDF("b", "y")
-    return p.join(q, F.col("a") < F.col("b")).select("a", "b", F.round(tx.levenshtein_similarity(F.col("x"), F.col("y")), 6).alias("sim"))
+    """Similarity of the openings of neighbouring documents, by their ASCII letters."""
+    t = items(spark, d).where("content <> ''").select("item_id", F.regexp_replace(F.substring("content", 1, 60), "[^A-Za-z]", "").alias("x"))
+    p, q = t.toDF("a", "x"), t.select(F.col("item_id").alias("b"), F.col("x").alias("y"), (F.col("item_id") - 1).alias("a"))
+    return p.join(q, "a").select("a", "b", F.round(tx.levenshtein_similarity(F.col("x"), F.col("y")), 6).alias("sim"))
 
 
 @register("html_text", """with p as (select page_id, html from pages), a as (select page_id, html, regexp_replace(html, '<(script|style)\\b[^>]*>.*?</(script|style)\\s*>', ' ', 'gis') as x from p), b as (select page_id, html, regexp_replace(regexp_replace(x, '<!--.*?-->', ' ', 'gs'), '<[^>]*>', ' ', 'gs') as x from a)
