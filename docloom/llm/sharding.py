@@ -14,6 +14,8 @@ from docloom.llm.common import cut
 #: Bits of the key that one round looks at.
 BITS = 12
 SIGN = 1 << 63
+#: Columns of the two key halves, by names that tables don't use.
+HIGH, LOW = "__high", "__low"
 
 
 @dataclass(frozen=True)
@@ -26,7 +28,7 @@ class Splitter:
 
 def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Key halves (equal texts are neighbours, the id orders them) and size. A row that repeats in id and text repeats its key."""
-    return docs.select(F.xxhash64(text_col).alias("high"), F.xxhash64(id_col, text_col).alias("low"), byte_size(text_col).alias("size"))
+    return docs.select(F.xxhash64(text_col).alias(HIGH), F.xxhash64(id_col, text_col).alias(LOW), byte_size(text_col).alias("size"))
 
 
 def byte_size(text_col: str) -> Column:
@@ -48,7 +50,7 @@ def find_splitters(rows: DataFrame, parts: int, tolerance: float) -> list[Splitt
     total = rows.agg(F.sum("size")).first()[0] or 0
     slack = tolerance * total / parts
     # per open bin: (half, prefix bits, prefix, fixed high) -> (bytes below it, targets inside)
-    open_bins: dict[tuple[str, int, int, int | None], tuple[int, list[tuple[int, float]]]] = {("high", 0, 0, None): (0, [(j, total * j / parts) for j in range(1, parts)])}
+    open_bins: dict[tuple[str, int, int, int | None], tuple[int, list[tuple[int, float]]]] = {(HIGH, 0, 0, None): (0, [(j, total * j / parts) for j in range(1, parts)])}
     found: dict[int, Splitter] = {}
     while open_bins and total:
         following: dict[tuple[str, int, int, int | None], tuple[int, list[tuple[int, float]]]] = {}
@@ -59,12 +61,12 @@ def find_splitters(rows: DataFrame, parts: int, tolerance: float) -> list[Splitt
             more = min(64, bits + BITS)
             value = F.col(half)
             chosen = rows
-            if half == "low":
-                chosen = chosen.where(F.col("high").isin([k[3] for k in bins]))
+            if half == LOW:
+                chosen = chosen.where(F.col(HIGH).isin([k[3] for k in bins]))
             if bits:
                 chosen = chosen.where(_top(value, bits).isin([k[2] for k in bins]))
-            fixed = F.col("high") if half == "low" else F.lit(None).cast("long")
-            counts = chosen.groupBy(fixed.alias("fixed"), _top(value, more).alias("bin")).agg(F.sum("size").alias("size"), F.min("high").alias("lo"), F.max("high").alias("hi"))
+            fixed = F.col(HIGH) if half == LOW else F.lit(None).cast("long")
+            counts = chosen.groupBy(fixed.alias("fixed"), _top(value, more).alias("bin")).agg(F.sum("size").alias("size"), F.min(HIGH).alias("lo"), F.max(HIGH).alias("hi"))
             histogram: dict[tuple[int | None, int], list] = {}
             for r in counts.collect():
                 histogram.setdefault((r.fixed, r.bin >> (more - bits) if bits else 0), []).append(r)
@@ -74,14 +76,14 @@ def find_splitters(rows: DataFrame, parts: int, tolerance: float) -> list[Splitt
                     inside = [t for t in targets if below <= t[1] < below + r.size]
                     for j, want in inside:
                         start, end = r.bin << (64 - more), (r.bin + 1) << (64 - more)
-                        single = half == "low" and more == 64
+                        single = half == LOW and more == 64
                         if want - below <= slack or single and want - below <= r.size / 2:
-                            found[j] = Splitter(start) if half == "high" else Splitter(k[3], start)
+                            found[j] = Splitter(start) if half == HIGH else Splitter(k[3], start)
                         elif below + r.size - want <= slack or single:
                             nxt = end if end < SIGN else SIGN - 1
-                            found[j] = Splitter(nxt) if half == "high" else Splitter(k[3], nxt)
+                            found[j] = Splitter(nxt) if half == HIGH else Splitter(k[3], nxt)
                         else:
-                            go = ("low", 0, 0, r.lo) if half == "high" and r.lo == r.hi else (half, more, r.bin, k[3])
+                            go = (LOW, 0, 0, r.lo) if half == HIGH and r.lo == r.hi else (half, more, r.bin, k[3])
                             following.setdefault(go, (below, []))[1].append((j, want))
                     below += r.size
         open_bins = following
@@ -93,7 +95,7 @@ def range_of(splitters: list[Splitter]) -> Column:
     """Number of the splitters at or below a row's key, by nested comparisons as in a binary search."""
 
     def below(s: Splitter) -> Column:
-        return (F.col("high") < s.high) | ((F.col("high") == s.high) & (F.col("low") < s.low))
+        return (F.col(HIGH) < s.high) | ((F.col(HIGH) == s.high) & (F.col(LOW) < s.low))
 
     def pick(lo: int, hi: int) -> Column:
         if lo == hi:
@@ -118,8 +120,8 @@ def shard(docs: DataFrame, shards: int = 24, pieces: int = 8, tolerance: float =
     counts = {r.piece: r.n for r in rows.groupBy(piece.alias("piece")).agg(F.count("*").alias("n")).collect()}
     firsts = [sum(counts.get(q, 0) for q in range(p - p % pieces, p)) for p in range(shards * pieces)]
     first = F.element_at(F.array(*[F.lit(x).cast("long") for x in firsts]), F.col("__piece") + 1)
-    placed = docs.withColumns({"high": F.xxhash64(text_col), "low": F.xxhash64(id_col, text_col)}).withColumn("__piece", piece)
-    order = Window.partitionBy("__piece").orderBy("high", "low")
+    placed = docs.withColumns({HIGH: F.xxhash64(text_col), LOW: F.xxhash64(id_col, text_col)}).withColumn("__piece", piece)
+    order = Window.partitionBy("__piece").orderBy(HIGH, LOW)
     added = {
         "size": byte_size(text_col),
         "text_crc32": F.coalesce(F.crc32(F.col(text_col).cast("binary")), F.lit(0)).cast("long"),

@@ -154,9 +154,9 @@ def test_sharding(spark):
     rng = random.Random(8)
     hot = "hot copy " * 20
     rows = [(i, hot if i % 3 == 0 else "x" * rng.randint(0, 300) + str(i)) for i in range(3000)] + [(4000, None), (4001, ""), (None, "no id"), (4002, "twice"), (4002, "twice")]
-    docs = spark.createDataFrame([(*r, "mine") for r in rows], "doc_id long, text string, shard string")
+    docs = spark.createDataFrame([(*r, "mine", "up", "down") for r in rows], "doc_id long, text string, shard string, high string, low string")
     out = sharding.shard(docs).collect()
-    assert len(out) == len(rows) and {r.law for r in out} == {"bytes"}
+    assert len(out) == len(rows) and {(r.law, r.high, r.low) for r in out} == {("bytes", "up", "down")}
     sizes, slots = Counter(), {}
     for r in out:
         assert r.size == len((r.text or "").encode()) + 8 and r.text_crc32 == __import__("zlib").crc32((r.text or "").encode())
