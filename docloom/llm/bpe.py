@@ -35,6 +35,17 @@ LATER_LOWER |= {c: c + 0x20 for c in range(0x10D50, 0x10D66)} | {c: c + 0x1B for
 HAS_LATER = re.compile(f"[{LATER}{''.join(map(chr, LATER_LOWER))}]")
 
 
+def has_later(text: str) -> bool:
+    """Whether a text holds one of those characters; most texts are cleared by trying a one-byte encoding."""
+    if text.isascii():
+        return False
+    try:
+        text.encode("latin-1")
+        return False
+    except UnicodeEncodeError:
+        return HAS_LATER.search(text) is not None
+
+
 def older(pattern: str) -> str:
     """The split pattern with letters and numbers as the library's Unicode version has them."""
     other = r"[^\s\p{L}\p{N}]"
@@ -107,7 +118,7 @@ class Bpe:
 
     def split(self, text: str) -> list[str | int]:
         """Words of a text after normalization, and ids of special tokens that it spells out."""
-        later = not text.isascii() and HAS_LATER.search(text) is not None
+        later = has_later(text)
         find = regex.compile(older(self.pattern) if later else self.pattern).findall
         marks = regex.compile("(" + "|".join(map(regex.escape, self.specials)) + ")").split(text) if any(s in text for s in self.specials) else [text]
         out: list[str | int] = []
