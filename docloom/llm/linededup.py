@@ -29,7 +29,8 @@ def boilerplate(lines: DataFrame, min_sites: int, precision: int = 12, margin: f
     spread = lines.groupBy("line").agg(F.hll_sketch_estimate(F.hll_sketch_agg("site", F.lit(precision))).alias("sites")).where(F.col("sites") >= min_sites * (1 - margin))
     sure = spread.where(F.col("sites") > min_sites * (1 + margin)).select("line")
     near = spread.where(F.col("sites") <= min_sites * (1 + margin)).select("line")
-    exact = lines.select("line", "site").join(near, "line", "left_semi").groupBy("line", "site").count().groupBy("line").agg(F.count("site").alias("sites"))
+    # distinct pairs come before the join, so that a line found everywhere reaches it with one row a site
+    exact = lines.select("line", "site").distinct().join(near, "line", "left_semi").groupBy("line").agg(F.count("site").alias("sites"))
     return sure.union(exact.where(F.col("sites") >= min_sites).select("line"))
 
 
