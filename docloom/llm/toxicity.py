@@ -168,10 +168,16 @@ def document_frequency(docs: DataFrame, index: Index) -> tuple[int, np.ndarray]:
 
 def choose_terms(sample: pd.DataFrame, min_examples: int, min_association: float, max_terms: int) -> list[str]:
     """Terms of ``min_examples`` examples or more whose presence goes with the class (chi-squared of the two by two table), strongest first."""
-    bags = [{t for w in set(words(x)) for t in terms_of(w)} for x in sample.text]
+    def bag(text: str) -> set[str]:
+        return {t for w in set(words(text)) for t in terms_of(w)}
+
+    # most terms occur in one text only: a table of counts by hash, never too low, keeps them out of the counters
+    table = np.zeros(1 << 23, np.uint16)
+    for text in sample.text:
+        np.add.at(table, np.fromiter((hash(t) & 0x7FFFFF for t in bag(text)), np.int64), 1)
     toxic, clean = Counter(), Counter()
-    for bag, y in zip(bags, sample.y):
-        (toxic if y else clean).update(bag)
+    for text, y in zip(sample.text, sample.y):
+        (toxic if y else clean).update(t for t in bag(text) if table[hash(t) & 0x7FFFFF] >= min_examples)
     p, n = int((sample.y == 1).sum()), int((sample.y == 0).sum())
     found = []
     for t in toxic.keys() | clean.keys():
