@@ -46,9 +46,9 @@ def nation_revenue(spark, d):
     return l.join(s, F.col("l_suppkey") == F.col("s_suppkey")).groupBy("n_name").agg(F.round(F.sum("r"), 2).alias("revenue"))
 
 
-@register("grouping_sets", "select event_type, user_id % 5 as g, count(*) as n, grouping_id(event_type, user_id % 5)::bigint as gid from events group by cube (event_type, user_id % 5)")
+@register("grouping_sets", "select event_type, coalesce(user_id % 5, -1) as g, count(*) as n, grouping_id(event_type, user_id % 5)::bigint as gid from events group by cube (event_type, user_id % 5)")
 def grouping_sets(spark, d):
-    return read(spark, d, "events").withColumn("g", F.col("user_id") % 5).cube("event_type", "g").agg(F.count("*").alias("n"), F.grouping_id().alias("gid"))
+    return read(spark, d, "events").withColumn("g", F.col("user_id") % 5).cube("event_type", "g").agg(F.count("*").alias("n"), F.grouping_id().alias("gid")).fillna({"g": -1})
 
 
 @register("rollup_days", "select strftime(ts, '%Y-%m-%d') as day, event_type, count(*) as n from events group by rollup (strftime(ts, '%Y-%m-%d'), event_type)")

@@ -29,12 +29,12 @@ def queue_position(spark, d):
     return op.queue_positions(o.select(F.col("o_orderkey").alias("id"), (5 - F.substring("o_orderpriority", 1, 1).cast("int")).alias("priority"), F.unix_millis(F.col("o_orderdate").cast("timestamp")).alias("created")))
 
 
-@register("job_retries", f"""select id, attempts + 1 as attempts, case when again then 'queued' else 'abandoned' end as state, case when again then {NOW} + least(1000 * pow(2, attempts), 3600000)::bigint end as next_attempt from
+@register("job_retries", f"""select id, attempts + 1 as attempts, case when again then 'queued' else 'abandoned' end as state, case when again then {NOW} + least(1000 * pow(2, attempts), 3600000)::bigint else -1 end as next_attempt from
   (select *, error_code in ('e0', 'e1', 'e2') and attempts + 1 < 6 as again from (select id, (item % 8)::int as attempts, 'e' || (item % 5) as error_code from ({USAGE}) where kind = 'error' and item is not null))""")
 def job_retries(spark, d):
     u = usage_events(spark, d).where("kind = 'error' and item is not null")
     jobs = u.select("id", (F.col("item") % 8).cast("int").alias("attempts"), F.concat(F.lit("e"), (F.col("item") % 5).cast("string")).alias("error_code"))
-    return op.after_failure(jobs, NOW, 1000, 6, ["e0", "e1", "e2"])
+    return op.after_failure(jobs, NOW, 1000, 6, ["e0", "e1", "e2"]).fillna({"next_attempt": -1})
 
 
 @register("streaks", f"""with p as (select agent, ts_s // 86400 as day, count(*) filter (kind = 'error') / count(*) as rate from ({USAGE}) group by 1, 2), i as (select *, sum(case when rate > 0.2 then 0 else 1 end) over (partition by agent order by day) as island from p)

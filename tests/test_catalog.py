@@ -24,7 +24,9 @@ def duck():
 def plain(value):
     if value is None or value is pd.NaT or value is pd.NA or (isinstance(value, float) and value != value):
         return "null"
-    return f"{value:.6g}" if isinstance(value, float) else str(value)
+    if isinstance(value, float):  # pandas makes floats of integers beside nulls
+        return str(int(value)) if value.is_integer() else f"{value:.6g}"
+    return str(value)
 
 
 def rows(frame):
