@@ -35,15 +35,22 @@ LATER_LOWER |= {c: c + 0x20 for c in range(0x10D50, 0x10D66)} | {c: c + 0x1B for
 HAS_LATER = re.compile(f"[{LATER}{''.join(map(chr, LATER_LOWER))}]")
 
 
-def has_later(text: str) -> bool:
-    """Whether a text holds one of those characters; most texts are cleared by trying a one-byte encoding."""
+def is_one_byte(text: str) -> bool:
     if text.isascii():
-        return False
+        return True
     try:
         text.encode("latin-1")
-        return False
+        return True
     except UnicodeEncodeError:
-        return HAS_LATER.search(text) is not None
+        return False
+
+
+def one_byte(pattern: str) -> str:
+    """The split pattern for texts of one-byte characters, with its classes spelt out for the standard library's faster matcher."""
+    kinds = {k: [c for c in range(256) if regex.match(p, chr(c))] for k, p in (("L", r"\p{L}"), ("N", r"\p{N}"), ("S", r"\s"))}
+    spelt = lambda cs: "".join(f"\\x{c:02x}" for c in cs)
+    out = pattern.replace(r"[^\s\p{L}\p{N}]", f"[^{spelt(kinds['S'] + kinds['L'] + kinds['N'])}]")
+    return out.replace(r"[\p{L}]", f"[{spelt(kinds['L'])}]").replace(r"[\p{N}]", f"[{spelt(kinds['N'])}]")
 
 
 def older(pattern: str) -> str:
@@ -82,6 +89,7 @@ class Bpe:
     names: np.ndarray  # UTF-8 bytes of all tokens, each with a space behind
     name_starts: np.ndarray
     name_sizes: np.ndarray
+    plain: re.Pattern  # the pattern for texts of one-byte characters
     most_words: int = 400_000
     known: dict[str, int] = field(default_factory=dict)
     starts: np.ndarray = field(default_factory=lambda: np.empty(0, np.int64))
@@ -113,12 +121,12 @@ class Bpe:
             np.array([vocab[c] for c in chars], np.int64), np.array([vocab[c + suffix] for c in chars], np.int64),
             (a * span + b)[order], order.astype(np.int64), made[order], span, pattern,
             {x["content"]: x["id"] for x in spec["added_tokens"]},
-            np.frombuffer(b"".join(tokens), np.uint8), np.cumsum(sizes) - sizes, sizes,
+            np.frombuffer(b"".join(tokens), np.uint8), np.cumsum(sizes) - sizes, sizes, re.compile(one_byte(pattern)),
         )
 
     def split(self, text: str) -> list[str | int]:
         """Words of a text after normalization, and ids of special tokens that it spells out."""
-        later = has_later(text)
+        later = not is_one_byte(text) and HAS_LATER.search(text) is not None
         find = regex.compile(older(self.pattern) if later else self.pattern).findall
         marks = regex.compile("(" + "|".join(map(regex.escape, self.specials)) + ")").split(text) if any(s in text for s in self.specials) else [text]
         out: list[str | int] = []
@@ -128,7 +136,8 @@ class Bpe:
             elif part:
                 # lower() treats a final capital sigma by context; the normalizer doesn't
                 low = unicodedata.normalize("NFC", part).replace("Σ", "σ").lower()
-                out += find(low.translate(LATER_LOWER) if later else low)
+                low = low.translate(LATER_LOWER) if later else low
+                out += self.plain.findall(low) if is_one_byte(low) else find(low)
         return out
 
     def merge(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
