@@ -14,11 +14,14 @@ def line_key(line: Column) -> Column:
     return F.xxhash64(F.btrim(line, F.lit(BLANKS)))
 
 
-def lines_of(docs: DataFrame, min_chars: int, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source") -> DataFrame:
-    """(key, pos, line, site, n_chars): the \\n-split lines of at least ``min_chars`` characters without outer blanks."""
-    split = docs.select(row_key(id_col, text_col).alias("key"), F.col(site_col).alias("site"), F.posexplode(F.split(text_col, "\n")).alias("pos", "text"))
+def lines_of(docs: DataFrame, min_chars: int, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source", pages: bool = False) -> DataFrame:
+    """(key, pos, line, site, n_chars): the \\n-split lines of at least ``min_chars`` characters without outer blanks; with ``pages`` also page,
+    a hash of all these lines of the text in order."""
+    long = F.filter(F.transform(F.split(text_col, "\n"), lambda x: F.btrim(x, F.lit(BLANKS))), lambda x: F.length(x) >= min_chars)
+    page = [F.xxhash64(long).alias("page")] if pages else []
+    split = docs.select(row_key(id_col, text_col).alias("key"), F.col(site_col).alias("site"), *page, F.posexplode(F.split(text_col, "\n")).alias("pos", "text"))
     size = F.length(F.btrim("text", F.lit(BLANKS)))
-    return split.where(size >= min_chars).select("key", "pos", line_key(F.col("text")).alias("line"), "site", F.length("text").alias("n_chars"))
+    return split.where(size >= min_chars).select("key", "pos", line_key(F.col("text")).alias("line"), "site", F.length("text").alias("n_chars"), *(["page"] if pages else []))
 
 
 def boilerplate(lines: DataFrame, min_sites: int, precision: int = 12, margin: float = 0.25) -> DataFrame:
@@ -34,21 +37,27 @@ def boilerplate(lines: DataFrame, min_sites: int, precision: int = 12, margin: f
     return sure.union(exact.where(F.col("sites") >= min_sites).select("line"))
 
 
-def dedup_lines(docs: DataFrame, min_sites: int = 8, min_chars: int = 12, max_share: float = 0.5, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source") -> DataFrame:
+def dedup_lines(docs: DataFrame, min_sites: int = 8, min_chars: int = 12, max_share: float = 0.5, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source", copied_only: bool = False) -> DataFrame:
     """``docs`` with boilerplate lines taken out of the text, plus n_lines and n_removed (long).
 
     Boilerplate is a line of ``min_chars`` characters or more (outer blanks aside) on at least ``min_sites`` distinct sites. A
     text of which more than ``max_share`` of the characters are such lines is a copy rather than a page with boilerplate, and stays as
-    it is for near-duplicate removal. Null texts stay null with n_lines 0; a null site counts for none. Repeated rows are
+    it is for near-duplicate removal; with ``copied_only`` this holds only if all its lines of ``min_chars`` characters or more recur
+    together, in the same order, in another document, and any other text is cleaned whatever its share. Null texts stay null with n_lines 0; a null site counts for none. Repeated rows are
     treated alike. Existing columns n_lines and n_removed are replaced.
     """
     docs = docs.drop("n_lines", "n_removed")
-    lines = lines_of(docs, min_chars, id_col, text_col, site_col)
+    lines = lines_of(docs, min_chars, id_col, text_col, site_col, copied_only)
     marked = lines.join(boilerplate(lines, min_sites), "line", "left_semi")
     # repeated rows share a key: a line counts once
-    gone = marked.groupBy("key", "pos").agg(F.first("n_chars").alias("n_chars")).groupBy("key").agg(F.collect_list("pos").alias("__gone"), F.sum("n_chars").alias("__chars"))
+    page = [F.first("page").alias("page")] if copied_only else []
+    gone = marked.groupBy("key", "pos").agg(F.first("n_chars").alias("n_chars"), *page).groupBy("key").agg(F.collect_list("pos").alias("__gone"), F.sum("n_chars").alias("__chars"), *page)
+    if copied_only:
+        copied = gone.groupBy("page").agg(F.count("*").alias("n")).where("n > 1").select("page", F.lit(True).alias("__copied"))
+        gone = gone.join(copied, "page", "left").drop("page")
     joined = docs.withColumn("__key", row_key(id_col, text_col)).join(gone.withColumnRenamed("key", "__key"), "__key", "left")
-    some = F.col("__gone").isNotNull() & (F.col("__chars") <= max_share * F.length(text_col))
+    some = F.col("__chars") <= max_share * F.length(text_col)
+    some = F.col("__gone").isNotNull() & (some | F.col("__copied").isNull() if copied_only else some)
     kept = F.array_join(F.filter(F.split(text_col, "\n"), lambda x, i: ~F.array_contains("__gone", i)), "\n")
     counts = [
         F.coalesce(F.size(F.split(text_col, "\n")), F.lit(0)).cast("long").alias("n_lines"),

@@ -45,6 +45,18 @@ def test_line_dedup(spark, min_sites):
     assert got == slow_lines(rows, min_sites)
 
 
+def test_line_dedup_keeps_only_copied_pages(spark):
+    menu = [f"menu line {k} of every site" for k in range(3)]
+    page = [f"line {k} of a page that was copied" for k in range(4)]
+    rows = [(i, "\n".join([f"a long text of its own, number {i}, " * 9, *menu]), f"site{i}") for i in range(10)] + [(20 + i, "\n".join(page), f"site{i}") for i in range(10)]
+    rows += [(40, "\n".join([*menu, "my few words"]), "site1"), (41, "\n".join(menu), "site2"), (42, "\n".join([menu[0], "hm"]), None)]
+    docs = spark.createDataFrame(rows + rows[-3:], "doc_id long, text string, source string")
+    got = {r.doc_id: (r.text, r.n_removed) for r in linededup.dedup_lines(docs, copied_only=True).collect()}
+    assert {got[i] for i in range(20, 30)} == {("\n".join(page), 0)} and all(got[i][1] == 3 for i in range(10))
+    assert (got[40], got[41], got[42]) == (("my few words", 3), ("", 3), ("hm", 1))
+    assert linededup.dedup_lines(docs, copied_only=True).count() == len(rows) + 3
+
+
 def test_line_dedup_edges(docs, empty):
     out = linededup.dedup_lines(docs)
     assert out.columns == [*docs.columns, "n_lines", "n_removed"] and out.count() == docs.count()
