@@ -1,5 +1,5 @@
-"""Benchmark decontamination with spaced seeds: fixed masks ignore some word positions, seeds of texts and test items are joined by
-hash, and overlaps around the hits are verified with substitutions allowed."""
+"""Benchmark decontamination with seeds: items are cut into more blocks of words than substitutions are allowed, blocks are joined by hash
+with the texts' runs of words, and overlaps around the hits are verified with substitutions allowed."""
 
 from __future__ import annotations
 
@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 
 from docloom.llm.common import cut, row_key
 
-#: Positions that each mask looks at; all share the first two, so that one cheap test comes before them.
-MASKS = ((0, 1, 2, 3, 4), (0, 1, 3, 4, 6), (0, 1, 4, 6, 7))
+#: Words of a block at most. An item of n words that may miss s has s + 1 blocks of n / (s + 1) words, so that one stays whole whatever
+#: the s are; at a similarity of 0.8 these are 4 words (3 for 10, 11 and 15 words), and longer blocks would not fit.
+BLOCK = 4
 #: 64-bit words of the two bit maps that thin the probes out. They bound what the plan carries, whatever the size of the test set;
 #: a fuller map lets more probes through to the join and never loses one.
 PAIR_BITS, SEED_BITS = 12, 14
@@ -29,8 +30,8 @@ def at(hashes: Column, i: Column) -> Column:
     return F.get(hashes, i)
 
 
-def seed(hashes: Column, i: Column, mask: tuple[int, ...], number: int) -> Column:
-    return F.xxhash64(F.lit(number), *[at(hashes, i + o) for o in mask])
+def seed(hashes: Column, i: Column, width: int) -> Column:
+    return F.xxhash64(F.lit(width), *[at(hashes, i + o) for o in range(width)])
 
 
 def slot(h: Column, bits: int) -> Column:
@@ -56,31 +57,36 @@ def leaks(docs: DataFrame, benchmark: DataFrame, min_similarity: float = 0.8, mi
     """One row per leaked pair: doc_id, item_id, start_word (position in the text where the item would begin), n_matched, n_item_words,
     similarity = n_matched / n_item_words, for the best alignment (most matches, then the smallest start).
 
-    Words are runs of letters and digits, lower-cased. A pair counts if an alignment that a seed found agrees on at least
-    ``min_similarity`` of the item's words, position by position; other words may stand at the rest. Items of fewer than
-    ``min_words`` words or a null id aren't looked for. Null and empty texts leak nothing. Repeated rows of ``docs`` with equal id and text
-    give one row a pair; repeated items count once.
+    Words are runs of letters and digits, lower-cased. A pair counts if any alignment agrees on at least ``min_similarity`` of the
+    item's words, position by position; other words may stand at the rest. Items of fewer than ``min_words`` words or a null id
+    aren't looked for. Null and empty texts leak nothing. Repeated rows of ``docs`` with equal id and text give one row a pair;
+    repeated items count once.
     """
     items = benchmark.where(F.col(item_col).isNotNull()).select(F.col(item_col).alias("item_id"), tokens(F.col(item_text)).alias("item")).where(F.size("item") >= min_words).distinct()
     items = items.withColumn("hashes", F.transform("item", lambda w: F.xxhash64(w)))
-    offsets = F.sequence(F.lit(0), F.size("item") - 1)
-
-    def item_seeds(number: int) -> Column:
-        mask = MASKS[number]
-        fits = F.filter(offsets, lambda i: i + max(mask) < F.size("item"))
-        return F.transform(fits, lambda i: F.struct(i.alias("q"), seed(F.col("hashes"), i, mask, number).alias("h")))
-
-    each = F.flatten(F.array(*map(item_seeds, range(len(MASKS)))))
-    seeds = items.select("item_id", F.explode(each).alias("s")).select("item_id", "s.q", "s.h")
-    pairs = items.select(F.explode(F.transform(offsets, lambda i: F.xxhash64(at(F.col("hashes"), i), at(F.col("hashes"), i + 1)))).alias("h"))
+    missed = F.size("item") - F.ceil(min_similarity * F.size("item"))
+    items = items.withColumn("blocks", (missed + 1).cast("int")).withColumn("width", F.least(F.lit(BLOCK), F.floor(F.size("item") / F.col("blocks"))).cast("int"))
+    widths = sorted(r.width for r in items.select("width").distinct().collect())
+
+    def item_seeds(width: int) -> Column:
+        starts = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: k * width)
+        return F.when(F.col("width") == width, F.transform(starts, lambda i: F.struct(i.alias("q"), seed(F.col("hashes"), i, width).alias("h"))))
+
+    seeds = items.select("item_id", F.explode(F.coalesce(*map(item_seeds, widths or [BLOCK]))).alias("s")).select("item_id", "s.q", "s.h")
+    # a block of one word has no pair to test first
+    paired = 1 not in widths
+    firsts = items.select("hashes", F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: k * F.col("width"))).alias("q"))
+    pairs = firsts.select(F.xxhash64(at(F.col("hashes"), F.col("q")), at(F.col("hashes"), F.col("q") + 1)).alias("h"))
     pair_bits, seed_bits = bitmap(pairs, PAIR_BITS), bitmap(seeds.select("h").union(seeds.select(F.xxhash64("h").alias("h"))), SEED_BITS)
 
     def probes(words: Column) -> Column:
         n = F.size(words)
 
         def run(h: Column) -> Column:
-            starts = F.filter(F.sequence(F.lit(0), n - 1), lambda i: is_set(pair_bits, F.xxhash64(at(h, i), at(h, i + 1)), PAIR_BITS))
-            found = F.transform(starts, lambda i: F.array(*[F.struct(i.alias("p"), F.when(i + max(m) < n, seed(h, i, m, k)).alias("h")) for k, m in enumerate(MASKS)]))
+            starts = F.sequence(F.lit(0), n - 1)
+            if paired:
+                starts = F.filter(starts, lambda i: is_set(pair_bits, F.xxhash64(at(h, i), at(h, i + 1)), PAIR_BITS))
+            found = F.transform(starts, lambda i: F.array(*[F.struct(i.alias("p"), F.when(i + width <= n, seed(h, i, width)).alias("h")) for width in widths or [BLOCK]]))
             return F.filter(F.flatten(found), lambda s: s["h"].isNotNull() & is_set(seed_bits, s["h"], SEED_BITS) & is_set(seed_bits, F.xxhash64(s["h"]), SEED_BITS))
 
         return F.when(n >= min_words * min_similarity, let(F.transform(words, lambda w: F.xxhash64(w)), run))

@@ -1,5 +1,6 @@
 """Line dedup, pseudonyms, decontamination and sharding."""
 
+import itertools
 import random
 import re
 from collections import Counter
@@ -154,6 +155,30 @@ def test_leaks_match_brute_force(spark):
     assert kept == {i for i, _ in rows} - {i for i, _, _ in got}
 
 
+def test_leaks_find_every_substitution(spark):
+    items = [(n, [f"i{n}w{j}" for j in range(n)]) for n in range(8, 21)]
+    rows = []
+    for n, words in items:
+        for gone in itertools.combinations(range(n), n // 5):
+            rows.append((len(rows), n, " ".join(["before", *("other" if j in gone else w for j, w in enumerate(words)), "after"])))
+        rows.append((len(rows), n, " ".join(words[n // 5 :])))
+        rows.append((len(rows), n, " ".join(words[: n - n // 5])))
+    rows += [(len(rows), None, " ".join("other" if j <= n // 5 else w for j, w in enumerate(words))) for n, words in items]
+    docs = spark.createDataFrame([(i, t) for i, _, t in rows], "doc_id long, text string")
+    bench = spark.createDataFrame([(n, " ".join(words)) for n, words in items], "item_id long, text string")
+    got = {(r.doc_id, r.item_id): r.n_matched for r in decontam.leaks(docs, bench).collect()}
+    assert got == {(i, n): n - n // 5 for i, n, _ in rows if n}
+
+
+@pytest.mark.parametrize("ratio", [0.4, 0.6, 1.0])
+def test_leaks_at_other_similarities(spark, ratio):
+    rng = random.Random(3)
+    items = [(k, " ".join(rng.choice("abcdefghijklmnop") * 2 for _ in range(8 + k))) for k in range(12)]
+    rows = [(i, " ".join(w if rng.random() > i % 4 / 5 else "zz" for w in items[i % 12][1].split()) + " tail") for i in range(60)]
+    docs, bench = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    assert {(r.doc_id, r.item_id, r.n_matched) for r in decontam.leaks(docs, bench, ratio).collect()} == slow_leaks(rows, items, ratio)
+
+
 def test_leaks_edges(spark, docs, empty):
     none = spark.createDataFrame([], "item_id long, text string")
     assert decontam.leaks(docs, none).count() == 0 and decontam.decontaminate(docs, none).count() == docs.count()
