@@ -82,19 +82,22 @@ def neighbours(links: DataFrame, node) -> DataFrame:
 
 
 def explicit_references(items: DataFrame, refs: DataFrame, words: int = 4) -> DataFrame:
-    """(item_id, ref_id): items whose text holds a reference's text. Candidates meet on the reference's first ``words`` words, so the
-    containment test runs on few pairs; references of fewer words meet on what they have."""
-    tokens = lambda c: F.split(F.trim(c), r"\s+")
-    r = refs.select("ref_id", "body", tokens(F.col("body")).alias("w")).where(F.trim("body") != "")
-    r = r.withColumn("n", F.least(F.size("w"), F.lit(words))).withColumn("key", F.xxhash64(F.array_join(F.slice("w", F.lit(1), F.col("n")), " ")))
+    """(item_id, ref_id): items whose text holds a reference's text, wherever in a word it starts or ends.
+
+    Candidates meet on up to ``words`` inner words of the reference (runs of letters and digits, without the first and last run, which the
+    text may continue), so the containment test runs on few pairs. References without an inner word are tested against every text."""
+    runs = lambda c: F.regexp_extract_all(c, F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
+    r = refs.select("ref_id", "body", runs(F.col("body")).alias("w")).where(F.trim("body") != "")
+    r = r.withColumn("n", F.greatest(F.least(F.size("w") - 2, F.lit(words)), F.lit(0))).withColumn("key", F.xxhash64(F.array_join(F.slice("w", F.lit(2), F.col("n")), " ")))
     sizes = [x.n for x in r.select("n").distinct().orderBy("n").collect()]
-    w = items.select("item_id", "content", tokens(F.col("content")).alias("w"))
-    keys = [F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - n + 1, F.lit(1))), _window_key(n)) for n in sizes]
-    probes = w.select("item_id", F.explode(F.array_distinct(F.flatten(F.array(*keys)))).alias("key")) if keys else None
-    if probes is None:
-        return items.select("item_id").limit(0).join(refs.select("ref_id").limit(0))
-    met = probes.join(r.select("key", "ref_id", "body"), "key").select("item_id", "ref_id", "body").distinct()
-    return met.join(items.select("item_id", "content"), "item_id").where(F.contains("content", "body")).select("item_id", "ref_id").distinct()
+    texts = items.select("item_id", "content")
+    few = texts.join(r.where("n = 0").select("ref_id", "body"), F.contains("content", "body")).select("item_id", "ref_id")
+    keys = [F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - n + 1, F.lit(1))), _window_key(n)) for n in sizes if n]
+    if not keys:
+        return few.distinct()
+    probes = texts.select("item_id", runs(F.col("content")).alias("w")).select("item_id", F.explode(F.array_distinct(F.flatten(F.array(*keys)))).alias("key"))
+    met = probes.join(r.where("n > 0").select("key", "ref_id", "body"), "key").select("item_id", "ref_id", "body").distinct()
+    return met.join(texts, "item_id").where(F.contains("content", "body")).select("item_id", "ref_id").union(few).distinct()
 
 
 def _window_key(n: int):

@@ -74,6 +74,16 @@ def test_joins(spark):
     assert {tuple(r) for r in joins.explicit_references(items, refs).collect()} == {(10, 1), (10, 2), (11, 2)}
 
 
+def test_explicit_references_inside_words(spark):
+    bodies = ["Se que no hay nada mas", "two", "ends in a wor", "\n one two three four five", "a-b", "...", "naïve Straße é x y", "x1 y2 z3", "n n n n n n"]
+    texts = ['he said "Se que no hay nada mas" and left', "(two)", "twofold ends in a word", "zero\n one two three four five", "\tends in a wor", "xa-bx", "wait... what", "prenaïve Straße é x yes", None, "", "ax1 y2 z34", "n n n n n n n", "se que no hay nada mas"]
+    refs = spark.createDataFrame(list(enumerate(bodies)), "ref_id long, body string")
+    items = spark.createDataFrame(list(enumerate(texts)), "item_id long, content string")
+    want = sorted((i, k) for i, t in enumerate(texts) for k, b in enumerate(bodies) if b in (t or ""))
+    assert sorted(tuple(r) for r in joins.explicit_references(items, refs).collect()) == want
+    assert joins.explicit_references(items, refs.limit(0)).count() == 0
+
+
 def test_ingest(spark):
     raw = spark.createDataFrame([("a", "same"), ("b", "same"), ("c", ""), ("d", "stored"), ("e", "changed"), ("f", "kept")], "path string, content string")
     known = raw.where("path in ('d', 'e', 'f')").withColumn("content", F.when(F.col("path") == "e", "before").otherwise(F.col("content")))
