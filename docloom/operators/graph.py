@@ -92,14 +92,16 @@ def density_clusters(vectors: DataFrame, min_cosine: float, min_points: int = 5)
     return out.join(border, "item_id", "left").select("item_id", F.coalesce("own", F.col("m.cluster"), F.lit(-1)).cast("long").alias("cluster"))
 
 
-def dedup_groups(items: DataFrame, hash_col: str, title_col: str) -> DataFrame:
-    """(item_id, group_id) of items linked by equal content hashes or equal normalized titles, through star edges to the first of each key;
-    singletons don't come out."""
+def dedup_groups(items: DataFrame, hash_col: str, title_col: str, vectors: DataFrame | None = None, min_cosine: float = 0.92) -> DataFrame:
+    """(item_id, group_id) of items linked by equal content hashes or equal normalized titles, through star edges to the first of each key,
+    and with ``vectors`` (item_id, embedding) also by a cosine of ``min_cosine`` or more, at every size; singletons don't come out."""
     edges = None
     for col in (hash_col, title_col):
         first = items.where(F.col(col).isNotNull() & (F.col(col) != "")).groupBy(col).agg(F.min("item_id").alias("b"))
         e = items.join(first, col).select(F.col("item_id").alias("a"), "b")
         edges = e if edges is None else edges.union(e)
+    if vectors is not None:
+        edges = edges.union(similar_pairs(vectors.join(items.select("item_id"), "item_id", "left_semi"), min_cosine).select("a", "b"))
     return components(edges).select(F.col("node").alias("item_id"), F.col("component").alias("group_id"))
 
 

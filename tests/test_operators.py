@@ -39,6 +39,15 @@ def test_similar_pairs_are_exact(spark):
     assert 900 in clusters[-1] and all(len({i % 12 for i in c}) == 1 for k, c in clusters.items() if k != -1)
 
 
+def test_dedup_groups_by_vectors(spark):
+    items = spark.createDataFrame([(1, "h1", "t1"), (2, "h1", "t2"), (3, "h3", "t2"), (4, "h4", "t4"), (5, "h5", ""), (6, "h6", None), (7, "h7", "t7")], "item_id long, h string, t string")
+    vectors = [(1, [1.0, 0.0]), (4, [0.95, 0.1]), (5, [0.0, 1.0]), (6, [0.1, 0.9]), (7, [1.0, -1.0]), (99, [1.0, -1.0])]
+    frame = spark.createDataFrame(vectors, "item_id long, embedding array<double>")
+    groups = lambda *v: {(r.item_id, r.group_id) for r in graph.dedup_groups(items, "h", "t", *v).collect()}
+    assert groups() == {(1, 1), (2, 1), (3, 1)}
+    assert groups(frame) == {(1, 1), (2, 1), (3, 1), (4, 1), (5, 5), (6, 5)}
+
+
 def test_retrieval_pieces(spark):
     items = spark.createDataFrame([(1, "alpha beta"), (2, "alpha"), (3, ""), (4, None)], "item_id long, content string")
     assert [r.item_id for r in retrieval.bm25(items, ["alpha", "BETA"], 5).collect()] == [1, 2] and retrieval.bm25(items, [], 5).count() == 0
