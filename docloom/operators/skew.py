@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 HOT = 1000
 #: Parts that a hot key is dealt over.
 SALTS = 64
-#: Leading hash bits of a thinning filter: at least and at most. 2**MOST rows bound what is broadcast, whatever the table's size.
-LEAST, MOST = 12, 22
+#: Leading hash bits of a thinning filter: 2**BITS integers bound what is broadcast, whatever the size of the tables.
+BITS = 22
 
 
 def meet(rows: DataFrame, keys: DataFrame, on: str, deal: Column, how: str = "inner", total: int | None = None) -> DataFrame:
@@ -24,14 +24,9 @@ def meet(rows: DataFrame, keys: DataFrame, on: str, deal: Column, how: str = "in
     return dealt.join(keys.withColumn("__salt", F.explode(parts)).drop("n"), [on, "__salt"], how).drop("__salt")
 
 
-def _slot(key: Column, bits: int) -> Column:
-    return F.shiftrightunsigned(F.xxhash64(key), 64 - bits).cast("int")
-
-
-def thinned(rows: DataFrame, on: Column, keys: DataFrame, key: str, n_keys: int | None = None) -> DataFrame:
-    """``rows`` that may have a partner in ``keys``: a broadcast semi-join on the leading bits of the key's hash. It loses no partner, lets about one
-    other row in 16 through until the bits run out, and more from then on."""
-    n_keys = keys.count() if n_keys is None else n_keys
-    bits = min(MOST, max(LEAST, (16 * max(n_keys, 1)).bit_length()))
-    slots = keys.select(_slot(F.col(key), bits).alias("__slot")).distinct()
-    return rows.withColumn("__slot", _slot(on, bits)).join(F.broadcast(slots), "__slot", "left_semi").drop("__slot")
+def thinned(rows: DataFrame, on: Column, keys: DataFrame, key: str) -> DataFrame:
+    """``rows`` that may have a partner in ``keys``: a broadcast semi-join on the leading bits of the key's hash. It loses no partner and lets about
+    one other row in 2**BITS / (number of keys) through, so beyond 2**BITS keys it thins nothing."""
+    slot = lambda c: F.shiftrightunsigned(F.xxhash64(c), 64 - BITS).cast("int")
+    slots = keys.select(slot(F.col(key)).alias("__slot")).distinct()
+    return rows.withColumn("__slot", slot(on)).join(F.broadcast(slots), "__slot", "left_semi").drop("__slot")
