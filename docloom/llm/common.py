@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from docloom.functions.vector import let  # noqa: F401
 from docloom.operators.graph import components  # noqa: F401
-from docloom.sources.shared import cut, shared_folder  # noqa: F401
+from docloom.operators.skew import meet, thinned  # noqa: F401
+from docloom.sources.shared import cut, shared_folder, stored  # noqa: F401
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

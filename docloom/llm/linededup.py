@@ -5,62 +5,59 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.common import row_key
+from docloom.llm.common import let, meet, row_key, stored
 
 BLANKS = " \t\r\f\v"
 
 
-def line_key(line: Column) -> Column:
-    return F.xxhash64(F.btrim(line, F.lit(BLANKS)))
+def trimmed(line: Column) -> Column:
+    return F.btrim(line, F.lit(BLANKS))
 
 
-def lines_of(docs: DataFrame, min_chars: int, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source", pages: bool = False) -> DataFrame:
-    """(key, pos, line, site, n_chars): the \\n-split lines of at least ``min_chars`` characters without outer blanks; with ``pages`` also page,
-    a hash of all these lines of the text in order."""
-    long = F.filter(F.transform(F.split(text_col, "\n"), lambda x: F.btrim(x, F.lit(BLANKS))), lambda x: F.length(x) >= min_chars)
-    page = [F.xxhash64(long).alias("page")] if pages else []
-    split = docs.select(row_key(id_col, text_col).alias("key"), F.col(site_col).alias("site"), *page, F.posexplode(F.split(text_col, "\n")).alias("pos", "text"))
-    size = F.length(F.btrim("text", F.lit(BLANKS)))
-    return split.where(size >= min_chars).select("key", "pos", line_key(F.col("text")).alias("line"), "site", F.length("text").alias("n_chars"), *(["page"] if pages else []))
+def lines_of(docs: DataFrame, min_chars: int, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source") -> DataFrame:
+    """(key, page, n_long, pos, line, site): the \\n-split lines of at least ``min_chars`` characters without outer blanks, as hashes. page is the
+    hash of all these lines of the text in order, n_long their number."""
+    found = F.transform(F.split(text_col, "\n"), lambda x, i: F.struct(i.alias("pos"), trimmed(x).alias("line")))
+    found = F.transform(F.filter(found, lambda s: F.length(s["line"]) >= min_chars), lambda s: F.struct(s["pos"].alias("pos"), F.xxhash64(s["line"]).alias("line")))
+    texts = docs.select(row_key(id_col, text_col).alias("key"), F.col(site_col).alias("site"), found.alias("found"))
+    page = F.xxhash64(F.transform("found", lambda s: s["line"]))
+    return texts.select("key", "site", page.alias("page"), F.size("found").alias("n_long"), F.explode("found").alias("s")).select("key", "page", "n_long", "s.pos", "s.line", "site")
 
 
 def boilerplate(lines: DataFrame, min_sites: int, precision: int = 12, margin: float = 0.25) -> DataFrame:
-    """Hashes of the lines found on ``min_sites`` distinct sites or more.
+    """(line, n): hash and number of rows of the lines found on ``min_sites`` distinct sites or more.
 
     One sketch per line merges over all partitions; its error at this precision is about 1.6 %, so only lines whose estimate
     lies within ``margin`` of the threshold need an exact distinct count, and those alone are counted."""
-    spread = lines.groupBy("line").agg(F.hll_sketch_estimate(F.hll_sketch_agg("site", F.lit(precision))).alias("sites")).where(F.col("sites") >= min_sites * (1 - margin))
-    sure = spread.where(F.col("sites") > min_sites * (1 + margin)).select("line")
-    near = spread.where(F.col("sites") <= min_sites * (1 + margin)).select("line")
-    # distinct pairs come before the join, so that a line found everywhere reaches it with one row a site
-    exact = lines.select("line", "site").distinct().join(near, "line", "left_semi").groupBy("line").agg(F.count("site").alias("sites"))
-    return sure.union(exact.where(F.col("sites") >= min_sites).select("line"))
+    sketch = lines.groupBy("line").agg(F.count("*").alias("n"), F.hll_sketch_estimate(F.hll_sketch_agg("site", F.lit(precision))).alias("sites"))
+    spread = stored(sketch.where(F.col("sites") >= min_sites * (1 - margin)), "spread")
+    near = spread.where(F.col("sites") <= min_sites * (1 + margin)).select("line", "n")
+    pairs = meet(lines.select("line", "site", "key"), near, "line", F.col("key")).select("line", "site").distinct()
+    exact = pairs.groupBy("line").agg(F.count("site").alias("exact")).where(F.col("exact") >= min_sites).select("line")
+    sure = spread.where(F.col("sites") > min_sites * (1 + margin)).select("line", "n")
+    return stored(sure.union(near.join(exact, "line", "left_semi")), "boilerplate")
 
 
-def dedup_lines(docs: DataFrame, min_sites: int = 8, min_chars: int = 12, max_share: float = 0.5, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source", copied_only: bool = False) -> DataFrame:
+def dedup_lines(docs: DataFrame, min_sites: int = 8, min_chars: int = 12, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source", keep_copies: bool = False) -> DataFrame:
     """``docs`` with boilerplate lines taken out of the text, plus n_lines and n_removed (long).
 
-    Boilerplate is a line of ``min_chars`` characters or more (outer blanks aside) on at least ``min_sites`` distinct sites. A
-    text of which more than ``max_share`` of the characters are such lines is a copy rather than a page with boilerplate, and stays as
-    it is for near-duplicate removal; with ``copied_only`` this holds only if all its lines of ``min_chars`` characters or more recur
-    together, in the same order, in another document, and any other text is cleaned whatever its share. Null texts stay null with n_lines 0; a null site counts for none. Repeated rows are
-    treated alike. Existing columns n_lines and n_removed are replaced.
+    Boilerplate is a line of ``min_chars`` characters or more (outer blanks aside) on at least ``min_sites`` distinct sites. A page
+    that was copied to so many sites is all boilerplate by this rule; with ``keep_copies`` a text all of whose lines of that length would go
+    stays as it is if another document has the same lines in the same order, so that near-duplicate removal can keep one of them.
+    Null texts stay null with n_lines 0; empty texts stay empty with n_lines 1; a null site counts for none. Repeated rows are treated alike
+    and count once. Texts of any length and number of lines are treated alike. Existing columns n_lines and n_removed are replaced.
     """
     docs = docs.drop("n_lines", "n_removed")
-    lines = lines_of(docs, min_chars, id_col, text_col, site_col, copied_only)
-    marked = lines.join(boilerplate(lines, min_sites), "line", "left_semi")
-    # repeated rows share a key: a line counts once
-    page = [F.first("page").alias("page")] if copied_only else []
-    gone = marked.groupBy("key", "pos").agg(F.first("n_chars").alias("n_chars"), *page).groupBy("key").agg(F.collect_list("pos").alias("__gone"), F.sum("n_chars").alias("__chars"), *page)
-    if copied_only:
-        copied = gone.groupBy("page").agg(F.count("*").alias("n")).where("n > 1").select("page", F.lit(True).alias("__copied"))
-        gone = gone.join(copied, "page", "left").drop("page")
-    joined = docs.withColumn("__key", row_key(id_col, text_col)).join(gone.withColumnRenamed("key", "__key"), "__key", "left")
-    some = F.col("__chars") <= max_share * F.length(text_col)
-    some = F.col("__gone").isNotNull() & (some | F.col("__copied").isNull() if copied_only else some)
-    kept = F.array_join(F.filter(F.split(text_col, "\n"), lambda x, i: ~F.array_contains("__gone", i)), "\n")
-    counts = [
-        F.coalesce(F.size(F.split(text_col, "\n")), F.lit(0)).cast("long").alias("n_lines"),
-        F.when(F.col(text_col).isNull(), 0).when(some, F.size("__gone")).otherwise(0).cast("long").alias("n_removed"),
-    ]
-    return joined.select(*[F.when(some, kept).otherwise(F.col(text_col)).alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns], *counts)
+    lines = stored(lines_of(docs, min_chars, id_col, text_col, site_col), "lines")
+    marked = meet(lines.select("line", "key", "pos", "page", "n_long"), boilerplate(lines, min_sites), "line", F.col("key"), "left_semi")
+    gone = marked.groupBy("key").agg(F.collect_set("pos").alias("__gone"), F.first("page").alias("page"), F.first("n_long").alias("n_long"))
+    if keep_copies:
+        gone = stored(gone, "gone")
+        whole = F.size("__gone") == F.col("n_long")
+        pages = stored(gone.where(whole).groupBy("page").agg(F.count("*").alias("n")).where("n > 1"), "pages")
+        gone = meet(gone.where(whole), pages.withColumn("copied", F.lit(True)), "page", F.col("key"), "left").where("copied is null").select("key", "__gone").union(gone.where(~whole).select("key", "__gone"))
+    joined = docs.withColumn("__key", row_key(id_col, text_col)).join(gone.select(F.col("key").alias("__key"), "__gone"), "__key", "left")
+    kept = let(F.split(text_col, "\n"), lambda parts: F.transform(F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col("__gone")), lambda i: F.get(parts, i)))
+    counts = [F.coalesce(F.size(F.split(text_col, "\n")), F.lit(0)).cast("long").alias("n_lines"), F.coalesce(F.size("__gone"), F.lit(0)).cast("long").alias("n_removed")]
+    swapped = F.when(F.col("__gone").isNotNull(), F.array_join(kept, "\n")).otherwise(F.col(text_col))
+    return joined.select(*[swapped.alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns], *counts)

@@ -30,16 +30,13 @@ with lines as (
     from (select doc_id, source, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) as pos
           from documents where text is not null)),
 spread as (select body from lines where length(body) >= 12 group by body having count(distinct source) >= 8),
-marked as (select doc_id, pos, line, body in (select body from spread) and length(body) >= 12 as hit from lines),
-share as (
-    select m.doc_id, count_if(hit) as n_hit, sum(case when hit then length(line) else 0 end) <= 0.5 * any_value(length(d.text)) as some
-    from marked m join documents d using (doc_id) group by m.doc_id),
-kept as (select m.doc_id, string_agg(line, chr(10) order by pos) as text from marked m where not hit group by m.doc_id)
+marked as (select doc_id, pos, line, body in (select body from spread) as hit from lines),
+kept as (select doc_id, count_if(hit) as n_hit, string_agg(line, chr(10) order by pos) filter (not hit) as text from marked group by doc_id)
 select d.doc_id,
     case when d.text is null then 0 else length(string_split(d.text, chr(10))) end as n_lines,
-    case when s.some then s.n_hit else 0 end as n_removed,
-    sha256(case when s.some and s.n_hit > 0 then coalesce(k.text, '') else d.text end) as text_sha256
-from documents d left join share s using (doc_id) left join kept k using (doc_id)
+    coalesce(n_hit, 0) as n_removed,
+    sha256(case when n_hit > 0 then coalesce(k.text, '') else d.text end) as text_sha256
+from documents d left join kept k using (doc_id)
 """
 
 

@@ -11,7 +11,7 @@ from docloom.llm import decontam, linededup, pseudonyms, sharding
 
 
 # ---- line dedup
-def slow_lines(rows, min_sites, min_chars=12, share=0.5):
+def slow_lines(rows, min_sites, min_chars=12):
     trim = lambda x: x.strip(" \t\r\f\v")
     sites = {}
     for _, t, s in rows:
@@ -26,8 +26,7 @@ def slow_lines(rows, min_sites, min_chars=12, share=0.5):
             continue
         lines = t.split("\n")
         hit = [trim(x) in bad for x in lines]
-        some = any(hit) and sum(len(x) for x, h in zip(lines, hit) if h) <= share * len(t)
-        out.append((i, "\n".join(x for x, h in zip(lines, hit) if not h) if some else t, len(lines), sum(hit) if some else 0))
+        out.append((i, "\n".join(x for x, h in zip(lines, hit) if not h), len(lines), sum(hit)))
     return Counter(out)
 
 
@@ -52,10 +51,19 @@ def test_line_dedup_keeps_only_copied_pages(spark):
     rows = [(i, "\n".join([f"a long text of its own, number {i}, " * 9, *menu]), f"site{i}") for i in range(10)] + [(20 + i, "\n".join(page), f"site{i}") for i in range(10)]
     rows += [(40, "\n".join([*menu, "my few words"]), "site1"), (41, "\n".join(menu), "site2"), (42, "\n".join([menu[0], "hm"]), None)]
     docs = spark.createDataFrame(rows + rows[-3:], "doc_id long, text string, source string")
-    got = {r.doc_id: (r.text, r.n_removed) for r in linededup.dedup_lines(docs, copied_only=True).collect()}
+    got = {r.doc_id: (r.text, r.n_removed) for r in linededup.dedup_lines(docs, keep_copies=True).collect()}
     assert {got[i] for i in range(20, 30)} == {("\n".join(page), 0)} and all(got[i][1] == 3 for i in range(10))
     assert (got[40], got[41], got[42]) == (("my few words", 3), ("", 3), ("hm", 1))
-    assert linededup.dedup_lines(docs, copied_only=True).count() == len(rows) + 3
+    assert linededup.dedup_lines(docs, keep_copies=True).count() == len(rows) + 3
+    plain = {r.doc_id: (r.text, r.n_removed) for r in linededup.dedup_lines(docs).collect()}
+    assert {plain[i] for i in range(20, 30)} == {("", 4)} and {k: v for k, v in plain.items() if not 20 <= k < 30} == {k: v for k, v in got.items() if not 20 <= k < 30}
+
+
+def test_line_on_most_rows(spark):
+    rows = [(i, f"a line on most of the pages\nown words of page {i}" if i % 3 else f"other words of page {i}", f"site{i % 50}") for i in range(6000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = Counter((r.doc_id, r.text, r.n_lines, r.n_removed) for r in linededup.dedup_lines(docs).collect())
+    assert got == slow_lines(rows, 8)
 
 
 def test_line_dedup_edges(docs, empty):
