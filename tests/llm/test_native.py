@@ -212,6 +212,23 @@ def test_sharding(spark):
     assert all(sorted(v) == list(range(len(v))) for v in slots.values())
 
 
+@pytest.mark.parametrize("alike", [4800, 2400])
+def test_sharding_of_rows_alike(spark, alike):
+    """Every shard gets 200 of 4,800 rows of equal size, though all or half of them are one row repeated."""
+    docs = spark.range(4800).selectExpr(f"if(id < {alike}, 7, id) as doc_id", f"if(id < {alike}, 'same', 'id' || lpad(id % 100, 2, '0')) as text")
+    out = sharding.shard(docs).collect()
+    slots = {}
+    for r in out:
+        slots.setdefault(r.shard, []).append(r.slot)
+    assert len(out) == 4800 and all(sorted(v) == list(range(len(v))) for v in slots.values())
+    assert all(abs(len(slots[k]) - 200) <= 2 for k in range(24)), {k: len(v) for k, v in slots.items()}
+
+
+def test_sharding_is_one_range_exchange_at_the_end(docs):
+    plan = sharding.shard(docs, shards=3, pieces=2)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange ") - plan.count("BroadcastExchange ") <= 2, plan
+
+
 def test_sharding_edges(docs, empty):
     assert sharding.shard(empty).count() == 0
     out = sharding.shard(docs, shards=3, pieces=2)
