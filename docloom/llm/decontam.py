@@ -1,56 +1,60 @@
-"""Benchmark decontamination with seeds: items are cut into more blocks of words than substitutions are allowed, blocks are joined by hash
-with the texts' runs of words, and overlaps around the hits are verified with substitutions allowed."""
+"""Benchmark decontamination by spaced seeds: fixed masks ignore some word positions, items' and texts' seeds are joined by hash, and the
+overlaps around the hits are verified with substitutions allowed."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.common import cut, row_key
+from docloom.llm.common import row_key, stored, thinned
 
-#: Words of a block at most. An item of n words that may miss s has s + 1 blocks of n / (s + 1) words, so that one stays whole whatever
-#: the s are; at a similarity of 0.8 these are 4 words (3 for 10, 11 and 15 words), and longer blocks would not fit.
-BLOCK = 4
-#: 64-bit words of the two bit maps that thin the probes out. They bound what the plan carries, whatever the size of the test set;
-#: a fuller map lets more probes through to the join and never loses one.
-PAIR_BITS, SEED_BITS = 12, 14
+#: Words that a mask looks at, at most. An item of n words that may miss s gets s + 1 seeds with no position in common, so that one stays whole
+#: whatever the s are; at a similarity of 0.8 there is room for 4 words a seed (3 for 10, 11 and 15 words), and no more.
+WEIGHT = 4
+#: Distances of a mask's words: 2 is the mask 1010101 and its like, 3 is 1001001001; 1 only for an item with a single seed.
+STRIDES = (1, 2, 3)
 
 
 def tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
 
 
-def let(value: Column, body) -> Column:
-    """Evaluates ``value`` once and hands it to ``body``."""
-    return F.element_at(F.transform(F.array(value), body), 1)
+def seed(at, weight: int, stride: int) -> Column:
+    """Hash of the words that the mask (weight, stride) looks at; ``at(offset)`` is the hash of the word so far behind the mask's start."""
+    return F.xxhash64(F.lit(10 * weight + stride), *[at(stride * j) for j in range(weight)])
 
 
-def at(hashes: Column, i: Column) -> Column:
-    """Word hash at a position from 0; null beyond the end."""
-    return F.get(hashes, i)
+def layout(n_seeds: Column, weight: Column) -> Column:
+    """array of struct(q, stride): where the masks of an item start. Two seeds of stride 2 interleave and fill 2 * weight words; an odd
+    number of seeds begins with three of stride 3."""
+    three = F.when(n_seeds == 1, 1).when(n_seeds % 2 == 1, 3).otherwise(0)
 
+    def place(k: Column) -> Column:
+        pair = F.floor((k - three) / 2)
+        start = F.when(k < three, k).otherwise(three * weight + pair * 2 * weight + F.pmod(k - three, F.lit(2)))
+        return F.struct(start.cast("int").alias("q"), F.when(n_seeds == 1, 1).when(k < three, 3).otherwise(2).alias("stride"))
 
-def seed(hashes: Column, i: Column, width: int) -> Column:
-    return F.xxhash64(F.lit(width), *[at(hashes, i + o) for o in range(width)])
+    return F.transform(F.sequence(F.lit(0), n_seeds - 1), place)
 
 
-def slot(h: Column, bits: int) -> Column:
-    return F.shiftrightunsigned(h, 64 - bits).cast("int")
-
-
-def bit(h: Column) -> Column:
-    return h.bitwiseAND(F.lit(63)).cast("int")
-
-
-def bitmap(hashes: DataFrame, bits: int) -> Column:
-    """Array literal of 2**bits 64-bit words with the bit of every hash of column h set."""
-    one = F.call_function("shiftleft", F.lit(1).cast("long"), bit(F.col("h")))
-    words = {r.s: r.w for r in hashes.groupBy(slot(F.col("h"), bits).alias("s")).agg(F.bit_or(one).alias("w")).collect()}
-    return F.expr("array(" + ",".join(f"{w}L" if w > -(1 << 63) else "-9223372036854775807L-1L" for w in (words.get(i, 0) for i in range(1 << bits))) + ")")
+def item_seeds(items: DataFrame, min_similarity: float) -> DataFrame:
+    """(item_id, weight, stride, q, h): the seeds of each item and where their masks start in it. items: item_id, item (words)."""
+    missed = F.size("item") - F.ceil(min_similarity * F.size("item"))
+    sized = items.withColumn("seeds", (missed + 1).cast("int")).withColumn("weight", F.least(F.lit(WEIGHT), F.floor(F.size("item") / F.col("seeds"))).cast("int"))
+    placed = sized.select("item_id", "weight", F.transform("item", lambda w: F.xxhash64(w)).alias("hashes"), F.explode(layout(F.col("seeds"), F.col("weight"))).alias("s"))
+    at = lambda o: F.get("hashes", F.col("s.q") + o)
+    h = F.coalesce(*[F.when((F.col("weight") == w) & (F.col("s.stride") == d), seed(at, w, d)) for w in range(1, WEIGHT + 1) for d in STRIDES])
+    return placed.select("item_id", "weight", "s.stride", "s.q", h.alias("h"))
 
 
-def is_set(bits_array: Column, h: Column, bits: int) -> Column:
-    return F.call_function("shiftrightunsigned", F.get(bits_array, slot(h, bits)), bit(h)).bitwiseAND(F.lit(1)) == 1
+def probes(texts: DataFrame, masks: list[tuple[int, int]]) -> DataFrame:
+    """(key, p, h): the seed of every mask at every word position of every text. texts: key, words."""
+    offsets = sorted({d * j for w, d in masks for j in range(w)})
+    hashed = texts.select("key", F.transform("words", lambda w: F.xxhash64(w)).alias("a"))
+    shifted = F.arrays_zip(*[(F.col("a") if not o else F.slice("a", F.lit(o + 1), F.size("a"))).alias(f"w{o}") for o in offsets])
+    rows = hashed.select("key", F.posexplode(shifted).alias("p", "s")).select("key", "p", *[F.col(f"s.w{o}").alias(f"w{o}") for o in offsets])
+    own = [F.when(F.col(f"w{d * (w - 1)}").isNotNull(), seed(lambda o: F.col(f"w{o}"), w, d)) for w, d in masks]
+    return rows.select("key", "p", F.explode(F.array(*own)).alias("h")).where("h is not null")
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, min_similarity: float = 0.8, min_words: int = 8, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
@@ -58,51 +62,27 @@ def leaks(docs: DataFrame, benchmark: DataFrame, min_similarity: float = 0.8, mi
     similarity = n_matched / n_item_words, for the best alignment (most matches, then the smallest start).
 
     Words are runs of letters and digits, lower-cased. A pair counts if any alignment agrees on at least ``min_similarity`` of the
-    item's words, position by position; other words may stand at the rest. Items of fewer than ``min_words`` words or a null id
-    aren't looked for. Null and empty texts leak nothing. Repeated rows of ``docs`` with equal id and text give one row a pair;
-    repeated items count once.
+    item's words, position by position; other words may stand at the rest, and no such alignment is missed. Items of fewer than
+    ``min_words`` words or a null id aren't looked for. Null and empty texts leak nothing; texts of any length are probed at every word.
+    Repeated rows of ``docs`` with equal id and text give one row a pair; repeated items count once. Other columns of both
+    tables are ignored, whatever their names.
     """
     items = benchmark.where(F.col(item_col).isNotNull()).select(F.col(item_col).alias("item_id"), tokens(F.col(item_text)).alias("item")).where(F.size("item") >= min_words).distinct()
-    items = items.withColumn("hashes", F.transform("item", lambda w: F.xxhash64(w)))
-    missed = F.size("item") - F.ceil(min_similarity * F.size("item"))
-    items = items.withColumn("blocks", (missed + 1).cast("int")).withColumn("width", F.least(F.lit(BLOCK), F.floor(F.size("item") / F.col("blocks"))).cast("int"))
-    widths = sorted(r.width for r in items.select("width").distinct().collect())
-
-    def item_seeds(width: int) -> Column:
-        starts = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: k * width)
-        return F.when(F.col("width") == width, F.transform(starts, lambda i: F.struct(i.alias("q"), seed(F.col("hashes"), i, width).alias("h"))))
-
-    seeds = items.select("item_id", F.explode(F.coalesce(*map(item_seeds, widths or [BLOCK]))).alias("s")).select("item_id", "s.q", "s.h")
-    # a block of one word has no pair to test first
-    paired = 1 not in widths
-    firsts = items.select("hashes", F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: k * F.col("width"))).alias("q"))
-    pairs = firsts.select(F.xxhash64(at(F.col("hashes"), F.col("q")), at(F.col("hashes"), F.col("q") + 1)).alias("h"))
-    pair_bits, seed_bits = bitmap(pairs, PAIR_BITS), bitmap(seeds.select("h").union(seeds.select(F.xxhash64("h").alias("h"))), SEED_BITS)
-
-    def probes(words: Column) -> Column:
-        n = F.size(words)
-
-        def run(h: Column) -> Column:
-            starts = F.sequence(F.lit(0), n - 1)
-            if paired:
-                starts = F.filter(starts, lambda i: is_set(pair_bits, F.xxhash64(at(h, i), at(h, i + 1)), PAIR_BITS))
-            found = F.transform(starts, lambda i: F.array(*[F.struct(i.alias("p"), F.when(i + width <= n, seed(h, i, width)).alias("h")) for width in widths or [BLOCK]]))
-            return F.filter(F.flatten(found), lambda s: s["h"].isNotNull() & is_set(seed_bits, s["h"], SEED_BITS) & is_set(seed_bits, F.xxhash64(s["h"]), SEED_BITS))
-
-        return F.when(n >= min_words * min_similarity, let(F.transform(words, lambda w: F.xxhash64(w)), run))
-
+    seeds = stored(item_seeds(items, min_similarity), "seeds")
+    masks = sorted((r.weight, r.stride) for r in seeds.select("weight", "stride").distinct().collect()) or [(WEIGHT, 2)]
     source = docs.select(row_key(id_col, text_col).alias("key"), F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    scanned = source.withColumn("probes", let(tokens(F.col("text")), probes))
-    # only texts with a probe go on; they are few, and the scan isn't repeated for the verification
-    held = cut(scanned.where(F.size("probes") > 0))
-    hits = held.select("key", F.explode("probes").alias("s")).select("key", "s.p", "s.h").join(seeds, "h")
-    lines = hits.select("key", "item_id", (F.col("p") - F.col("q")).alias("start_word")).distinct()
-    texts = held.select("key", "doc_id", tokens(F.col("text")).alias("words")).dropDuplicates(["key"])
-    aligned = lines.join(items.select("item_id", "item"), "item_id").join(texts, "key")
-    matched = F.size(F.filter(F.sequence(F.lit(0), F.size("item") - 1), lambda j: (j + F.col("start_word") >= 0) & (F.get("words", F.greatest(j + F.col("start_word"), F.lit(0))) == F.get("item", j))))
+    found = thinned(probes(source.select("key", tokens(F.col("text")).alias("words")), masks), F.col("h"), seeds, "h")
+    hits = found.join(seeds, "h").select("key", "item_id", (F.col("p") - F.col("q")).alias("start_word")).distinct()
+    hits = stored(hits, "hits")
+    # the few texts with a hit are read again, behind a bounded filter, so that no other text is shuffled
+    hit = thinned(source, F.col("key"), hits.select("key"), "key").join(hits.select("key").distinct(), "key", "left_semi")
+    texts = hit.groupBy("key").agg(F.first("doc_id").alias("doc_id"), F.first("text").alias("text")).select("key", "doc_id", tokens(F.col("text")).alias("words"))
+    aligned = hits.join(items.select("item_id", "item"), "item_id").join(texts, "key")
+    start = F.col("start_word")
+    matched = F.size(F.filter(F.sequence(F.lit(0), F.size("item") - 1), lambda j: (j + start >= 0) & (F.get("words", F.greatest(j + start, F.lit(0))) == F.get("item", j))))
     counted = aligned.select("key", "doc_id", "item_id", "start_word", matched.alias("n_matched"), F.size("item").alias("n_item_words"))
     good = counted.where(F.col("n_matched") >= min_similarity * F.col("n_item_words"))
-    best = F.max(F.struct("n_matched", (-F.col("start_word")).alias("early"), "n_item_words")).alias("b")
+    best = F.max(F.struct("n_matched", (-start).alias("early"), "n_item_words")).alias("b")
     return good.groupBy("key", "doc_id", "item_id").agg(best).select(
         "doc_id", "item_id", (-F.col("b.early")).alias("start_word"), F.col("b.n_matched").alias("n_matched"), F.col("b.n_item_words").alias("n_item_words"),
         (F.col("b.n_matched") / F.col("b.n_item_words")).alias("similarity"),
