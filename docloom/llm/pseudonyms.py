@@ -1,7 +1,8 @@
 """Format-preserving pseudonyms: validated numbers, dates and addresses are permuted by a keyed Feistel network inside their own format.
 
 The permutation depends on the value and the key alone, so equal values get equal pseudonyms in all documents without any join,
-and the whole operator is one map-only projection of native expressions.
+and the whole operator is one map-only projection of native expressions. The key comes in as a scalar subquery over a one-row table, so
+that plans, event logs and the user interface name its column and never show its value.
 """
 
 from __future__ import annotations
@@ -14,6 +15,8 @@ from pyspark.sql import functions as F
 ROUNDS = 8
 #: First day and number of days of the date domain: 1800-01-01 and 2**17 days (to 2158).
 EPOCH, DAYS_HIGH, DAYS_LOW = "1800-01-01", 512, 256
+#: Dates whose day is above 12, from 1800 to 2157: 4296 months with 79,205 such days = 217 * 365.
+LATE_MONTHS, LATE_HIGH, LATE_LOW = 4296, 217, 365
 #: Valid areas (001 to 899 but 666) times groups (01 to 99), and serials (0001 to 9999), of a social security number.
 SSN_HIGH, SSN_LOW = 898 * 99, 9999
 
@@ -32,12 +35,12 @@ PATTERNS = {
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 
 
-def feistel(high: Column, low: Column, n_high: Column, n_low: Column, key: str, tweak: str) -> Column:
+def feistel(high: Column, low: Column, n_high: Column, n_low: Column, key: Column, tweak: str) -> Column:
     """struct(high, low): a permutation of the pairs [0, n_high) x [0, n_low), keyed by ``key`` and the format ``tweak``."""
 
     def step(s: Column, i: Column) -> Column:
         even = i % 2 == 0
-        digest = F.sha2(F.concat_ws("|", F.lit(key), F.lit(tweak), i.cast("string"), n_high.cast("string"), n_low.cast("string"), F.when(even, s["low"]).otherwise(s["high"]).cast("string")), 256)
+        digest = F.sha2(F.concat_ws("|", key, F.lit(tweak), i.cast("string"), n_high.cast("string"), n_low.cast("string"), F.when(even, s["low"]).otherwise(s["high"]).cast("string")), 256)
         f = F.conv(F.substring(digest, 1, 15), 16, 10).cast("long")
         return F.struct(
             F.when(even, F.pmod(s["high"] + F.pmod(f, n_high), n_high)).otherwise(s["high"]).alias("high"),
@@ -53,8 +56,8 @@ def let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def permute_digits(digits: Column, key: str, tweak: str) -> Column:
-    """Another string of as many digits (2 to 19)."""
+def permute_digits(digits: Column, key: Column, tweak: str) -> Column:
+    """Another string of as many digits (2 to 36)."""
 
     def run(d: Column) -> Column:
         n = F.length(d)
@@ -99,7 +102,7 @@ def mod97(text: Column) -> Column:
     return F.aggregate(F.split(text, ""), F.lit(0), step)
 
 
-def card(value: Column, key: str) -> Column:
+def card(value: Column, key: Column) -> Column:
     """Keeps the first digit and the separators, permutes the rest and recomputes the check digit; null unless the number passes Luhn."""
 
     def run(d: Column) -> Column:
@@ -110,7 +113,7 @@ def card(value: Column, key: str) -> Column:
     return let(digits_of(value), run)
 
 
-def phone(value: Column, key: str) -> Column:
+def phone(value: Column, key: Column) -> Column:
     """Permutes the last ten digits; a country code in front stays. A text with other than 7 to 15 digits is no number."""
 
     def run(d: Column) -> Column:
@@ -121,7 +124,7 @@ def phone(value: Column, key: str) -> Column:
     return let(digits_of(value), run)
 
 
-def ip(value: Column, key: str) -> Column:
+def ip(value: Column, key: Column) -> Column:
     def run(p: Column) -> Column:
         o = [F.element_at(p, i).cast("long") for i in range(1, 5)]
         s = feistel(o[0] * 256 + o[1], o[2] * 256 + o[3], F.lit(65536).cast("long"), F.lit(65536).cast("long"), key, "ip")
@@ -130,7 +133,7 @@ def ip(value: Column, key: str) -> Column:
     return let(F.split(value, r"\."), run)
 
 
-def date(value: Column, pattern: str, key: str, tweak: str) -> Column:
+def date(value: Column, pattern: str, key: Column, tweak: str) -> Column:
     """Another valid date between 1800 and 2158 in the same format; null unless ``value`` is one."""
 
     def run(day: Column) -> Column:
@@ -142,7 +145,28 @@ def date(value: Column, pattern: str, key: str, tweak: str) -> Column:
     return let(F.try_to_timestamp(value, F.lit(pattern)).cast("date"), run)
 
 
-def ssn(value: Column, key: str) -> Column:
+def late_date(value: Column, key: Column) -> Column:
+    """Another dd/MM/yyyy date with a day above 12, from 1800 to 2157; null unless ``value`` is one.
+
+    Such dates are numbered in order: ``first(m)`` is the number of the first one of month m."""
+    epoch = F.lit(EPOCH).cast("date")
+    first = lambda m: F.datediff(F.add_months(epoch, m), epoch) - 12 * m
+
+    def back(n: Column) -> Column:
+        guess = F.floor(n * LATE_MONTHS / (LATE_HIGH * LATE_LOW)).cast("int")
+        near = F.filter(F.sequence(F.greatest(guess - 2, F.lit(0)), guess + 2), lambda m: first(m) <= n)
+        return let(F.array_max(near), lambda m: F.date_format(F.date_add(F.add_months(epoch, m), (n - first(m)).cast("int") + 12), "dd/MM/yyyy"))
+
+    def run(day: Column) -> Column:
+        month = (F.year(day) - 1800) * 12 + F.month(day) - 1
+        n = first(month) + F.dayofmonth(day) - 13
+        s = feistel(F.floor(n / LATE_LOW), F.pmod(n, F.lit(LATE_LOW)), F.lit(LATE_HIGH).cast("long"), F.lit(LATE_LOW).cast("long"), key, "date/d")
+        return F.when((F.dayofmonth(day) > 12) & month.between(0, LATE_MONTHS - 1), let(s, lambda x: let((x["high"] * LATE_LOW + x["low"]).cast("int"), back)))
+
+    return let(F.try_to_timestamp(value, F.lit("dd/MM/yyyy")).cast("date"), run)
+
+
+def ssn(value: Column, key: Column) -> Column:
     def run(p: Column) -> Column:
         area, group, serial = (F.element_at(p, i).cast("long") for i in (1, 2, 3))
         valid = area.between(1, 899) & (area != 666) & (group > 0) & (serial > 0)
@@ -158,28 +182,29 @@ def ssn(value: Column, key: str) -> Column:
     return let(F.split(value, "-"), run)
 
 
-def iban(value: Column, key: str) -> Column:
-    """Permutes the digits behind the check digits, which are recomputed; letters stay. Null unless the remainder by 97 is 1."""
+def iban(value: Column, key: Column) -> Column:
+    """Permutes all digits behind the check digits, which are recomputed; letters stay. Null unless the remainder by 97 is 1."""
 
     def run(v: Column) -> Column:
         n = F.length(v)
         country, body = v.substr(1, 2), v.substr(F.lit(5), n)
         own = digits_of(body)
-        fits = n.between(15, 34) & (mod97(F.concat(body, v.substr(1, 4))) == 1) & (F.length(own) >= 2)
-        halves = F.least(F.length(own), F.lit(18))
-        moved = refill(body, F.concat(own.substr(F.lit(1), F.length(own) - halves), permute_digits(own.substr(F.length(own) - halves + 1, halves), key, "iban")))
-        checked = let(moved, lambda b: F.concat(country, F.lpad((F.lit(98) - mod97(F.concat(b, country, F.lit("00")))).cast("string"), 2, "0"), b))
-        spaced = F.regexp_replace(checked, "(.{4})(?=.)", "$1 ")
-        return F.when(fits, F.when(value.contains(" "), spaced).otherwise(checked))
+        fits = n.between(15, 34) & v.substr(3, 2).cast("int").between(2, 98) & (mod97(F.concat(body, v.substr(1, 4))) == 1) & (F.length(own) >= 2)
+
+        def back(moved: Column) -> Column:
+            check = F.lit(98) - mod97(F.concat(refill(body, moved), country, F.lit("00")))
+            return refill(value, F.concat(F.lpad(check.cast("string"), 2, "0"), moved))
+
+        return F.when(fits, let(permute_digits(own, key, "iban"), back))
 
     return let(F.regexp_replace(value, " ", ""), run)
 
 
-def email(value: Column, key: str) -> Column:
+def email(value: Column, key: Column) -> Column:
     """Letters and digits of the local part move inside their own class by an alternating keyed shift of its halves; the domain stays."""
 
     def shift(chars: Column, other: Column, i: Column) -> Column:
-        digest = F.sha2(F.concat_ws("|", F.lit(key), F.lit("email"), i.cast("string"), F.array_join(other, "")), 256)
+        digest = F.sha2(F.concat_ws("|", key, F.lit("email"), i.cast("string"), F.array_join(other, "")), 256)
 
         def one(c: Column, j: Column) -> Column:
             by = F.conv(digest.substr(F.pmod(j, F.lit(15)) * 4 + 1, F.lit(4)), 16, 10).cast("int")
@@ -203,14 +228,15 @@ def email(value: Column, key: str) -> Column:
     return F.concat(let(F.substring_index(value, "@", 1), run), F.lit("@"), F.substring_index(value, "@", -1))
 
 
-def pseudonym(value: Column, key: str) -> Column:
+def pseudonym(value: Column, key: Column) -> Column:
     """struct(kind, to) for one match of ANY; null where it isn't valid as any kind."""
     whole = {k: f"^(?:{p})$" for k, p in PATTERNS.items()}
     tries = [
         ("email", email(value, key)),
         ("ip", ip(value, key)),
         ("date_iso", date(value, "yyyy-MM-dd", key, "date-")),
-        ("date_slash", F.coalesce(date(value, "MM/dd/yyyy", key, "date/m"), date(value, "dd/MM/yyyy", key, "date/d"))),
+        # month first where that is a date; the rest have a day above 12 in front and stay so, so the two readings never meet
+        ("date_slash", F.coalesce(date(value, "MM/dd/yyyy", key, "date/m"), late_date(value, key))),
         ("date_dot", date(value, "dd.MM.yyyy", key, "date.")),
         ("ssn", ssn(value, key)),
         ("phone", phone(value, key)),
@@ -224,20 +250,22 @@ def pseudonym(value: Column, key: str) -> Column:
 def pseudonymize(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame:
     """``docs`` with the text's personal values replaced, plus n_replaced (long) and kinds (array of strings, one a value, in text order).
 
-    Replaced: e-mail local parts, IPv4 addresses, dates of three formats, social security, phone, IBAN and card numbers, each only if
+    Replaced: e-mail local parts, IPv4 addresses, dates of three formats (1800 to 2157 at least), social security, phone, IBAN and card numbers, each only if
     valid (calendar, ranges, remainder by 97, Luhn). Invalid look-alikes stay. Whoever lacks ``key`` can't invert the permutation.
-    Null texts stay null with n_replaced 0; texts without a value stay as they are. Map-only: no shuffle, each row by itself.
-    Existing columns n_replaced and kinds are replaced.
+    Null texts stay null with n_replaced 0; texts without a value, empty ones too, stay as they are; texts of any length are replaced as a whole.
+    Map-only: no shuffle, each row by itself, so repeated rows are treated alike. Existing columns n_replaced and kinds are replaced.
     """
     docs = docs.drop("n_replaced", "kinds")
     text = F.col(text_col)
-    hits = F.transform(F.regexp_extract_all(text, F.lit(ANY), F.lit(0)), lambda v: F.struct(v.alias("was"), pseudonym(v, key).alias("now")))
-    held = docs.withColumn("__hits", F.when(text.rlike("[0-9]") & text.rlike(ANY), hits))
-    found = F.col("__hits")
-    swapped = F.array_join(F.zip_with(F.split(text, ANY, -1), found, lambda part, h: F.concat(part, F.coalesce(h["now"]["to"], h["was"], F.lit("")))), "")
-    kinds = F.filter(F.transform(found, lambda h: h["now"]["kind"]), lambda k: k.isNotNull())
+    secret = docs.sparkSession.createDataFrame([(key,)], "secret string").scalar()
+    # lambdas take the key from a column, since subqueries may not stand inside them; every kind of value holds a digit or an @
+    found = docs.withColumn("__found", F.when(text.rlike("[0-9@]") & text.rlike(ANY), F.regexp_extract_all(text, F.lit(ANY), F.lit(0)))).withColumn("__key", F.when(F.col("__found").isNotNull(), secret))
+    held = found.withColumn("__hits", F.transform("__found", lambda v: F.struct(v.alias("was"), pseudonym(v, F.col("__key")).alias("now"))))
+    hits = F.col("__hits")
+    swapped = F.array_join(F.zip_with(F.split(text, ANY, -1), hits, lambda part, h: F.concat(part, F.coalesce(h["now"]["to"], h["was"], F.lit("")))), "")
+    kinds = F.filter(F.transform(hits, lambda h: h["now"]["kind"]), lambda k: k.isNotNull())
     return held.select(
-        *[F.when(found.isNotNull(), swapped).otherwise(text).alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns],
+        *[F.when(hits.isNotNull(), swapped).otherwise(text).alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns],
         F.coalesce(F.size(kinds), F.lit(0)).cast("long").alias("n_replaced"),
         F.coalesce(kinds, F.array().cast("array<string>")).alias("kinds"),
     )

@@ -1,8 +1,12 @@
 """Line dedup, pseudonyms, decontamination and sharding."""
 
+import bisect
+import datetime
+import hashlib
 import itertools
 import random
 import re
+import string
 from collections import Counter
 
 import pytest
@@ -103,6 +107,174 @@ def test_pseudonyms_keep_formats(spark):
     assert int("".join(str(int(c, 36)) for c in iban[4:] + iban[:4])) % 97 == 1
 
 
+def slow_feistel(high, low, n_high, n_low, key, tweak):
+    for i in range(8):
+        digest = hashlib.sha256("|".join(map(str, (key, tweak, i, n_high, n_low, high if i % 2 else low))).encode()).hexdigest()
+        f = int(digest[:15], 16)
+        high, low = (high, (low + f) % n_low) if i % 2 else ((high + f) % n_high, low)
+    return high, low
+
+
+def slow_digits(d, key, tweak):
+    u, n = len(d) // 2, len(d)
+    high, low = slow_feistel(int(d[:u]), int(d[u:]), 10**u, 10 ** (n - u), key, tweak)
+    return f"{high:0{u}d}{low:0{n - u}d}"
+
+
+def slow_refill(shape, digits):
+    it = iter(digits)
+    return "".join(next(it) if c in "0123456789" else c for c in shape)
+
+
+def slow_date(value, form, key, tweak):
+    try:
+        n = (datetime.datetime.strptime(value, form).date() - datetime.date(1800, 1, 1)).days
+    except ValueError:
+        return None
+    if not 0 <= n < 2**17:
+        return None
+    high, low = slow_feistel(n // 256, n % 256, 512, 256, key, tweak)
+    day = datetime.date(1800, 1, 1) + datetime.timedelta(high * 256 + low)
+    return form.replace("%Y", f"{day.year:04d}").replace("%m", f"{day.month:02d}").replace("%d", f"{day.day:02d}")
+
+
+LATE = [d for d in (datetime.date(1800, 1, 1) + datetime.timedelta(n) for n in range(130_757)) if d.day > 12]
+
+
+def slow_slash(value, key):
+    month_first = slow_date(value, "%m/%d/%Y", key, "date/m")
+    if month_first:
+        return month_first
+    try:
+        day = datetime.datetime.strptime(value, "%d/%m/%Y").date()
+    except ValueError:
+        return None
+    at = bisect.bisect_left(LATE, day)
+    if at == len(LATE) or LATE[at] != day:
+        return None
+    high, low = slow_feistel(at // 365, at % 365, 217, 365, key, "date/d")
+    return LATE[high * 365 + low].strftime("%d/%m/%Y")
+
+
+def slow_ssn(value, key):
+    area, group, serial = map(int, value.split("-"))
+    if not 1 <= area <= 899 or area == 666 or not group or not serial:
+        return None
+    areas = [a for a in range(1, 900) if a != 666]
+    high, low = slow_feistel(areas.index(area) * 99 + group - 1, serial - 1, 898 * 99, 9999, key, "ssn")
+    return f"{areas[high // 99]:03d}-{high % 99 + 1:02d}-{low + 1:04d}"
+
+
+def slow_email(value, key):
+    local, domain = value.split("@")
+    half = -(-len(local) // 2)
+    parts = [local[:half], local[half:]]
+    for i in range(8):
+        mine, other = i % 2, 1 - i % 2
+        digest = hashlib.sha256(f"{key}|email|{i}|{parts[other]}".encode()).hexdigest()
+        out = ""
+        for j, c in enumerate(parts[mine]):
+            by = int(digest[j % 15 * 4 : j % 15 * 4 + 4], 16)
+            for letters in (string.ascii_lowercase, string.ascii_uppercase, string.digits):
+                if c in letters:
+                    c = letters[(letters.index(c) + by) % len(letters)]
+                    break
+            out += c
+        parts[mine] = out
+    return f"{parts[0]}{parts[1]}@{domain}"
+
+
+def slow_iban(value, key):
+    v = value.replace(" ", "")
+    number = lambda t: int("".join(str(int(c, 36)) for c in t))
+    own = "".join(c for c in v[4:] if c.isdigit())
+    if not 15 <= len(v) <= 34 or not 2 <= int(v[2:4]) <= 98 or number(v[4:] + v[:4]) % 97 != 1 or len(own) < 2:
+        return None
+    moved = slow_digits(own, key, "iban")
+    return slow_refill(value, f"{98 - number(slow_refill(v[4:], moved) + v[:2] + '00') % 97:02d}{moved}")
+
+
+def slow_ip(value, key):
+    a, b, c, d = map(int, value.split("."))
+    high, low = slow_feistel(a * 256 + b, c * 256 + d, 65536, 65536, key, "ip")
+    return f"{high >> 8}.{high & 255}.{low >> 8}.{low & 255}"
+
+
+def slow_phone(value, key):
+    d = re.sub("[^0-9]", "", value)
+    return slow_refill(value, d[:-10] + slow_digits(d[-10:], key, "phone")) if 7 <= len(d) <= 15 else None
+
+
+def slow_card(value, key):
+    d = re.sub("[^0-9]", "", value)
+    if not 13 <= len(d) <= 19 or not luhn(d):
+        return None
+    moved = d[0] + slow_digits(d[1:-1], key, "card")
+    return slow_refill(value, moved + next(c for c in "0123456789" if luhn(moved + c)))
+
+
+SLOW = {
+    "email": slow_email, "ip": slow_ip, "date_iso": lambda v, k: slow_date(v, "%Y-%m-%d", k, "date-"), "date_slash": slow_slash, "date_dot": lambda v, k: slow_date(v, "%d.%m.%Y", k, "date."),
+    "ssn": slow_ssn, "phone": slow_phone, "iban": slow_iban, "card": slow_card,
+}
+
+
+def slow_pseudonyms(text, key):
+    kinds = []
+
+    def swap(m):
+        for kind, pattern in pseudonyms.PATTERNS.items():
+            if re.fullmatch(pattern, m[0]):
+                to = SLOW[kind](m[0], key)
+                kinds.extend([kind] if to else [])
+                return to or m[0]
+
+    return re.sub(pseudonyms.ANY, swap, text), kinds
+
+
+def test_pseudonyms_match_plain_python(spark):
+    rng = random.Random(12)
+    digits = lambda n: "".join(rng.choice(string.digits) for _ in range(n))
+    letters = lambda n: "".join(rng.choice(string.ascii_letters + "._-") for _ in range(n)) + "x"
+
+    def iban():
+        country, body = rng.choice(["DE", "FR", "GB", "MT"]), rng.choice([digits(18), "WEST" + digits(14), digits(10) + "AB" + digits(11), digits(26)])
+        check = 98 - int("".join(str(int(c, 36)) for c in body + country + "00")) % 97
+        whole = f"{country}{check:02d}{body}"
+        return whole if rng.random() < 0.5 else re.sub("(.{4})(?=.)", r"\1 ", whole)
+
+    def card():
+        head = rng.choice("3456") + digits(rng.choice([11, 14, 14, 15]))
+        whole = head + next(c for c in "0123456789" if luhn(head + c))
+        return re.sub("(.{4})(?=.)", r"\1" + rng.choice(" -"), whole) if len(whole) == 16 and rng.random() < 0.5 else whole
+
+    pad = lambda n, k: f"{rng.randint(0, n):0{k}d}"
+    makers = [
+        lambda: f"{letters(rng.randint(0, 12))}@{rng.choice(['example.com', 'mail.a-b.org'])}", lambda: ".".join(str(rng.randint(0, 260)) for _ in range(4)),
+        lambda: f"{pad(2200, 4)}-{pad(13, 2)}-{pad(32, 2)}", lambda: f"{pad(31, 2)}/{pad(31, 2)}/{rng.randint(1790, 2165)}", lambda: f"{pad(32, 2)}.{pad(13, 2)}.{rng.randint(1790, 2165)}",
+        lambda: f"{pad(999, 3)}-{pad(99, 2)}-{pad(9999, 4)}", lambda: f"+{pad(99, 1)} ({digits(3)}) {digits(3)}-{digits(4)}", lambda: f"{digits(3)}-{digits(3)}-{digits(4)}", iban, card, lambda: digits(rng.randint(1, 22)),
+    ]
+    texts = [" ".join(rng.choice(makers)() if rng.random() < 0.5 else rng.choice(["plain", "words,", "here."]) for _ in range(rng.randint(1, 9))) for _ in range(1000)]
+    texts += ["write to jane.doe@example.com today", "no value at all", "FR1420041010050500013M02606", *[d.strftime("%d/%m/%Y") for d in LATE[:40] + LATE[-40:]]]
+    out = {r.doc_id: r for r in pseudonyms.pseudonymize(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "a key").collect()}
+    for i, text in enumerate(texts):
+        assert (out[i].text, out[i].kinds) == slow_pseudonyms(text, "a key"), text
+    assert out[1000].n_replaced == 1 and "jane.doe@" not in out[1000].text and out[1001].n_replaced == 0 and "2004101005" not in out[1002].text
+    assert sum(r.n_replaced for r in out.values()) > 1000 and {k for r in out.values() for k in r.kinds} == set(SLOW)
+
+
+def test_slash_dates_stay_apart(spark):
+    days = [datetime.date(1990, 1, 1) + datetime.timedelta(n) for n in range(0, 12_000)]
+    texts = sorted({d.strftime(f) for d in days for f in ("%d/%m/%Y", "%m/%d/%Y")})
+    out = [r.text for r in pseudonyms.pseudonymize(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "k").collect()]
+    assert len(set(out)) == len(texts)
+
+
+def test_key_is_not_in_any_plan(spark):
+    plans = pseudonyms.pseudonymize(spark.createDataFrame([(1, "a@b.org")], "doc_id long, text string"), "a very secret key")._jdf.queryExecution().toString()
+    assert "very secret" not in plans
+
+
 def test_permutations_are_one_to_one(spark):
     n = 3000
     rows = [(i, f"{i % 256}.{i // 256}.7.9 and 2{i:03d}-01-01".replace("2" + f"{i:03d}", f"{1900 + i % 200}")) for i in range(n)]
