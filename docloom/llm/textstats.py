@@ -85,18 +85,20 @@ def fold(id_col: str, folds: int):
     return F.pmod(F.crc32(F.col(id_col).cast("string").cast("binary")), F.lit(folds))
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, folds: int, held: int, most: int) -> DataFrame:
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, folds: int, held: int, most: int, longest: int | None = None) -> DataFrame:
     """(doc_id, text, y) of at most ``most`` rows of each class, outside the held-out fold, smallest id hashes first.
 
-    ``most`` bounds what is broadcast and what reaches the driver. Repeated label rows of an id count once, with the highest
-    label; null ids and labels other than 0 and 1 are left out.
+    ``most`` rows, with ``longest`` of so many bytes, bound what reaches the driver where texts go there; longer ones aren't learned from. Repeated
+    label rows of an id count once, with the highest label; of several texts of an id the smallest counts; null ids and labels other
+    than 0 and 1 are left out.
     """
     usable = labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(label).cast("int").alias("y"))
     usable = usable.where(fold("doc_id", folds) != held).join(docs.select("doc_id").distinct(), "doc_id", "left_semi")
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
     chosen = usable.where("y = 1").orderBy(*order).limit(most).union(usable.where("y = 0").orderBy(*order).limit(most))
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    return texts.join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"])
+    texts = texts if longest is None else texts.where(F.octet_length("text") <= longest)
+    return texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "y").agg(F.min("text").alias("text")).select("doc_id", "text", "y")
 
 
 def class_counts(labels: DataFrame, label: str, folds: int, held: int) -> tuple[int, int]:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -13,21 +13,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from docloom.llm.common import stored
 from docloom.llm.textstats import class_counts, fold, labelled_sample
 
-TERM = re.compile(r"[^\W\d_]+")
+#: Words: runs of characters other than ASCII and Latin-1 characters that aren't letters, and general and CJK punctuation, in lower-case text.
+TERM = re.compile("[^\x00-`{-\xbf\xd7\xf7\u2000-\u206f\u3000-\u303f]+")
 #: Examples of one block of the index.
-BLOCK = 64
-
-
+BLOCK = 32
 #: Lengths of the word beginnings that count as terms too, for languages that inflect and compound.
 STEMS = (4, 5, 6)
-
-
-#: The term of all words that have no term of their own.
-OTHER = ""
-#: Its weight, that of a term found in every text.
-OTHER_WEIGHT = 1.0
+#: The term of all words that have no term of their own, and its weight, that of a term found in every text.
+OTHER, OTHER_WEIGHT = "", 1.0
+#: Cosines that differ by less count as equal.
+TIE = 1e-6
+#: Texts that one numpy step searches at once.
+CHUNK = 512
 
 
 def words(text: str) -> list[str]:
@@ -39,231 +39,270 @@ def terms_of(word: str) -> list[str]:
     return [word, *(word[:n] + "*" for n in STEMS if len(word) >= n)]
 
 
+class Terms:
+    """Numbers of the chosen terms. Words without one are remembered, so that a set difference tells most words of a text."""
+
+    def __init__(self, chosen: list[str]):
+        self.number = {t: i for i, t in enumerate(sorted({OTHER, *chosen} if chosen else ()))}
+        self.known: dict[str, list[int]] = {}
+        self.plain: set[str] = set()
+
+    def __getstate__(self):
+        return {**self.__dict__, "known": {}, "plain": set()}
+
+    def look_up(self, new: list[str]) -> None:
+        number = self.number
+        for word in new:
+            if found := [number[x] for x in terms_of(word) if x in number]:
+                self.known[word] = found
+            else:
+                self.plain.add(word)
+
+    def trim(self) -> None:
+        if len(self.known) + len(self.plain) > 500_000:
+            self.known.clear()
+            self.plain.clear()
+
+    def counts(self, text: str) -> dict[int, int]:
+        """Occurrences by term number. Words without a term count together as OTHER, so that a few marked words weigh less in a long text."""
+        if not self.number:
+            return {}
+        out: dict[int, int] = {}
+        self.trim()
+        every = words(text)
+        left = set(every) - self.plain
+        self.look_up([w for w in left if w not in self.known])
+        left = [w for w in left if w in self.known]
+        other = len(every)
+        number = Counter(every) if len(left) > 6 else {w: every.count(w) for w in left}
+        for word in left:
+            n = number[word]
+            other -= n
+            for t in self.known[word]:
+                out[t] = out.get(t, 0) + n
+        if other:
+            out[self.number[OTHER]] = other
+        return out
+
+
+def spread(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The numbers start, start + 1, ... of each (start, size), one after the other."""
+    return np.arange(sizes.sum()) + np.repeat(starts - np.cumsum(sizes) + sizes, sizes)
+
+
 @dataclass
 class Index:
-    """Inverted index over the labelled examples. ``postings[b]`` holds, for block b, the weights of all terms in its examples;
-    ``block_max[t, b]`` is the highest weight of term t in block b and bounds what the block can score."""
+    """Inverted index over the labelled examples. Postings (cols, weights) lie in (term, example) order; those of term t in block b are
+    cut[t, b] to cut[t, b + 1]. ``block_max[t, b]`` is the highest weight of term t in block b and bounds what the block can score."""
 
-    vocabulary: dict[str, int]
+    terms: Terms
     idf: np.ndarray
     ids: np.ndarray
     labels: np.ndarray
-    rows: np.ndarray  # postings in (block, term) order: term, example, weight
     cols: np.ndarray
     weights: np.ndarray
-    block_max: np.ndarray = field(default_factory=lambda: np.zeros((0, 0), np.float32))
-    _dense: dict[int, np.ndarray] = field(default_factory=dict)
-    _of: dict[str, list[int]] = field(default_factory=dict)
-
-    def numbers(self, word: str) -> list[int]:
-        """Vocabulary numbers of a word's terms, remembered for the last 200,000 words or so."""
-        if len(self._of) > 200_000:
-            self._of.clear()
-        if (out := self._of.get(word)) is None:
-            out = self._of[word] = [t for x in terms_of(word) if (t := self.vocabulary.get(x)) is not None]
-        return out
-
-    def vector(self, text: str) -> tuple[np.ndarray, np.ndarray]:
-        """(term numbers, unit-length weights) of a text. Words without a vocabulary term count together as the term OTHER, so that
-        a few marked words weigh less in a long text."""
-        counts: dict[int, int] = {}
-        other = 0
-        for word, n in Counter(words(text)).items():
-            found = self.numbers(word)
-            other += 0 if found else n
-            for t in found:
-                counts[t] = counts.get(t, 0) + n
-        if other and self.vocabulary:
-            counts[self.vocabulary[OTHER]] = other
-        if not counts:
-            return np.empty(0, np.int64), np.empty(0)
-        t = np.fromiter(counts, np.int64, len(counts))
-        w = (1 + np.log(np.fromiter(counts.values(), float, len(counts)))) * self.idf[t]
-        return t, w / np.sqrt((w**2).sum())
-
-    def block(self, b: int) -> np.ndarray:
-        """Weights of block b, terms by examples."""
-        if b not in self._dense:
-            lo, hi = np.searchsorted(self.cols // BLOCK, [b, b + 1])
-            dense = np.zeros((len(self.vocabulary), BLOCK), np.float32)
-            dense[self.rows[lo:hi], self.cols[lo:hi] % BLOCK] = self.weights[lo:hi]
-            self._dense[b] = dense
-        return self._dense[b]
-
-    def nearest(self, text: str, k: int, skip: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        """(examples, cosines) of the k nearest, highest cosine first, lower example number on a tie; only cosines above 0.
-
-        Blocks are read by falling upper bound until the bound can't beat the k-th cosine, so the answer is exact."""
-        t, w = self.vector(text)
-        if not len(t) or not len(self.ids):
-            return np.empty(0, np.int64), np.empty(0)
-        bounds = w @ self.block_max[t]
-        found, scores, kth = [], [], 0.0
-        for b in np.argsort(-bounds, kind="stable"):
-            if bounds[b] <= 0 or bounds[b] + 1e-6 < kth:
-                break
-            s = w @ self.block(int(b))[t]
-            at = np.flatnonzero(s > max(kth - 1e-6, 0))
-            found.append(at + b * BLOCK)
-            scores.append(s[at])
-            merged = np.concatenate(scores)
-            if len(merged) > k:
-                kth = float(np.partition(merged, -k)[-k])
-        if not found:
-            return np.empty(0, np.int64), np.empty(0)
-        ex, s = np.concatenate(found), np.round(np.concatenate(scores), 6)
-        ex, s = (ex[ex != skip], s[ex != skip]) if skip >= 0 else (ex, s)
-        best = np.lexsort((ex, -s))[:k]
-        return ex[best], s[best]
+    cut: np.ndarray
+    block_max: np.ndarray
+    #: blocks met, and blocks whose postings were walked
+    met: int = 0
+    walked: int = 0
+
+    def unit(self, rows: np.ndarray, t: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """TF-IDF weights of (text, term, occurrences) entries, of unit length by text."""
+        w = (1 + np.log(n)) * self.idf[t]
+        return w / np.sqrt(np.bincount(rows, w * w))[rows] if len(w) else w
+
+    def nearest(self, starts: np.ndarray, t: np.ndarray, n: np.ndarray, k: int, skip: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(text, example, cosine): for each text the k nearest examples, without its ``skip``, and all that tie with the k-th; by text, highest
+        cosine first, lower example on a tie; only cosines above 0. The terms of text i are t[starts[i]:starts[i + 1]].
+
+        Of each text the blocks of the highest bounds are read first; then those whose bound reaches the k-th cosine so far, so the
+        answer is exact. The skipped example is out before the k-th cosine is taken."""
+        texts, examples, blocks = len(starts) - 1, len(self.ids), self.block_max.shape[-1]
+        if not examples or not len(t):
+            return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
+        size = np.diff(starts)
+        rows = np.repeat(np.arange(texts), size)
+        w = self.unit(rows, t, n)
+        bounds = np.zeros((texts, blocks))
+        bounds[size > 0] = np.add.reduceat(w[:, None] * self.block_max[t], starts[:-1][size > 0], axis=0)
+        scores = np.zeros((texts, examples))
+
+        def walk(r: np.ndarray, b: np.ndarray) -> np.ndarray:
+            """Adds the cosines of text r with the examples of block b, from the postings; returns the k-th cosine of each text."""
+            entry = spread(starts[r], size[r])
+            block = np.repeat(b, size[r])
+            low = self.cut[t[entry], block]
+            many = self.cut[t[entry], block + 1] - low
+            at = spread(low, many)
+            place = np.repeat(rows[entry] * examples, many) + self.cols[at]
+            scores.ravel()[:] += np.bincount(place, np.repeat(w[entry], many) * self.weights[at], texts * examples)
+            self.walked += len(r)
+            if skip is not None:
+                scores[np.arange(texts), skip] = 0
+            return np.partition(scores, examples - k, axis=1)[:, examples - k] if examples > k else np.zeros(texts)
+
+        first = np.argsort(-bounds, axis=1, kind="stable")[:, : min(blocks, -(-(k + 1) // BLOCK) + 1)]
+        kth = walk(np.repeat(np.arange(texts), first.shape[1]), first.ravel())
+        need = bounds >= np.maximum(kth - 2 * TIE, TIE)[:, None]
+        np.put_along_axis(need, first, False, 1)
+        kth = walk(*np.nonzero(need))
+        self.met += texts * blocks
+        scores = np.round(scores, 6)
+        text, ex = np.nonzero(scores >= np.maximum(np.round(kth, 6), TIE)[:, None])
+        cosine = scores[text, ex]
+        by = np.lexsort((ex, -cosine, text))
+        return text[by], ex[by], cosine[by]
 
 
 @dataclass(frozen=True)
 class Votes:
     """Turns neighbours into a calibrated score: a logistic curve over the distance-weighted vote and the gap of the best cosines."""
 
-    k: int
     prior: float
     curve: tuple[float, float, float]
 
-    def features(self, labels: np.ndarray, cosines: np.ndarray) -> tuple[float, float]:
-        if not len(cosines):
-            return 0.0, 0.0
-        near = cosines**2
-        toxic = labels == 1
-        vote = (near[toxic].sum() + 1e-3 * 0.5) / (near.sum() + 1e-3)
-        gap = cosines[toxic].max(initial=0.0) - cosines[~toxic].max(initial=0.0)
-        return float(vote - 0.5), float(gap)
+    @staticmethod
+    def features(texts: int, text: np.ndarray, labels: np.ndarray, cosines: np.ndarray) -> np.ndarray:
+        """Rows (1, vote, gap) by text; the neighbours come by text, highest cosine first."""
+        near, toxic = cosines**2, labels == 1
+        share = (np.bincount(text, near * toxic, texts) + 1e-3 * 0.5) / (np.bincount(text, near, texts) + 1e-3)
+        best = np.zeros((2, texts))
+        for i, group in enumerate((~toxic, toxic)):
+            own, at = np.unique(text[group], return_index=True)
+            best[i, own] = cosines[group][at]
+        return np.column_stack([np.ones(texts), share - 0.5, best[1] - best[0]])
 
-    def score(self, labels: np.ndarray, cosines: np.ndarray) -> float:
-        if not len(cosines):
-            return self.prior
-        a, g = self.features(labels, cosines)
-        z = self.curve[0] + self.curve[1] * a + self.curve[2] * g
-        return float(1 / (1 + np.exp(-np.clip(z, -30, 30))))
+    def score(self, texts: int, text: np.ndarray, labels: np.ndarray, cosines: np.ndarray) -> np.ndarray:
+        z = self.features(texts, text, labels, cosines) @ np.array(self.curve)
+        return np.where(np.bincount(text, minlength=texts) > 0, 1 / (1 + np.exp(-np.clip(z, -30, 30))), self.prior)
 
 
-def document_frequency(docs: DataFrame, index: Index) -> tuple[int, np.ndarray]:
-    """Number of documents, and of those holding each vocabulary term, over all documents: one count a term and partition is summed."""
-    size = len(index.vocabulary)
+def counted(docs: DataFrame, terms: Terms, kept: list[str]) -> DataFrame:
+    """The ``kept`` columns, and the terms of the whole text with their occurrences (arrays __t and __n): the one pass over the texts."""
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in (docs.schema[c] for c in kept))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, n = np.zeros(size, np.int64), 0
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                n += 1
-                for t in {t for word in set(words(text)) for t in index.numbers(word)}:
-                    counts[t] += 1
-        some = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array(np.append(some, -1)), pa.array(np.append(counts[some], n))], names=["t", "n"])
-
-    parts = docs.select(F.coalesce("text", F.lit("")).alias("text")).mapInArrow(run, "t long, n long")
-    out, total = np.zeros(size, np.int64), 0
-    for row in parts.groupBy("t").agg(F.sum("n").alias("n")).collect():
-        if row.t < 0:
-            total = row.n
-        else:
-            out[row.t] = row.n
-    return total, out
-
-
-def choose_terms(sample: pd.DataFrame, min_examples: int, min_association: float, max_terms: int) -> list[str]:
-    """Terms of ``min_examples`` examples or more whose presence goes with the class (chi-squared of the two by two table), strongest first."""
-    def bag(text: str) -> set[str]:
-        return {t for w in set(words(text)) for t in terms_of(w)}
+            found = [terms.counts(x) for x in batch.column(len(kept)).to_pylist()]
+            ends = pa.array(np.cumsum([0, *map(len, found)]), pa.int32())
+            flat = [np.fromiter((x for c in found for x in part(c)), np.int32) for part in (dict.keys, dict.values)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], *(pa.ListArray.from_arrays(ends, pa.array(x)) for x in flat)], names=[*kept, "__t", "__n"])
+
+    source = docs.select(*[f"`{c}`" for c in kept], F.coalesce("text", F.lit("")).alias("__text"))
+    return source.mapInArrow(run, ", ".join([*filter(None, [schema]), "__t array<int>", "__n array<int>"]))
 
+
+def choose_terms(texts: list[str], y: np.ndarray, min_examples: int, min_association: float) -> list[str]:
+    """Terms of ``min_examples`` examples or more whose presence goes with the class (chi-squared of the two by two table). On texts in
+    which nearly every word is one of a kind the cosine over all words finds few of the toxic texts, so it is taken over these."""
     # most terms occur in one text only: a table of counts by hash, never too low, keeps them out of the counters
-    table = np.zeros(1 << 23, np.uint16)
-    for text in sample.text:
-        np.add.at(table, np.fromiter((hash(t) & 0x7FFFFF for t in bag(text)), np.int64), 1)
+    table = np.zeros(1 << 22, np.uint16)
+    bag = lambda text: {t for w in set(words(text)) for t in terms_of(w)}
+    for text in texts:
+        np.add.at(table, np.fromiter((hash(t) & 0x3FFFFF for t in bag(text)), np.int64), 1)
     toxic, clean = Counter(), Counter()
-    for text, y in zip(sample.text, sample.y):
-        (toxic if y else clean).update(t for t in bag(text) if table[hash(t) & 0x7FFFFF] >= min_examples)
-    p, n = int((sample.y == 1).sum()), int((sample.y == 0).sum())
+    for text, label in zip(texts, y):
+        (toxic if label else clean).update(t for t in bag(text) if table[hash(t) & 0x3FFFFF] >= min_examples)
+    p, n = int((y == 1).sum()), int((y == 0).sum())
     found = []
     for t in toxic.keys() | clean.keys():
         a, b = toxic[t], clean[t]
-        if a + b >= min_examples and a + b < p + n and p and n:
-            found.append((-(p + n) * (a * (n - b) - b * (p - a)) ** 2 / ((a + b) * (p + n - a - b) * p * n), t))
-    return [t for x, t in sorted(found)[:max_terms] if -x >= min_association]
-
-
-def build_index(sample: pd.DataFrame, docs: DataFrame, min_examples: int = 3, min_association: float = 10.0, max_terms: int = 20_000) -> Index:
-    """Index of the sample over the terms of ``choose_terms`` (at most ``max_terms``, which bounds what is broadcast); idf comes from
-    all documents. Examples are ordered by class and then by their heaviest terms, so that a block holds alike examples and its
-    bounds are tight."""
-    chosen = choose_terms(sample, min_examples, min_association, max_terms)
-    vocabulary = {t: i for i, t in enumerate(sorted({OTHER, *chosen} if chosen else ()))}
-    index = Index(vocabulary, np.ones(len(vocabulary)), np.empty(0, np.int64), np.empty(0, np.int64), *[np.empty(0, np.int64)] * 3)
-    total, df = document_frequency(docs, index)
-    index.idf = np.log((1 + total) / (1 + df)) + 1
-    if vocabulary:
-        index.idf[vocabulary[OTHER]] = OTHER_WEIGHT
-    vectors = [index.vector(x) for x in sample.text]
-    lead = [int(t[np.argmax(w)]) if len(t) else -1 for t, w in vectors]
+        if a + b >= min_examples and a + b < p + n and p and n and (p + n) * (a * (n - b) - b * (p - a)) ** 2 / ((a + b) * (p + n - a - b) * p * n) >= min_association:
+            found.append(t)
+    return sorted(found)
+
+
+def flat_counts(terms: Terms, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    found = [terms.counts(x) for x in texts]
+    each = lambda part: np.fromiter((x for c in found for x in part(c)), np.int64)
+    return np.cumsum([0, *map(len, found)]), each(dict.keys), each(dict.values)
+
+
+def build_index(sample: pd.DataFrame, terms: Terms, total: int, df: np.ndarray) -> Index:
+    """Index of the sample; idf comes from ``total`` documents, df[t] of which hold term t. Examples are ordered by class and then by
+    their heaviest terms, so that a block holds alike examples and its bounds are tight."""
+    size = len(terms.number)
+    none = np.empty(0, np.int64)
+    index = Index(terms, np.log((1 + total) / (1 + df)) + 1, none, none, none, none, none, none)
+    if size:
+        index.idf[terms.number[OTHER]] = OTHER_WEIGHT
+    starts, t, n = flat_counts(terms, list(sample.text))
+    rows = np.repeat(np.arange(len(sample)), np.diff(starts))
+    w = index.unit(rows, t, n)
+    lead = [int(t[a + np.argmax(w[a:b])]) if b > a else -1 for a, b in zip(starts, starts[1:])]
     order = np.lexsort((sample.doc_id.to_numpy(), lead, sample.y.to_numpy()))
     index.ids, index.labels = sample.doc_id.to_numpy()[order], sample.y.to_numpy()[order]
-    sizes = [len(vectors[i][0]) for i in order]
-    cols = np.repeat(np.arange(len(order)), sizes)
-    rows = np.concatenate([vectors[i][0] for i in order] or [np.empty(0, np.int64)]).astype(np.int64)
-    weights = np.concatenate([vectors[i][1] for i in order] or [np.empty(0)]).astype(np.float32)
-    by = np.lexsort((cols, rows, cols // BLOCK))
-    index.rows, index.cols, index.weights = rows[by].astype(np.int32), cols[by].astype(np.int32), weights[by]
-    index.block_max = np.zeros((len(vocabulary), -(-len(order) // BLOCK)), np.float32)
-    np.maximum.at(index.block_max, (index.rows, index.cols // BLOCK), index.weights)
+    cols = np.argsort(order)[rows]
+    by = np.lexsort((cols, t))
+    t, index.cols, index.weights = t[by], cols[by], w[by]
+    blocks = -(-len(order) // BLOCK)
+    index.cut = np.searchsorted(t * (blocks + 1) + index.cols // BLOCK, np.arange(size * (blocks + 1))).reshape(size, blocks + 1)
+    index.block_max = np.zeros((size, blocks))
+    np.maximum.at(index.block_max, (t, index.cols // BLOCK), index.weights)
     return index
 
 
 def calibrate(index: Index, sample: pd.DataFrame, counts: tuple[int, int], k: int) -> Votes:
     """Fits the curve on leave-one-out neighbours of the examples, weighed to the class counts of all training labels."""
     prior = (counts[1] + 1) / (sum(counts) + 2)
-    flat = Votes(k, prior, (float(np.log(prior / (1 - prior))), 0.0, 0.0))
     if len(set(index.labels.tolist())) < 2:
-        return flat
+        return Votes(prior, (float(np.log(prior / (1 - prior))), 0.0, 0.0))
     text = dict(zip(sample.doc_id, sample.text))
-    found = [index.nearest(text[d], k, skip=i) for i, d in enumerate(index.ids)]
-    x = np.array([(1.0, *flat.features(index.labels[e], s)) for e, s in found])
-    y = index.labels.astype(float)
+    found = []
+    for at in range(0, len(index.ids), CHUNK):
+        own = np.arange(at, min(at + CHUNK, len(index.ids)))
+        near, ex, cosines = index.nearest(*flat_counts(index.terms, [text[d] for d in index.ids[own]]), k, own)
+        found.append(Votes.features(len(own), near, index.labels[ex], cosines))
+    x, y = np.concatenate(found), index.labels.astype(float)
     weight = np.where(y == 1, prior / y.mean(), (1 - prior) / (1 - y.mean()))
     b = np.zeros(3)
     for _ in range(50):  # Newton steps with a small ridge
         p = 1 / (1 + np.exp(-np.clip(x @ b, -30, 30)))
         h = (x * (weight * p * (1 - p))[:, None]).T @ x + np.diag([1e-6, 0.05, 0.05])
         b = b - np.linalg.solve(h, x.T @ (weight * (p - y)) + np.array([0, 0.05, 0.05]) * b)
-    return Votes(k, prior, tuple(map(float, b)))
+    return Votes(prior, tuple(map(float, b)))
 
 
-def score_toxicity(docs: DataFrame, labels: DataFrame, folds: int = 5, held: int = 0, most: int = 1024, k: int = 15, keep: tuple[str, ...] | None = None) -> DataFrame:
+def score_toxicity(docs: DataFrame, labels: DataFrame, folds: int = 5, held: int = 0, most: int = 1024, longest: int = 65_536, k: int = 15, keep: tuple[str, ...] | None = None) -> DataFrame:
     """The ``keep`` columns of ``docs`` (all by default) plus held_out, score, predicted and evidence (array of the k nearest examples: id,
     label, cosine), one row per row of ``docs``.
 
-    The index holds at most ``most`` labelled rows of each class outside the held-out fold (the bound on what is broadcast);
-    term statistics cover all documents. A null or empty text, or one that shares no term with an example, scores the share of
-    toxic rows among the training labels. Ties of cosine go to the lower example. A null id is never held out. Columns of
-    ``docs`` with the names of new ones are replaced.
+    The index holds at most ``most`` labelled rows of each class outside the held-out fold, of at most ``longest`` bytes each: these
+    bound what reaches the driver and what is broadcast. Term statistics cover all documents, and texts of any length are scored whole;
+    they are read once, and their counts are stored beside the kept columns. A null or empty text scores the share of toxic rows among the
+    training labels. All examples that tie with the k-th vote; the evidence lists k, lower example first. A null id is never held out.
+    Repeated rows score alike. Columns of ``docs`` with the names of new ones are replaced; other columns of ``labels`` are ignored.
     """
     kept = [c for c in (keep or docs.columns) if c not in ("held_out", "score", "predicted", "evidence")]
-    sample = labelled_sample(docs, labels, "toxic", folds, held, most).toPandas().sort_values("doc_id", ignore_index=True)
-    index = build_index(sample, docs)
-    votes = calibrate(index, sample, class_counts(labels, "toxic", folds, held), k)
-    index._dense.clear()
-    index._of.clear()
-    shared = docs.sparkSession.sparkContext.broadcast((index, votes))
+    sample = labelled_sample(docs, labels, "toxic", folds, held, most, longest).toPandas().sort_values("doc_id", ignore_index=True)
+    terms = Terms(choose_terms(list(sample.text), sample.y.to_numpy(), 3, 10.0))
+    rows = stored(counted(docs, terms, kept), "toxicity-terms")
+    df = np.zeros(len(terms.number), np.int64)
+    for r in rows.select(F.explode("__t").alias("t")).groupBy("t").count().collect():
+        df[r.t] = r["count"]
+    index = build_index(sample, terms, rows.count(), df)
+    shared = docs.sparkSession.sparkContext.broadcast((index, calibrate(index, sample, class_counts(labels, "toxic", folds, held), k)))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in (docs.schema[c] for c in kept))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found, curve = shared.value
-        evidence = pa.list_(pa.struct([("id", pa.int64()), ("label", pa.int32()), ("cosine", pa.float64())]))
-        for batch in batches:
-            scores, why = [], []
-            for text in batch.column(len(kept)).to_pylist():
-                ex, cosines = found.nearest(text, curve.k)
-                scores.append(round(curve.score(found.labels[ex], cosines), 6))
-                why.append([{"id": int(found.ids[e]), "label": int(found.labels[e]), "cosine": float(c)} for e, c in zip(ex, cosines)])
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], pa.array(scores, pa.float64()), pa.array(why, evidence)], names=[*kept, "score", "evidence"])
-
-    scored = docs.select(*[f"`{c}`" for c in kept], F.coalesce("text", F.lit("")).alias("__text")).mapInArrow(
-        run, f"{schema}, score double, evidence array<struct<id:bigint,label:int,cosine:double>>"
-    )
+        evidence = pa.struct([("id", pa.int64()), ("label", pa.int32()), ("cosine", pa.float64())])
+        for whole in batches:
+            for at in range(0, whole.num_rows, CHUNK):
+                batch = whole.slice(at, CHUNK)
+                n = batch.num_rows
+                starts = batch.column(len(kept)).offsets.to_numpy().astype(np.int64)
+                t, many = (batch.column(len(kept) + i).flatten().to_numpy(zero_copy_only=False) for i in (0, 1))
+                text, ex, cosines = found.nearest(starts - starts[0], t, many, k)
+                scores = curve.score(n, text, found.labels[ex], cosines)
+                begins = np.searchsorted(text, np.arange(n))
+                shown = np.arange(len(text)) - begins[text] < k
+                ends = np.cumsum(np.concatenate(([0], np.bincount(text[shown], minlength=n))))
+                why = pa.StructArray.from_arrays([pa.array(c, f.type) for c, f in zip((found.ids[ex[shown]], found.labels[ex[shown]], cosines[shown]), evidence)], fields=list(evidence))
+                yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], pa.array(np.round(scores, 6)), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), why)], names=[*kept, "score", "evidence"])
+
+    scored = rows.select(*[f"`{c}`" for c in kept], "__t", "__n").mapInArrow(run, f"{schema}, score double, evidence array<struct<id:bigint,label:int,cosine:double>>")
     return scored.select(
         *[f"`{c}`" for c in kept], F.coalesce(fold("doc_id", folds) == held, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "evidence"
     )

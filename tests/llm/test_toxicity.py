@@ -1,3 +1,4 @@
+import math
 import random
 
 import numpy as np
@@ -30,18 +31,50 @@ def test_held_out_accuracy(corpus):
     assert all(len(r.evidence) <= 15 for r in rows)
 
 
+def made_index(sample):
+    terms = toxicity.Terms(toxicity.choose_terms(list(sample.text), sample.y.to_numpy(), 3, 2.0))
+    counts = [terms.counts(x) for x in sample.text]
+    df = np.array([sum(t in c for c in counts) for t in range(len(terms.number))])
+    return toxicity.build_index(sample, terms, len(sample), df), df
+
+
 def test_block_max_search_is_exact(corpus):
+    """Against the definition: the cosine with every example by plain dictionaries, the k highest and all that tie with the last of them."""
     docs, labels = corpus
     sample = toxicity.labelled_sample(docs, labels, "toxic", 5, 0, 300).toPandas().sort_values("doc_id", ignore_index=True)
-    index = toxicity.build_index(sample, docs)
-    dense = np.zeros((len(index.vocabulary), len(index.ids)))
-    dense[index.rows, index.cols] = index.weights
-    for text in sample.text[:40]:
-        t, w = index.vector(text)
-        cos = np.round(w @ dense[t], 6) if len(t) else np.zeros(len(index.ids))
-        best = np.lexsort((np.arange(len(cos)), -cos))[:15]
-        ex, s = index.nearest(text, 15)
-        assert np.allclose(s, cos[best][: len(s)], atol=2e-6)
+    # copies and texts that share few terms, so that cosines tie and blocks differ
+    extra = pd.DataFrame({"doc_id": range(1000, 1040), "text": [sample.text[i % 4] if i % 2 else f"unknown{i} words" for i in range(40)], "y": [i % 2 for i in range(40)]})
+    sample = pd.concat([sample, extra], ignore_index=True)
+    index, df = made_index(sample)
+    text = dict(zip(sample.doc_id, sample.text))
+
+    def vector(x):
+        out = {t: (1 + math.log(n)) * (math.log((1 + len(sample)) / (1 + df[t])) + 1 if t != index.terms.number[""] else 1.0) for t, n in index.terms.counts(x).items()}
+        size = math.sqrt(sum(v * v for v in out.values()))
+        return {t: v / size for t, v in out.items()}
+
+    vectors = [vector(text[d]) for d in index.ids]
+    starts, t, n = toxicity.flat_counts(index.terms, [text[d] for d in index.ids])
+    for skip in (None, np.arange(len(index.ids))):
+        for k in (1, 15, 1000):
+            row, ex, s = index.nearest(starts, t, n, k, skip)
+            for i, own in enumerate(vectors):
+                cos = [(round(sum(own.get(a, 0.0) * b for a, b in v.items()), 6), -m) for m, v in enumerate(vectors) if skip is None or m != i]
+                cos = sorted((c for c in cos if c[0] > 0), reverse=True)
+                want = [c for c in cos if c[0] >= cos[min(k, len(cos)) - 1][0]]
+                got = list(zip(s[row == i], ex[row == i].tolist()))
+                assert len(got) == len(want) >= min(k, len(cos)) and np.allclose([c for c, _ in got], [c for c, _ in want], atol=2e-6)
+                assert skip is None or i not in [e for _, e in got]
+    assert 0 < index.walked < index.met
+
+
+def test_ties_all_vote():
+    """A text as near to 39 toxic examples as to a clean one is scored by all of them."""
+    sample = pd.DataFrame({"doc_id": range(80), "text": ["vile"] * 40 + ["calm"] * 40, "y": [0] + [1] * 39 + [0] * 40})
+    index, _ = made_index(sample)
+    row, ex, s = index.nearest(*toxicity.flat_counts(index.terms, ["vile"]), 15)
+    assert len(ex) == 40 and set(s) == {1.0} and index.labels[ex].sum() == 39
+    assert toxicity.Votes.features(1, row, index.labels[ex], s)[0, 1] > 0.45
 
 
 def test_edges(spark, docs, empty, corpus):
@@ -54,5 +87,11 @@ def test_edges(spark, docs, empty, corpus):
 
 
 def test_index_bound():
-    frame = pd.DataFrame({"doc_id": [1, 2], "text": ["a b", "c d"], "y": [0, 1]})
-    assert toxicity.choose_terms(frame, 3, 10.0, 5) == []
+    assert toxicity.choose_terms(["a b", "c"], np.array([0, 1]), 3, 10.0) == []
+
+
+def test_sample_bounds(spark):
+    docs = spark.createDataFrame([(1, "b"), (1, "a"), (2, "x" * 100), (3, None), (4, "t"), (4, "t")], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1, i % 2, "clash") for i in (1, 1, 2, 3, 4)] + [(None, 1, 1, "c"), (9, 1, 1, "c")], "doc_id long, quality int, toxic int, text string")
+    rows = {tuple(r) for r in toxicity.labelled_sample(docs, labels, "toxic", 1, 5, 10, 50).collect()}
+    assert rows == {(1, "a", 1), (3, "", 1), (4, "t", 0)}
