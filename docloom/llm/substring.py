@@ -24,6 +24,8 @@ from docloom.llm.common import row_key
 
 #: Bytes hashed at once, words of one batch, and text bytes that one bucket of the hash space stands for.
 PIECE, BATCH_WORDS, BUCKET_BYTES = 1 << 20, 1_000_000, 8_000_000
+#: Text bytes of one task.
+TASK_BYTES = 32_000_000
 BASE, STEP = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD95
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -135,13 +137,13 @@ def pack(keys: np.ndarray, sizes: np.ndarray, at: np.ndarray, hashes: np.ndarray
     sent = np.flatnonzero(~later)
     bucket = ((hashes[sent] >> np.uint64(40)) % np.uint64(buckets)).astype(np.uint32)
     by = np.argsort(bucket, kind="stable")
-    bounds = np.searchsorted(bucket[by], np.arange(buckets + 1))
-    for b in range(buckets):
-        own = sent[by[bounds[b] : bounds[b + 1]]]
-        if len(own):
-            value = hashes[own].astype(np.uint32) if short else mix(hashes[own] + np.uint64(BASE))
-            flags = np.packbits(np.concatenate((any_aligned[own], many[own])))
-            rows.append((b, int(batch), PROBES, value.tobytes(), planes(at[own]), flags.tobytes()))
+    # occupied buckets only, so that steps and rows stay below the number of words, however many buckets there are
+    met, firsts = np.unique(bucket[by], return_index=True)
+    for b, i, j in zip(met.tolist(), firsts, [*firsts[1:], len(by)]):
+        own = sent[by[i:j]]
+        value = hashes[own].astype(np.uint32) if short else mix(hashes[own] + np.uint64(BASE))
+        flags = np.packbits(np.concatenate((any_aligned[own], many[own])))
+        rows.append((b, int(batch), PROBES, value.tobytes(), planes(at[own]), flags.tobytes()))
     kinds = (pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary())
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=["bucket", "batch", "kind", "a", "b", "c"])
 
@@ -246,9 +248,9 @@ def unpack_batch(width: int | None) -> Callable[[pa.Table], pa.Table]:
     return run
 
 
-def _round(packed: DataFrame, short: bool, width: int | None) -> DataFrame:
-    counted = packed.groupBy("bucket").applyInArrow(count_bucket(short), "batch long, kind int, a binary, b binary")
-    spans = counted.groupBy("batch").applyInArrow(unpack_batch(width), "key long, spans binary")
+def _round(packed: DataFrame, short: bool, width: int | None, parts: int) -> DataFrame:
+    counted = packed.repartition(parts, "bucket").groupBy("bucket").applyInArrow(count_bucket(short), "batch long, kind int, a binary, b binary")
+    spans = counted.repartition(parts, "batch").groupBy("batch").applyInArrow(unpack_batch(width), "key long, spans binary")
     return spans.groupBy("key").agg(F.first("spans").alias("spans"))
 
 
@@ -259,21 +261,24 @@ def repeated_spans(docs: DataFrame, width: int = 35, id_col: str = "doc_id", tex
     block = (width + 1) // 2
     size = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
     buckets = max(12, -(-size // BUCKET_BYTES))
+    # tasks follow the bytes, so that the largest one stays the same at every size
+    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // TASK_BYTES))
     source = docs.select(row_key(id_col, text_col).alias("key"), F.col(text_col).cast("binary").alias("text"), F.col(id_col).alias("id"))
-    texts = source.repartition("key")
+    texts = source.repartition(parts, "key")
     # every reader of ``texts`` takes all its columns, so that one exchange serves them all
     probed = texts.sortWithinPartitions("key").mapInArrow(probe_map(block, buckets), PACKED)
-    hits = _round(probed, True, None)
+    hits = _round(probed, True, None, parts)
     joined = texts.join(hits, "key").select("key", "text", "id", F.col("spans").alias("hits"))
     extended = joined.sortWithinPartitions("key").mapInArrow(extend_map(block, width, buckets), PACKED)
-    return texts, _round(extended, False, width)
+    return texts, _round(extended, False, width, parts)
 
 
 def remove_repeats(docs: DataFrame, width: int = 35, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, n_words, n_removed, kept_text (kept words joined by one space) and spans (array of [start, end) word positions), one row per row.
 
     Removes each word that lies in a window of ``width`` words which also starts anywhere else; windows are judged on the input.
-    Null, empty and shorter texts lose nothing. Repeated rows count as two texts, so from ``width`` words on both lose all.
+    Null, empty and shorter texts lose nothing; texts of any length are treated whole. Repeated rows count as two texts, so from ``width``
+    words on both lose all. Other columns are ignored, whatever their names.
     """
     texts, spans = repeated_spans(docs, width, id_col, text_col)
     kind = docs.schema[id_col].dataType.simpleString()
