@@ -23,8 +23,9 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that many sites share go from the texts; every document stays, and copied pages go to the next stage as they are."""
-    return linededup.dedup_lines(docs, copied_only=True).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
+    """Lines that many sites share go from the texts; every document stays. A page that was copied to many sites as a whole stays as it is, for
+    near-duplicate removal to keep one of: emptied, all such pages would be copies of each other."""
+    return linededup.dedup_lines(docs, keep_copies=True).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
