@@ -27,7 +27,7 @@ OTHER, OTHER_WEIGHT = "", 1.0
 #: Cosines that differ by less count as equal.
 TIE = 1e-6
 #: Texts that one numpy step searches at once.
-CHUNK = 512
+CHUNK = 256
 
 
 def words(text: str) -> list[str]:
@@ -58,8 +58,8 @@ class Terms:
             else:
                 self.plain.add(word)
 
-    def trim(self) -> None:
-        if len(self.known) + len(self.plain) > 500_000:
+    def forget(self, most: int = 0) -> None:
+        if len(self.known) + len(self.plain) > most:
             self.known.clear()
             self.plain.clear()
 
@@ -68,7 +68,7 @@ class Terms:
         if not self.number:
             return {}
         out: dict[int, int] = {}
-        self.trim()
+        self.forget(200_000)
         every = words(text)
         left = set(every) - self.plain
         self.look_up([w for w in left if w not in self.known])
@@ -282,7 +282,10 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, folds: int = 5, held: int
     for r in rows.select(F.explode("__t").alias("t")).groupBy("t").count().collect():
         df[r.t] = r["count"]
     index = build_index(sample, terms, rows.count(), df)
-    shared = docs.sparkSession.sparkContext.broadcast((index, calibrate(index, sample, class_counts(labels, "toxic", folds, held), k)))
+    votes = calibrate(index, sample, class_counts(labels, "toxic", folds, held), k)
+    del sample
+    terms.forget()
+    shared = docs.sparkSession.sparkContext.broadcast((index, votes))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in (docs.schema[c] for c in kept))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
