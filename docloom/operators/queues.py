@@ -56,12 +56,17 @@ def streaks(periods: DataFrame, key: list[str], order: str, breach: Column, limi
     return runs.withColumn("streak", streak).withColumn("disable", F.col("streak") >= limit).drop("island", "b")
 
 
-def upsert(base: DataFrame, changes: DataFrame, keys: list[str], order: str, sticky: list[str] | None = None) -> DataFrame:
-    """``base`` with the newest row of each key from ``changes``; ``sticky`` columns keep the value the base has."""
-    newest = changes.groupBy(*keys).agg(F.max_by(F.struct(*[c for c in changes.columns if c not in keys]), order).alias("n"))
-    joined = base.alias("b").join(newest, keys, "full_outer")
+def upsert(base: DataFrame, changes: DataFrame, keys: list[str], order: str, sticky: list[str] | None = None, newest: bool = False) -> DataFrame:
+    """``base`` with the row of the highest ``order`` of each key from ``changes``; ``sticky`` columns keep the value the base has.
+
+    The last write wins: a change beats the base. With ``newest`` it does so only if its ``order`` isn't lower, so that changes may come late."""
     fields = [c for c in base.columns if c not in keys]
-    pick = lambda c: F.coalesce(F.col(f"b.{c}"), F.col(f"n.{c}")) if c in (sticky or []) else F.when(F.col("n").isNotNull(), F.col(f"n.{c}")).otherwise(F.col(f"b.{c}"))
+    latest = changes.groupBy(*keys).agg(F.max_by(F.struct(*fields), order).alias("n"))
+    joined = base.alias("b").join(latest, keys, "full_outer")
+    wins = F.col("n").isNotNull()
+    if newest:
+        wins = wins & F.coalesce(F.col(f"n.{order}") >= F.col(f"b.{order}"), F.lit(True))
+    pick = lambda c: F.coalesce(F.col(f"b.{c}"), F.col(f"n.{c}")) if c in (sticky or []) else F.when(wins, F.col(f"n.{c}")).otherwise(F.col(f"b.{c}"))
     return joined.select(*keys, *[pick(c).alias(c) for c in fields])
 
 

@@ -26,8 +26,7 @@ def register(name, sql=None):
 
 @register("stream_daily_usage", f"select strftime(make_timestamp(ts_s // 86400 * 86400 * 1000000), '%Y-%m-%d') as day, kind, count(*) as n, count(*) filter (kind = 'error') as n_failed, round(sum(value), 4) as value from ({USAGE}) group by 1, 2")
 def stream_daily_usage(spark, d):
-    folder = st.drain(st.windowed_usage(st.event_stream(spark, d)), "update")
-    out = st.latest(spark, folder, ["w", "kind"])
+    out = st.drain_sums(st.event_stream(spark, d), st.windowed_usage, ["w", "kind"])
     return out.select(F.date_format("w.start", "yyyy-MM-dd").alias("day"), "kind", "n", "n_failed", F.round("value", 4).alias("value"))
 
 
@@ -35,7 +34,7 @@ def stream_daily_usage(spark, d):
   r as (select agent, island, count(*) filter (kind = 'error') as len from e group by agent, island), l as (select agent, max(island) as last from e group by agent)
   select r.agent, max(len) filter (island = last) as streak, max(len) as longest, max(len) >= 3 as disabled, (select count(*) from e where e.agent = r.agent) as n from r join l using (agent) group by r.agent""")
 def stream_breach_streaks(spark, d):
-    return st.latest(spark, st.drain(st.breach_streaks(st.event_stream(spark, d)), "update"), ["agent"])
+    return st.latest(spark, st.drain(st.breach_streaks(st.event_stream(spark, d)), "update"), ["agent"]).drop("n_late")
 
 
 @register("stream_upserts", f"select agent, max_by(kind, id) as kind, max(id) as id from ({USAGE}) group by agent")
