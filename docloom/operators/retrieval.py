@@ -140,6 +140,6 @@ def hybrid(items: DataFrame, vectors: DataFrame, terms: list[str], query: list[f
     fused = fuse(nearest(vectors, query, initial), bm25(items, terms, initial), 2 * top)
     scored = rerank(fused, vectors, query)
     details = items.join(F.broadcast(scored), "item_id")
-    language = tx.language(F.substring("content", 1, 500))
+    language = tx.language(F.col("content"))
     final = penalties(F.col("score") + coverage_boost(F.col("content"), terms), "en", language, None, F.lit("general"))
     return budget_split(ranked(details.select("item_id", F.round(final, 6).alias("score")), top))

@@ -58,12 +58,12 @@ def anti_dismissed(spark, d):
     return read(spark, d, "documents").select("doc_id", "source").join(read(spark, d, "labels"), "doc_id", "left_anti")
 
 
-@register("superseded_sets", f"""with u as (select distinct agent, item from ({USAGE}) where item is not null and kind = 'purchase'), s as (select agent as id, list(item) as m from u where agent % 2 = 0 and item % 25 = 0 group by 1), t as (select agent as id, list(item) as m from u where agent % 2 = 1 group by 1)
-  select s.id as old_id, t.id as new_id from s, t where len(s.m) < len(t.m) and len(list_filter(s.m, lambda x: not list_contains(t.m, x))) = 0""")
+@register("superseded_sets", """with l as (select distinct l_orderkey as o, l_partkey as p from lineitem), n as (select o, count(*) as n from l group by o)
+  select a.o as old_id, b.o as new_id from l a join l b on a.p = b.p and a.o <> b.o join n x on x.o = a.o join n y on y.o = b.o where x.n < y.n group by a.o, b.o, x.n having count(*) = x.n""")
 def superseded_sets(spark, d):
-    u = usage_events(spark, d).where("item is not null and kind = 'purchase'")
-    sets = lambda f: f.groupBy(F.col("agent").alias("id")).agg(F.collect_set("item").alias("members"))
-    return op.superseded(sets(u.where("agent % 2 = 0 and item % 25 = 0")), sets(u.where("agent % 2 = 1")))
+    """Orders whose parts are all in another, larger order."""
+    sets = read(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("id")).agg(F.collect_set("l_partkey").alias("members"))
+    return op.superseded(sets, sets)
 
 
 @register("shared_entity_links", """with e as (select distinct doc_id as i, unnest(regexp_extract_all(lower(text), '[\\p{L}]{9,}')) as e from documents), n as (select count(distinct i) as n from e), d as (select e, count(*) as df from e group by e),
@@ -75,11 +75,11 @@ def shared_entity_links(spark, d):
 
 
 @register("jaccard_recommend", f"""with u as (select distinct agent as id, item from ({USAGE}) where item is not null and kind = 'signup'), c as (select id, count(*) as n from u group by id),
-  k as (select a.id as l, b.id as r, count(*) as k, array_to_string(list_sort(list(a.item))[1:5], ' ') as overlap from u a join u b using (item) where a.id % 2 = 0 and b.id % 2 = 1 group by 1, 2)
+  k as (select a.id as l, b.id as r, count(*) as k, array_to_string(list_sort(list(a.item))[1:5], ' ') as overlap from u a join u b using (item) where a.id < b.id group by 1, 2)
   select l, r, round(k / (x.n + y.n - k), 6) as score, overlap from k join c x on x.id = l join c y on y.id = r where round(k / (x.n + y.n - k), 6) >= 0.1""")
 def jaccard_recommend(spark, d):
     u = usage_events(spark, d).where("item is not null and kind = 'signup'").select(F.col("agent").alias("id"), F.col("item").alias("entity"))
-    out = op.jaccard_recommend(u.where("id % 2 = 0"), u.where("id % 2 = 1"), 0.1)
+    out = op.jaccard_recommend(u, u, 0.1).where("l < r")
     return out.withColumn("overlap", F.array_join(F.transform("overlap", lambda x: x.cast("string")), " "))
 
 

@@ -50,11 +50,12 @@ def stream_upserts(spark, d):
     return versions.join(F.broadcast(last), F.col("version") == F.col("v")).select("agent", "kind", "id")
 
 
-@register("duplicate_groups", """with recursive d as (select doc_id as i, sha256(text) as h, lower(regexp_replace(substr(text, 1, 30), '[^\\p{L}\\p{N}]', '', 'g')) as t from documents), e as (select d.i as a, min(x.i) as b from d join d x using (h) group by d.i union select d.i, min(x.i) from d join d x using (t) where t <> '' group by d.i),
+@register("duplicate_groups", """with recursive d as (select page_id as i, sha256(html) as h, lower(regexp_replace(trim(regexp_replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '\\s+', ' ', 'g')), '[^\\p{L}\\p{N}]', '', 'g')) as t from pages), e as (select d.i as a, min(x.i) as b from d join d x using (h) group by d.i union select d.i, min(x.i) from d join d x using (t) where t <> '' group by d.i),
   s as (select a, b from e where a <> b union select b, a from e where a <> b), r(n, c) as (select a, a from s union select s.b, r.c from r join s on s.a = r.n) select n as item_id, min(c) as group_id from r group by n""")
 def duplicate_groups(spark, d):
-    it = items(spark, d).select("item_id", tx.content_hash(F.col("content")).alias("h"), tx.title_key(F.substring("content", 1, 30)).alias("t"))
-    return graph.dedup_groups(it, "h", "t")
+    """Pages linked by equal contents or equal whole titles."""
+    p = read(spark, d, "pages").select(F.col("page_id").alias("item_id"), tx.content_hash(F.col("html")).alias("h"), tx.title_key(tx.html_title(F.col("html"))).alias("t"))
+    return graph.dedup_groups(p, "h", "t")
 
 
 @register("similar_vectors", "select a.vec_id as a, b.vec_id as b, round(list_cosine_similarity(a.embedding::double[], b.embedding::double[]), 5) as cosine from embeddings a join embeddings b on a.vec_id % 50 = 0 and a.vec_id <> b.vec_id and list_cosine_similarity(a.embedding::double[], b.embedding::double[]) >= 0.4")

@@ -98,12 +98,12 @@ def signal_buckets(spark, d):
     return op.signal_buckets(signals, "q", "ts_s", END, 7, 3)
 
 
-@register("cooccurrence_expansion", f"""with u as ({USAGE}), b as (select agent as k, list(distinct item) as toks, count(*) as w from u where item is not null and item % 5 = agent % 5 and agent % 10 = 0 group by agent),
+@register("cooccurrence_expansion", f"""with u as ({USAGE}), b as (select agent as k, list(distinct item) as toks, count(*) as w from u where item is not null group by agent),
   e as (select k, unnest(toks) as t from b), l as (select distinct a.k, c.k as other from e a join e c using (t) where a.k <> c.k),
   s as (select l.k, m.t as token, sum(b.w)::bigint as weight from l join e m on m.k = l.other join b on b.k = l.other where not exists (select 1 from e where e.k = l.k and e.t = m.t) group by 1, 2),
   r as (select *, row_number() over (partition by k order by weight desc, token) as rank from s) select k, token, weight, rank from r where rank <= 8""")
 def cooccurrence_expansion(spark, d):
-    u = usage_events(spark, d).where("item is not null and item % 5 = agent % 5 and agent % 10 = 0")
+    u = usage_events(spark, d).where("item is not null")
     buckets = u.groupBy(F.col("agent").alias("k")).agg(F.collect_set("item").alias("toks"), F.count("*").alias("w"))
     return op.cooccurrence_expansion(buckets, "k", "toks", "w")
 
@@ -149,11 +149,12 @@ def mean_vector(spark, d):
     return out.select("domain", F.posexplode("mean").alias("i", "mean")).withColumn("i", F.col("i") + 1)
 
 
-@register("claim_support", """with c as (select lower(regexp_replace(substr(text, 1, 40), '[^\\p{L}\\p{N}]', '', 'g')) as claim, source, doc_id from documents)
-  select claim, count(distinct source) as n_refs, min(doc_id) as title, count(distinct source) >= 2 as confirmed from c group by claim""")
+@register("claim_support", """with c as (select lower(regexp_replace(trim(regexp_replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '\\s+', ' ', 'g')), '[^\\p{L}\\p{N}]', '', 'g')) as claim, regexp_extract(url, '://([^/]+)', 1) as host, page_id from pages)
+  select claim, count(distinct host) as n_refs, min(page_id) as title, count(distinct host) >= 2 as confirmed from c group by claim""")
 def claim_support(spark, d):
-    c = items(spark, d).select(tx.title_key(F.substring("content", 1, 40)).alias("claim"), "source_type", "item_id")
-    return op.claim_support(c, "claim", "source_type", "item_id", "item_id")
+    """Whole page titles as claims, supported by the hosts that carry them."""
+    c = read(spark, d, "pages").select(tx.title_key(tx.html_title(F.col("html"))).alias("claim"), F.regexp_extract("url", "://([^/]+)", 1).alias("host"), "page_id")
+    return op.claim_support(c, "claim", "host", "page_id", "page_id")
 
 
 @register("dominant_kind", "select event_type as kind, count(*) as n from events group by 1 order by 2 desc, 1 limit 1")

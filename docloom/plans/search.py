@@ -105,7 +105,7 @@ def coverage_boost(spark, d):
     return items(spark, d).select("item_id", F.round(op.coverage_boost(F.col("content"), TERMS), 6).alias("boost"))
 
 
-@register("hybrid_search", f"""with {RERANK}, x as (select item_id, rr.score + {_boost()} as s, {_LANG.replace('x,', 'sx,')} as language from (select *, length(sx) as n from (select *, regexp_replace(substr(text, 1, 500), '\\s', '', 'g') as sx from documents)) d join rr on rr.item_id = d.doc_id),
+@register("hybrid_search", f"""with {RERANK}, x as (select item_id, rr.score + {_boost()} as s, {_LANG.replace('x,', 'sx,')} as language from (select *, length(sx) as n from (select *, regexp_replace(text, '\\s', '', 'g') as sx from documents)) d join rr on rr.item_id = d.doc_id),
   p as (select item_id, round(case when language = 'zh' then s * 0.3 else s end, 6) as score from x), q as (select item_id, score, row_number() over (order by score desc, item_id)::int as rank from p order by score desc, item_id limit 10)
   select item_id, score, rank, case when sum(score) over () > 0 then greatest(floor(2000 * score / sum(score) over ()), 100) else greatest(floor(2000 / count(*) over ()), 100) end::bigint as alloc from q""")
 def hybrid_search(spark, d):

@@ -44,12 +44,12 @@ def streaks(spark, d):
     return op.streaks(p, ["agent"], "day", F.col("rate") > 0.2).withColumn("rate", F.round("rate", 6))
 
 
-@register("upsert_hits", f"""with u as ({USAGE}), b as (select item, max_by(value, id) as value, max_by(id, id) as id from u where item is not null and id % 3 = 0 group by item), c as (select item, max_by(value, id) as value, max(id) as id from u where item is not null and id % 3 = 1 and item % 2 = 0 group by item)
+@register("upsert_hits", f"""with u as ({USAGE}), b as (select item, max_by(value, id) as value, max_by(id, id) as id from u where item is not null and kind = 'view' group by item), c as (select item, max_by(value, id) as value, max(id) as id from u where item is not null and kind <> 'view' group by item)
   select coalesce(b.item, c.item) as item, case when c.item is not null then c.value else b.value end as value, coalesce(b.id, c.id) as id from b full join c using (item)""")
 def upsert_hits(spark, d):
-    u = usage_events(spark, d).where("item is not null").select("item", "value", "id")
-    base = u.where("id % 3 = 0").groupBy("item").agg(F.max_by("value", "id").alias("value"), F.max("id").alias("id"))
-    return op.upsert(base, u.where("id % 3 = 1 and item % 2 = 0"), ["item"], "id", sticky=["id"])
+    u = usage_events(spark, d).where("item is not null").select("item", "value", "id", "kind")
+    base = u.where("kind = 'view'").groupBy("item").agg(F.max_by("value", "id").alias("value"), F.max("id").alias("id"))
+    return op.upsert(base, u.where("kind <> 'view'"), ["item"], "id", sticky=["id"])
 
 
 @register("ttl_cache", f"select id, {NOW} - ts_s <= 86400 * 3 as hit from ({USAGE}) where ts_s <= {NOW}")

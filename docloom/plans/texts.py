@@ -52,12 +52,11 @@ def url_domain(spark, d):
     return read(spark, d, "pages").select("page_id", tx.url_domain(F.col("url")).alias("domain"))
 
 
-@register("levenshtein_similarity", """with t as (select doc_id, regexp_replace(substr(text, 1, 60), '[^A-Za-z]', '', 'g') as x from documents where text <> '') select a.doc_id as a, b.doc_id as b,
-  round(case when greatest(length(a.x), length(b.x)) = 0 then 1 else 1 - levenshtein(a.x, b.x) / greatest(length(a.x), length(b.x)) end, 6) as sim from t a join t b on b.doc_id = a.doc_id + 1""")
+@register("levenshtein_similarity", """select a.page_id as a, b.page_id as b, round(1 - levenshtein(a.url, b.url) / greatest(length(a.url), length(b.url)), 6) as sim from pages a join pages b on b.page_id = a.page_id + 1""")
 def levenshtein_similarity(spark, d):
-    """Similarity of the openings of neighbouring documents, by their ASCII letters."""
-    t = items(spark, d).where("content <> ''").select("item_id", F.regexp_replace(F.substring("content", 1, 60), "[^A-Za-z]", "").alias("x"))
-    p, q = t.toDF("a", "x"), t.select(F.col("item_id").alias("b"), F.col("x").alias("y"), (F.col("item_id") - 1).alias("a"))
+    """Similarity of the whole addresses of neighbouring pages."""
+    t = read(spark, d, "pages").select("page_id", "url")
+    p, q = t.toDF("a", "x"), t.select(F.col("page_id").alias("b"), F.col("url").alias("y"), (F.col("page_id") - 1).alias("a"))
     return p.join(q, "a").select("a", "b", F.round(tx.levenshtein_similarity(F.col("x"), F.col("y")), 6).alias("sim"))
 
 
