@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from docloom.operators.skew import thinned
+
 
 def shared_entity_links(mentions: DataFrame, item: str, entity: str, min_shared: int = 2, share: float = 0.30, degree: int = 20, evidence: int = 4) -> DataFrame:
     """Links a < b between items that share ``min_shared`` entities, with up to ``evidence`` of them, the ``degree`` heaviest for each a.
@@ -96,7 +98,7 @@ def explicit_references(items: DataFrame, refs: DataFrame, words: int = 4) -> Da
     if not keys:
         return few.distinct()
     probes = texts.select("item_id", runs(F.col("content")).alias("w")).select("item_id", F.explode(F.array_distinct(F.flatten(F.array(*keys)))).alias("key"))
-    met = probes.join(r.where("n > 0").select("key", "ref_id", "body"), "key").select("item_id", "ref_id", "body").distinct()
+    met = thinned(probes, F.col("key"), r.where("n > 0").select("key"), "key").join(r.where("n > 0").select("key", "ref_id", "body"), "key").select("item_id", "ref_id", "body").distinct()
     return met.join(texts, "item_id").where(F.contains("content", "body")).select("item_id", "ref_id").union(few).distinct()
 
 
@@ -121,7 +123,8 @@ def watch_matches(items: DataFrame, watches: DataFrame) -> DataFrame:
     reaches the threshold."""
     live = watches.where("enabled").withColumn("n_kw", F.size(F.array_distinct("keywords")))
     probe = live.select("watch_id", F.explode(F.array_distinct(F.transform("keywords", F.lower))).alias("t"))
-    index = items.select("item_id", F.explode(F.array_distinct("tokens")).alias("t"))
+    # only words of some watch are shuffled
+    index = thinned(items.select("item_id", F.explode(F.array_distinct("tokens")).alias("t")), F.col("t"), probe, "t")
     found = index.join(probe, "t").groupBy("watch_id", "item_id").agg(F.count("*").alias("k"))
     joined = found.join(live.select("watch_id", "n_kw", "threshold", "source_weights"), "watch_id").join(items.select("item_id", "source", "age_days", "interactions"), "item_id")
     raw = F.col("k") / F.col("n_kw")

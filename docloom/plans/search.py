@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from docloom.functions import text as tx
 from docloom.functions import vector as vx
 from docloom.operators import retrieval as op
+from docloom.sources.shared import shared_folder
 from docloom.sources.tables import items, read, vectors
 
 QUERIES, SQL = {}, {}
@@ -41,6 +44,22 @@ def bm25_top10(spark, d):
     return op.bm25(items(spark, d), TERMS, 10)
 
 
+@register("bm25_indexed_top10", SQL["bm25_top10"])
+def bm25_indexed_top10(spark, d):
+    """The same search from stored postings."""
+    folder = f"{shared_folder(spark)}/index-{uuid.uuid4().hex}"
+    op.build_index(items(spark, d), folder)
+    return op.bm25_indexed(spark, folder, TERMS, 10)
+
+
+@register("hybrid_indexed")
+def hybrid_indexed(spark, d):
+    """Hybrid search with its lexical channel from stored postings; its SQL is that of hybrid_search."""
+    folder = f"{shared_folder(spark)}/index-{uuid.uuid4().hex}"
+    op.build_index(items(spark, d), folder)
+    return op.hybrid(items(spark, d), vectors(spark, d), TERMS, QUERY, index=folder)
+
+
 @register("inverted_index", """with w as (select doc_id as item_id, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+')) as term from documents), l as (select item_id, count(*) as length from w group by 1)
   select term, item_id, count(*) as tf, any_value(length)::int as length from w join l using (item_id) group by term, item_id""")
 def inverted_index(spark, d):
@@ -112,6 +131,9 @@ def hybrid_search(spark, d):
     return op.hybrid(items(spark, d), vectors(spark, d), TERMS, QUERY)
 
 
+SQL["hybrid_indexed"] = SQL["hybrid_search"]
+
+
 @register("history_pack", """with c as (select conv_id, turn, ceil(length(text) / 4.0)::bigint + 8 as cost from conversations), u as (select *, sum(cost) over (partition by conv_id order by turn desc rows unbounded preceding)::bigint as used from c) select conv_id, turn, cost, used from u where used <= 600""")
 def history_pack(spark, d):
     turns = read(spark, d, "conversations")
