@@ -12,8 +12,9 @@ from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
 # ---- fixed values: surnames, organisation endings, capital numerals
-SURNAMES = "李王张刘陈杨赵黄周吴徐孙朱马胡郭林何高梁郑罗宋谢唐韩曹许邓萧冯曾程蔡彭潘袁于董余苏叶吕魏蒋田杜"
-ENDINGS = "有限公司|股份有限公司|有限责任公司|研究所|事务所|律师事务所|学校|大学"
+SURNAMES = "李王张刘陈杨赵黄周吴徐孙朱马胡郭林何高梁郑罗宋谢唐韩曹许邓萧冯曾程蔡彭潘袁于董余苏叶吕魏蒋田杜丁沈姜范江"
+ENDINGS = "有限公司|股份有限公司|有限责任公司|研究所|事务所|律师事务所|科技公司|分公司|大学|学院|医院|银行"
+TITLES = "总司厂"
 DIGITS = {"零": 0, "壹": 1, "贰": 2, "叁": 3, "肆": 4, "伍": 5, "陆": 6, "柒": 7, "捌": 8, "玖": 9}
 UNITS = {"拾": 10, "佰": 100, "仟": 1000}
 MONEY = r"¥\s*\d[\d,]*(?:\.\d+)?|(?:人民币|RMB|CNY)\s*\d[\d,]*(?:\.\d+)?\s*(?:元|圆|万|亿)?|\d[\d,]*(?:\.\d+)?\s*(?:万元|亿元|元|圆|万|亿)|[壹贰叁肆伍陆柒捌玖拾佰仟万亿零整圆元角分]{2,}"
@@ -23,18 +24,28 @@ ENTITY = T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.Stru
 
 def find_entities(text: str) -> list[dict]:
     """Money, dates, organisations and persons by byte position. A date inside a longer one doesn't count; a person is a surname with up
-    to three more Han characters."""
+    to three more Han characters, the last of them no title or company character."""
     found = [("money", m.span()) for m in re.finditer(MONEY, text)]
     spans: list[tuple[int, int]] = []
     for pattern in DATES:
         spans += [m.span() for m in re.finditer(pattern, text) if not any(a <= m.start() and m.end() <= b for a, b in spans)]
     found += [("date", s) for s in spans]
     found += [("organization", m.span()) for m in re.finditer(rf"[一-鿿（）()]{{2,15}}(?:{ENDINGS})", text)]
-    found += [("person", m.span()) for m in re.finditer(rf"[{SURNAMES}][一-鿿]{{1,3}}", text)]
+    found += [("person", s) for s in persons(text)]
     at = lambda i: len(text[:i].encode())
     return sorted(({"kind": k, "value": text[a:b], "byte_start": at(a), "byte_end": at(b)} for k, (a, b) in found), key=lambda e: e["byte_start"])
 
 
+def persons(text: str) -> Iterator[tuple[int, int]]:
+    name, at = re.compile(rf"[{SURNAMES}][一-鿿㐀-䶿]{{1,3}}"), 0
+    while m := name.search(text, at):
+        if m[0][-1] in TITLES:
+            at = m.start() + 1
+        else:
+            yield m.span()
+            at = m.end()
+
+
 @pandas_udf(ENTITY)
 def entities(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for batch in texts:

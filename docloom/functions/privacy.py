@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ipaddress
 import re
 from collections.abc import Iterator
 
@@ -19,18 +20,26 @@ HIGH_RISK = ("ID_CARD", "BANK_CARD", "CREDIT_CARD", "API_KEY")
 DETECTORS = [
     ("EMAIL", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"),
     ("URL", r"https?://[^\s<>\"')\]]+"),
-    ("API_KEY", r"(?:sk-[A-Za-z0-9_-]{16,}|AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36,})"),
+    ("API_KEY", r"sk-(?:ant-api03-)?[A-Za-z0-9_-]{16,}"),
+    ("API_KEY", r"gh[posu]_[A-Za-z0-9]{36,}"),
+    ("API_KEY", r"github_pat_[A-Za-z0-9_]{22,}"),
+    ("API_KEY", r"glpat-[A-Za-z0-9_-]{20}"),
+    ("API_KEY", r"AKIA[0-9A-Z]{16}"),
+    ("API_KEY", r"xox[baprs]-[A-Za-z0-9-]{10,}"),
+    ("API_KEY", r"hf_[A-Za-z0-9]{32,}"),
+    ("API_KEY", r"AIza[0-9A-Za-z_-]{35}"),
     ("ID_CARD", r"(?<!\d)\d{17}[\dXx](?![\dA-Za-z])"),
-    ("GPS", r"(?<![\d.])-?\d{1,2}\.\d{4,},\s*-?\d{1,3}\.\d{4,}(?![\d.])"),
+    ("GPS", r"-?\d{1,3}\.\d{2,}\s*,\s*-?\d{1,3}\.\d{2,}"),
     ("IPV4", r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\d.]*\d)"),
-    ("IPV6", r"(?<![:\w])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![:\w])"),
+    ("IPV6", r"[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{0,4}){2,7}"),
     ("MAC", r"(?<![:\w])(?:[0-9A-Fa-f]{2}[:-]){5}[0-9A-Fa-f]{2}(?![:\w])"),
     ("CREDIT_CARD", r"(?<!\d)\d(?:[ -]?\d){12,18}(?!\d)"),
+    ("BANK_CARD", r"(?<!\d)\d{16,19}(?!\d)"),
     ("PHONE", r"(?<!\d)1[3-9]\d{9}(?!\d)|(?<![\d+])\+?\d{0,3}[ .-]?\(\d{3}\)[ .-]?\d{3}[ .-]\d{4}(?!\d)"),
     ("PLATE", r"[京津沪渝冀豫云辽黑湘皖鲁新苏浙赣鄂桂甘晋蒙陕吉闽贵粤青藏川宁琼][A-Z][A-Z0-9]{5,6}(?![A-Z0-9])"),
 ]
 #: What a text must hold for a detector to be worth running; digits for those not listed.
-NEEDS = {"EMAIL": "@", "URL": "://", "API_KEY": "(?:sk-|AKIA|gh[pousr]_)", "IPV6": ":[0-9A-Fa-f]", "MAC": "[0-9A-Fa-f][:-][0-9A-Fa-f]", "PLATE": "[一-鿿][A-Z]"}
+NEEDS = {"EMAIL": "@", "URL": "://", "API_KEY": "sk-|gh[posu]_|github_pat_|glpat-|AKIA|xox|hf_|AIza", "IPV6": ":[0-9A-Fa-f]", "MAC": "[0-9A-Fa-f][:-][0-9A-Fa-f]", "PLATE": "[一-鿿][A-Z]"}
 COMPILED = [(k, re.compile(p), re.compile(NEEDS.get(k, "[0-9]"))) for k, p in DETECTORS]
 
 
@@ -52,15 +61,21 @@ def _valid(kind: str, value: str) -> bool:
         return 13 <= len(digits) <= 19 and luhn(digits)
     if kind == "ID_CARD":
         return id_card(value)
+    if kind == "IPV6":
+        try:
+            return ("::" in value or value.count(":") >= 7) and ipaddress.IPv6Address(value).version == 6
+        except ValueError:
+            return False
     if kind == "GPS":
         lat, lon = map(float, value.split(","))
         return abs(lat) <= 90 and abs(lon) <= 180
     return True
 
 
-def find_spans(text: str) -> list[dict]:
-    """Valid matches in text order; of overlapping ones the earlier wins, then the longer, then the detector listed first."""
+def find_spans(text: str, own: tuple[tuple[str, re.Pattern], ...] = ()) -> list[dict]:
+    """Valid matches in text order; of overlapping ones the earlier wins, then the longer, then the detector listed first; those of ``own`` come last."""
     found = [(m.start(), -m.end(), i, k) for i, (k, p, need) in enumerate(COMPILED) if need.search(text) for m in p.finditer(text) if _valid(k, m.group())]
+    found += [(m.start(), -m.end(), len(COMPILED) + i, k) for i, (k, p) in enumerate(own) for m in p.finditer(text) if m.group()]
     out, end = [], 0
     for start, minus, _, kind in sorted(found):
         if start >= end:
@@ -69,12 +84,39 @@ def find_spans(text: str) -> list[dict]:
     return out
 
 
-@pandas_udf(T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("value", T.StringType())])))
+SPANS = T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("value", T.StringType())]))
+
+
+@pandas_udf(SPANS)
 def detect(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for batch in texts:
         yield batch.map(lambda t: find_spans(t) if t else [])
 
 
+def detect_with(dictionary: list[dict]):
+    """``detect`` with a user's dictionary: entries of a name and literals, a regex, or both; a pattern that doesn't compile raises here. Names
+    are the spans' kinds, in capitals."""
+    own = []
+    for e in dictionary:
+        parts = [re.escape(x) for x in sorted(e.get("literals") or [], key=len, reverse=True) if x]
+        own += [(e["name"].upper(), re.compile("|".join(parts)))] if parts else []
+        own += [(e["name"].upper(), re.compile(e["regex"]))] if e.get("regex") else []
+    fixed = tuple(own)
+
+    @pandas_udf(SPANS)
+    def run(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for batch in texts:
+            yield batch.map(lambda t: find_spans(t, fixed) if t else [])
+
+    return run
+
+
+def span_counts(spans: Column) -> Column:
+    """Redaction statistics: map of kind to number of spans."""
+    kinds = F.transform(spans, lambda s: s["kind"])
+    return F.map_from_entries(F.transform(F.array_distinct(kinds), lambda k: F.struct(k, F.size(F.filter(kinds, lambda x: x == k)))))
+
+
 def placeholders(spans: list) -> list[str]:
     """Numbered by kind in order of first appearance; equal values share a number."""
     seen: dict[str, dict[str, int]] = {}

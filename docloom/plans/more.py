@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from docloom.functions import entities as en
+from docloom.functions import privacy as pr
 from docloom.functions import text as tx
+from docloom.functions.reliability import reliability
 from docloom.operators import graph, layout
 from docloom.plans.rollups import USAGE
 from docloom.sources.tables import items, read, vectors
@@ -95,6 +97,41 @@ def entity_rows(spark, d):
     return items(spark, d).select("item_id", F.explode(en.entities("content")).alias("e")).select("item_id", "e.*")
 
 
+DEED = ["丁晓明，于 ", " 在北京协和医院和中国银行支付", "元。"]
+
+
+@register("entities_of_deeds", f"""with t as (select doc_id, '2024-03-' || lpad((doc_id % 28 + 1)::varchar, 2, '0') as day, n_chars::varchar || '元' as money from documents)
+  select doc_id as item_id, 'person' as kind, '丁晓明' as value, 0 as byte_start from t union all select doc_id, 'date', day, 16 from t
+  union all select doc_id, 'organization', '在北京协和医院和中国银行', 27 from t union all select doc_id, 'money', money, 69 from t""")
+def entities_of_deeds(spark, d):
+    """The four kinds of entities in a sentence made for each document."""
+    day = F.concat(F.lit("2024-03-"), F.lpad((F.col("doc_id") % 28 + 1).cast("string"), 2, "0"))
+    text = F.concat(F.lit(DEED[0]), day, F.lit(DEED[1]), F.col("n_chars").cast("string"), F.lit(DEED[2]))
+    found = read(spark, d, "documents").select(F.col("doc_id").alias("item_id"), F.explode(en.entities(text)).alias("e"))
+    return found.select("item_id", "e.kind", "e.value", "e.byte_start")
+
+
+@register("reply_reliability", """with t as (select doc_id, '2024-03-' || lpad((doc_id % 28 + 1)::varchar, 2, '0') as day, n_chars::varchar as money from documents),
+  f as (select doc_id, (case when day <> '2024-03-15' then 1 else 0 end) + (case when money <> '500' then 1 else 0 end) as n_contradictions, (case when day <> '2024-03-15' then 1 else 0 end) + (case when not starts_with('500', money) then 1 else 0 end) as n_unsupported from t)
+  select doc_id as item_id, case when doc_id % 2 = 0 then 'grounded' else 'fabricated' end as citation, n_contradictions, n_unsupported,
+  round(1 - (case when doc_id % 2 = 0 then 0 else 0.2 end) - 0.5 * n_contradictions / 2 - 0.3 * n_unsupported / 4, 6) as confidence from f""")
+def reply_reliability(spark, d):
+    """A reply made for each document, held against a chunk with another date and amount."""
+    day = F.concat(F.lit("2024-03-"), F.lpad((F.col("doc_id") % 28 + 1).cast("string"), 2, "0"))
+    cited = F.when(F.col("doc_id") % 2 == 0, "report").otherwise("nowhere")
+    reply = F.concat(F.lit("报告时间："), day, F.lit("。借款金额为 ¥"), F.col("n_chars").cast("string"), F.lit("。[item:"), cited, F.lit("]"))
+    chunks = F.array(F.struct(F.lit("report").alias("item_id"), F.lit("报告时间：2024-03-15。借款金额为 ¥500。").alias("text")))
+    r = read(spark, d, "documents").select(F.col("doc_id").alias("item_id"), reliability(reply, chunks).alias("r"))
+    return r.select("item_id", F.col("r.citations")[0]["status"].alias("citation"), F.size("r.contradictions").alias("n_contradictions"), F.size("r.hallucinations").alias("n_unsupported"), F.round("r.confidence", 6).alias("confidence"))
+
+
+@register("email_spans", r"""select item_id, value, count(*) as n from (select doc_id as item_id, unnest(regexp_extract_all(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}')) as value from documents) group by all""")
+def email_spans(spark, d):
+    """E-mail spans of the detectors."""
+    s = items(spark, d).select("item_id", F.explode(pr.detect("content")).alias("s")).where("s.kind = 'EMAIL'")
+    return s.groupBy("item_id", F.col("s.value").alias("value")).agg(F.count("*").alias("n"))
+
+
 @register("hashed_embeddings")
 def hashed_embeddings(spark, d):
     """The stand-in embedding of every item, rounded."""
