@@ -57,6 +57,19 @@ def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
 
 
+#: Every window of 35 words as a string, counted over all documents.
+OP6_SQL = """
+with d as (select row_number() over () as r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') as ws from documents),
+w as (select r, unnest(ws) as w, generate_subscripts(ws, 1) as i, len(ws) as n from d),
+win as (select r, i, w, case when i + 34 <= n then string_agg(w, ' ') over (partition by r order by i rows between current row and 34 following) end as s from w),
+again as (select s from win where s is not null group by s having count(*) > 1),
+hit as (select win.r, win.i, win.w, again.s is not null as h from win left join again using (s)),
+covered as (select r, i, w, max(h::int) over (partition by r order by i rows between 34 preceding and current row) = 1 as gone from hit),
+kept as (select r, count_if(gone) as n_removed, string_agg(w, ' ' order by i) filter (not gone) as text from covered group by r)
+select d.doc_id, len(d.ws)::bigint as n_words, coalesce(k.n_removed, 0)::bigint as n_removed, sha256(coalesce(k.text, '')) as kept_sha256 from d left join kept k using (r)
+"""
+
+
 def vocabulary_path() -> str:
     import public_tokenizers
 
@@ -106,4 +119,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_quality_classifier": op10_quality_classifier,
 }
 
-ORACLE_SQL: dict[str, str] = {"op3_line_dedup": OP3_SQL, "op8_decontamination": OP8_SQL}
+ORACLE_SQL: dict[str, str] = {"op3_line_dedup": OP3_SQL, "op6_substring_dedup": OP6_SQL, "op8_decontamination": OP8_SQL}

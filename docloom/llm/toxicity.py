@@ -28,6 +28,8 @@ OTHER, OTHER_WEIGHT = "", 1.0
 TIE = 1e-6
 #: Texts that one numpy step searches at once.
 CHUNK = 256
+#: Texts that one task searches, where these come without their text.
+TASK_TEXTS = 10_000
 
 
 def words(text: str) -> list[str]:
@@ -281,7 +283,8 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, folds: int = 5, held: int
     df = np.zeros(len(terms.number), np.int64)
     for r in rows.select(F.explode("__t").alias("t")).groupBy("t").count().collect():
         df[r.t] = r["count"]
-    index = build_index(sample, terms, rows.count(), df)
+    total = rows.count()
+    index = build_index(sample, terms, total, df)
     votes = calibrate(index, sample, class_counts(labels, "toxic", folds, held), k)
     del sample
     terms.forget()
@@ -305,6 +308,8 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, folds: int = 5, held: int
                 why = pa.StructArray.from_arrays([pa.array(c, f.type) for c, f in zip((found.ids[ex[shown]], found.labels[ex[shown]], cosines[shown]), evidence)], fields=list(evidence))
                 yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], pa.array(np.round(scores, 6)), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), why)], names=[*kept, "score", "evidence"])
 
+    if "text" not in kept:  # the counts alone are so small that files of them hold far more texts than a task should search
+        rows = rows.repartition(max(1, -(-total // TASK_TEXTS)))
     scored = rows.select(*[f"`{c}`" for c in kept], "__t", "__n").mapInArrow(run, f"{schema}, score double, evidence array<struct<id:bigint,label:int,cosine:double>>")
     return scored.select(
         *[f"`{c}`" for c in kept], F.coalesce(fold("doc_id", folds) == held, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "evidence"
