@@ -2,11 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docloom.functions.vector import dot, let, norm
-from docloom.sources.shared import cut
+from docloom.functions.vector import norm
+from docloom.operators.skew import meet
+from docloom.sources.shared import cut, stored
+
+#: Vectors of one tile.
+TILE = 1024
 
 
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
@@ -25,8 +33,8 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
             break
         before = tuple(state)
         both = now.select(F.col("a").alias("u"), F.col("b").alias("v")).union(now.select(F.col("b").alias("u"), F.col("a").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("a"), F.col("m").alias("b")).where("a != b").distinct()
+        low = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n")
+        large = meet(both.where("v > u"), low, "u", F.xxhash64("v"), total=2 * state[0]).select(F.col("v").alias("a"), F.col("m").alias("b")).where("a != b").distinct()
         root = large.groupBy("a").agg(F.min("b").alias("m"))
         joined = large.join(root, "a")
         step = joined.where("b != m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(root.select("a", F.col("m").alias("b")))
@@ -45,38 +53,71 @@ def pivots(vectors: DataFrame, n: int, vector: str = "embedding") -> list[list[f
     return [[x / sum(y * y for y in r.v) ** 0.5 for x in r.v] for r in rows]
 
 
-def _within(far: Column, limit: Column) -> Column:
-    numbered = F.transform(far, lambda d, i: F.struct(d.alias("d"), i.alias("i")))
-    return F.transform(F.filter(numbered, lambda s: s["d"] <= limit), lambda s: s["i"])
+def _tiles(placed: DataFrame, side: str) -> DataFrame:
+    """Vectors packed into tiles of up to about TILE, all of one cell: tile number, cell, the farthest distance from its pivot, ids, values."""
+    parts = F.broadcast(placed.groupBy("cell").agg(F.ceil(F.count("*") / TILE).alias("parts")))
+    dealt = placed.join(parts, "cell").withColumn("tile", F.xxhash64("cell", F.pmod(F.xxhash64("item_id"), F.col("parts"))))
+    packed = dealt.groupBy("tile", "cell").agg(F.max("far").alias("reach"), F.collect_list(F.struct("item_id", "u")).alias("v"))
+    return packed.select(*[F.col(c).alias(f"{c}_{side}") for c in ("tile", "cell", "reach")], F.transform("v", lambda s: s["item_id"]).alias(f"ids_{side}"), F.flatten(F.transform("v", lambda s: s["u"])).alias(f"values_{side}"))
+
+
+def _products(min_cosine: float, both: bool):
+    """mapInArrow over pairs of tiles: (a, b, cosine) at or above the threshold; ``both`` if the tiles hold the same vectors, so that a < b."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                ids_a, m_a, ids_b, m_b = (np.asarray(batch.column(c)[k].values) for c in ("ids_a", "values_a", "ids_b", "values_b"))
+                m_a, m_b = m_a.reshape(len(ids_a), -1), m_b.reshape(len(ids_b), -1)
+                cosine = m_a @ m_b.T
+                i, j = np.nonzero(cosine >= min_cosine)
+                a, b, c = ids_a[i], ids_b[j], cosine[i, j]
+                same = batch.column("tile_a")[k].as_py() == batch.column("tile_b")[k].as_py()
+                keep = (a < b) if both and same else (a != b)
+                a, b, c = a[keep], b[keep], c[keep]
+                if both:
+                    a, b = np.minimum(a, b), np.maximum(a, b)
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(c, pa.float64())], names=["a", "b", "cosine"])
+
+    return run
 
 
 def similar_pairs(vectors: DataFrame, min_cosine: float, n_pivots: int = 64, queries: Column | None = None) -> DataFrame:
-    """(a, b, cosine) of all pairs of item vectors at or above ``min_cosine``: exact. With ``queries`` (a condition), a runs over those items and
-    b over all others; without, every pair comes once with a < b.
+    """(a, b, cosine) of all pairs of item vectors at or above ``min_cosine``: exact, for one vector of equal size an item. With ``queries`` (a
+    condition), a runs over those items and b over all others; without, every pair comes once with a < b.
 
-    Each vector lives in the cell of its nearest pivot and is sent to every cell whose pivot is at most two radii farther (triangle
-    inequality on the chord distance), so that each close pair meets in the home cell of either member. The tighter the threshold and the
-    more clustered the vectors, the fewer cells a vector goes to; vectors without structure gain nothing."""
+    Each vector lives in the cell of its nearest pivot, packed into tiles. Two tiles meet only if their pivots are no farther apart than their
+    reaches and the threshold's distance together (triangle inequality on the chord distance), and a meeting is one matrix product. The tighter the
+    threshold and the more clustered the vectors, the fewer tiles meet; vectors without structure meet tile by tile, each stored once."""
     centers = pivots(vectors, n_pivots)
     if not centers:
-        return vectors.select(F.col("item_id").alias("a"), F.col("item_id").alias("b"), F.lit(0.0).alias("cosine")).limit(0)
+        return vectors.select(F.col("item_id").cast("long").alias("a"), F.col("item_id").cast("long").alias("b"), F.lit(0.0).alias("cosine")).limit(0)
     radius = (2 - 2 * min_cosine) ** 0.5
-    table = F.array(*[F.array(*map(F.lit, c)) for c in centers])
-
-    def place(u: Column) -> Column:
-        far = F.transform(table, lambda c: F.sqrt(F.greatest(2 - 2 * dot(c, u), F.lit(0.0))))
-        return let(far, lambda f: let(F.array_min(f), lambda near: F.struct(u.alias("u"), (F.array_position(f, near).cast("int") - 1).alias("home"), _within(f, near + 2 * radius + 1e-9).alias("cells"))))
+    fixed = np.array(centers)
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            v = np.asarray(batch.column(1).flatten()).reshape(batch.num_rows, fixed.shape[1])
+            u = v / np.linalg.norm(v, axis=1, keepdims=True)
+            far = np.sqrt(np.maximum(2 - 2 * u @ fixed.T, 0))
+            cell = far.argmin(axis=1)
+            ends = pa.array(np.arange(batch.num_rows + 1) * u.shape[1], pa.int32())
+            own = [pa.ListArray.from_arrays(ends, pa.array(u.ravel())), pa.array(far[np.arange(len(u)), cell]), pa.array(cell, pa.int32())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *own, batch.column(2)], names=["item_id", "u", "far", "cell", "asked"])
 
     vector = F.col("embedding").cast("array<double>")
-    unit = let(vector, lambda v: let(norm(v), lambda n: F.transform(v, lambda x: F.try_divide(x, n))))
-    placed = vectors.where(norm(vector) > 1e-8).select("item_id", let(unit, place).alias("p"))
-    at_home = (placed if queries is None else placed.where(queries)).select(F.col("item_id").alias("a"), F.col("p.u").alias("ua"), F.col("p.home").alias("cell"))
-    sent = placed.select(F.col("item_id").alias("b"), F.col("p.u").alias("ub"), F.explode("p.cells").alias("cell"))
-    cosine = dot(F.col("ua"), F.col("ub"))
-    met = at_home.join(sent, "cell").where("a != b").withColumn("cosine", cosine).where(F.col("cosine") >= min_cosine)
-    if queries is not None:
-        return met.select("a", "b", "cosine")
-    return met.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.max("cosine").alias("cosine"))
+    usable = vectors.where((F.size(vector) == fixed.shape[1]) & (norm(vector) > 1e-8) & ~F.exists(vector, lambda x: x.isNull()))
+    asked = F.lit(True) if queries is None else F.coalesce(queries, F.lit(False))
+    rows = usable.select(F.col("item_id").cast("long").alias("item_id"), vector.alias("v"), asked.alias("asked"))
+    placed = stored(rows.mapInArrow(place, "item_id long, u array<double>, far double, cell int, asked boolean"), "placed")
+    tiles = _tiles(placed, "b")
+    first = _tiles(placed, "a") if queries is None else _tiles(placed.where("asked"), "a")
+    apart = [(i, j, sum((x - y) ** 2 for x, y in zip(p, q)) ** 0.5) for i, p in enumerate(centers) for j, q in enumerate(centers)]
+    near = vectors.sparkSession.createDataFrame(apart, "cell_a int, cell_b int, apart double")
+    met = first.join(F.broadcast(near), "cell_a").join(tiles, "cell_b").where(F.col("apart") <= F.col("reach_a") + F.col("reach_b") + radius + 1e-9)
+    if queries is None:
+        met = met.where("tile_a <= tile_b")
+    return met.select("tile_a", "tile_b", "ids_a", "values_a", "ids_b", "values_b").mapInArrow(_products(min_cosine, queries is None), "a long, b long, cosine double")
 
 
 def density_clusters(vectors: DataFrame, min_cosine: float, min_points: int = 5) -> DataFrame:
