@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime
 import re
 from collections.abc import Iterator
 
@@ -15,7 +16,15 @@ from pyspark.sql.functions import pandas_udf
 SURNAMES = "李王张刘陈杨赵黄周吴徐孙朱马胡郭林何高梁郑罗宋谢唐韩曹许邓萧冯曾程蔡彭潘袁于董余苏叶吕魏蒋田杜丁沈姜范江"
 ENDINGS = "有限公司|股份有限公司|有限责任公司|研究所|事务所|律师事务所|科技公司|分公司|大学|学院|医院|银行"
 TITLES = "总司厂"
+#: Of rich entities: surnames, characters that end no name, words that no name contains, endings of places and organisations, units.
+NAMES = "王李张刘陈杨黄赵吴周徐孙马朱胡郭何高林罗郑梁谢宋唐许韩冯邓曹彭曾肖田董袁潘于蒋蔡余杜叶程苏魏吕丁任沈姚卢姜崔钟谭陆汪范金石廖贾夏韦付方白邹孟熊秦邱江尹薛闫段雷侯龙史陶黎贺顾毛郝龚邵万覃武钱戴严莫孔向汤"
+NO_LAST = "同在是到与和已不了为的上说又却把将从向让签订约后前中里内外于由被对比给使叫令请来去入出回至及或而但即便才就该此这那其某会能可应需要想觉感认"
+NO_NAME = "公司|银行|法院|律所|事务所|学院|大学|中学|小学|省|市|区|县|街|路|号|条|款|项|章|节|元|万|亿|角|分"
+PLACES = "省|自治区|特别行政区|市|区|县|街道|乡|镇|村|路|街|号|大厦|小区|大道|巷"
+BODIES = "有限公司|股份公司|公司|集团|律师事务所|事务所|法院|检察院|银行|学校|大学|学院|医院|协会|商会|工作室"
+AMOUNT_UNITS = {"亿": 1e8, "万": 1e4, "千": 1e3, "百": 1e2, "元": 1.0, "角": 0.1, "分": 0.01}
 DIGITS = {"零": 0, "壹": 1, "贰": 2, "叁": 3, "肆": 4, "伍": 5, "陆": 6, "柒": 7, "捌": 8, "玖": 9}
+ONES = "零一二三四五六七八九"
 UNITS = {"拾": 10, "佰": 100, "仟": 1000}
 MONEY = r"¥\s*\d[\d,]*(?:\.\d+)?|(?:人民币|RMB|CNY)\s*\d[\d,]*(?:\.\d+)?\s*(?:元|圆|万|亿)?|\d[\d,]*(?:\.\d+)?\s*(?:万元|亿元|元|圆|万|亿)|[壹贰叁肆伍陆柒捌玖拾佰仟万亿零整圆元角分]{2,}"
 DATES = (r"\d{4}\s*年\s*\d{1,2}\s*月\s*\d{1,2}\s*日", r"\b\d{4}[-/]\d{1,2}[-/]\d{1,2}\b", r"\d{4}\s*年\s*\d{1,2}\s*月")
@@ -69,7 +78,7 @@ def numeral(text: str) -> float | None:
             total += section + digit
             section = digit = 0
         elif c in "万亿":
-            total = (total + section + digit) * (10**4 if c == "万" else 10**8)
+            total = total + (section + digit) * 10**4 if c == "万" else (total + section + digit) * 10**8
             section = digit = 0
         else:
             cents += digit * (0.1 if c == "角" else 0.01)
@@ -77,6 +86,70 @@ def numeral(text: str) -> float | None:
     return round(total + section + digit + cents, 2)
 
 
+def spoken(text: str) -> int | None:
+    """A month or day in Chinese numerals up to 99, None if it isn't one."""
+    tens, ten, ones = text.rpartition("十")
+    value = lambda c, empty: empty if c == "" else ONES.find(c) if len(c) == 1 and c in ONES else None
+    a, b = value(tens, 1 if ten else 0), value(ones, 0)
+    return None if a is None or b is None or not text else 10 * a + b
+
+
+def rich_dates(text: str) -> Iterator[str]:
+    """Valid dates of the years 1900 to 2100 in ISO form: numeric ones in order, then those in Chinese numerals."""
+    found = [tuple(map(int, m)) for m in re.findall(r"(\d{4})\s*[年/\-]\s*(\d{1,2})\s*[月/\-]\s*(\d{1,2})\s*日?", text)]
+    for y, m, d in re.findall(rf"([〇{ONES}十]{{4}})年\s*([一二三四五六七八九十]{{1,3}})月\s*([一二三四五六七八九十]{{1,3}})日", text):
+        if "十" not in y:
+            found.append((int("".join(str(ONES.find(c)) for c in y.replace("〇", "零"))), spoken(m) or 0, spoken(d) or 0))
+    for y, m, d in found:
+        try:
+            if 1900 <= y <= 2100:
+                yield datetime.date(y, m, d).isoformat()
+        except ValueError:
+            continue
+
+
+def rich_amounts(text: str) -> dict[str, float]:
+    """Amounts by what is written: numbers with a unit, then capital numerals with one."""
+    out = {}
+    for m in re.finditer(r"(\d{1,3}(?:,\d{3})+(?:\.\d+)?|\d+(?:\.\d+)?)\s*([亿万千百元角分])", text):
+        value = float(m[1].replace(",", "")) * AMOUNT_UNITS[m[2]]
+        if 0.001 <= value <= 1e15:
+            out.setdefault(m[0], value)
+    for m in re.finditer("[壹贰叁肆伍陆柒捌玖拾佰仟万亿元角分整]{2,}", text):
+        value = numeral(m[0]) if re.search("[拾佰仟万亿元角分]", m[0]) else None
+        if value is not None:
+            out.setdefault(m[0], value)
+    return out
+
+
+def rich(text: str) -> dict:
+    """Persons, dates, amounts, places and organisations, each once in order of appearance (dates as often as they stand). A person is a
+    surname and one Han character, or two if the second ends names and is no surname; candidates with words of places or bodies are none."""
+    people, at = {}, 0
+    name = re.compile(rf"[{NAMES}][一-鿿](?![{NO_LAST}{NAMES}])[一-鿿]|[{NAMES}][一-鿿]")
+    while m := name.search(text, at):
+        bad = re.search(NO_NAME, m[0])
+        at = m.start() + 1 if bad else m.end()
+        if not bad:
+            people[m[0]] = None
+    once = lambda pattern: list(dict.fromkeys(re.findall(pattern, text)))
+    return {
+        "persons": list(people), "dates": list(rich_dates(text)), "amounts": [{"value": v, "raw": r} for r, v in rich_amounts(text).items()],
+        "locations": once(rf"[一-鿿]{{2,8}}(?:{PLACES})"), "organizations": once(rf"[一-鿿]{{2,12}}(?:{BODIES})"),
+    }
+
+
+_WORDS = T.ArrayType(T.StringType())
+_AMOUNTS = T.ArrayType(T.StructType([T.StructField("value", T.DoubleType()), T.StructField("raw", T.StringType())]))
+RICH = T.StructType([T.StructField(name, _AMOUNTS if name == "amounts" else _WORDS) for name in ("persons", "dates", "amounts", "locations", "organizations")])
+
+
+@pandas_udf(RICH)
+def rich_entities(texts: pd.Series) -> pd.DataFrame:
+    """``rich`` of every text; a null text has empty lists."""
+    return pd.DataFrame([rich(t or "") for t in texts], columns=RICH.names)
+
+
 @pandas_udf(T.DoubleType())
 def numeral_value(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: numeral(t) if t else None).astype("float64")

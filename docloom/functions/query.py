@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 # ---- fixed values: prices per thousand tokens by model prefix (the longer prefix first), windows, evidence thresholds
 PRICES = [("gpt-4o-mini", 0.00015, 0.0006), ("gpt-4o", 0.0025, 0.01)]
+#: Context windows by what a model's name contains, the first that fits; another has the last.
+WINDOWS = [("gemini.*(2\\.5|2\\.0|1\\.5)|(2\\.5|2\\.0|1\\.5).*gemini", 1_000_000), ("claude", 200_000), ("gpt-4o|gpt-4\\.1|gpt-4-turbo|glm-4|moonshot|kimi", 128_000), ("deepseek", 64_000), ("gpt-3\\.5", 16_000), ("qwen|gemini|llama", 32_000), ("", 8_000)]
 DAY = 86400
 
 
@@ -134,6 +136,39 @@ def price(model: Column, tokens_in: Column, tokens_out: Column) -> Column:
     return out
 
 
+def context_window(model: Column) -> Column:
+    """Tokens that a model takes, by its name."""
+    fits = [F.when(F.lower(model).rlike(pattern), size) for pattern, size in WINDOWS]
+    return F.coalesce(*fits, F.lit(WINDOWS[-1][1]))
+
+
+def batch_estimate(items: DataFrame, model: Column, capability: str) -> DataFrame:
+    """(model, n, tokens_in, tokens_out, cost) of a batch of items (tokens): a summary is an eighth of the input, a rewrite as long, and an
+    extraction uses no model, so that it costs nothing. cost is null for a model without a price."""
+    by = items.groupBy(model.alias("model")).agg(F.count("*").alias("n"), F.sum("tokens").alias("tokens_in"))
+    if capability == "extract":
+        return by.select("model", "n", F.lit(0).cast("long").alias("tokens_in"), F.lit(0).cast("long").alias("tokens_out"), F.lit(0.0).alias("cost"))
+    share = {"summarize": 8, "rewrite": 1}[capability]
+    out = by.withColumn("tokens_out", F.floor(F.col("tokens_in") / share))
+    return out.withColumn("cost", price(F.col("model"), F.col("tokens_in"), F.col("tokens_out")))
+
+
+def json_block(text: Column) -> Column:
+    """Contents of the first fenced block of JSON, else of the first fenced block, else null."""
+    blocks = [F.regexp_extract(text, rf"(?s)```{mark}(.*?)```", 1) for mark in ("json", "")]
+    has = [text.rlike(rf"(?s)```{mark}.*?```") for mark in ("json", "")]
+    return F.regexp_replace(F.when(has[0], blocks[0]).when(has[1], blocks[1]), r"^\s+|\s+$", "")
+
+
+def series_f1(predicted: Column, truth: Column, tolerance: float) -> Column:
+    """F1 of named series, arrays of (name, values): one counts if a true one has its name, its length and values within the relative tolerance."""
+    near = lambda p, t: F.forall(F.zip_with(p["values"], t["values"], lambda a, b: relative_error(a, b) <= tolerance), lambda ok: ok)
+    same = lambda p, t: (p["name"] == t["name"]) & (F.size(p["values"]) == F.size(t["values"])) & near(p, t)
+    hits = F.size(F.filter(predicted, lambda p: F.exists(truth, lambda t: same(p, t))))
+    empty = (F.size(predicted) == 0) & (F.size(truth) == 0)
+    return F.when(empty, 1.0).when((F.size(predicted) == 0) | (F.size(truth) == 0), 0.0).otherwise(2.0 * hits / (F.size(predicted) + F.size(truth)))
+
+
 def relative_error(predicted: Column, truth: Column) -> Column:
     return F.abs(predicted - truth) / F.greatest(F.abs(truth), F.lit(1e-9))
 
