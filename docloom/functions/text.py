@@ -208,7 +208,7 @@ def chunk_text(text: str, size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP)
 
 def sections_of(text: str, target: int = SECTION_SIZE) -> list[dict]:
     """Sections by Markdown and code headings with their heading path; a section of ``target`` bytes or more also ends at a blank line.
-    Lines in code fences are never headings."""
+    Lines end at a line feed alone; those in code fences are never headings."""
     out, lines, stack, path, fenced, size = [], [], [], [], False, 0
 
     def close() -> None:
@@ -218,7 +218,8 @@ def sections_of(text: str, target: int = SECTION_SIZE) -> list[dict]:
             out.append({"section_idx": len(out), "path": path, "content": body})
         lines, size = [], 0
 
-    for line in text.splitlines():
+    rows = re.split(r"\r?\n", text)
+    for line in rows if rows[-1] else rows[:-1]:
         if line.lstrip().startswith(("```", "~~~")):
             fenced = not fenced
         depth, title = 0, ""

@@ -46,13 +46,18 @@ def streak_decision(kind: Column, samples: Column, rate: Column, tier: Column, l
     return F.when((kind == "llm_judge") & (samples >= 20) & (rate > 0.30), nxt).otherwise("keep")
 
 
+#: Rows of a report, which one task puts together.
+MOST_LINES = 100_000
+
+
 def markdown_table(frame: DataFrame, columns: list[str], order: list[str]) -> DataFrame:
-    """One row, column markdown: a table of a report-sized frame; pipes are escaped, nulls are empty."""
+    """One row, column markdown: a table of a report of ``MOST_LINES`` rows at most, an error beyond; pipes are escaped, nulls are empty."""
     cell = lambda c: F.replace(F.coalesce(F.col(c).cast("string"), F.lit("")), F.lit("|"), F.lit(r"\|"))
     line = F.concat(F.lit("| "), F.concat_ws(" | ", *map(cell, columns)), F.lit(" |"))
     rows = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(*order, line.alias("line")))), lambda s: s["line"]), "\n")
     head = "| " + " | ".join(columns) + " |\n|" + "|".join(" --- " for _ in columns) + "|\n"
-    return frame.agg(F.concat(F.lit(head), rows).alias("markdown"))
+    report = frame.limit(MOST_LINES + 1).agg(F.count("*").alias("n"), F.concat(F.lit(head), rows).alias("markdown"))
+    return report.select(F.when(F.col("n") > MOST_LINES, F.raise_error(F.lit(f"more than {MOST_LINES} rows for a report"))).otherwise(F.col("markdown")).alias("markdown"))
 
 
 def write_audit_csv(frame: DataFrame, path: str) -> None:

@@ -83,11 +83,17 @@ def sentence_spans(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         yield batch.map(one)
 
 
+#: Rules that a routing pass takes.
+MOST_RULES = 10_000
+
+
 def route(messages: DataFrame, skills: DataFrame) -> DataFrame:
     """(message_id, skill, priority) of the best skill for each message. skills: skill, patterns, keywords, excluded, min_keywords, needs_document,
-    enabled, priority; a broadcastable table of rules. A skill matches by any pattern or by enough keywords, unless an excluded word occurs."""
+    enabled, priority; ``MOST_RULES`` enabled rules at most, which are broadcast and tried on every message. A skill matches by any pattern or by enough keywords, unless an excluded word occurs."""
     low = F.lower("text")
     rules = skills.where("enabled")
+    if rules.limit(MOST_RULES + 1).count() > MOST_RULES:
+        raise ValueError(f"more than {MOST_RULES} enabled rules")
     found = lambda col: F.filter(col, lambda k: F.contains(low, F.lower(k)))
     joined = messages.join(F.broadcast(rules), ~F.col("needs_document") | F.col("has_document"))
     hit = F.exists("patterns", lambda p: F.regexp_like(F.col("text"), p)) | (F.size(found("keywords")) >= F.col("min_keywords"))

@@ -4,10 +4,14 @@ All are equi-joins at heart: pairs meet through a shared key or bucket and are v
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from itertools import chain
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from docloom.functions.vector import cosine
 from docloom.operators.skew import thinned
 
 
@@ -116,21 +120,63 @@ def recency(days: Column, half_life: float = 14.0) -> Column:
 
 
 def watch_matches(items: DataFrame, watches: DataFrame) -> DataFrame:
-    """(watch_id, item_id, score): enabled watches against items through an inverted index of keywords.
-
-    items: item_id, tokens, source, age_days, interactions. watches: watch_id, keywords, threshold, source_weights (map), enabled.
-    Score: share of the watch's keywords found, times recency, source weight and interaction factor; kept where the raw share
-    reaches the threshold."""
-    live = watches.where("enabled").withColumn("n_kw", F.size(F.array_distinct("keywords")))
-    probe = live.select("watch_id", F.explode(F.array_distinct(F.transform("keywords", F.lower))).alias("t"))
-    # only words of some watch are shuffled
-    index = thinned(items.select("item_id", F.explode(F.array_distinct("tokens")).alias("t")), F.col("t"), probe, "t")
-    found = index.join(probe, "t").groupBy("watch_id", "item_id").agg(F.count("*").alias("k"))
-    joined = found.join(live.select("watch_id", "n_kw", "threshold", "source_weights"), "watch_id").join(items.select("item_id", "source", "age_days", "interactions"), "item_id")
-    raw = F.col("k") / F.col("n_kw")
-    weight = F.coalesce(F.try_element_at("source_weights", F.col("source")), F.lit(1.0))
-    score = raw * recency(F.col("age_days")) * weight * (1 + 0.1 * F.log1p(F.col("interactions").cast("double")))
-    return joined.where(raw >= F.col("threshold")).select("watch_id", "item_id", F.round(score, 6).alias("score"))
+    """(watch_id, item_id, score): enabled watches against items, through inverted indexes of keywords and entities, and by vectors.
+
+    items: item_id, tokens, source, age_days, interactions, and if there are any entities (array of strings) and vector. watches: watch_id,
+    keywords, threshold, source_weights (map), enabled, and if there are any entities, anchor (vector) and source_ids (empty or null: all).
+    Raw: the highest of the share of keywords found, the Jaccard index of the entities and the cosine; kept where it is over 0 and reaches
+    the threshold, then weighted by recency, source and interactions. Watches with an anchor are compared in blocks of ``ANCHORS``."""
+    live = watches.where("enabled")
+    raw = _shares(items, live)
+    if "entities" in items.columns and "entities" in watches.columns:
+        raw = raw.unionByName(_entity_overlaps(items, live))
+    for part in _anchored(items, live) if "vector" in items.columns and "anchor" in watches.columns else ():
+        raw = raw.unionByName(part)
+    best = raw.groupBy("watch_id", "item_id").agg(F.max("raw").alias("raw"))
+    bound = [c for c in ("source_ids",) if c in watches.columns]
+    joined = best.join(live.select("watch_id", "threshold", "source_weights", *bound), "watch_id").where(F.col("raw") >= F.col("threshold"))
+    joined = joined.join(items.select("item_id", "source", "age_days", "interactions"), "item_id")
+    if bound:
+        joined = joined.where((F.coalesce(F.size("source_ids"), F.lit(0)) <= 0) | F.array_contains("source_ids", F.col("source")))
+    weight = F.greatest(F.coalesce(F.try_element_at("source_weights", F.col("source")), F.lit(1.0)), F.lit(0.0))
+    score = F.col("raw") * recency(F.col("age_days")) * weight * (1 + 0.1 * F.log1p(F.col("interactions").cast("double")))
+    return joined.select("watch_id", "item_id", F.round(score, 6).alias("score"))
+
+
+def _met(items: DataFrame, live: DataFrame, item_terms: Column, watch_terms: Column) -> DataFrame:
+    """(watch_id, item_id, k): common terms. Only terms of some watch are shuffled."""
+    probe = live.select("watch_id", F.explode(F.array_distinct(watch_terms)).alias("t"))
+    index = thinned(items.select("item_id", F.explode(F.array_distinct(item_terms)).alias("t")), F.col("t"), probe, "t")
+    return index.join(probe, "t").groupBy("watch_id", "item_id").agg(F.count("*").alias("k"))
+
+
+def _shares(items: DataFrame, live: DataFrame) -> DataFrame:
+    words = F.array_distinct(F.transform("keywords", F.lower))
+    sizes = live.select("watch_id", F.size(words).alias("n"))
+    return _met(items, live, F.col("tokens"), words).join(sizes, "watch_id").select("watch_id", "item_id", (F.col("k") / F.col("n")).alias("raw"))
+
+
+def _entity_overlaps(items: DataFrame, live: DataFrame) -> DataFrame:
+    size = lambda frame, key, name: frame.select(key, F.size(F.array_distinct("entities")).alias(name))
+    met = _met(items, live, F.col("entities"), F.col("entities")).join(size(live, "watch_id", "a"), "watch_id").join(size(items, "item_id", "b"), "item_id")
+    return met.select("watch_id", "item_id", (F.col("k") / (F.col("a") + F.col("b") - F.col("k"))).alias("raw"))
+
+
+#: Anchors that are compared with the items in one pass.
+ANCHORS = 256
+
+
+def _anchored(items: DataFrame, live: DataFrame) -> Iterator[DataFrame]:
+    """Cosine of each item's vector with the anchors, where it reaches the threshold: a block of anchors at a time stands in the plan."""
+    rows = live.where("anchor is not null").select("watch_id", F.col("anchor").cast("array<double>").alias("anchor"), F.col("threshold").cast("double").alias("threshold"))
+    block = []
+    for row in chain(rows.orderBy("watch_id").toLocalIterator(), [None]):
+        block += [] if row is None else [row]
+        if block and (row is None or len(block) == ANCHORS):
+            near = [F.struct(F.lit(r.watch_id).alias("watch_id"), cosine(F.col("vector"), F.lit(r.anchor)).alias("raw"), F.lit(r.threshold).alias("least")) for r in block]
+            hits = F.filter(F.array(*near), lambda h: (h["raw"] > 0) & (h["raw"] >= h["least"]))
+            yield items.where("vector is not null").select("item_id", F.explode(hits).alias("h")).select("h.watch_id", "item_id", "h.raw")
+            block = []
 
 
 def annotation_scores(scores: DataFrame, annotations: DataFrame, item: str) -> DataFrame:

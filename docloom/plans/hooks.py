@@ -8,6 +8,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 
 from docloom.functions.entities import hashed_embedding
+from docloom.sources.shared import stored
 
 #: name -> function from a text column to an embedding column; projects register their own models here.
 EMBEDDERS: dict[str, Callable] = {"hashed": hashed_embedding}
@@ -31,16 +32,18 @@ class Report:
     trace: list[tuple[str, str]] = field(default_factory=list)
 
 
-def run_steps(frame: DataFrame, steps: list[Step]) -> tuple[DataFrame, Report]:
-    """Chains the steps' plans. A step that can't be planned falls back, is skipped if optional, or ends the run with what there is."""
+def run_steps(frame: DataFrame, steps: list[Step], execute: bool = False) -> tuple[DataFrame, Report]:
+    """Chains the steps' plans. A step that fails falls back, is skipped if optional, or ends the run with what there is. Plans are lazy, so only
+    errors of planning show here, unless ``execute`` runs each step and stores its rows in the shared folder before the next one."""
+    run = (lambda f, made: stored(made(f), "step")) if execute else (lambda f, made: made(f))
     report = Report()
     for step in steps:
         try:
-            frame = step.run(frame)
+            frame = run(frame, step.run)
             report.trace.append((step.name, "ok"))
         except Exception as error:  # noqa: BLE001  the trace keeps what went wrong
             if step.fallback:
-                frame = step.fallback(frame)
+                frame = run(frame, step.fallback)
                 report.trace.append((step.name, f"fallback: {type(error).__name__}"))
             elif step.optional:
                 report.status = "Partial"

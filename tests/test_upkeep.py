@@ -2,13 +2,16 @@
 
 import hashlib
 import hmac
+import math
 
 import pytest
 from pyspark.sql import functions as F
 
 from docloom.functions import entities as en
 from docloom.functions import hints, query
-from docloom.operators import intake, upkeep
+from docloom.functions import text as tx
+from docloom.operators import governance, ingest, intake, joins, upkeep
+from docloom.plans import hooks
 
 
 def values(spark, column, texts):
@@ -110,3 +113,41 @@ def test_gates(spark):
     assert {(r.dim, r.val): tuple(r)[2:] for r in upkeep.roll_up(g).collect()} == {("tier", "t1"): (2, 1, 1, 1), ("plugin", "p"): (1, 1, 0, 1), ("plugin", "q"): (1, 0, 1, 0), ("all", ""): (2, 1, 1, 1)}
     seen, base = spark.createDataFrame([("a", 5), ("b", 3), ("c", 3)], "k string, observed long"), spark.createDataFrame([("a", 3), ("b", 0)], "k string, baseline long")
     assert {r.k: r.spiked for r in upkeep.ignore_spikes(seen, base, "k").collect()} == {"a": False, "b": True, "c": True}
+
+
+def test_watches_by_words_entities_and_vectors(spark, monkeypatch):
+    monkeypatch.setattr(joins, "ANCHORS", 2)
+    items = [(i, [f"w{i % 4}", f"w{i % 3}", "common"], f"s{i % 2}", i % 5, i % 3, [f"e{i % 4}", f"e{i % 5}"] if i % 6 else None, [float(i % 7), 1.0, 0.0] if i % 8 else None) for i in range(40)]
+    watches = [(k, [f"W{k % 4}", "other"] if k % 2 else [], 0.3 + 0.1 * (k % 5), {"s1": 2.0}, k != 5, [f"e{k % 4}"] if k % 3 else [], [1.0, float(k), 0.0] if k % 4 else None, ["s0"] if k == 2 else None) for k in range(9)]
+    i = spark.createDataFrame(items, "item_id long, tokens array<string>, source string, age_days int, interactions int, entities array<string>, vector array<double>")
+    w = spark.createDataFrame(watches, "watch_id long, keywords array<string>, threshold double, source_weights map<string,double>, enabled boolean, entities array<string>, anchor array<double>, source_ids array<string>")
+    want = {}
+    for k, words, least, weights, on, ents, anchor, bound in watches:
+        for n, tokens, source, age, seen, own, vector in items if on else []:
+            words_share = len({x.lower() for x in words} & set(tokens)) / len(words) if words else 0
+            overlap = len(set(ents) & set(own or [])) / len(set(ents) | set(own or [])) if ents and own else 0
+            norm = lambda v: math.sqrt(sum(x * x for x in v))
+            near = sum(a * b for a, b in zip(anchor, vector)) / norm(anchor) / norm(vector) if anchor and vector else 0
+            raw = max(words_share, overlap, near)
+            if raw >= least and (not bound or source in bound):
+                want[k, n] = raw * 0.5 ** (age / 14) * weights.get(source, 1) * (1 + 0.1 * math.log1p(seen))
+    got = {(r.watch_id, r.item_id): r.score for r in joins.watch_matches(i, w).collect()}
+    assert set(got) == set(want) and len(got) > 50 and all(abs(got[p] - want[p]) < 1e-5 for p in want)
+    assert joins.watch_matches(i, w.where("false")).count() == 0
+
+
+def test_bounds_and_lines(spark, monkeypatch):
+    assert [s["content"] for s in tx.sections_of("a\x0cb\u2028c\r\n# H\nd\r")] == ["a\x0cb\u2028c\n", "# H\nd\r\n"] and tx.sections_of("\n") == []
+    rows = spark.range(3).select("id")
+    monkeypatch.setattr(governance, "MOST_LINES", 2)
+    with pytest.raises(Exception, match="more than 2 rows"):
+        governance.markdown_table(rows, ["id"], ["id"]).collect()
+    monkeypatch.setattr(ingest, "MOST_RULES", 2)
+    with pytest.raises(ValueError):
+        ingest.route(rows, rows.withColumn("enabled", F.lit(True)))
+
+
+def test_steps_that_run(spark):
+    fails = hooks.Step("late", lambda f: f.withColumn("x", F.raise_error(F.lit("late"))), fallback=lambda f: f.limit(1))
+    out, report = hooks.run_steps(spark.range(4), [fails], execute=True)
+    assert out.count() == 1 and report.trace[0][1].startswith("fallback")
