@@ -160,6 +160,22 @@ def json_block(text: Column) -> Column:
     return F.regexp_replace(F.when(has[0], blocks[0]).when(has[1], blocks[1]), r"^\s+|\s+$", "")
 
 
+def resolved(reference: Column, states: Column, event: Column) -> Column:
+    """Value of ``$event.field`` in a JSON event, or of ``$step.field`` in a map from steps to their JSON (the whole state where the field is
+    missing); null where nothing is found, and other texts as they are. Objects and arrays come as JSON."""
+    root, field = F.regexp_extract(reference, r"(?s)^\$+([^.]*)\.", 1), F.regexp_extract(reference, r"(?s)^\$+[^.]*\.(.*)$", 1)
+    fields = lambda c: F.from_json(c, "map<string,string>")
+    state = F.try_element_at(states, root)
+    found = F.when(F.map_contains_key(fields(state), field), F.try_element_at(fields(state), field)).otherwise(state)
+    value = F.when(root == "event", F.try_element_at(fields(event), field)).otherwise(found)
+    return F.when(reference.rlike(r"^\$+[^.]*\."), value).otherwise(reference)
+
+
+def source_key(hashes: Column) -> Column:
+    """The key of a set of hashes: a JSON array in ascending order."""
+    return F.to_json(F.sort_array(hashes))
+
+
 def series_f1(predicted: Column, truth: Column, tolerance: float) -> Column:
     """F1 of named series, arrays of (name, values): one counts if a true one has its name, its length and values within the relative tolerance."""
     near = lambda p, t: F.forall(F.zip_with(p["values"], t["values"], lambda a, b: relative_error(a, b) <= tolerance), lambda ok: ok)

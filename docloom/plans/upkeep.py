@@ -211,3 +211,17 @@ def rich_entities(spark, d):
     e = read(spark, d, "documents").select(F.col("doc_id").alias("item_id"), en.rich_entities(text).alias("e"))
     first = lambda name: F.get(f"e.{name}", F.lit(0))
     return e.select("item_id", first("persons").alias("person"), first("dates").alias("day"), first("amounts")["value"].alias("amount"), first("amounts")["raw"].alias("raw"), first("locations").alias("place"), first("organizations").alias("body"))
+
+
+@register("resolved_values", """select event_id as id, case event_id % 4 when 0 then json_extract_string(props, '$.k') when 1 then event_type when 2 then '{"kind":"' || event_type || '"}' else 'plain' end as value from events""")
+def resolved_values(spark, d):
+    """A reference of each event, resolved in its properties or in the state of a step."""
+    ref = F.element_at(F.array(*map(F.lit, ["$event.k", "$last.kind", "$last.none", "plain"])), (F.col("event_id") % 4 + 1).cast("int"))
+    states = F.create_map(F.lit("last"), F.to_json(F.struct(F.col("event_type").alias("kind"))))
+    return read(spark, d, "events").select(F.col("event_id").alias("id"), qu.resolved(ref, states, F.col("props")).alias("value"))
+
+
+@register("source_keys", f"""select agent, '["' || array_to_string(list_sort(list(distinct kind)), '","') || '"]' as key from ({USAGE}) group by agent""")
+def source_keys(spark, d):
+    """The key of the kinds that each agent uses."""
+    return usage_events(spark, d).groupBy("agent").agg(qu.source_key(F.collect_set("kind")).alias("key"))

@@ -151,3 +151,11 @@ def test_steps_that_run(spark):
     fails = hooks.Step("late", lambda f: f.withColumn("x", F.raise_error(F.lit("late"))), fallback=lambda f: f.limit(1))
     out, report = hooks.run_steps(spark.range(4), [fails], execute=True)
     assert out.count() == 1 and report.trace[0][1].startswith("fallback")
+
+
+def test_resolved_values(spark):
+    states, event = F.create_map(F.lit("a"), F.lit('{"x": "1", "n": null, "o": {"y": 2}}'), F.lit("b"), F.lit('"text"')), F.lit('{"k": 5, "x.y": true}')
+    refs = ["$event.k", "$event.x.y", "$event.no", "$a.x", "$a.n", "$a.o", "$b.x", "$c.x", "$a", "plain.x", "", None]
+    want = ["5", "true", None, "1", None, '{"y":2}', '"text"', None, "$a", "plain.x", "", None]
+    assert values(spark, query.resolved(F.col("t"), states, event), refs) == want
+    assert spark.range(1).select(query.source_key(F.array(F.lit("b"), F.lit("a")))).first()[0] == '["a","b"]'
