@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm import bpe, decision_list, decontam, linededup, pseudonyms, rule_ensemble, sharding, simhash, substring, toxicity
+from docloom.llm import bpe, decision_list, decontam, linededup, pseudonyms, repair, rule_ensemble, sharding, simhash, substring, toxicity
 from docloom.llm.common import documents, table
 
 
@@ -106,6 +106,70 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rule_ensemble.score_quality(documents(spark, sf_dir), table(spark, sf_dir, "labels"))
 
 
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.repaired(repair.damaged(table(spark, sf_dir, "conversations")))
+
+
+#: DuckDB has no crc32: its table by rule, eight shifts of each byte, and the sum of an ASCII text by it.
+CRC32_TABLE = "bits as (select x, x as c, 0 as k from range(256) r(x) union all select x, xor(c >> 1, 3988292384 * (c & 1)), k + 1 from bits where k < 8), crc as (select list(c order by x) as tab from bits where k = 8)"
+
+
+def crc32_sql(text: str) -> str:
+    return f"xor(4294967295, list_reduce([4294967295] || list_transform(string_split({text}, ''), lambda x: ascii(x)::bigint), lambda c, b: xor(c >> 8, tab[(xor(c, b) & 255) + 1])))"
+
+
+def _repair_sql() -> str:
+    """The same dynamic programme over strings: a state's value is its cost in eight digits and then its audit."""
+    edit = lambda v, cost, letter: f"(case when {v} is not null then printf('%08d', {v}[:8]::bigint + {cost}) || {v}[9:] || '{letter}' end)"
+    kept = lambda v, initial: f"(case when not must and left(role, 1) = '{initial}' then {edit(v, 'cut', 'K')} end)"
+    held = lambda v: f"(case when not must then {edit(v, '2 + cut', 'R')} end)"
+    user = lambda f: ", ".join(f(v) for v in ("v0", "v1", "v3"))
+
+    def insert(source: str) -> str:
+        for _ in range(2):
+            keep = "* exclude (v2, v3)"
+            source = f"(select {keep}, least(v2, {user(lambda v: edit(v, 2, 'I'))}) as v2, v3 from {source})"
+            source = f"(select {keep}, v2, least(v3, {edit('v2', 2, 'I')}) as v3 from {source})"
+        return source
+
+    start = "(select s.*, r.role, r.must, r.cut from step s join placed r on r.conv is not distinct from s.conv and r.i = s.i + 1)"
+    row = f"""select conv, i + 1 as i, {edit('v0', 3, 'D')} as v0, least({edit('v1', 3, 'D')}, {kept('v0', 's')}) as v1,
+        least({edit('v2', 3, 'D')}, {user(lambda v: kept(v, 'u'))}, {user(held)}) as v2, least({edit('v3', 3, 'D')}, {kept('v2', 'a')}, {held('v2')}) as v3 from {insert(start)}"""
+    return f"""
+with recursive {CRC32_TABLE},
+raw as (
+    select conv_id as conv, turn, coalesce(role, ' ') as role, coalesce(text, ' ') as text,
+        {crc32_sql("coalesce(conv_id::varchar, ' ') || ':' || coalesce(turn::varchar, ' ')")} % 20 as d from conversations, crc),
+hurt as (
+    select conv, turn, case when d = 4 then 'user' else role end as role, case d when 1 then '' when 2 then regexp_replace(text, '[.!?]', '', 'g') else text end as text,
+        unnest(case when d = 3 then [1, 2] else [1] end) as copy from raw where d <> 0),
+told as (
+    select *, row_number() over w as i, regexp_extract(text, '([^\\x20\\x09-\\x0D])[\\x20\\x09-\\x0D]*$', 1) as last,
+        left(lag(role) over w, 1) || left(role, 1) as pair from hurt window w as (partition by conv order by turn nulls first, role, text)),
+seen as (select *, row_number() over (partition by conv, role, text order by i) > 1 as again from told),
+placed as (select *, last = '' or again as must, (last not in ('', '.', '!', '?') and not again)::bigint as cut from seen),
+step as (
+    select distinct conv, 0::bigint as i, '00000000' as v0, null::varchar as v1, null::varchar as v2, null::varchar as v3 from raw
+    union all {row}),
+ends as (select conv, least(v0, v3) as v from {insert("(select * from step qualify i = max(i) over (partition by conv))")}),
+edits as (select conv, unnest(generate_series(1, length(v) - 8)) as k, v from ends),
+named as (select conv, k, v[8 + k] as e, count(*) filter (v[8 + k] <> 'I') over (partition by conv order by k) as i, count(*) filter (v[8 + k] <> 'D') over (partition by conv order by k desc) as behind from edits),
+lines as (
+    select n.conv, k, case when e = 'K' then p.role when behind % 2 = 1 then 'assistant' else 'user' end || ':' || case when e = 'I' then '' else p.text end as line
+    from named n left join placed p on p.conv is not distinct from n.conv and p.i = n.i where e <> 'D'),
+hashed as (select conv, sha256(string_agg(line, chr(10) order by k)) as h from lines group by conv),
+counted as (
+    select conv, coalesce(max(turn) - min(turn) + 1 - count(distinct turn), 0) as gaps, count_if(last = '') as blank, count_if(last <> '' and again) as duplicate, sum(cut)::bigint as truncated,
+        count_if(pair not in ('su', 'ua', 'au')) as illegal from placed group by conv)
+select e.conv as conv_id, coalesce(gaps, 0)::bigint as gaps, coalesce(blank, 0)::bigint as blank, coalesce(duplicate, 0)::bigint as duplicate, coalesce(truncated, 0)::bigint as truncated,
+    coalesce(illegal, 0)::bigint as illegal, v[:8]::bigint as cost, v[9:] as audit, coalesce(h, sha256('')) as repaired_sha256
+from ends e left join counted c on c.conv is not distinct from e.conv left join hashed h on h.conv is not distinct from e.conv
+"""
+
+
+OP12_SQL = _repair_sql()
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op2_quality_rules": op2_quality_rules,
@@ -117,6 +181,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_decontamination": op8_decontamination,
     "op9_sharding": op9_sharding,
     "op10_quality_classifier": op10_quality_classifier,
+    "op12_conversation_repair": op12_conversation_repair,
 }
 
-ORACLE_SQL: dict[str, str] = {"op3_line_dedup": OP3_SQL, "op6_substring_dedup": OP6_SQL, "op8_decontamination": OP8_SQL}
+ORACLE_SQL: dict[str, str] = {"op3_line_dedup": OP3_SQL, "op6_substring_dedup": OP6_SQL, "op8_decontamination": OP8_SQL, "op12_conversation_repair": OP12_SQL}
