@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm import bpe, decision_list, decontam, linededup, pseudonyms, repair, rule_ensemble, sharding, simhash, substring, toxicity
+from docloom.llm import bpe, decision_list, decontam, linededup, pseudonyms, ranked_search, repair, rule_ensemble, sharding, simhash, substring, toxicity
 from docloom.llm.common import documents, table
 
 
@@ -170,6 +170,30 @@ from ends e left join counted c on c.conv is not distinct from e.conv left join
 OP12_SQL = _repair_sql()
 
 
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search.search(documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
+
+
+#: Every document that shares a term with an item is scored.
+OP13_SQL = """
+with d as (
+    select row_number() over () as r, doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+') as ws
+    from documents),
+sizes as (select r, doc_id, len(ws)::bigint as n from d where len(ws) > 0),
+totals as (select count(*)::bigint as nn, sum(n)::bigint as ll from sizes),
+counts as (select r, t, count(*)::bigint as tf from (select r, unnest(ws) as t from d) group by r, t),
+terms as (
+    select distinct item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) as t
+    from benchmark),
+weights as (select t, floor(1000 * ln((2 * nn + 2)::double / (2 * count(*) + 1)))::bigint as w from counts, totals where t in (select t from terms) group by t, nn),
+scored as (
+    select item_id, r, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * nn) // ll))))::bigint as score
+    from terms join counts using (t) join weights using (t) join sizes using (r), totals group by item_id, r),
+placed as (select item_id, doc_id, score, row_number() over (partition by item_id order by score desc, doc_id) as rank from scored join sizes using (r) where score > 0)
+select item_id, rank::integer as rank, doc_id, score from placed where rank <= 10
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op2_quality_rules": op2_quality_rules,
@@ -182,6 +206,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_sharding": op9_sharding,
     "op10_quality_classifier": op10_quality_classifier,
     "op12_conversation_repair": op12_conversation_repair,
+    "op13_ranked_search": op13_ranked_search,
 }
 
-ORACLE_SQL: dict[str, str] = {"op3_line_dedup": OP3_SQL, "op6_substring_dedup": OP6_SQL, "op8_decontamination": OP8_SQL, "op12_conversation_repair": OP12_SQL}
+ORACLE_SQL: dict[str, str] = {
+    "op3_line_dedup": OP3_SQL, "op6_substring_dedup": OP6_SQL, "op8_decontamination": OP8_SQL, "op12_conversation_repair": OP12_SQL,
+    "op13_ranked_search": OP13_SQL,
+}
