@@ -12,69 +12,111 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
-# ---- fixed values: detectors in their order of precedence, checksum weights and sensitivity words
+# ---- fixed values: checksum weights, sensitivity words and detectors in their order of precedence
 ID_WEIGHTS = (7, 9, 10, 5, 8, 4, 2, 1, 6, 3, 7, 9, 10, 5, 8, 4, 2)
 ID_CHECK = "10X98765432"
 CLASSIFIED = ("绝密", "机密", "top secret", "classified")
+#: Placeholders of kinds that aren't named as the kind is; kinds of one placeholder are numbered together.
+PREFIX = {"ID_CARD": "ID", "IPV4": "IP", "IPV6": "IP", "CREDIT_CARD": "CARD", "BANK_CARD": "CARD", "API_KEY": "APIKEY"}
 HIGH_RISK = ("ID_CARD", "BANK_CARD", "CREDIT_CARD", "API_KEY")
+#: kind, pattern, and the characters that may not stand right before or after a match. Matches are found first and tested after, so a rejected one isn't
+#: tried again at another place.
 DETECTORS = [
-    ("EMAIL", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"),
-    ("URL", r"https?://[^\s<>\"')\]]+"),
-    ("API_KEY", r"sk-(?:ant-api03-)?[A-Za-z0-9_-]{16,}"),
-    ("API_KEY", r"gh[posu]_[A-Za-z0-9]{36,}"),
-    ("API_KEY", r"github_pat_[A-Za-z0-9_]{22,}"),
-    ("API_KEY", r"glpat-[A-Za-z0-9_-]{20}"),
-    ("API_KEY", r"AKIA[0-9A-Z]{16}"),
-    ("API_KEY", r"xox[baprs]-[A-Za-z0-9-]{10,}"),
-    ("API_KEY", r"hf_[A-Za-z0-9]{32,}"),
-    ("API_KEY", r"AIza[0-9A-Za-z_-]{35}"),
-    ("ID_CARD", r"(?<!\d)\d{17}[\dXx](?![\dA-Za-z])"),
-    ("GPS", r"-?\d{1,3}\.\d{2,}\s*,\s*-?\d{1,3}\.\d{2,}"),
-    ("IPV4", r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\d.]*\d)"),
-    ("IPV6", r"[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{0,4}){2,7}"),
-    ("MAC", r"(?<![:\w])(?:[0-9A-Fa-f]{2}[:-]){5}[0-9A-Fa-f]{2}(?![:\w])"),
-    ("CREDIT_CARD", r"(?<!\d)\d(?:[ -]?\d){12,18}(?!\d)"),
-    ("BANK_CARD", r"(?<!\d)\d{16,19}(?!\d)"),
-    ("PHONE", r"(?<!\d)1[3-9]\d{9}(?!\d)|(?<![\d+])\+?\d{0,3}[ .-]?\(\d{3}\)[ .-]?\d{3}[ .-]\d{4}(?!\d)"),
-    ("PLATE", r"[京津沪渝冀豫云辽黑湘皖鲁新苏浙赣鄂桂甘晋蒙陕吉闽贵粤青藏川宁琼][A-Z][A-Z0-9]{5,6}(?![A-Z0-9])"),
+    ("URL", r"https?://[^\s<>\"'一-鿿]+", ""),
+    ("EMAIL", r"[A-Za-z0-9._%+\-]+@[A-Za-z0-9.\-]+\.[A-Za-z]{2,}", ""),
+    ("ID_CARD", r"[1-9]\d{5}(?:19|20)\d{2}(?:0[1-9]|1[0-2])(?:0[1-9]|[12]\d|3[01])\d{3}[0-9Xx]", "0123456789"),
+    ("CREDIT_CARD", r"(?:\d{4}[ \-]?){3}\d{4}", ""),
+    ("BANK_CARD", r"\d{16,19}", "0123456789"),
+    ("API_KEY", r"sk-(?:ant-api03-)?[A-Za-z0-9_\-]{32,}", ""),
+    ("API_KEY", r"gh[posu]_[A-Za-z0-9]{36,}", ""),
+    ("API_KEY", r"github_pat_[A-Za-z0-9_]{22,}", ""),
+    ("API_KEY", r"glpat-[A-Za-z0-9_\-]{20}", ""),
+    ("API_KEY", r"AKIA[0-9A-Z]{16}", ""),
+    ("API_KEY", r"xox[baprs]-[A-Za-z0-9\-]{10,}", ""),
+    ("API_KEY", r"hf_[A-Za-z0-9]{32,}", ""),
+    ("API_KEY", r"AIza[0-9A-Za-z_\-]{35}", ""),
+    ("IPV6", r"[0-9a-fA-F]{1,4}(?::[0-9a-fA-F]{0,4}){2,7}", ""),
+    ("IPV4", r"(?:(?:25[0-5]|2[0-4]\d|[01]?\d\d?)\.){3}(?:25[0-5]|2[0-4]\d|[01]?\d\d?)", "0123456789."),
+    ("PHONE", r"(?:\+?86)?1[3-9]\d{9}", "0123456789"),
+    ("PLATE", r"[京津沪渝冀豫云辽黑湘皖鲁新苏浙赣鄂桂甘晋蒙陕吉闽贵粤青藏川宁琼][A-Z][A-Z0-9]{5,6}", ""),
+    ("MAC", r"[0-9A-Fa-f]{2}(?:[:\-][0-9A-Fa-f]{2}){5}", ""),
+    ("GPS", r"-?\d{1,3}\.\d{2,}\s*,\s*-?\d{1,3}\.\d{2,}", ""),
 ]
-#: What a text must hold for a detector to be worth running; digits for those not listed.
-NEEDS = {"EMAIL": "@", "URL": "://", "API_KEY": "sk-|gh[posu]_|github_pat_|glpat-|AKIA|xox|hf_|AIza", "IPV6": ":[0-9A-Fa-f]", "MAC": "[0-9A-Fa-f][:-][0-9A-Fa-f]", "PLATE": "[一-鿿][A-Z]"}
-COMPILED = [(k, re.compile(p), re.compile(NEEDS.get(k, "[0-9]"))) for k, p in DETECTORS]
+# ---- end of the fixed values
+COMPILED = [(k, re.compile(p), beside) for k, p, beside in DETECTORS]
+#: What a text must hold for a detector to be worth running; equal expressions are searched once a text.
+KEYS, NUMBER = re.compile("sk-|gh[posu]_|github_pat_|glpat-|AKIA|xox|hf_|AIza"), re.compile(r"\d")
+GATES = {
+    "URL": re.compile("://"), "EMAIL": re.compile("@"), "ID_CARD": re.compile(r"\d{17}"), "CREDIT_CARD": re.compile(r"\d{4}[ \-]?\d{4}"), "BANK_CARD": re.compile(r"\d{16}"), "API_KEY": KEYS,
+    "IPV6": re.compile(":[0-9a-fA-F]*:"), "IPV4": re.compile(r"\d\.\d"), "PHONE": re.compile(r"\d{11}"), "PLATE": re.compile("[一-鿿][A-Z]"), "MAC": re.compile("[0-9A-Fa-f][:\\-][0-9A-Fa-f]"), "GPS": re.compile(r"\d\.\d"),
+}
+NUMERIC = ("ID_CARD", "CREDIT_CARD", "BANK_CARD", "IPV4", "PHONE", "GPS")
+LOCAL, DOMAIN = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-", re.compile(r"[A-Za-z0-9.\-]+\.[A-Za-z]{2,}")
+
+
+def luhn(value: str) -> bool:
+    """Luhn's sum over the ASCII digits of a value that has 13 to 19 of them."""
+    digits = [ord(c) - 48 for c in value if "0" <= c <= "9"]
+    if not 13 <= len(digits) <= 19:
+        return False
+    doubled = [d if i % 2 == 0 else 2 * d - 9 * (d > 4) for i, d in enumerate(reversed(digits))]
+    return sum(doubled) % 10 == 0
 
 
-def luhn(digits: str) -> bool:
-    total = 0
-    for i, c in enumerate(reversed(digits)):
-        v = int(c) * (2 if i % 2 else 1)
-        total += v - 9 if v > 9 else v
-    return total % 10 == 0
+def id_card(value: str) -> bool:
+    return value[:17].isascii() and ID_CHECK[sum(int(c) * w for c, w in zip(value, ID_WEIGHTS)) % 11] == value[17].upper()
 
 
-def id_card(value: str) -> bool:
-    return ID_CHECK[sum(int(c) * w for c, w in zip(value, ID_WEIGHTS)) % 11] == value[17].upper()
-
-
-def _valid(kind: str, value: str) -> bool:
-    if kind == "CREDIT_CARD":
-        digits = re.sub(r"\D", "", value)
-        return 13 <= len(digits) <= 19 and luhn(digits)
-    if kind == "ID_CARD":
-        return id_card(value)
-    if kind == "IPV6":
-        try:
-            return ("::" in value or value.count(":") >= 7) and ipaddress.IPv6Address(value).version == 6
-        except ValueError:
-            return False
-    if kind == "GPS":
-        lat, lon = map(float, value.split(","))
-        return abs(lat) <= 90 and abs(lon) <= 180
-    return True
+def ipv6(value: str) -> bool:
+    try:
+        return ("::" in value or value.count(":") >= 7) and ipaddress.IPv6Address(value).version == 6
+    except ValueError:
+        return False
+
+
+def on_earth(value: str) -> bool:
+    lat, lon = map(float, value.split(","))
+    return abs(lat) <= 90 and abs(lon) <= 180
+
+
+VALID = {"CREDIT_CARD": luhn, "ID_CARD": id_card, "IPV6": ipv6, "GPS": on_earth}
+
+
+def emails(text: str) -> Iterator[tuple[int, int]]:
+    """Matches of the e-mail pattern, from each @ outwards: linear in the text, where a search would start at every letter of a long run."""
+    last, at = 0, text.find("@")
+    while at >= 0:
+        start = last + len(text[last:at].rstrip(LOCAL))
+        found = DOMAIN.match(text, at + 1) if start < at else None
+        if found:
+            yield start, found.end()
+        last = found.end() if found else at + 1
+        at = text.find("@", last)
+
+
+def matches(text: str) -> Iterator[tuple[int, int, int, str]]:
+    """(start, -end, detector, kind) of every valid match."""
+    worth = {KEYS: KEYS.search(text)}
+    numbers = NUMBER.search(text)
+    for i, (kind, pattern, beside) in enumerate(COMPILED):
+        gate = GATES[kind]
+        if kind in NUMERIC and not numbers or kind == "PLATE" and text.isascii():
+            continue
+        if gate not in worth:
+            worth[gate] = gate.search(text)
+        if not worth[gate]:
+            continue
+        valid = VALID.get(kind)
+        for start, end in emails(text) if kind == "EMAIL" else (m.span() for m in pattern.finditer(text)):
+            if beside and (start and text[start - 1] in beside or end < len(text) and text[end] in beside):
+                continue
+            if valid is None or valid(text[start:end]):
+                yield start, -end, i, kind
 
 
 def find_spans(text: str, own: tuple[tuple[str, re.Pattern], ...] = ()) -> list[dict]:
     """Valid matches in text order; of overlapping ones the earlier wins, then the longer, then the detector listed first; those of ``own`` come last."""
-    found = [(m.start(), -m.end(), i, k) for i, (k, p, need) in enumerate(COMPILED) if need.search(text) for m in p.finditer(text) if _valid(k, m.group())]
+    found = list(matches(text))
     found += [(m.start(), -m.end(), len(COMPILED) + i, k) for i, (k, p) in enumerate(own) for m in p.finditer(text) if m.group()]
     out, end = [], 0
     for start, minus, _, kind in sorted(found):
@@ -118,12 +160,13 @@ def span_counts(spans: Column) -> Column:
 
 
 def placeholders(spans: list) -> list[str]:
-    """Numbered by kind in order of first appearance; equal values share a number."""
+    """Numbered by prefix in order of first appearance; equal values share a number."""
     seen: dict[str, dict[str, int]] = {}
     out = []
     for s in spans:
-        known = seen.setdefault(s["kind"], {})
-        out.append(f"[{s['kind']}_{known.setdefault(s['value'], len(known) + 1)}]")
+        prefix = PREFIX.get(s["kind"], s["kind"])
+        known = seen.setdefault(prefix, {})
+        out.append(f"[{prefix}_{known.setdefault(s['value'], len(known) + 1)}]")
     return out
 
 

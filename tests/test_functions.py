@@ -45,12 +45,12 @@ def test_text_columns(spark):
 
 
 def test_privacy(spark):
-    text = "mail a@b.org, card 4111 1111 1111 1111, bad 4111 1111 1111 1112, id 11010519491231002X, again a@b.org, key sk-abcdefghijklmnop1234"
+    text = "mail a@b.org, card 4111 1111 1111 1111, bad 4111 1111 1111 1112, id 11010519491231002X, again a@b.org, key sk-abcdefghijklmnopqrstuvwxyz012345"
     spans = privacy.find_spans(text)
     assert [s["kind"] for s in spans] == ["EMAIL", "CREDIT_CARD", "ID_CARD", "EMAIL", "API_KEY"]
     out = spark.createDataFrame([(text,), (None,)], "t string").withColumn("s", privacy.detect("t")).withColumn("r", privacy.redact("t", "s"))
     r = out.first()
-    assert r.r.startswith("mail [EMAIL_1], card [CREDIT_CARD_1]") and r.r.count("[EMAIL_1]") == 2
+    assert r.r.startswith("mail [EMAIL_1], card [CARD_1]") and r.r.count("[EMAIL_1]") == 2
     pairs = F.array(F.struct(F.lit("[EMAIL_1]").alias("placeholder"), F.lit("a@b.org").alias("original")))
     assert one(spark, privacy.restore(F.col("t"), pairs), "x [EMAIL_1]") == "x a@b.org"
     kinds = F.array(*[F.lit("ID_CARD")] * 5)
