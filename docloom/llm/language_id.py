@@ -15,6 +15,8 @@ from docloom.llm.textstats import fold
 
 #: Learned rows of a language, at most, each of at most so many bytes; longer texts are predicted but not learned from.
 SAMPLE, LONGEST = 256, 1 << 14
+#: Parts that a language's keys are dealt over while the smallest are looked for.
+DEAL = 64
 #: Bytes of one language's dictionary, and of all together, at most; beyond 128 languages each gets an equal share.
 DICTIONARY, DICTIONARIES = 1 << 19, 1 << 26
 #: Bytes that are compressed at once: in longer stretches the text's own past would stand in for the dictionary.
@@ -38,8 +40,10 @@ def sample(docs: DataFrame, folds: int, held: int, most: int = SAMPLE, longest:
     Rows with a null id, text or language and rows alike are counted out or once; the order of rows doesn't matter."""
     usable = docs.where(F.col("lang").isNotNull() & (fold("doc_id", folds) != held) & (F.octet_length("text") <= longest))
     keyed = usable.select("lang", F.xxhash64("doc_id", "text").alias("key"), "text")
-    first = Window.partitionBy("lang").orderBy("key")
-    chosen = keyed.select("lang", "key").distinct().withColumn("r", F.row_number().over(first)).where(F.col("r") <= most).select("lang", "key")
+    chosen = keyed.select("lang", "key").distinct()
+    for parts in ([F.col("lang"), F.pmod("key", F.lit(DEAL))], [F.col("lang")]):  # a language may hold most rows, so its parts are cut first
+        first = Window.partitionBy(*parts).orderBy("key")
+        chosen = chosen.withColumn("r", F.row_number().over(first)).where(F.col("r") <= most).select("lang", "key")
     sizes = usable.groupBy("lang").agg(F.count("*").alias("n"))
     return keyed.join(F.broadcast(chosen), ["lang", "key"]).groupBy("lang", "key").agg(F.min("text").alias("text")).join(F.broadcast(sizes), "lang")
 
