@@ -4,6 +4,8 @@ Query-side values (terms, query vector) are small literals; the corpus side is s
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -11,6 +13,7 @@ from pyspark.sql.window import Window
 from docloom.functions import text as tx
 from docloom.functions import vector as vx
 from docloom.functions.vector import let
+from docloom.operators.skew import meet
 from docloom.sources.shared import stored
 
 # ---- fixed values: the model constants of the ranking
@@ -21,19 +24,24 @@ RERANK_COSINE, RERANK_RRF = 0.7, 0.3
 MIN_SHARE = 100
 
 
-def postings(items: DataFrame) -> DataFrame:
-    """(term, item_id, tf, length): the inverted index, ready to be written bucketed by term."""
-    each = items.select("item_id", tx.tokens(F.col("content")).alias("w")).where(F.size("w") > 0)
+def bm25_weight(tf: Column, df: Column, length: Column, docs: Column, mean: Column) -> Column:
+    """What one term adds to a document's score."""
+    return F.log(1 + (docs - df + 0.5) / (df + 0.5)) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / mean))
+
+
+def postings(items: DataFrame, words: Callable[[Column], Column] = tx.tokens) -> DataFrame:
+    """(term, item_id, tf, length): the inverted index, ready to be written bucketed by term. ``words`` makes a text's terms."""
+    each = items.select("item_id", words(F.col("content")).alias("w")).where(F.size("w") > 0)
     return each.select("item_id", F.size("w").alias("length"), F.explode("w").alias("term")).groupBy("term", "item_id").agg(F.count("*").alias("tf"), F.first("length").alias("length"))
 
 
 def build_index(items: DataFrame, folder: str, buckets: int = 64) -> None:
     """Writes the inverted index to ``folder``, once for all queries: postings with the term's document frequency, in folders by term bucket and
     sorted by term, and one row of corpus totals. A query then reads the row groups of its terms and no text."""
-    each = postings(items)
-    df = each.groupBy("term").agg(F.count("*").alias("df"))
-    rows = each.join(df, "term").withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int"))
-    rows.repartitionByRange("bucket", "term").sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(f"{folder}/postings")
+    each = stored(postings(items), "postings")
+    df = stored(each.groupBy("term").agg(F.count("*").alias("n")).withColumn("df", F.col("n")), "df")
+    rows = meet(each, df, "term", F.xxhash64("item_id")).withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int"))
+    rows.repartitionByRange("bucket", "term", "item_id").sortWithinPartitions("bucket", "term", "item_id").write.partitionBy("bucket").parquet(f"{folder}/postings")
     lengths = items.select(F.size(tx.tokens(F.col("content"))).alias("n")).where("n > 0")
     lengths.agg(F.count("*").alias("docs"), F.avg("n").alias("mean"), F.lit(buckets).alias("buckets")).write.parquet(f"{folder}/totals")
 
@@ -44,28 +52,26 @@ def bm25_indexed(spark: SparkSession, folder: str, terms: list[str], top: int) -
     totals = spark.read.parquet(f"{folder}/totals").first()
     rows = spark.read.parquet(f"{folder}/postings").where(F.col("term").isin(*wanted))
     places = [r.b for r in spark.range(1).select(F.explode(F.array(*[F.pmod(F.xxhash64(F.lit(t)), F.lit(totals.buckets)).cast("int") for t in wanted or [""]])).alias("b")).collect()]
-    idf = F.log(1 + (totals.docs - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weight = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.lit(totals.mean)))
+    weight = bm25_weight(F.col("tf"), F.col("df"), F.col("length"), F.lit(totals.docs), F.lit(totals.mean))
     scored = rows.where(F.col("bucket").isin(*places)).groupBy("item_id").agg(F.round(F.sum(weight), 6).alias("score"))
     return ranked(scored, top)
 
 
-def bm25(items: DataFrame, terms: list[str], top: int) -> DataFrame:
-    """(item_id, score, rank) of an OR query without an index. Texts are tokenized once: what is kept of each, its length and the counts of
+def bm25(items: DataFrame, terms: list[str], top: int, words: Callable[[Column], Column] = tx.tokens) -> DataFrame:
+    """(item_id, score, rank) of an OR query without an index. ``words`` makes a text's terms. Texts are tokenized once: what is kept of each, its length and the counts of
     the query's terms, is stored; corpus totals are one aggregate over that, whose single row is broadcast."""
     wanted = sorted({t.lower() for t in terms})
     if not wanted:
         return items.select("item_id", F.lit(0.0).alias("score"), F.lit(0).alias("rank")).limit(0)
-    words = items.select("item_id", let(tx.tokens(F.col("content")), lambda w: F.struct(F.size(w).alias("n"), F.filter(w, lambda x: x.isin(*wanted)).alias("hits"))).alias("s"))
+    words = items.select("item_id", let(words(F.col("content")), lambda w: F.struct(F.size(w).alias("n"), F.filter(w, lambda x: x.isin(*wanted)).alias("hits"))).alias("s"))
     count = lambda t: F.size(F.filter("s.hits", lambda x: x == t))
     rows = stored(words.select("item_id", F.col("s.n").alias("n"), *[count(t).alias(f"tf{i}") for i, t in enumerate(wanted)]), "bm25")
     stats = rows.agg(F.count_if(F.col("n") > 0).alias("docs"), F.avg(F.when(F.col("n") > 0, F.col("n"))).alias("mean"), *[F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(wanted))])
     hit = F.lit(False)
     total: Column = F.lit(0.0)
     for i in range(len(wanted)):
-        tf, df = F.col(f"tf{i}"), F.col(f"df{i}")
-        idf = F.log(1 + (F.col("docs") - df + 0.5) / (df + 0.5))
-        total = total + idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("n") / F.col("mean")))
+        tf = F.col(f"tf{i}")
+        total = total + bm25_weight(tf, F.col(f"df{i}"), F.col("n"), F.col("docs"), F.col("mean"))
         hit = hit | (tf > 0)
     scored = rows.where(hit).join(F.broadcast(stats)).select("item_id", F.round(total, 6).alias("score"))
     return ranked(scored, top)
