@@ -1,9 +1,4 @@
-"""A stored full-text index in segments that are never changed: adding writes a segment, deleting a list of ids, and small segments are merged.
-
-Below the index's folder: ``items/seq=n`` holds a segment's items with their term counts, ``postings/seq=n`` the same by term, ``gone/seq=n`` the ids
-that step n took from older segments, and ``manifest/version=n`` which of them are alive. A step writes its tables first and its manifest last, so that readers
-see all of it or nothing; a second writer of the same version fails. Tables that no manifest names any more can be removed by age.
-"""
+"""A stored full-text index in segments: items with their term counts, and postings by term."""
 
 from __future__ import annotations
 
@@ -16,148 +11,84 @@ from pyspark.sql import functions as F
 
 from docloom.functions import analyzer
 from docloom.operators.retrieval import bm25_weight, ranked
+from docloom.operators.segments import Segments
 
 ANALYZERS: dict[str, tuple[Callable, Callable]] = {
     "plain": (lambda: analyzer.plain_terms, lambda: analyzer.plain_terms),
     "english_han": (analyzer.english_han, lambda: analyzer.english_han(query=True)),
 }
-MANIFEST = "kind string, seq long, target long, docs long, terms long, note string"
+
+#: Term counts of one batch of items, at about; it bounds what a task holds.
+BATCH_TERMS = 1 << 16
 
 
 def counted(items: DataFrame, how: str) -> DataFrame:
     """(item_id, length, counts): the number of terms of each item and its terms with their frequency; map-only. A null content is an empty one."""
     make = ANALYZERS[how][0]
 
+    def packed(ids: list, lengths: list, ends: list, terms: list, tfs: list, kind: pa.DataType) -> pa.RecordBatch:
+        counts = pa.StructArray.from_arrays([pa.array(terms, pa.string()), pa.array(tfs, pa.int32())], names=["term", "tf"])
+        return pa.RecordBatch.from_arrays([pa.array(ids, kind), pa.array(lengths, pa.int32()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), counts)], names=["item_id", "length", "counts"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         terms_of = make()
-        kind = pa.list_(pa.struct([("term", pa.string()), ("tf", pa.int32())]))
         for batch in batches:
-            found = [terms_of(t or "") for t in batch.column(1).to_pylist()]
-            counts = [[{"term": t, "tf": n} for t, n in Counter(terms).items()] for terms in found]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(t) for t in found], pa.int32()), pa.array(counts, kind)], names=["item_id", "length", "counts"])
+            ids, lengths, ends, terms, tfs = [], [], [0], [], []
+            for item_id, text in zip(batch.column(0), batch.column(1)):
+                found = terms_of(text.as_py() or "")
+                counts = Counter(found)
+                ids.append(item_id.as_py())
+                lengths.append(len(found))
+                terms += counts.keys()
+                tfs += counts.values()
+                ends.append(len(terms))
+                if len(terms) >= BATCH_TERMS:
+                    yield packed(ids, lengths, ends, terms, tfs, batch.schema.types[0])
+                    ids, lengths, ends, terms, tfs = [], [], [0], [], []
+            yield packed(ids, lengths, ends, terms, tfs, batch.schema.types[0])
 
     held = items.select("item_id", "content")
     return held.mapInArrow(run, f"item_id {held.schema['item_id'].dataType.simpleString()}, length int, counts array<struct<term:string,tf:int>>")
 
 
-class TextIndex:
-    """An index of items (item_id, content) below ``folder``, a path that driver and executors share."""
-
-    def __init__(self, spark: SparkSession, folder: str) -> None:
-        self.spark, self.folder = spark, folder
-        self.reload()
+class TextIndex(Segments):
+    """An index of items (item_id, content) below ``folder``; also in it: ``postings/seq=n``, a segment's rows by term. Items without a term aren't listed."""
 
     @classmethod
     def create(cls, spark: SparkSession, folder: str, how: str = "english_han", buckets: int = 64) -> TextIndex:
-        """An empty index. ``how`` names its analyzer, ``buckets`` is the number of term folders of a segment; both hold for its life."""
+        """An empty index. ``how`` names its analyzer, ``buckets`` is the number of term folders of a segment."""
         if how not in ANALYZERS:
             raise ValueError(f"no analyzer {how}")
-        spark.createDataFrame([("meta", 0, buckets, 0, 0, how)], MANIFEST).coalesce(1).write.parquet(f"{folder}/manifest/version=0")
+        cls.begin(spark, folder, buckets, how)
         return cls(spark, folder)
 
-    def reload(self) -> None:
-        """Reads the newest manifest, which has a row for each segment and for each segment that a step took ids from."""
-        rows = self.spark.read.parquet(f"{self.folder}/manifest")
-        self.version = rows.agg(F.max("version")).first()[0]
-        now = rows.where(F.col("version") == self.version).collect()
-        meta = next(r for r in now if r.kind == "meta")
-        self.buckets, self.how = meta.target, meta.note
-        self.segments = {r.seq: (r.docs, r.terms) for r in now if r.kind == "segment"}
-        self.gone = {(r.seq, r.target): (r.docs, r.terms) for r in now if r.kind == "gone"}
-        self.next = max((r.seq for r in now), default=0) + 1
-
-    def _commit(self) -> None:
-        rows = [("meta", self.next - 1, self.buckets, 0, 0, self.how)]
-        rows += [("segment", seq, seq, *n, "") for seq, n in self.segments.items()] + [("gone", seq, target, *n, "") for (seq, target), n in self.gone.items()]
-        self.spark.createDataFrame(rows, MANIFEST).coalesce(1).write.parquet(f"{self.folder}/manifest/version={self.version + 1}")
-        self.reload()
-
-    def _read(self, kind: str, numbers) -> DataFrame:
-        return self.spark.read.option("basePath", f"{self.folder}/{kind}").parquet(*[f"{self.folder}/{kind}/seq={n}" for n in sorted(numbers)])
-
-    def _alive(self, kind: str, segments) -> DataFrame:
-        """Rows of ``kind`` in the segments without those that a later step took away."""
-        rows = self._read(kind, segments)
-        steps = {seq for seq, target in self.gone if target in segments}
-        if not steps:
-            return rows
-        last = self._read("gone", steps).groupBy(F.col("item_id").alias("g")).agg(F.max("seq").alias("at"))
-        return rows.join(last, (F.col("item_id") == F.col("g")) & (F.col("seq") < F.col("at")), "left_anti")
-
-    def items(self) -> DataFrame | None:
-        """(item_id, length, counts, seq) of all items that have a term; None for an empty index."""
-        return self._alive("items", set(self.segments)).where("length > 0") if self.segments else None
-
-    def _take(self, ids: DataFrame, seq: int) -> None:
-        """Writes which of ``ids`` are in the index and counts them by segment."""
-        if not self.segments:
-            return
-        hit = self._alive("items", set(self.segments)).select("item_id", "length", F.col("seq").alias("target")).join(ids.select("item_id").distinct(), "item_id", "left_semi")
-        hit.write.parquet(f"{self.folder}/gone/seq={seq}")
-        written = self.spark.read.parquet(f"{self.folder}/gone/seq={seq}")
-        for r in written.groupBy("target").agg(F.count_if(F.col("length") > 0).alias("n"), F.sum("length").alias("terms")).collect():  # one row a segment
-            self.gone[(seq, r.target)] = (r.n, r.terms)
-
-    def _write(self, counts: DataFrame, seq: int) -> None:
-        """A segment of (item_id, length, counts). Its postings are ranged by term and item, so that a frequent term is split over tasks and files."""
-        counts.write.parquet(f"{self.folder}/items/seq={seq}")
-        stored = self.spark.read.parquet(f"{self.folder}/items/seq={seq}")
-        docs, terms = stored.where("length > 0").agg(F.count("*"), F.coalesce(F.sum("length"), F.lit(0))).first()
-        rows = stored.select("item_id", "length", F.explode("counts").alias("c")).select(F.col("c.term").alias("term"), "item_id", F.col("c.tf").alias("tf"), "length", self._bucket(F.col("c.term")).alias("bucket"))
-        rows.repartitionByRange("bucket", "term", "item_id").sortWithinPartitions("bucket", "term", "item_id").write.partitionBy("bucket").parquet(f"{self.folder}/postings/seq={seq}")
-        if docs:
-            self.segments[seq] = (docs, terms)
+    def write(self, rows: DataFrame, seq: int) -> tuple[int, int]:
+        """Postings are ranged by term and item, so that a frequent term is split over tasks and files."""
+        totals = super().write(rows, seq)
+        each = self.spark.read.parquet(f"{self.folder}/items/seq={seq}").select("item_id", "length", F.explode("counts").alias("c"))
+        flat = each.select(F.col("c.term").alias("term"), "item_id", F.col("c.tf").alias("tf"), "length", self._bucket(F.col("c.term")).alias("bucket"))
+        flat.repartitionByRange("bucket", "term", "item_id").sortWithinPartitions("bucket", "term", "item_id").write.partitionBy("bucket").parquet(f"{self.folder}/postings/seq={seq}")
+        return totals
 
     def _bucket(self, term):
-        return F.pmod(F.xxhash64(term), F.lit(self.buckets)).cast("int")
+        return F.pmod(F.xxhash64(term), F.lit(self.setting)).cast("int")
 
     def add(self, items: DataFrame) -> None:
         """Adds items; one that is there already is replaced. Of rows that repeat an id the one with the fewest terms stays; null ids aren't indexed."""
-        seq = self.next
-        once = counted(items.where(F.col("item_id").isNotNull()), self.how).groupBy("item_id").agg(F.min(F.struct("length", "counts")).alias("c"))
-        known = set(self.segments)
-        self._write(once.select("item_id", "c.length", "c.counts"), seq)
-        fresh = self.segments.pop(seq, None)
-        if known:
-            self._take(self.spark.read.parquet(f"{self.folder}/items/seq={seq}"), seq)
-        if fresh:
-            self.segments[seq] = fresh
-        self.next = seq + 1
-        self._commit()
-
-    def delete(self, ids: DataFrame) -> None:
-        """Takes the items of ``ids`` (item_id) out; unknown ids are ignored."""
-        self._take(ids, self.next)
-        self.next += 1
-        self._commit()
-
-    def merge(self, most: int = 8) -> None:
-        """With more than ``most`` segments, makes one of the smallest, so that half as many are left; ids that were taken out of them go for good."""
-        if len(self.segments) <= most:
-            return
-        small = set(sorted(self.segments, key=lambda s: (self.segments[s], s))[: len(self.segments) - most // 2 + 1])
-        seq = self.next
-        self._write(self._alive("items", small).select("item_id", "length", "counts"), seq)
-        self.segments = {s: n for s, n in self.segments.items() if s not in small}
-        self.gone = {k: n for k, n in self.gone.items() if k[1] not in small}
-        self.next = seq + 1
-        self._commit()
-
-    def totals(self) -> tuple[int, int]:
-        """Items with a term, and all their terms. What was taken out is off; items without a term count in neither."""
-        gone = [n for (_, target), n in self.gone.items() if target in self.segments]
-        return sum(d for d, _ in self.segments.values()) - sum(d for d, _ in gone), sum(t for _, t in self.segments.values()) - sum(t for _, t in gone)
+        once = counted(items.where(F.col("item_id").isNotNull()), self.note).groupBy("item_id").agg(F.min(F.struct("length", "counts")).alias("c"))
+        self.append(once.select("item_id", "c.length", "c.counts"))
 
     def search(self, query: str | list[str], top: int = 10) -> DataFrame:
         """(item_id, score, rank) by BM25 of any of the query's terms: a text goes through the index's analyzer, a list is taken as terms.
 
         Reads the postings of the query's terms; document frequencies are counted over what is alive in them."""
-        terms = sorted(set(ANALYZERS[self.how][1]()(query) if isinstance(query, str) else query))
+        terms = sorted(set(ANALYZERS[self.note][1]()(query) if isinstance(query, str) else query))
         docs, length = self.totals()
         if not terms or not docs:
             return self.spark.createDataFrame([], "item_id long, score double, rank int")
         places = self.spark.range(1).select(F.array_distinct(F.transform(F.array(*map(F.lit, terms)), self._bucket)).alias("b")).first().b
-        rows = self._alive("postings", set(self.segments)).where(F.col("bucket").isin(*places) & F.col("term").isin(*terms))
+        wanted = self.stored("postings", self.segments).where(F.col("bucket").isin(*places) & F.col("term").isin(*terms))
+        rows = self.alive(wanted, set(self.segments))
         df = F.broadcast(rows.groupBy("term").agg(F.count("*").alias("df")))
         weight = bm25_weight(F.col("tf"), F.col("df"), F.col("length"), F.lit(docs), F.lit(length / docs))
         return ranked(rows.join(df, "term").groupBy("item_id").agg(F.round(F.sum(weight), 6).alias("score")), top)

@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 from docloom.functions.analyzer import analyzed, query_terms
 from docloom.operators import retrieval
 from docloom.operators.text_index import TextIndex
+from docloom.operators.vector_index import VectorIndex
 from docloom.plans import search
 from docloom.sources.shared import shared_folder
-from docloom.sources.tables import items
+from docloom.sources.tables import items, vectors
 
 QUERIES, SQL = {}, {}
 QUESTION = "Licensed under the Apache Licenses, versions of running software"
@@ -47,3 +48,11 @@ def bm25_segments(spark, d):
     index.delete(it.where("item_id % 10 = 3").select("item_id"))
     index.merge(1)
     return index.search(list(search.TERMS), 10)
+
+
+@register("vector_index_knn")
+def vector_index_knn(spark, d):
+    """The 10 nearest of every vector whose id is divisible by 50, from an index of all; its recall is held against brute force in tests."""
+    v = vectors(spark, d).select("item_id", "embedding")
+    index = VectorIndex.create(spark, fresh(spark, "vectors"), v)
+    return index.search(v.where("item_id % 50 = 0").withColumnRenamed("item_id", "query_id"))

@@ -5,12 +5,14 @@ import random
 import uuid
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from docloom.functions import analyzer
 from docloom.operators import retrieval
 from docloom.operators.text_index import TextIndex
+from docloom.operators.vector_index import VectorIndex
 from docloom.sources.tables import items
 
 SF = "/root/testdata/sf0.001"
@@ -123,6 +125,88 @@ def test_repeated_ids_and_empty_steps(spark):
 def test_a_frequent_term_is_split(spark):
     """One term in all items fills several files of a segment."""
     index = TextIndex.create(spark, f"/tmp/spark-index-{uuid.uuid4().hex}", "plain", buckets=4)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # so few rows would be put together again
     index.add(spark.range(4000).select(F.col("id").alias("item_id"), F.lit("everywhere").alias("content")).repartition(4))
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     rows = spark.read.parquet(f"{index.folder}/postings/seq=1").groupBy(F.input_file_name()).count().collect()
     assert len(rows) > 1 and max(r["count"] for r in rows) < 3000
+
+
+def brute(ids, units, query, top=10):
+    scores = np.round(units @ query, 6)
+    return [int(i) for i in ids[np.lexsort((ids, -scores))[:top]]]
+
+
+def recall(index, rows, asked, spark, **options):
+    ids = np.array([i for i, _ in rows])
+    units = np.array([v for _, v in rows])
+    units /= np.linalg.norm(units, axis=1, keepdims=True)
+    got = {}
+    frame = spark.createDataFrame([(int(i), v) for i, v in rows if i in asked], "query_id long, embedding array<double>")
+    for r in index.search(frame, **options).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append((r.item_id, r.score))
+    hit = 0
+    for q in asked:
+        query = units[list(ids).index(q)]
+        true = brute(ids, units, query)
+        hit += len({i for i, _ in got[q]} & set(true))
+        assert got[q] == sorted(got[q], key=lambda x: (-x[1], x[0]))
+        assert all(abs(s - float(units[list(ids).index(i)] @ query)) < 2e-6 for i, s in got[q])
+    return hit / (10 * len(asked))
+
+
+def blobs(n, rng, size=30):
+    centres = rng.normal(size=(12, size))
+    return [(i, (centres[i % 12] + 0.4 * rng.normal(size=size)).tolist()) for i in range(n)]
+
+
+def test_vector_index_finds_neighbours(spark):
+    rng = np.random.default_rng(5)
+    rows = blobs(3000, rng)
+    shape = "item_id long, embedding array<double>"
+    odd = [(None, rows[0][1]), (9001, None), (9002, [0.0] * 30), (9003, [1.0, 2.0]), (9004, [float("nan")] * 30)]
+    index = VectorIndex.create(spark, f"/tmp/spark-index-{uuid.uuid4().hex}", spark.createDataFrame(rows + odd, shape).repartition(5))
+    assert index.totals()[0] == 3000 and len(index.model.cells) == 54
+    asked = set(range(0, 3000, 50))
+    assert recall(index, rows, asked, spark) >= 0.95 and index.probed_share() < 0.5
+    assert recall(index, rows, asked, spark, probes=54) >= 0.99
+    # appended, replaced and deleted vectors, and many copies of one
+    more = [(3000 + i, v) for i, (_, v) in enumerate(blobs(600, rng))] + [(50, rows[51][1])] + [(5000 + i, rows[100][1]) for i in range(500)]
+    index.add(spark.createDataFrame(more, shape))
+    gone = set(range(1, 3000, 10))
+    index.delete(spark.createDataFrame([(i,) for i in gone], "item_id long"))
+    held = dict(rows) | dict(more)
+    held = [(i, v) for i, v in held.items() if i not in gone]
+    again = VectorIndex(spark, index.folder)
+    assert again.totals()[0] == len(held) and recall(again, held, asked, spark) >= 0.9
+    again.merge(1)
+    assert len(again.segments) == 1 and recall(again, held, asked, spark) >= 0.9
+    copies = again.search(spark.createDataFrame([(1, rows[100][1])], "query_id long, embedding array<double>")).orderBy("rank").collect()
+    assert [r.item_id for r in copies] == [100, *range(5000, 5009)]
+
+
+def test_registered_vector_query_has_recall(spark):
+    from docloom.plans import catalog
+    from docloom.sources.tables import vectors
+
+    v = vectors(spark, "/root/testdata/sf0.01").collect()
+    ids, units = np.array([r.item_id for r in v]), np.array([r.embedding for r in v])
+    units /= np.linalg.norm(units, axis=1, keepdims=True)
+    got = {}
+    for r in catalog.QUERIES["vector_index_knn"](spark, "/root/testdata/sf0.01").collect():
+        got.setdefault(r.query_id, set()).add(r.item_id)
+    asked = [i for i in ids if i % 50 == 0]
+    assert set(got) == set(asked) and all(len(x) == 10 for x in got.values())
+    assert sum(len(got[q] & set(brute(ids, units, units[list(ids).index(q)]))) for q in asked) >= 0.9 * 10 * len(asked)
+
+
+def test_vector_index_edges(spark):
+    none = spark.createDataFrame([], "item_id long, embedding array<double>")
+    with pytest.raises(ValueError):
+        VectorIndex.create(spark, f"/tmp/spark-index-{uuid.uuid4().hex}", none)
+    one = spark.createDataFrame([(1, [1.0, 0.0, 2.0])], "item_id long, embedding array<double>")
+    index = VectorIndex.create(spark, f"/tmp/spark-index-{uuid.uuid4().hex}", one)
+    assert [tuple(r) for r in index.search(one.withColumnRenamed("item_id", "query_id")).collect()] == [(1, 1, 1.0, 1)]
+    assert index.search(none.withColumnRenamed("item_id", "query_id")).collect() == []
+    index.delete(one)
+    assert index.search(one.withColumnRenamed("item_id", "query_id")).collect() == []
