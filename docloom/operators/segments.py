@@ -16,6 +16,9 @@ MANIFEST = "kind string, seq long, target long, docs long, terms long, note stri
 class Segments:
     """Manifest and segments below ``folder``, a path that driver and executors share. ``items`` tables have item_id and length (0: counted nowhere)."""
 
+    #: The table that a merge writes anew.
+    main = "items"
+
     def __init__(self, spark: SparkSession, folder: str) -> None:
         self.spark, self.folder = spark, folder
         self.reload()
@@ -73,11 +76,11 @@ class Segments:
         rows.write.parquet(f"{self.folder}/items/seq={seq}")
         return self.spark.read.parquet(f"{self.folder}/items/seq={seq}").where("length > 0").agg(F.count("*"), F.coalesce(F.sum("length"), F.lit(0))).first()
 
-    def append(self, rows: DataFrame) -> None:
-        """A step that adds ``rows`` as a segment, in place of the items of the same ids."""
+    def append(self, rows: DataFrame, ids: DataFrame) -> None:
+        """A step that adds ``rows`` as a segment, in place of the items of ``ids``."""
         seq = self.next
         docs, terms = self.write(rows, seq)
-        self.take(self.spark.read.parquet(f"{self.folder}/items/seq={seq}"), seq)
+        self.take(ids, seq)
         if docs:
             self.segments[seq] = (docs, terms)
         self.next = seq + 1
@@ -95,7 +98,7 @@ class Segments:
             return
         small = set(sorted(self.segments, key=lambda s: (self.segments[s], s))[: len(self.segments) - most // 2 + 1])
         seq = self.next
-        docs, terms = self.write(self.alive(self.stored("items", small), small).drop("seq"), seq)
+        docs, terms = self.write(self.alive(self.stored(self.main, small), small).drop("seq"), seq)
         self.segments = {s: n for s, n in self.segments.items() if s not in small} | ({seq: (docs, terms)} if docs else {})
         self.gone = {k: n for k, n in self.gone.items() if k[1] not in small}
         self.next = seq + 1

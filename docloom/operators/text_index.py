@@ -1,4 +1,4 @@
-"""A stored full-text index in segments: items with their term counts, and postings by term."""
+"""A stored full-text index in segments: postings by term, and the lengths of items."""
 
 from __future__ import annotations
 
@@ -18,37 +18,34 @@ ANALYZERS: dict[str, tuple[Callable, Callable]] = {
     "english_han": (analyzer.english_han, lambda: analyzer.english_han(query=True)),
 }
 
-#: Term counts of one batch of items, at about; it bounds what a task holds.
+#: Postings that leave a task at once, at about; it bounds what a task holds.
 BATCH_TERMS = 1 << 16
 
 
 def counted(items: DataFrame, how: str) -> DataFrame:
-    """(item_id, length, counts): the number of terms of each item and its terms with their frequency; map-only. A null content is an empty one."""
+    """(term, item_id, tf, length, head): each item's terms with their frequency and the item's number of terms; head marks one row of each item. Map-only."""
     make = ANALYZERS[how][0]
+    names = ["term", "item_id", "tf", "length", "head"]
 
-    def packed(ids: list, lengths: list, ends: list, terms: list, tfs: list, kind: pa.DataType) -> pa.RecordBatch:
-        counts = pa.StructArray.from_arrays([pa.array(terms, pa.string()), pa.array(tfs, pa.int32())], names=["term", "tf"])
-        return pa.RecordBatch.from_arrays([pa.array(ids, kind), pa.array(lengths, pa.int32()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), counts)], names=["item_id", "length", "counts"])
+    def packed(rows: list[list], kind: pa.DataType) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(rows, (pa.string(), kind, pa.int32(), pa.int32(), pa.bool_()))], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         terms_of = make()
         for batch in batches:
-            ids, lengths, ends, terms, tfs = [], [], [0], [], []
+            rows: list[list] = [[], [], [], [], []]
             for item_id, text in zip(batch.column(0), batch.column(1)):
                 found = terms_of(text.as_py() or "")
                 counts = Counter(found)
-                ids.append(item_id.as_py())
-                lengths.append(len(found))
-                terms += counts.keys()
-                tfs += counts.values()
-                ends.append(len(terms))
-                if len(terms) >= BATCH_TERMS:
-                    yield packed(ids, lengths, ends, terms, tfs, batch.schema.types[0])
-                    ids, lengths, ends, terms, tfs = [], [], [0], [], []
-            yield packed(ids, lengths, ends, terms, tfs, batch.schema.types[0])
+                for column, more in zip(rows, (counts.keys(), [item_id.as_py()] * len(counts), counts.values(), [len(found)] * len(counts), [i == 0 for i in range(len(counts))])):
+                    column += more
+                if len(rows[0]) >= BATCH_TERMS:
+                    yield packed(rows, batch.schema.types[0])
+                    rows = [[], [], [], [], []]
+            yield packed(rows, batch.schema.types[0])
 
     held = items.select("item_id", "content")
-    return held.mapInArrow(run, f"item_id {held.schema['item_id'].dataType.simpleString()}, length int, counts array<struct<term:string,tf:int>>")
+    return held.mapInArrow(run, f"term string, item_id {held.schema['item_id'].dataType.simpleString()}, tf int, length int, head boolean")
 
 
 class TextIndex(Segments):
@@ -62,21 +59,27 @@ class TextIndex(Segments):
         cls.begin(spark, folder, buckets, how)
         return cls(spark, folder)
 
+    main = "postings"
+
     def write(self, rows: DataFrame, seq: int) -> tuple[int, int]:
-        """Postings are ranged by term and item, so that a frequent term is split over tasks and files."""
-        totals = super().write(rows, seq)
-        each = self.spark.read.parquet(f"{self.folder}/items/seq={seq}").select("item_id", "length", F.explode("counts").alias("c"))
-        flat = each.select(F.col("c.term").alias("term"), "item_id", F.col("c.tf").alias("tf"), "length", self._bucket(F.col("c.term")).alias("bucket"))
+        """Postings are ranged by term and item, so that a frequent term is split over tasks and files; items are what their heads say."""
+        flat = rows.select("term", "item_id", "tf", "length", "head", self._bucket(F.col("term")).alias("bucket"))
         flat.repartitionByRange("bucket", "term", "item_id").sortWithinPartitions("bucket", "term", "item_id").write.partitionBy("bucket").parquet(f"{self.folder}/postings/seq={seq}")
-        return totals
+        kind = f"term string, item_id {rows.schema['item_id'].dataType.simpleString()}, tf int, length int, head boolean, bucket int"
+        written = self.spark.read.schema(kind).parquet(f"{self.folder}/postings/seq={seq}")
+        return super().write(written.where("head").select("item_id", "length"), seq)
 
     def _bucket(self, term):
         return F.pmod(F.xxhash64(term), F.lit(self.setting)).cast("int")
 
     def add(self, items: DataFrame) -> None:
-        """Adds items; one that is there already is replaced. Of rows that repeat an id the one with the fewest terms stays; null ids aren't indexed."""
-        once = counted(items.where(F.col("item_id").isNotNull()), self.note).groupBy("item_id").agg(F.min(F.struct("length", "counts")).alias("c"))
-        self.append(once.select("item_id", "c.length", "c.counts"))
+        """Adds items; one that is there already is replaced. Of rows that repeat an id the smallest content stays; null ids aren't indexed."""
+        known = items.where(F.col("item_id").isNotNull()).select("item_id", "content")
+        again = known.groupBy("item_id").count().where("count > 1").select("item_id")
+        if again.limit(1).count():
+            one = known.join(again, "item_id", "left_semi").groupBy("item_id").agg(F.min("content").alias("content"))
+            known = known.join(again, "item_id", "left_anti").union(one)
+        self.append(counted(known, self.note), known.select("item_id"))
 
     def search(self, query: str | list[str], top: int = 10) -> DataFrame:
         """(item_id, score, rank) by BM25 of any of the query's terms: a text goes through the index's analyzer, a list is taken as terms.

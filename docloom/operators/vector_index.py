@@ -142,7 +142,7 @@ class VectorIndex(Segments):
                     yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell, pa.int32()), code, pa.array(np.ones(len(cell)), pa.int32())], names=["item_id", "embedding", "cell", "code", "length"])
 
         once = self.usable(vectors).where(F.size("embedding") == model.size).groupBy("item_id").agg(F.min("embedding").alias("embedding"))
-        self.append(once.mapInArrow(place, "item_id long, embedding array<float>, cell int, code binary, length int"))
+        self.append(once.mapInArrow(place, "item_id long, embedding array<float>, cell int, code binary, length int"), once)
 
     def write(self, rows: DataFrame, seq: int) -> tuple[int, int]:
         """Tiles are ranged by cell and item, so that a large cell is split over tasks."""

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from docloom.functions.analyzer import analyzed, query_terms
 from docloom.operators import retrieval
+from docloom.operators.hdbscan import hdbscan
 from docloom.operators.text_index import TextIndex
 from docloom.operators.vector_index import VectorIndex
 from docloom.plans import search
@@ -56,3 +57,9 @@ def vector_index_knn(spark, d):
     v = vectors(spark, d).select("item_id", "embedding")
     index = VectorIndex.create(spark, fresh(spark, "vectors"), v)
     return index.search(v.where("item_id % 50 = 0").withColumnRenamed("item_id", "query_id"))
+
+
+@register("hdbscan_clusters")
+def hdbscan_clusters(spark, d):
+    """Clusters of the vectors by HDBSCAN; tests hold the operator against the definitions."""
+    return hdbscan(vectors(spark, d).select("item_id", "embedding"))
