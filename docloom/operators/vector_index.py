@@ -22,8 +22,8 @@ CELLS = (8, 4096)
 WIDTH, CODES = 4, 256
 #: Vectors of a tile and queries of a pack; a meeting of both is one matrix product. Tiles of a cell that share a task at about.
 TILE, PACK, TILES = 4096, 256, 8
-#: Candidates of a query that get an exact score, for each hit wanted.
-SPARE = 20
+#: Candidates of a query that get an exact score, for each hit wanted, and how many of all queries a task holds before it reduces them.
+SPARE, HELD = 20, 1 << 20
 #: Queries whose true neighbours are looked up when the number of probed cells is chosen.
 CALIBRATION = 64
 
@@ -213,20 +213,37 @@ class VectorIndex(Segments):
                     rows = pa.array(np.repeat(np.arange(batch.num_rows), near.shape[1]))
                     yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows), pa.array(near.ravel(), pa.int32())], names=["query_id", "embedding", "cell"])
 
+        def best_of(found: list[np.ndarray]) -> list[np.ndarray]:
+            """The first ``spare`` of each query; equal scores by the smallest ids."""
+            q, ids, seq, scores = found
+            order = np.lexsort((ids, -scores, q))
+            q = q[order]
+            order = order[np.arange(len(q)) - np.searchsorted(q, q) < spare]
+            return [x[order] for x in found]
+
         def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            parts: list[list[np.ndarray]] = [[], [], [], []]
+            held = 0
+            packed = lambda found: pa.RecordBatch.from_arrays([pa.array(x) for x in found], names=["query_id", "item_id", "seq", "near"])
             for batch in batches:
                 for k in range(batch.num_rows):
                     ids, asked = (np.asarray(batch.column(c)[k].values) for c in ("ids", "asked"))
                     vectors = model.decode(batch.column("cell")[k].as_py(), np.frombuffer(batch.column("codes")[k].as_py(), dtype=np.uint8).reshape(len(ids), -1))
                     units = model.padded(np.asarray(batch.column("units")[k].values).reshape(len(asked), -1), model.size)
-                    scores = np.round(units @ vectors.T, 5)
+                    scores = np.round((units @ vectors.T).astype(np.float64), 5)
                     least = np.partition(scores, -min(spare, len(ids)), axis=1)[:, -min(spare, len(ids))]
                     q, i = np.nonzero(scores >= least[:, None])
-                    order = np.lexsort((ids[i], -scores[q, i], q))
-                    q, i = q[order], i[order]
-                    first = np.arange(len(q)) - np.searchsorted(q, q) < spare  # equal scores: the smallest ids
-                    q, i = q[first], i[first]
-                    yield pa.RecordBatch.from_arrays([pa.array(asked[q], pa.int64()), pa.array(ids[i], pa.int64()), pa.array(scores[q, i].astype(np.float64)), pa.array(np.full(len(q), batch.column("seq")[k].as_py()), pa.int64())], names=["query_id", "item_id", "near", "seq"])
+                    for part, more in zip(parts, (asked[q], ids[i], np.full(len(q), batch.column("seq")[k].as_py(), dtype=np.int64), scores[q, i])):
+                        part.append(more)
+                    held += len(q)
+                    if held > HELD:
+                        found = best_of([np.concatenate(p) for p in parts])
+                        if len(found[0]) > HELD // 2:  # so many queries that little was saved
+                            yield packed(found)
+                            found = [x[:0] for x in found]
+                        parts, held = [[x] for x in found], len(found[0])
+            if held:
+                yield packed(best_of([np.concatenate(p) for p in parts]))
 
         asked = self.usable(queries.select(F.col("query_id").alias("item_id"), "embedding")).where(F.size("embedding") == model.size).withColumnRenamed("item_id", "query_id").distinct()
         empty = asked.select("query_id", F.col("query_id").alias("item_id"), F.lit(0.0).alias("score"), F.lit(0).alias("rank")).limit(0)
@@ -241,7 +258,7 @@ class VectorIndex(Segments):
         packs = sent.join(n, "cell").groupBy("cell", F.pmod(F.xxhash64("query_id"), F.col("packs")).alias("pack")).agg(F.collect_list(F.struct("query_id", "embedding")).alias("v"))
         packs = packs.select("cell", F.transform("v", lambda s: s["query_id"]).alias("asked"), F.flatten(F.transform("v", lambda s: s["embedding"])).alias("units"))
         spread = packs.join(slots, "cell").select("cell", "asked", "units", F.explode(F.sequence(F.lit(0), F.col("slots") - 1)).alias("slot"))
-        near = dealt.join(spread, ["cell", "slot"]).select("cell", "ids", "codes", "asked", "units", "seq").mapInArrow(meet, "query_id long, item_id long, near double, seq long")
+        near = dealt.join(spread, ["cell", "slot"]).select("cell", "ids", "codes", "asked", "units", "seq").mapInArrow(meet, "query_id long, item_id long, seq long, near double")
         near = self.alive(near, set(self.segments))
         best = Window.partitionBy("query_id").orderBy(F.desc("near"), "item_id")
         chosen = near.withColumn("r", F.row_number().over(best)).where(F.col("r") <= spare).select("query_id", "item_id")
