@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.common import row_key, stored, thinned
+from docloom.llm.common import meet, row_key, stored, thinned
 
 #: Words that a mask looks at, at most. An item of n words that may miss s gets s + 1 seeds with no position in common, so that one stays whole
 #: whatever the s are; at a similarity of 0.8 there is room for 4 words a seed (3 for 10, 11 and 15 words), and no more.
@@ -72,8 +72,11 @@ def leaks(docs: DataFrame, benchmark: DataFrame, min_similarity: float = 0.8, mi
     masks = sorted((r.weight, r.stride) for r in seeds.select("weight", "stride").distinct().collect()) or [(WEIGHT, 2)]
     source = docs.select(row_key(id_col, text_col).alias("key"), F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     found = thinned(probes(source.select("key", tokens(F.col("text")).alias("words")), masks), F.col("h"), seeds, "h")
-    hits = found.join(seeds, "h").select("key", "item_id", (F.col("p") - F.col("q")).alias("start_word")).distinct()
-    hits = stored(hits, "hits")
+    # a seed of frequent words may stand in most texts: one row a seed holds all its places in items, and a hot seed's probes are dealt over tasks
+    found = stored(found, "found")
+    places = seeds.groupBy("h").agg(F.collect_set(F.struct("item_id", "q")).alias("at")).join(found.groupBy("h").agg(F.count("*").alias("n")), "h")
+    met = meet(found, stored(places, "places"), "h", F.xxhash64("key", "p")).select("key", "p", F.explode("at").alias("at"))
+    hits = stored(met.select("key", "at.item_id", (F.col("p") - F.col("at.q")).alias("start_word")).distinct(), "hits")
     # the few texts with a hit are read again, behind a bounded filter, so that no other text is shuffled
     hit = thinned(source, F.col("key"), hits.select("key"), "key").join(hits.select("key").distinct(), "key", "left_semi")
     texts = hit.groupBy("key").agg(F.first("doc_id").alias("doc_id"), F.first("text").alias("text")).select("key", "doc_id", tokens(F.col("text")).alias("words"))
@@ -90,7 +93,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, min_similarity: float = 0.8, mi
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """``docs`` without the rows that leak an item. A null id never matches a leak by id, so such rows are compared by their text's key."""
+    """``docs`` without the rows that leak an item; all columns. Rows are compared by a key of id and text, so a null id leaks or stays by its own text. Null and empty
+    texts stay, rows alike go or stay together; an empty table, or a benchmark without items, takes nothing away."""
     keyed = docs.select("*", row_key("doc_id", "text").alias("__key"))
     found = leaks(keyed.select(F.col("__key").alias("doc_id"), "text"), benchmark, **options).select(F.col("doc_id").alias("__key")).distinct()
     return keyed.join(found, "__key", "left_anti").drop("__key")

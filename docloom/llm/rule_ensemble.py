@@ -130,9 +130,10 @@ def score_quality(docs: DataFrame, labels: DataFrame, folds: int = 3, held: int
     """doc_id, held_out, score, predicted, for every row of ``docs``; labels and metadata are never inputs of a score.
 
     Fitted on at most ``most`` labelled rows of each class outside the held-out fold (the bound on what reaches the driver).
-    Null texts score as empty ones. A null id is never held out. Repeated rows each get their row.
+    Null texts score as empty ones. A null id is never held out. Repeated rows each get their row, repeated labels of an id count once. Other columns of both
+    tables are ignored, whatever their names; an empty table gives an empty result, and without labels every score is the same.
     """
-    model = fit(fit_frame(docs, labels, "quality", folds, held, most), class_counts(labels, "quality", folds, held))
+    model = fit(fit_frame(docs, labels, "quality", folds, held, most), class_counts(docs, labels, "quality", folds, held))
     scored = with_stats(docs).withColumn("score", model.column())
     return scored.select(
         "doc_id", F.coalesce(fold("doc_id", folds) == held, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted")

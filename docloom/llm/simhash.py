@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.common import components, cut
+from docloom.llm.common import components, cut, meet, stored
 
 #: Members of a block bucket that one numpy step compares at once.
 TILE = 512
@@ -120,9 +120,9 @@ def near_links(nodes: DataFrame, distance: int = 4, spare: int = 3, chunk: int =
     keys = F.array(*[F.xxhash64(F.lit(i), F.col("fp").bitwiseAND(F.lit(m - (1 << 64) if m >> 63 else m).cast("long"))) for i, m in enumerate(masks)])
     members = nodes.select("rep", "fp", F.explode(keys).alias("bucket"))
     shared = members.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
-    parts = F.ceil(F.col("n") / chunk).cast("int")
-    own = F.pmod(F.xxhash64("rep"), parts).cast("int")
-    dealt = members.join(shared, "bucket").withColumn("parts", parts).withColumn("own", own)
+    shared = stored(shared.withColumn("parts", F.ceil(F.col("n") / chunk).cast("int")), "shared")
+    own = F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int")
+    dealt = meet(members, shared, "bucket", F.xxhash64("rep")).withColumn("own", own)
     other = F.explode(F.when(F.col("parts") > 1, F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(F.array(F.lit(0))))
     dealt = dealt.withColumn("other", other)
     tile = F.when(F.col("parts") > 1, F.xxhash64("bucket", F.least("own", "other"), F.greatest("own", "other"))).otherwise(F.col("bucket"))
@@ -136,22 +136,27 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Equal fingerprints collapse to one node before any comparison, so that groups of exact copies cost nothing.
     Null, empty and wordless texts all have fingerprint 0 and link like any other. Rows with a null id are their own
-    component with component_id null unless they share a fingerprint with rows that have an id. Repeated rows stay.
+    component with component_id null unless they share a fingerprint with rows that have an id. Repeated rows stay. Other columns are ignored, whatever their
+    names; an empty table gives an empty result. Fingerprints and buckets that hold a large share of all rows are dealt over tasks.
     """
     fps = cut(fingerprints(docs, id_col, text_col, width, seed))
-    nodes = fps.groupBy("fp").agg(F.min("id").alias("rep"))
+    nodes = stored(fps.groupBy("fp").agg(F.min("id").alias("rep"), F.count("*").alias("n")), "nodes")
     linked = near_links(nodes.where("rep is not null"), distance)
     parts = components(linked)
-    named = nodes.join(parts, nodes.rep == parts.node, "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
+    named = stored(nodes.join(parts, nodes.rep == parts.node, "left").select("fp", F.coalesce("component", "rep").alias("component_id"), "n"), "named")
     text = F.lpad(F.lower(F.hex("fp")), 16, "0")
-    return fps.join(named, "fp").select(F.col("id").alias(id_col), text.alias("fingerprint"), "component_id")
+    # one fingerprint may be that of most documents, some without an id: its rows are dealt by their place, which is fixed since they are cut
+    return meet(fps, named, "fp", F.xxhash64("id", F.monotonically_increasing_id())).select(F.col("id").alias(id_col), text.alias("fingerprint"), "component_id")
 
 
 def keep_one(docs: DataFrame, **options) -> DataFrame:
     """One row of each group of near-duplicates: the one with the smallest id; all columns of ``docs``.
 
-    A row without an id takes part under a hash of its text. Rows that repeat an id count as one document, of which one row stays.
+    A row without an id takes part under a hash of its text. Rows that repeat an id count as one document, of which the row with the smallest text stays, and
+    among equal texts the one whose other columns hash lowest. Null and empty texts are near-duplicates of each other; an empty table stays empty.
     """
     named = docs.withColumn("__id", F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text")))
     first = near_duplicates(named.select("__id", "text"), id_col="__id", **options).where("__id = component_id").select("__id").distinct()
-    return named.join(first, "__id", "left_semi").dropDuplicates(["__id"]).drop("__id")
+    rest = [c for c in docs.columns if c != "text"]
+    lowest = F.min_by(F.struct(*[F.col(f"`{c}`") for c in docs.columns]), F.struct("text", F.xxhash64(*[F.col(f"`{c}`") for c in rest])))
+    return named.join(first, "__id", "left_semi").groupBy("__id").agg(lowest.alias("s")).select("s.*")

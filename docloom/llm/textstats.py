@@ -101,9 +101,10 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, folds: int,
     return texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "y").agg(F.min("text").alias("text")).select("doc_id", "text", "y")
 
 
-def class_counts(labels: DataFrame, label: str, folds: int, held: int) -> tuple[int, int]:
-    """Rows labelled 0 and 1 outside the held-out fold."""
-    row = labels.where(fold("doc_id", folds) != held).agg(F.count_if(F.col(label) == 0), F.count_if(F.col(label) == 1)).first()
+def class_counts(docs: DataFrame, labels: DataFrame, label: str, folds: int, held: int) -> tuple[int, int]:
+    """Documents labelled 0 and 1 outside the held-out fold: each id once, with its highest label, if there is such a document."""
+    usable = labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull() & (fold("doc_id", folds) != held)).groupBy("doc_id").agg(F.max(label).alias("y"))
+    row = usable.join(docs.select("doc_id").distinct(), "doc_id", "left_semi").agg(F.count_if(F.col("y") == 0), F.count_if(F.col("y") == 1)).first()
     return int(row[0]), int(row[1])
 
 

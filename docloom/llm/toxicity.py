@@ -285,7 +285,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, folds: int = 5, held: int
         df[r.t] = r["count"]
     total = rows.count()
     index = build_index(sample, terms, total, df)
-    votes = calibrate(index, sample, class_counts(labels, "toxic", folds, held), k)
+    votes = calibrate(index, sample, class_counts(docs, labels, "toxic", folds, held), k)
     del sample
     terms.forget()
     shared = docs.sparkSession.sparkContext.broadcast((index, votes))

@@ -359,6 +359,25 @@ def test_leaks_at_other_similarities(spark, ratio):
     assert {(r.doc_id, r.item_id, r.n_matched) for r in decontam.leaks(docs, bench, ratio).collect()} == slow_leaks(rows, items, ratio)
 
 
+def test_hot_seed_is_dealt(spark):
+    """A seed of one frequent word stands at half of all positions; its probes are no single task's, and the leaks are those of brute force."""
+    from tests.llm.test_simhash import largest_task
+
+    rng = random.Random(4)
+    filler = ["the"] * 9 + [f"v{k}" for k in range(9)]
+    items = [(k, "the the the the the the the the " + " ".join(f"i{k}w{j}" for j in range(6))) for k in range(4)]
+    rows = [(i, " ".join(rng.choice(filler) for _ in range(60))) for i in range(150)] + [(500 + k, f"x {t} y") for k, t in items]
+    docs, bench = spark.createDataFrame(rows, "doc_id long, text string").repartition(6), spark.createDataFrame(items, "item_id long, text string")
+    assert {(r.doc_id, r.item_id, r.n_matched) for r in decontam.leaks(docs, bench).collect()} == slow_leaks(rows, items)
+    met = []
+    plain = decontam.meet
+    try:
+        decontam.meet = lambda *a, **k: met.append(plain(*a, **k)) or met[-1]
+        assert largest_task(spark, lambda: (decontam.leaks(docs, bench), met[-1])[1]) < 0.3
+    finally:
+        decontam.meet = plain
+
+
 def test_leaks_edges(spark, docs, empty):
     none = spark.createDataFrame([], "item_id long, text string")
     assert decontam.leaks(docs, none).count() == 0 and decontam.decontaminate(docs, none).count() == docs.count()

@@ -2,6 +2,8 @@ from collections import Counter
 
 import xxhash
 
+from pyspark.sql import functions as F
+
 from docloom.llm import simhash
 
 
@@ -70,3 +72,32 @@ def test_keep_one(docs, rows):
     for (i, _, c), _ in brute(rows).items():
         groups.setdefault(c, set()).add(i)
     assert len([i for i in kept if i in groups[3]]) == 1 and kept.count(165) <= 1
+
+
+def largest_task(spark, frame, parts=16):
+    """Share of the rows that the fullest partition of a shuffled result has, without broadcasts and without partitions put together."""
+    keep = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled")}
+    try:
+        for k, v in zip(keep, (str(parts), "-1", "false")):
+            spark.conf.set(k, v)
+        sizes = [r[1] for r in frame().groupBy(F.spark_partition_id()).count().collect()]
+    finally:
+        for k, v in keep.items():
+            spark.conf.set(k, v)
+    return max(sizes) / sum(sizes)
+
+
+def test_wordless_half_is_dealt(spark):
+    """Half of the rows have no words, a third of them no id: fingerprint zero is no single task's."""
+    rows = [(i if i % 3 else None, " ") for i in range(1500)] + [(2000 + i, f"text {i} of some {i * 7} words here {i % 11} more") for i in range(1500)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert largest_task(spark, lambda: simhash.near_duplicates(docs)) < 0.2
+    got = {(r.doc_id, r.component_id) for r in simhash.near_duplicates(docs).collect() if r.fingerprint == "0" * 16}
+    assert got == {(i, 1) for i, _ in rows[:1500]}
+
+
+def test_keep_one_is_the_smallest_text(spark):
+    rows = [(1, "b b b b b", "x"), (1, "a a a a a", "z"), (1, "a a a a a", "y"), (None, "c c", "n"), (None, "c c", "m")]
+    kept = lambda data: sorted(map(tuple, simhash.keep_one(spark.createDataFrame(data, "doc_id long, text string, source string")).collect()), key=str)
+    first = kept(rows)
+    assert first == kept(rows[::-1]) and [r[:2] for r in first] == [(1, "a a a a a"), (None, "c c")]
