@@ -12,6 +12,8 @@ from pyspark.sql.functions import pandas_udf
 from pyspark.sql.window import Window
 
 from docloom.functions import text as tx
+from docloom.operators.patterns import key_of, occurrences
+from docloom.sources.shared import stored
 
 
 def outcomes(raw: DataFrame, existing: DataFrame) -> DataFrame:
@@ -83,23 +85,34 @@ def sentence_spans(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         yield batch.map(one)
 
 
-#: Rules that a routing pass takes.
+#: Rules with patterns, or that ask for no keyword, that a routing pass takes: they are broadcast and tried on every message.
 MOST_RULES = 10_000
 
 
 def route(messages: DataFrame, skills: DataFrame) -> DataFrame:
-    """(message_id, skill, priority) of the best skill for each message. skills: skill, patterns, keywords, excluded, min_keywords, needs_document,
-    enabled, priority; ``MOST_RULES`` enabled rules at most, which are broadcast and tried on every message. A skill matches by any pattern or by enough keywords, unless an excluded word occurs."""
-    low = F.lower("text")
-    rules = skills.where("enabled")
-    if rules.limit(MOST_RULES + 1).count() > MOST_RULES:
-        raise ValueError(f"more than {MOST_RULES} enabled rules")
-    found = lambda col: F.filter(col, lambda k: F.contains(low, F.lower(k)))
-    joined = messages.join(F.broadcast(rules), ~F.col("needs_document") | F.col("has_document"))
-    hit = F.exists("patterns", lambda p: F.regexp_like(F.col("text"), p)) | (F.size(found("keywords")) >= F.col("min_keywords"))
-    ok = joined.where((F.size(found("excluded")) == 0) & hit)
-    best = Window.partitionBy("message_id").orderBy(F.desc("priority"), "skill")
-    return ok.withColumn("r", F.row_number().over(best)).where("r = 1").select("message_id", "skill", "priority")
+    """(message_id, skill, priority) of the best skill for each message. skills: skill, patterns, keywords, excluded, min_keywords, needs_document, enabled, priority.
+
+    A skill matches by any pattern (a regular expression) or by enough keywords, unless an excluded word occurs. Keywords and excluded words of all rules are looked
+    for in one pass over each message; of the rules with patterns or without a needed keyword ``MOST_RULES`` at most may be enabled."""
+    rules = skills.where(F.col("enabled") & ~F.exists(F.coalesce("excluded", F.array().cast("array<string>")), lambda w: w == ""))
+    rules = rules.withColumn("blank", F.size(F.filter("keywords", lambda k: k == "")))
+    is_open = (F.size("patterns") > 0) | (F.col("min_keywords") <= F.greatest("blank", F.lit(0)))
+    if rules.where(is_open).limit(MOST_RULES + 1).count() > MOST_RULES:
+        raise ValueError(f"more than {MOST_RULES} enabled rules with patterns")
+    texts = messages.select(F.col("message_id").alias("id"), "text")
+    words = lambda col: rules.select("skill", F.explode(F.coalesce(col, F.array().cast("array<string>"))).alias("w")).where("w != ''").select("skill", key_of(F.lower("w")).alias("key"))
+    wanted = rules.select(F.explode(F.concat(F.coalesce("keywords", F.array().cast("array<string>")), F.coalesce("excluded", F.array().cast("array<string>")))).alias("pattern"))
+    found = stored(occurrences(texts, wanted, lower=True), "found")
+    counted = found.join(words(F.col("keywords")), "key").groupBy("id", "skill").agg(F.count("*").alias("n"))
+    by_words = counted.join(rules.select("skill", "min_keywords", "blank"), "skill").where(F.col("n") + F.greatest("blank", F.lit(0)) >= F.col("min_keywords")).select("id", "skill")
+    tried = F.broadcast(rules.where(is_open).select("skill", "patterns", "min_keywords", "blank"))
+    by_pattern = texts.join(tried, F.exists("patterns", lambda p: F.regexp_like(F.col("text"), p)) | (F.col("min_keywords") <= F.greatest("blank", F.lit(0)))).select("id", "skill")
+    barred = found.join(words(F.col("excluded")), "key").select("id", "skill")
+    hit = by_words.union(by_pattern).distinct().join(barred, ["id", "skill"], "left_anti")
+    ok = hit.join(rules.select("skill", "priority", "needs_document"), "skill").join(messages.select(F.col("message_id").alias("id"), "has_document"), "id")
+    best = Window.partitionBy("id").orderBy(F.desc("priority"), "skill")
+    ok = ok.where(~F.col("needs_document") | F.col("has_document")).withColumn("r", F.row_number().over(best)).where("r = 1")
+    return ok.select(F.col("id").alias("message_id"), "skill", "priority")
 
 
 def classify_kinds(texts: DataFrame, table: dict[str, tuple[list[str], list[str]]]) -> DataFrame:

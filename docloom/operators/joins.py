@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from docloom.functions.vector import cosine
+from docloom.operators.patterns import key_of, named, occurrences
 from docloom.operators.skew import thinned
 
 
@@ -87,27 +88,14 @@ def neighbours(links: DataFrame, node) -> DataFrame:
     return out.union(links.where((F.col("b") == node) & (F.col("a") != node)).select(F.col("a").alias("neighbour"), "weight"))
 
 
-def explicit_references(items: DataFrame, refs: DataFrame, words: int = 4) -> DataFrame:
-    """(item_id, ref_id): items whose text holds a reference's text, wherever in a word it starts or ends.
+def explicit_references(items: DataFrame, refs: DataFrame) -> DataFrame:
+    """(item_id, ref_id): items whose text holds a reference's text, wherever in a word it starts or ends; blank references are held by none.
 
-    Candidates meet on up to ``words`` inner words of the reference (runs of letters and digits, without the first and last run, which the
-    text may continue), so the containment test runs on few pairs. References without an inner word are tested against every text."""
-    runs = lambda c: F.regexp_extract_all(c, F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
-    r = refs.select("ref_id", "body", runs(F.col("body")).alias("w")).where(F.trim("body") != "")
-    r = r.withColumn("n", F.greatest(F.least(F.size("w") - 2, F.lit(words)), F.lit(0))).withColumn("key", F.xxhash64(F.array_join(F.slice("w", F.lit(2), F.col("n")), " ")))
-    sizes = [x.n for x in r.select("n").distinct().orderBy("n").collect()]
-    texts = items.select("item_id", "content")
-    few = texts.join(r.where("n = 0").select("ref_id", "body"), F.contains("content", "body")).select("item_id", "ref_id")
-    keys = [F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - n + 1, F.lit(1))), _window_key(n)) for n in sizes if n]
-    if not keys:
-        return few.distinct()
-    probes = texts.select("item_id", runs(F.col("content")).alias("w")).select("item_id", F.explode(F.array_distinct(F.flatten(F.array(*keys)))).alias("key"))
-    met = thinned(probes, F.col("key"), r.where("n > 0").select("key"), "key").join(r.where("n > 0").select("key", "ref_id", "body"), "key").select("item_id", "ref_id", "body").distinct()
-    return met.join(texts, "item_id").where(F.contains("content", "body")).select("item_id", "ref_id").union(few).distinct()
-
-
-def _window_key(n: int):
-    return lambda i: F.xxhash64(F.array_join(F.slice(F.col("w"), i, F.lit(n)), " "))
+    All references are looked for in one pass over each text (``operators.patterns``)."""
+    bodies = refs.where(F.trim("body") != "")
+    found = occurrences(items.select(F.col("item_id").alias("id"), F.col("content").alias("text")), bodies.select(F.col("body").alias("pattern")))
+    pairs = named(found, bodies.select(key_of(F.col("body")).alias("key"), F.col("ref_id").alias("name")))
+    return pairs.select(F.col("id").alias("item_id"), F.col("name").alias("ref_id")).distinct()
 
 
 def triage(keywords: Column, entities: Column, cosine: Column) -> Column:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections import Counter
 from collections.abc import Callable, Iterator
 
@@ -20,6 +21,8 @@ ANALYZERS: dict[str, tuple[Callable, Callable]] = {
 
 #: Postings that leave a task at once, at about; it bounds what a task holds.
 BATCH_TERMS = 1 << 16
+#: Items of one part of a bucket, at about: a term that all items hold has no more postings than this in one task.
+PART_ITEMS = 1 << 18
 
 
 def counted(items: DataFrame, how: str) -> DataFrame:
@@ -62,13 +65,18 @@ class TextIndex(Segments):
     main = "postings"
 
     def write(self, rows: DataFrame, seq: int) -> tuple[int, int]:
-        """Postings are ranged by term and item, so that a frequent term is split over tasks and files; items are what their heads say."""
-        flat = rows.select("term", "item_id", "tf", "length", "head", self._bucket(F.col("term")).alias("bucket"))
-        flat.repartitionByRange("bucket", "term", "item_id").sortWithinPartitions("bucket", "term", "item_id").write.partitionBy("bucket").parquet(f"{self.folder}/postings/seq={seq}")
+        """Postings are dealt by bucket and by parts of the items, so that a frequent term is split over tasks and files; items are what their heads say."""
+        deal = [self._bucket(F.col("term")), F.pmod(F.xxhash64("item_id"), F.lit(self.parts))]
+        flat = rows.select("term", "item_id", "tf", "length", "head").repartition(*deal).withColumn("bucket", self._bucket(F.col("term")))
+        flat.sortWithinPartitions("bucket", "term", "item_id").write.partitionBy("bucket").parquet(f"{self.folder}/postings/seq={seq}")
         kind = f"term string, item_id {rows.schema['item_id'].dataType.simpleString()}, tf int, length int, head boolean, bucket int"
         written = self.spark.read.schema(kind).parquet(f"{self.folder}/postings/seq={seq}")
         return super().write(written.where("head").select("item_id", "length"), seq)
 
+    def merge(self, most: int = 8) -> None:
+        self.parts = max(math.ceil(self.totals()[0] / PART_ITEMS), 1)
+        super().merge(most)
+
     def _bucket(self, term):
         return F.pmod(F.xxhash64(term), F.lit(self.setting)).cast("int")
 
@@ -79,6 +87,7 @@ class TextIndex(Segments):
         if again.limit(1).count():
             one = known.join(again, "item_id", "left_semi").groupBy("item_id").agg(F.min("content").alias("content"))
             known = known.join(again, "item_id", "left_anti").union(one)
+        self.parts = max(math.ceil(known.count() / PART_ITEMS), 1)
         self.append(counted(known, self.note), known.select("item_id"))
 
     def search(self, query: str | list[str], top: int = 10) -> DataFrame:

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from docloom.functions import analyzer
-from docloom.operators import retrieval
+from docloom.operators import retrieval, text_index
 from docloom.operators.text_index import TextIndex
 from docloom.operators.vector_index import VectorIndex
 from docloom.sources.tables import items
@@ -122,8 +122,9 @@ def test_repeated_ids_and_empty_steps(spark):
         TextIndex.create(spark, "/tmp/x", "unknown")
 
 
-def test_a_frequent_term_is_split(spark):
+def test_a_frequent_term_is_split(spark, monkeypatch):
     """One term in all items fills several files of a segment."""
+    monkeypatch.setattr(text_index, "PART_ITEMS", 500)
     index = TextIndex.create(spark, f"/tmp/spark-index-{uuid.uuid4().hex}", "plain", buckets=4)
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # so few rows would be put together again
     index.add(spark.range(4000).select(F.col("id").alias("item_id"), F.lit("everywhere").alias("content")).repartition(4))

@@ -144,7 +144,8 @@ def test_bounds_and_lines(spark, monkeypatch):
         governance.markdown_table(rows, ["id"], ["id"]).collect()
     monkeypatch.setattr(ingest, "MOST_RULES", 2)
     with pytest.raises(ValueError):
-        ingest.route(rows, rows.withColumn("enabled", F.lit(True)))
+        rule = rows.select(F.col("id").cast("string").alias("skill"), F.array(F.lit("a")).alias("patterns"), F.array(F.lit("k")).alias("keywords"), F.array().cast("array<string>").alias("excluded"))
+        ingest.route(rows, rule.withColumns({"enabled": F.lit(True), "min_keywords": F.lit(1), "needs_document": F.lit(False), "priority": F.lit(1)}))
 
 
 def test_steps_that_run(spark):
