@@ -12,33 +12,46 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from docloom.functions.vector import cosine
+from docloom.operators import set_join
 from docloom.operators.patterns import key_of, named, occurrences
-from docloom.operators.skew import thinned
+from docloom.operators.skew import meet, thinned
+from docloom.sources.shared import stored
 
 
 def shared_entity_links(mentions: DataFrame, item: str, entity: str, min_shared: int = 2, share: float = 0.30, degree: int = 20, evidence: int = 4) -> DataFrame:
     """Links a < b between items that share ``min_shared`` entities, with up to ``evidence`` of them, the ``degree`` heaviest for each a.
 
-    Entities of more than max(2, share of all items) items say nothing and are left out before the join, which also bounds it."""
-    each = mentions.select(F.col(item).alias("i"), F.col(entity).alias("e")).distinct()
-    n = each.agg(F.countDistinct("i").alias("n_items"))
-    df = each.groupBy("e").agg(F.count("*").alias("df"))
-    useful = df.join(F.broadcast(n)).where(F.col("df") <= F.greatest(F.lit(2.0), share * F.col("n_items"))).where("df > 1").select("e")
-    kept = each.join(useful, "e")
-    pairs = kept.alias("x").join(kept.alias("y"), "e").where("x.i < y.i")
-    links = pairs.groupBy(F.col("x.i").alias("a"), F.col("y.i").alias("b")).agg(F.count("*").alias("weight"), F.slice(F.sort_array(F.collect_set("e")), 1, evidence).alias("evidence"))
+    Entities of more than max(2, share of all items) items say nothing and are left out. Items with equal entities are one class; classes are joined, and an item
+    meets of each class no more than the ``degree`` members that can be among its links."""
+    each = stored(mentions.where(F.col(item).isNotNull() & F.col(entity).isNotNull()).select(F.col(item).cast("long").alias("id"), F.col(entity).alias("token")).distinct(), "mentions")
+    n = each.agg(F.countDistinct("id").alias("n_items"))
+    df = each.groupBy("token").agg(F.count("*").alias("n"))
+    useful = stored(df.join(F.broadcast(n)).where((F.col("n") <= F.greatest(F.lit(2.0), share * F.col("n_items"))) & (F.col("n") > 1)).drop("n_items"), "useful")
+    named, members = set_join.classes(meet(each, useful, "token", F.xxhash64("id")))
+    pairs = stored(set_join.overlapping(named, min_shared), "pairs")
+    own = named.where(F.col("n") >= min_shared).select(F.col("class").alias("a"), F.col("class").alias("b"), F.sort_array(F.transform("set", lambda s: s["token"])).alias("common"))
+    ways = stored(pairs.select("a", "b", "common").union(pairs.select(F.col("b"), F.col("a"), "common")).union(own), "ways")
+    sent = ways.select("a", F.col("b").alias("class")).join(members.select(F.col("class").alias("a"), "id"), "a").select("class", F.col("id").alias("a"))
+    met = set_join.next_members(sent, members, degree).select(F.col("class").alias("to"), "a", "id")
+    linked = met.join(members.select(F.col("class").alias("from"), F.col("id").alias("a")), "a").join(ways.select(F.col("a").alias("from"), F.col("b").alias("to"), "common"), ["from", "to"])
     order = Window.partitionBy("a").orderBy(F.desc("weight"), "b")
-    return links.where(F.col("weight") >= min_shared).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= degree)
+    links = linked.select("a", F.col("id").alias("b"), F.size("common").cast("long").alias("weight"), F.slice("common", 1, evidence).alias("evidence"))
+    return links.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= degree)
 
 
 def jaccard_recommend(left: DataFrame, right: DataFrame, threshold: float = 0.6, most: int = 5) -> DataFrame:
-    """(l, r, score): pairs of (id, entity) sets with Jaccard at or above the threshold, through an inverted-index join; up to ``most``
-    overlapping entities come along."""
-    a, b = left.select(F.col("id").alias("l"), "entity").distinct(), right.select(F.col("id").alias("r"), "entity").distinct()
-    na, nb = a.groupBy("l").agg(F.count("*").alias("na")), b.groupBy("r").agg(F.count("*").alias("nb"))
-    inter = a.join(b, "entity").groupBy("l", "r").agg(F.count("*").alias("k"), F.slice(F.sort_array(F.collect_set("entity")), 1, most).alias("overlap"))
-    score = F.col("k") / (F.col("na") + F.col("nb") - F.col("k"))
-    return inter.join(na, "l").join(nb, "r").withColumn("score", F.round(score, 6)).where(F.col("score") >= threshold).select("l", "r", "score", "overlap")
+    """(l, r, score, overlap): pairs of (id, entity) sets with Jaccard at or above the threshold, with up to ``most`` common entities. An exact set-similarity join
+    over the classes of equal sets of both sides (``operators.set_join``); only the pairs asked for are written out."""
+    left, right = (x.where(F.col("id").isNotNull() & F.col("entity").isNotNull()) for x in (left, right))
+    both = left.select(F.struct(F.lit(0).alias("side"), F.col("id").alias("id")).alias("id"), F.col("entity").alias("token")).union(right.select(F.struct(F.lit(1).alias("side"), F.col("id").alias("id")), F.col("entity")))
+    named, members = set_join.classes(both)
+    pairs = stored(set_join.similar(named, threshold), "pairs")
+    k = F.size("common")
+    scored = pairs.select("a", "b", (k / (F.col("n_a") + F.col("n_b") - k)).alias("score"), F.slice("common", 1, most).alias("overlap"))
+    own = named.select(F.col("class").alias("a"), F.col("class").alias("b"), F.lit(1.0).alias("score"), F.slice(F.sort_array(F.transform("set", lambda s: s["token"])), 1, most).alias("overlap"))
+    ways = scored.union(scored.select(F.col("b"), F.col("a"), "score", "overlap")).union(own)
+    side = lambda s, c, name: members.where(F.col("id.side") == s).select(F.col("class").alias(c), F.col("id.id").alias(name))
+    return ways.join(side(0, "a", "l"), "a").join(side(1, "b", "r"), "b").select("l", "r", F.round("score", 6).alias("score"), "overlap")
 
 
 def overlapping(windows: DataFrame, other: DataFrame, bucket: int) -> DataFrame:

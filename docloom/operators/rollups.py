@@ -102,7 +102,7 @@ def promotion_score(access: Column, days: Column, chunks: Column) -> Column:
 def promotions(memories: DataFrame, min_access: int = 3, min_score: float = 4.0, most: int = 200) -> DataFrame:
     """Memories that pass the access and score gates, best first; ties by creation, first hash, id."""
     score = F.round(promotion_score(F.col("access"), F.col("days"), F.col("n_chunks")), 6)
-    return memories.withColumn("score", score).where((F.col("access") >= min_access) & (F.col("score") >= min_score)).orderBy(F.desc("score"), "created_at", "first_hash", "id").limit(min(most, 200))
+    return memories.withColumn("score", score).where((F.col("access") >= min_access) & (F.col("score") >= min_score)).orderBy(F.desc("score"), "created_at", "first_hash", "id").limit(most)
 
 
 def token_bill(rows: DataFrame, actual: str, naive: str) -> DataFrame:

@@ -42,10 +42,10 @@ def join_three_way_distinct(spark, d):
 
 
 @register("cold_demotion", """with s as (select max(o_orderdate) as latest from orders where o_orderpriority = '1-URGENT' and o_orderstatus = 'F')
-  select l_orderkey, l_linenumber from lineitem where l_shipdate <= (select latest from s) and l_quantity >= 49""")
+  select l_orderkey, l_linenumber from lineitem where l_shipdate <= (select latest from s)""")
 def cold_demotion(spark, d):
     semantic = read(spark, d, "orders").where("o_orderpriority = '1-URGENT' and o_orderstatus = 'F'").select(F.col("o_orderdate").alias("created_at"))
-    return op.cold_demotion(read(spark, d, "lineitem").where("l_quantity >= 49").withColumn("window_end", F.col("l_shipdate")), semantic).select("l_orderkey", "l_linenumber")
+    return op.cold_demotion(read(spark, d, "lineitem").withColumn("window_end", F.col("l_shipdate")), semantic).select("l_orderkey", "l_linenumber")
 
 
 @register("in_list_count", "select count(*) as n from documents where doc_id in (select doc_id from labels where toxic = 1)")
@@ -66,20 +66,25 @@ def superseded_sets(spark, d):
     return op.superseded(sets, sets)
 
 
-@register("shared_entity_links", """with e as (select distinct doc_id as i, unnest(regexp_extract_all(lower(text), '[\\p{L}]{9,}')) as e from documents), n as (select count(distinct i) as n from e), d as (select e, count(*) as df from e group by e),
-  k as (select e.i, e.e from e join d using (e), n where d.df > 1 and d.df <= greatest(2.0, 0.02 * n.n)), l as (select a.i as a, b.i as b, count(*) as weight, array_to_string(list_sort(list(a.e))[1:4], ' ') as evidence from k a join k b using (e) where a.i < b.i group by 1, 2),
+#: What counts as an entity of a text: a capitalized word inside a sentence, a number of three digits or more, an e-mail address.
+ENTITY = r"[\p{Ll},] \p{Lu}\p{L}+|\p{Nd}{3,}|[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+\.[A-Za-z.]+"
+
+
+@register("shared_entity_links", f"""with e as (select distinct doc_id as i, regexp_replace(unnest(regexp_extract_all(text, '{ENTITY}')), '^. ', '') as e from documents), n as (select count(distinct i) as n from e), d as (select e, count(*) as df from e group by e),
+  k as (select e.i, e.e from e join d using (e), n where d.df > 1 and d.df <= greatest(2.0, 0.30 * n.n)), l as (select a.i as a, b.i as b, count(*) as weight, array_to_string(list_sort(list(a.e))[1:4], ' ') as evidence from k a join k b using (e) where a.i < b.i group by 1, 2),
   r as (select *, row_number() over (partition by a order by weight desc, b) as rank from l where weight >= 2) select a, b, weight, evidence, rank from r where rank <= 20""")
 def shared_entity_links(spark, d):
-    mentions = items(spark, d).select("item_id", F.explode(F.regexp_extract_all(F.lower("content"), F.lit(r"(\p{L}{9,})"), F.lit(1))).alias("e"))
-    return op.shared_entity_links(mentions, "item_id", "e", share=0.02).withColumn("evidence", F.array_join("evidence", " "))
+    found = F.explode(F.regexp_extract_all("content", F.lit(ENTITY), F.lit(0)))
+    mentions = items(spark, d).select("item_id", found.alias("e")).select("item_id", F.regexp_replace("e", "^. ", "").alias("e"))
+    return op.shared_entity_links(mentions, "item_id", "e").withColumn("evidence", F.array_join("evidence", " "))
 
 
-@register("jaccard_recommend", f"""with u as (select distinct agent as id, item from ({USAGE}) where item is not null and kind = 'signup'), c as (select id, count(*) as n from u group by id),
+@register("jaccard_recommend", f"""with u as (select distinct agent as id, item from ({USAGE}) where item is not null), c as (select id, count(*) as n from u group by id),
   k as (select a.id as l, b.id as r, count(*) as k, array_to_string(list_sort(list(a.item))[1:5], ' ') as overlap from u a join u b using (item) where a.id < b.id group by 1, 2)
-  select l, r, round(k / (x.n + y.n - k), 6) as score, overlap from k join c x on x.id = l join c y on y.id = r where round(k / (x.n + y.n - k), 6) >= 0.1""")
+  select l, r, round(k / (x.n + y.n - k), 6) as score, overlap from k join c x on x.id = l join c y on y.id = r where k / (x.n + y.n - k) >= 0.4""")
 def jaccard_recommend(spark, d):
-    u = usage_events(spark, d).where("item is not null and kind = 'signup'").select(F.col("agent").alias("id"), F.col("item").alias("entity"))
-    out = op.jaccard_recommend(u, u, 0.1).where("l < r")
+    u = usage_events(spark, d).where("item is not null").select(F.col("agent").alias("id"), F.col("item").alias("entity"))
+    out = op.jaccard_recommend(u, u, 0.4).where("l < r")
     return out.withColumn("overlap", F.array_join(F.transform("overlap", lambda x: x.cast("string")), " "))
 
 
