@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
+from docloom.functions.line_diff import line_hunks
+
 # ---- fixed values: surnames, organisation endings, capital numerals
 SURNAMES = "李王张刘陈杨赵黄周吴徐孙朱马胡郭林何高梁郑罗宋谢唐韩曹许邓萧冯曾程蔡彭潘袁于董余苏叶吕魏蒋田杜丁沈姜范江"
 ENDINGS = "有限公司|股份有限公司|有限责任公司|研究所|事务所|律师事务所|科技公司|分公司|大学|学院|医院|银行"
@@ -197,30 +199,6 @@ def token_f1(a: Column, b: Column) -> Column:
     return F.when((F.size(a) == 0) & (F.size(b) == 0), 1.0).otherwise(2.0 * both / (F.size(F.array_distinct(a)) + F.size(F.array_distinct(b))))
 
 
-def line_hunks(a: str, b: str) -> list[dict]:
-    """Equal, deleted and inserted runs of lines by a longest common subsequence; ties advance the first text."""
-    x, y = a.split("\n"), b.split("\n")
-    n, m = len(x), len(y)
-    best = [[0] * (m + 1) for _ in range(n + 1)]
-    for i in range(n - 1, -1, -1):
-        for j in range(m - 1, -1, -1):
-            best[i][j] = best[i + 1][j + 1] + 1 if x[i] == y[j] else max(best[i + 1][j], best[i][j + 1])
-    out: list[dict] = []
-    i = j = 0
-    while i < n or j < m:
-        if i < n and j < m and x[i] == y[j]:
-            kind, line, i, j = "equal", x[i], i + 1, j + 1
-        elif i < n and (j == m or best[i + 1][j] >= best[i][j + 1]):
-            kind, line, i = "delete", x[i], i + 1
-        else:
-            kind, line, j = "insert", y[j], j + 1
-        if out and out[-1]["kind"] == kind:
-            out[-1]["text"] += "\n" + line
-        else:
-            out.append({"kind": kind, "text": line})
-    return out
-
-
 @pandas_udf(T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.StructField("text", T.StringType())])))
 def line_diff(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([line_hunks(x or "", y or "") for x, y in zip(a, b)])
