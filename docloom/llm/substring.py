@@ -30,6 +30,9 @@ BASE, STEP = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD95
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
 BYTE_VALUES = np.random.default_rng(20).integers(1, 1 << 63, 256, dtype=np.uint64)
+#: Values and factors of a second, independent hash: what is counted as a repeat agrees in it and in the first one's bucket.
+OTHER_VALUES = np.random.default_rng(21).integers(1, 1 << 63, 256, dtype=np.uint64)
+OTHER_BASE, OTHER_STEP = 0xBF58476D1CE4E5B9, 0x94D049BB133111EB
 PACKED = "bucket int, batch long, kind int, a binary, b binary, c binary"
 PROBES, HEADER, FOUND = 0, 1, 2
 
@@ -62,7 +65,7 @@ def span_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, powers
     return mix((sums[ends] - sums[starts]) * down[starts])
 
 
-def hash_words(texts: list[bytes], powers: Powers) -> tuple[np.ndarray, np.ndarray]:
+def hash_words(texts: list[bytes], powers: Powers, byte_values: np.ndarray = BYTE_VALUES) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of all words of all texts in order, and the number of words of each text."""
     joined = b"\n".join(texts) + b"\n"
     found, at = [], 0
@@ -75,7 +78,7 @@ def hash_words(texts: list[bytes], powers: Powers) -> tuple[np.ndarray, np.ndarr
         gap = np.concatenate(([True], SPACE[raw], [True])).view(np.int8)
         edge = np.diff(gap)
         starts, ends = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
-        found.append(span_hashes(BYTE_VALUES[raw], starts, ends, powers))
+        found.append(span_hashes(byte_values[raw], starts, ends, powers))
         starts_all.append(starts + at)
         at = end
     starts = np.concatenate(starts_all) if starts_all else np.empty(0, np.int64)
@@ -116,11 +119,14 @@ def batches_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray,
         yield np.array(keys, np.int64), texts, rest
 
 
-def pack(keys: np.ndarray, sizes: np.ndarray, at: np.ndarray, hashes: np.ndarray, aligned: np.ndarray, buckets: int, short: bool) -> pa.RecordBatch:
-    """Rows of one batch: its header, the positions it found repeated itself, and the probes for each bucket."""
+def pack(keys: np.ndarray, sizes: np.ndarray, at: np.ndarray, hashes: np.ndarray, aligned: np.ndarray, buckets: int, other: np.ndarray | None) -> pa.RecordBatch:
+    """Rows of one batch: its header, the positions it found repeated itself, and the probes for each bucket. What is compared in a bucket is ``other``, a hash of
+    its own keys, or without it the lower half of ``hashes``."""
     batch = np.int64(np.uint64(xxhash.xxh64_intdigest(keys.tobytes())).view(np.int64))
     order = np.argsort(hashes, kind="stable")
     same = np.concatenate(([False], hashes[order][1:] == hashes[order][:-1])) if len(order) else np.empty(0, bool)
+    if other is not None and len(order):
+        same[1:] &= other[order][1:] == other[order][:-1]
     many = np.zeros(len(hashes), bool)
     many[order[same]] = True
     many[order[np.flatnonzero(same) - 1]] = True
@@ -141,7 +147,7 @@ def pack(keys: np.ndarray, sizes: np.ndarray, at: np.ndarray, hashes: np.ndarray
     met, firsts = np.unique(bucket[by], return_index=True)
     for b, i, j in zip(met.tolist(), firsts, [*firsts[1:], len(by)]):
         own = sent[by[i:j]]
-        value = hashes[own].astype(np.uint32) if short else mix(hashes[own] + np.uint64(BASE))
+        value = hashes[own].astype(np.uint32) if other is None else other[own]
         flags = np.packbits(np.concatenate((any_aligned[own], many[own])))
         rows.append((b, int(batch), PROBES, value.tobytes(), planes(at[own]), flags.tobytes()))
     kinds = (pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary())
@@ -158,7 +164,7 @@ def probe_map(block: int, buckets: int) -> Callable:
             ends = np.repeat(np.cumsum(sizes), sizes)
             begins = np.repeat(np.cumsum(sizes) - sizes, sizes)
             at = np.flatnonzero(np.arange(len(words)) + block <= ends)
-            yield pack(keys, sizes, at, window_hashes(words, at, block, word_powers), (at - begins[at]) % block == 0, buckets, True)
+            yield pack(keys, sizes, at, window_hashes(words, at, block, word_powers), (at - begins[at]) % block == 0, buckets, None)
 
     return run
 
@@ -168,8 +174,10 @@ def extend_map(block: int, width: int, buckets: int) -> Callable:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         byte_powers, word_powers = Powers(BASE), Powers(STEP)
+        other_bytes, other_words = Powers(OTHER_BASE), Powers(OTHER_STEP)
         for keys, texts, hits in batches_of(batches):
             words, sizes = hash_words(texts, byte_powers)
+            others, _ = hash_words(texts, other_bytes, OTHER_VALUES)
             begins = np.cumsum(sizes) - sizes
             edge = np.zeros(len(words) + 1, np.int32)
             for begin, size, blob in zip(begins, sizes, hits):
@@ -178,7 +186,7 @@ def extend_map(block: int, width: int, buckets: int) -> Callable:
                 np.add.at(edge, begin + np.maximum(np.minimum(p, size - width) + 1, 0), -1)
             ends = np.repeat(begins + sizes, sizes)
             at = np.flatnonzero((np.cumsum(edge)[:-1] > 0) & (np.arange(len(words)) + width <= ends))
-            yield pack(keys, sizes, at, window_hashes(words, at, width, word_powers), np.ones(len(at), bool), buckets, False)
+            yield pack(keys, sizes, at, window_hashes(words, at, width, word_powers), np.ones(len(at), bool), buckets, window_hashes(others, at, width, other_words))
 
     return run
 
