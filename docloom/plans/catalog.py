@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from docloom.plans import indexes, joins, more, relational, rollups, search, state, texts, upkeep
+from docloom.plans import indexes, joins, memories, more, relational, rollups, search, state, texts, upkeep
 
-MODULES = (rollups, joins, search, indexes, texts, relational, state, more, upkeep)
+MODULES = (rollups, joins, search, indexes, memories, texts, relational, state, more, upkeep)
 QUERIES = {name: f for m in MODULES for name, f in m.QUERIES.items()}
 ORACLE_SQL = {name: sql for m in MODULES for name, sql in m.SQL.items()}
