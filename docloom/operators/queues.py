@@ -29,6 +29,16 @@ def ready(jobs: DataFrame, now: int) -> DataFrame:
     return jobs.where((F.col("state") == "queued") & (F.coalesce("next_attempt", F.lit(0)) <= now))
 
 
+def claimed(jobs: DataFrame, now: int, most: int, lease: int, worker: str) -> DataFrame:
+    """The rows that a claim changes: the ``most`` first ready jobs, by priority, creation and id, now running under ``worker`` until ``deadline`` = now + lease. Merged
+    back by id (``upsert`` with ``claimed_at``) they are the queue after the claim; a later claim over that doesn't see them until ``swept`` returns those whose lease ran out.
+    jobs: id, priority, created, state, next_attempt, deadline, worker, claimed_at. Only the best of each task meet."""
+    first = ready(jobs, now).orderBy(F.desc("priority"), "created", "id").limit(most)
+    lit = lambda v, c: F.lit(v).cast(jobs.schema[c].dataType).alias(c)
+    new = {"state": "running", "deadline": now + lease, "worker": worker, "claimed_at": now}
+    return first.select(*[lit(new[c], c) if c in new else F.col(c) for c in jobs.columns])
+
+
 def backoff(base: Column, attempts: Column) -> Column:
     """base * 2 ** (attempts - 1) milliseconds, one hour at most."""
     return F.least(base * F.pow(F.lit(2.0), F.least(attempts - 1, F.lit(40))), F.lit(float(LONGEST_WAIT))).cast("long")

@@ -37,6 +37,22 @@ def job_retries(spark, d):
     return op.after_failure(jobs, NOW, 1000, 6, ["e0", "e1", "e2"]).fillna({"next_attempt": -1})
 
 
+@register("job_claims", f"""with j as (select o_orderkey as id, 5 - substr(o_orderpriority, 1, 1)::int as priority, epoch(o_orderdate)::bigint as created, case o_orderstatus when 'O' then 'queued' when 'P' then 'running' else 'done' end as state, case when o_orderstatus = 'P' then epoch(o_orderdate)::bigint + 86400 * (o_orderkey % 20000) end as deadline from orders),
+  s as (select * replace (case when state = 'running' and deadline < {NOW} then 'queued' else state end as state) from j), c as (select id from s where state = 'queued' order by priority desc, created, id limit 100)
+  select id, case when id in (select id from c) then 'running' else state end as state, case when id in (select id from c) then {NOW} + 600 else coalesce(deadline, -1) end as deadline, case when id in (select id from c) then 'w1' else '' end as worker from s""")
+def job_claims(spark, d):
+    """The queue after leases ran out and a worker claimed a hundred jobs."""
+    created = F.unix_seconds(F.col("o_orderdate").cast("timestamp"))
+    state = F.when(F.col("o_orderstatus") == "O", "queued").when(F.col("o_orderstatus") == "P", "running").otherwise("done")
+    jobs = read(spark, d, "orders").select(
+        F.col("o_orderkey").alias("id"), (5 - F.substring("o_orderpriority", 1, 1).cast("int")).alias("priority"), created.alias("created"), state.alias("state"), F.lit(None).cast("long").alias("next_attempt"),
+        F.when(F.col("o_orderstatus") == "P", created + F.col("o_orderkey") % 20000 * 86400).alias("deadline"), F.lit("").alias("worker"), F.lit(0).cast("long").alias("claimed_at"),
+    )
+    waiting = op.swept(jobs, NOW, at_least_once=True)
+    after = op.upsert(waiting, op.claimed(waiting, NOW, 100, 600, "w1"), ["id"], "claimed_at")
+    return after.select("id", "state", F.coalesce("deadline", F.lit(-1)).alias("deadline"), "worker")
+
+
 @register("streaks", f"""with p as (select agent, ts_s // 86400 as day, count(*) filter (kind = 'error') / count(*) as rate from ({USAGE}) group by 1, 2), i as (select *, sum(case when rate > 0.2 then 0 else 1 end) over (partition by agent order by day) as island from p)
   select agent, day, round(rate, 6) as rate, (sum(case when rate > 0.2 then 1 else 0 end) over (partition by agent, island order by day))::bigint as streak, sum(case when rate > 0.2 then 1 else 0 end) over (partition by agent, island order by day) >= 3 as disable from i""")
 def streaks(spark, d):

@@ -7,6 +7,7 @@ import email.policy
 import io
 import re
 import zipfile
+import zlib
 from collections.abc import Iterator
 from xml.etree import ElementTree
 
@@ -191,50 +192,54 @@ def advanced(messages: DataFrame, cursors: DataFrame) -> DataFrame:
     return tops.groupBy("folder").agg(F.max("last_uid").alias("last_uid"))
 
 
-def _office(raw: bytes) -> str:
-    """Text of a zipped office or e-book file: paragraphs, cells, slides or chapters in order; '' beyond the size guard or if broken."""
+def _office(raw: bytes) -> tuple[str, str]:
+    """(text, status) of a zipped office or e-book file: paragraphs, cells, slides or chapters in order, and ok; '' with too_large beyond the size guard, or broken."""
     try:
         z = zipfile.ZipFile(io.BytesIO(raw))
         if sum(i.file_size for i in z.infolist()) > ARCHIVE_LIMIT:
-            return ""
-        names = z.namelist()
-        order = lambda n: [int(x) if x.isdigit() else x for x in re.split(r"(\d+)", n)]
-        local = lambda e: e.tag.rsplit("}", 1)[-1]
-        if "word/document.xml" in names:
-            root = ElementTree.fromstring(z.read("word/document.xml"))
-            return "\n".join("".join(t.text or "" for t in p.iter() if local(t) == "t") for p in root.iter() if local(p) == "p")
-        if "xl/workbook.xml" in names:
-            shared = []
-            if "xl/sharedStrings.xml" in names:
-                shared = ["".join(t.text or "" for t in s.iter() if local(t) == "t") for s in ElementTree.fromstring(z.read("xl/sharedStrings.xml")) if local(s) == "si"]
-            lines = []
-            for n in sorted((n for n in names if re.match(r"xl/worksheets/sheet\d+\.xml", n)), key=order):
-                for row in (r for r in ElementTree.fromstring(z.read(n)).iter() if local(r) == "row"):
-                    cells = []
-                    for c in row:
-                        v = next((x.text or "" for x in c.iter() if local(x) in ("v", "t")), "")
-                        cells.append(shared[int(v)] if c.get("t") == "s" and v else v)
-                    lines.append("\t".join(cells))
-            return "\n".join(lines)
-        slides = sorted((n for n in names if re.match(r"ppt/slides/slide\d+\.xml", n)), key=order)
-        if slides:
-            return "\n\n".join("\n".join(t.text or "" for t in ElementTree.fromstring(z.read(n)).iter() if local(t) == "t") for n in slides)
-        chapters = sorted((n for n in names if n.endswith((".xhtml", ".html", ".htm"))), key=order)
-        return "\n\n".join(re.sub(r"\s+", " ", re.sub(r"<[^>]*>", " ", z.read(n).decode("utf-8", "replace"))).strip() for n in chapters)
-    except (zipfile.BadZipFile, ElementTree.ParseError, KeyError, ValueError, IndexError):
-        return ""
-
-
-@pandas_udf(T.StringType())
-def office_text(raw: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    """Text of DOCX, XLSX, PPTX and EPUB bytes."""
+            return "", "too_large"
+        return _office_text(z), "ok"
+    except (zipfile.BadZipFile, ElementTree.ParseError, KeyError, ValueError, IndexError, zlib.error, EOFError):
+        return "", "broken"
+
+
+def _office_text(z: zipfile.ZipFile) -> str:
+    names = z.namelist()
+    order = lambda n: [int(x) if x.isdigit() else x for x in re.split(r"(\d+)", n)]
+    local = lambda e: e.tag.rsplit("}", 1)[-1]
+    if "word/document.xml" in names:
+        root = ElementTree.fromstring(z.read("word/document.xml"))
+        return "\n".join("".join(t.text or "" for t in p.iter() if local(t) == "t") for p in root.iter() if local(p) == "p")
+    if "xl/workbook.xml" in names:
+        shared = []
+        if "xl/sharedStrings.xml" in names:
+            shared = ["".join(t.text or "" for t in s.iter() if local(t) == "t") for s in ElementTree.fromstring(z.read("xl/sharedStrings.xml")) if local(s) == "si"]
+        lines = []
+        for n in sorted((n for n in names if re.match(r"xl/worksheets/sheet\d+\.xml", n)), key=order):
+            for row in (r for r in ElementTree.fromstring(z.read(n)).iter() if local(r) == "row"):
+                cells = []
+                for c in row:
+                    v = next((x.text or "" for x in c.iter() if local(x) in ("v", "t")), "")
+                    cells.append(shared[int(v)] if c.get("t") == "s" and v else v)
+                lines.append("\t".join(cells))
+        return "\n".join(lines)
+    slides = sorted((n for n in names if re.match(r"ppt/slides/slide\d+\.xml", n)), key=order)
+    if slides:
+        return "\n\n".join("\n".join(t.text or "" for t in ElementTree.fromstring(z.read(n)).iter() if local(t) == "t") for n in slides)
+    chapters = sorted((n for n in names if n.endswith((".xhtml", ".html", ".htm"))), key=order)
+    return "\n\n".join(re.sub(r"\s+", " ", re.sub(r"<[^>]*>", " ", z.read(n).decode("utf-8", "replace"))).strip() for n in chapters)
+
+
+@pandas_udf(T.StructType([T.StructField("text", T.StringType()), T.StructField("status", T.StringType())]))
+def office_text(raw: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    """Text and status (ok, empty, too_large, broken) of DOCX, XLSX, PPTX and EPUB bytes."""
     for batch in raw:
-        yield batch.map(lambda x: _office(x) if x else "")
+        yield pd.DataFrame([_office(x) if x else ("", "empty") for x in batch], columns=["text", "status"])
 
 
 def read_office(spark: SparkSession, path: str) -> DataFrame:
     files = scan_folder(spark, path, ["docx", "xlsx", "pptx", "epub"], most_bytes=ARCHIVE_LIMIT)
-    return files.select("path", F.substring_index("path", "/", -1).alias("title"), office_text("content").alias("content"))
+    return files.select("path", F.substring_index("path", "/", -1).alias("title"), office_text("content").alias("o")).select("path", "title", F.col("o.text").alias("content"), F.col("o.status").alias("status"))
 
 
 def watch_folder(spark: SparkSession, path: str, suffix: str = "*.{txt,md}") -> DataFrame:

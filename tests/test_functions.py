@@ -105,6 +105,7 @@ def test_file_sources(spark, tmp_path):
     with zipfile.ZipFile(tmp_path / "d.docx", "w") as z:
         z.writestr("word/document.xml", '<w:document xmlns:w="w"><w:p><w:r><w:t>one</w:t></w:r></w:p><w:p><w:r><w:t>two</w:t></w:r></w:p></w:document>')
     assert files.read_office(spark, str(tmp_path)).first().content == "one\ntwo"
+    assert files._office(b"no archive") == ("", "broken") and files._office(b"PK\x03\x04")[1] == "broken"
     feed = "<rss><channel><item><title>t</title><link>l</link><description>&lt;b&gt;d&lt;/b&gt;</description></item></channel></rss>"
     got = files.read_feeds(spark.createDataFrame([(feed,), ("<!DOCTYPE x>" + feed,)], "value string")).collect()
     assert [(r.guid, r.content) for r in got] == [("l", "d")]

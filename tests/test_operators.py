@@ -70,6 +70,19 @@ def test_queues(spark):
     assert sorted(tuple(r) for r in queues.upsert(base, new, ["k"], "at", ["digested"]).collect()) == [(1, "old", True), (2, "new", False), (3, "newer", True)]
 
 
+def test_claims_are_exclusive_until_the_lease_runs_out(spark):
+    shape = "id long, priority int, created long, state string, next_attempt long, deadline long, worker string, claimed_at long"
+    jobs = spark.createDataFrame([(i, i % 2, 100 - i, "done" if i == 9 else "queued", 500 if i == 8 else None, None, None, None) for i in range(10)], shape)
+    seen = []
+    for k, now in enumerate((100, 110, 120)):
+        mine = queues.claimed(jobs, now, 3, 50, f"w{k}")
+        seen += [(r.id, r.deadline, r.worker, r.state) for r in mine.orderBy(F.desc("priority"), "created").collect()]
+        jobs = spark.createDataFrame(queues.upsert(jobs, mine, ["id"], "claimed_at").select(jobs.columns).collect(), shape)
+    assert [i for i, *_ in seen] == [7, 5, 3, 1, 6, 4, 2, 0] and {s for *_, s in seen} == {"running"} and seen[0][1:3] == (150, "w0")
+    later = queues.swept(jobs, 155, at_least_once=True)
+    assert sorted(r.id for r in queues.claimed(later, 155, 9, 50, "w3").collect()) == [3, 5, 7]  # job 8 waits for its next attempt, the others' leases hold
+
+
 def test_joins(spark):
     w = lambda rows: spark.createDataFrame(rows, "id long, start long, end long")
     a, b = [(1, 0, 10), (2, 5, 300), (3, 20, 20)], [(7, 9, 12), (8, 250, 260), (9, 10, 11)]
