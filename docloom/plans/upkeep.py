@@ -179,13 +179,16 @@ def batch_estimates(spark, d):
     return out.withColumn("cost", F.round("cost", 6)).withColumn("context_window", qu.context_window(F.col("model")))
 
 
-@register("json_blocks", "select doc_id as item_id, case when n_chars % 3 = 0 then null else '{\"n\": ' || n_chars || '}' end as block, case when n_chars % 3 = 0 then null else n_chars end as n from documents")
+@register("json_blocks", """select event_id, case when event_id % 3 = 0 and t not like '%```%```%' then null else props end as block, case when event_id % 3 = 0 then -1 else coalesce(json_extract(props, '$.k')::bigint, -1) end as k
+  from events left join (select conv_id, coalesce(text, '') as t from conversations where turn = 0) on conv_id = event_id % 100""")
 def json_blocks(spark, d):
-    """The JSON block of a reply that holds each document's size, fenced with or without a language, or not at all."""
-    body = F.concat(F.lit('{"n": '), F.col("n_chars"), F.lit("}\n"))
-    reply = F.when(F.col("n_chars") % 3 == 1, F.concat(F.lit("Here:\n```json\n"), body, F.lit("```\nand ```x```"))).when(F.col("n_chars") % 3 == 2, F.concat(F.lit("```\n"), body, F.lit("```"))).otherwise(body)
-    found = read(spark, d, "documents").select(F.col("doc_id").alias("item_id"), qu.json_block(reply).alias("block"))
-    return found.withColumn("n", F.get_json_object("block", "$.n").cast("long"))
+    """The JSON block of replies that quote an event's properties behind a conversation's first turn: fenced with or without a language, or not at all."""
+    first = read(spark, d, "conversations").where("turn = 0").select((F.col("conv_id")).alias("c"), F.coalesce("text", F.lit("")).alias("t"))
+    e = read(spark, d, "events").select("event_id", "props", (F.col("event_id") % 100).alias("c")).join(first, "c", "left")
+    body, text = F.concat(F.col("props"), F.lit("\n")), F.coalesce("t", F.lit(""))
+    fenced = F.when(F.col("event_id") % 3 == 1, F.concat(text, F.lit("\n```json\n"), body, F.lit("```\nand ```x```"))).when(F.col("event_id") % 3 == 2, F.concat(text, F.lit("\n```\n"), body, F.lit("```"), text))
+    found = e.select("event_id", qu.json_block(fenced.otherwise(F.concat(text, body))).alias("block"))
+    return found.withColumn("k", F.coalesce(F.get_json_object("block", "$.k").cast("long"), F.lit(-1)))
 
 
 @register("series_scores", """with l as (select l_orderkey, l_returnflag, list(l_quantity order by l_linenumber) as p, list(round(l_quantity / 5) * 5 order by l_linenumber) as t from lineitem group by all),
