@@ -63,3 +63,12 @@ def test_copies_are_one_class(spark):
 def test_empty_sets(spark):
     none = spark.createDataFrame([], "id long, entity string")
     assert joins.jaccard_recommend(none, none).collect() == [] and joins.shared_entity_links(none, "id", "entity").collect() == []
+
+
+def test_superseded_sets_match_all_pairs(spark):
+    rng = random.Random(12)
+    old = {i: set(rng.choices(range(12), [12, 9, 7, 5, 4, 3, 2, 2, 1, 1, 1, 1], k=rng.randint(0, 4))) for i in range(60)} | {98: {0}, 99: {0, 77}}
+    new = {i: set(rng.choices(range(12), k=rng.randint(0, 7))) for i in range(200, 260)}
+    rows = lambda sets: spark.createDataFrame([(i, [*s, *s]) for i, s in sets.items()] + [(500, None)], "id long, members array<long>")
+    got = sorted(map(tuple, joins.superseded(rows(old), rows(new)).collect()))
+    assert got == sorted((i, j) for i, a in old.items() for j, b in new.items() if a and a < b) and got
