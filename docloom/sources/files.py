@@ -68,6 +68,27 @@ def globbed(path: Column, include: list[str], exclude: list[str]) -> Column:
     return ok & ~hit(exclude) if exclude else ok
 
 
+#: Largest file and largest whole tree that ``git_tree`` takes, in bytes.
+TREE_FILE_BYTES, TREE_BYTES = 5 << 20, 500 << 20
+
+
+def git_tree(spark: SparkSession, root: str, include: tuple[str, ...] = (), exclude: tuple[str, ...] = (), most_bytes: int = TREE_FILE_BYTES, most_total: int = TREE_BYTES) -> DataFrame:
+    """Text files of a checked-out tree: path, rel (below ``root``), length, modificationTime, content, content_hash.
+
+    A tree of more than ``most_total`` bytes, its .git folder aside, is refused by its metadata, before a file is read. Files above ``most_bytes``, those that the
+    globs leave out, binary ones, pointers to large files, and paths with a .. in them are left out. Spark's listing skips names that begin with a dot or an underscore."""
+    base = re.sub(r"^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?", "", root).rstrip("/") + "/"
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+    rel = F.element_at(F.split("path", re.sub(r"([^A-Za-z0-9/])", r"\\\1", base), 2), 2)
+    own = files.withColumn("rel", rel).where(F.col("rel").isNotNull() & ~F.col("rel").rlike(r"(^|/)(\.git|\.\.)(/|$)"))
+    total = own.agg(F.sum("length")).first()[0] or 0
+    if total > most_total:
+        raise ValueError(f"the tree has {total} bytes, more than {most_total}: take a folder of it")
+    kept = own.where((F.col("length") <= most_bytes) & globbed(F.col("rel"), list(include), list(exclude)))
+    text = kept.where(~is_binary(F.col("content")) & ~is_lfs_pointer(F.col("content")))
+    return text.select("path", "rel", "length", "modificationTime", "content", F.sha2("content", 256).alias("content_hash"))
+
+
 def diff_snapshots(old: DataFrame, new: DataFrame, stat: list[str] | None = None) -> DataFrame:
     """(path, status) of two snapshots with path and content_hash: new, updated, skipped or deleted. Where all ``stat`` columns agree,
     null-safely, the hashes needn't be compared."""

@@ -114,3 +114,17 @@ def test_file_sources(spark, tmp_path):
     assert [r.path for r in kept] == ["src/a.rs"]
     assert one(spark, files.strip_rtf(F.col("t")), r"{\rtf1{\fonttbl{\f0 A;}}\f0 Hello\par World}") == "Hello\nWorld"
     assert one(spark, files.is_binary(F.col("t")), bytearray(b"ab\x00"), "binary") and not one(spark, files.is_binary(F.col("t")), bytearray(b"abc\x10\x01"), "binary")
+
+
+def test_git_tree(spark, tmp_path):
+    from docloom.sources import files
+
+    root = tmp_path / "a+b (1)"
+    for name, body in {"src/main.py": b"print(1)", "src/deep/x.py": b"x", "docs/a.md": b"# a", "big.py": b"y" * 3000, "bin.py": b"a\0b", "lfs.py": files.LFS_MARK.encode() + b"v1", ".git/config": b"[core]"}.items():
+        (root / name).parent.mkdir(parents=True, exist_ok=True)
+        (root / name).write_bytes(body)
+    tree = files.git_tree(spark, str(root), ("**/*.py",), ("src/deep/**",), most_bytes=2000)
+    assert [(r.rel, r.length, bytes(r.content)) for r in tree.collect()] == [("src/main.py", 8, b"print(1)")]
+    assert {r.rel for r in files.git_tree(spark, f"file:{root}").collect()} == {"src/main.py", "src/deep/x.py", "docs/a.md", "big.py"}
+    with pytest.raises(ValueError, match="more than 100"):
+        files.git_tree(spark, str(root), most_total=100)
