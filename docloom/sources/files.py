@@ -120,11 +120,22 @@ def read_html(spark: SparkSession, path: str) -> DataFrame:
     return files.select(F.input_file_name().alias("path"), tx.html_title(F.col("value")).alias("title"), tx.html_text(F.col("value")).alias("content"))
 
 
+def _rtf_chars(text: str) -> str:
+    """Characters of RTF's \\'xx (Windows-1252) and \\uN with its one substitute; pairs of surrogates are one character."""
+    text = re.sub(r"\\u(-?\d{1,5}) ?(?:\\'[0-9a-fA-F]{2}|[^\\{}])?", lambda m: chr(int(m[1]) % 65536), text)
+    text = re.sub(r"\\'([0-9a-fA-F]{2})", lambda m: bytes.fromhex(m[1]).decode("cp1252", "replace"), text)
+    return text.encode("utf-16-le", "surrogatepass").decode("utf-16-le", "replace")
+
+
+@pandas_udf(T.StringType())
+def rtf_chars(texts: pd.Series) -> pd.Series:
+    return texts.map(lambda t: None if t is None else _rtf_chars(t))
+
+
 def strip_rtf(text: Column) -> Column:
     out = F.regexp_replace(text, r"\{\\(?:fonttbl|colortbl|stylesheet|info|\*)[^{}]*(?:\{[^{}]*\}[^{}]*)*\}", "")
     out = F.regexp_replace(out, r"\\(?:par|line)\b ?", "\n")
-    out = F.regexp_replace(out, r"\\'[0-9a-fA-F]{2}", "")
-    return F.trim(F.regexp_replace(F.regexp_replace(out, r"\\[a-zA-Z]+-?[0-9]* ?", ""), r"[{}]", ""))
+    return F.trim(F.regexp_replace(F.regexp_replace(rtf_chars(out), r"\\[a-zA-Z]+-?[0-9]* ?", ""), r"[{}]", ""))
 
 
 def page_rows(frame: DataFrame, text: str, mark: str = "\f") -> DataFrame:
@@ -203,6 +214,46 @@ def read_mail(spark: SparkSession, path: str, allowed: tuple[str, ...] = ("pdf",
     return parsed.select("path", F.col("m.subject").alias("title"), F.col("m.sender").alias("sender"), body.alias("content"), names.alias("attachments"))
 
 
+# ---- fixed values: attachments that are read, and the largest one
+ATTACHED = ("md", "txt", "py", "js", "ts", "rs", "go", "java", "pdf", "docx", "html", "htm", "csv", "rtf")
+ATTACHMENT_BYTES = 20 << 20
+
+
+@pandas_udf(T.ArrayType(T.StructType([T.StructField("name", T.StringType()), T.StructField("content", T.BinaryType())])))
+def attached(raw: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    """Name and bytes of a message's attachments, those above ATTACHMENT_BYTES aside."""
+    for batch in raw:
+        rows = []
+        for data in batch:
+            parts = [p for p in email.message_from_bytes(data, policy=email.policy.default).walk() if not p.is_multipart() and p.get_filename()] if data else []
+            found = [{"name": p.get_filename(), "content": p.get_payload(decode=True) or b""} for p in parts]
+            rows.append([x for x in found if len(x["content"]) <= ATTACHMENT_BYTES])
+        yield pd.Series(rows)
+
+
+def mail_attachments(spark: SparkSession, path: str, allowed: tuple[str, ...] = ATTACHED) -> DataFrame:
+    """Attachments of RFC 822 files as files of their own: path (of the message), name, content (bytes); ``parsed`` makes them documents."""
+    raw = spark.read.format("binaryFile").option("pathGlobFilter", "*.eml").option("recursiveFileLookup", True).load(path)
+    each = raw.select("path", F.explode(attached("content")).alias("a")).select("path", "a.name", "a.content")
+    return each.where(F.lower(F.substring_index("name", ".", -1)).isin(*allowed))
+
+
+OFFICE, MARKUP = ("docx", "xlsx", "pptx", "epub"), ("html", "htm")
+
+
+def parsed(files: DataFrame) -> DataFrame:
+    """``files`` (name, content as bytes, and any other columns) with title, text and status by the name's extension: office archives, HTML, RTF, anything else as plain text.
+    Bytes that are no text, such as PDF and images, are ``binary`` and have no text; a model or a service reads those."""
+    kind = F.lower(F.substring_index("name", ".", -1))
+    office = office_text(F.when(kind.isin(*OFFICE), F.col("content")))
+    plain = F.col("content").cast("string")
+    out = files.withColumn("__o", office).withColumn("__binary", ~kind.isin(*OFFICE) & (kind.isin("pdf") | is_binary(F.col("content"))))
+    text = F.when(kind.isin(*OFFICE), F.col("__o.text")).when(F.col("__binary"), "").when(kind.isin(*MARKUP), tx.html_text(plain)).when(kind == "rtf", strip_rtf(plain)).otherwise(plain)
+    title = F.when(kind.isin(*MARKUP), tx.html_title(plain)).when(kind.isin(*OFFICE) | (kind == "rtf") | F.col("__binary"), F.col("name")).otherwise(tx.markdown_title(plain))
+    status = F.when(kind.isin(*OFFICE), F.col("__o.status")).when(F.col("__binary"), "binary").otherwise("ok")
+    return out.select(*files.columns, title.alias("title"), F.coalesce(text, F.lit("")).alias("text"), status.alias("status")).drop("__o", "__binary")
+
+
 def newer_than(messages: DataFrame, cursors: DataFrame) -> DataFrame:
     """Messages above their folder's high-water mark; a folder without one is read from the start."""
     return messages.join(cursors.select("folder", "last_uid"), "folder", "left").where(F.col("uid") > F.coalesce("last_uid", F.lit(0))).drop("last_uid")

@@ -1,3 +1,4 @@
+import io
 import zipfile
 from email.message import EmailMessage
 
@@ -128,3 +129,28 @@ def test_git_tree(spark, tmp_path):
     assert {r.rel for r in files.git_tree(spark, f"file:{root}").collect()} == {"src/main.py", "src/deep/x.py", "docs/a.md", "big.py"}
     with pytest.raises(ValueError, match="more than 100"):
         files.git_tree(spark, str(root), most_total=100)
+
+
+def test_attachments_are_documents(spark, tmp_path):
+    from docloom.sources import files
+
+    buffer = io.BytesIO()
+    with zipfile.ZipFile(buffer, "w") as z:
+        z.writestr("word/document.xml", '<w:document xmlns:w="w"><w:p><w:r><w:t>one</w:t></w:r></w:p></w:document>')
+    parts = {"a.docx": buffer.getvalue(), "b.html": b"<title>T</title><p>x &amp; y</p>", "c.md": "# Head\né".encode(), "d.rtf": rb"{\rtf1 Caf\'e9 \u20013?\u-10179?\u-8704?\par end}", "e.docx": b"broken", "f.pdf": b"%PDF", "g.exe": b"x", "h.txt": b"a\0b"}
+    m = EmailMessage()
+    m["subject"], m["from"] = "Hi", "a@b.org"
+    m.set_content("body")
+    for name, body in parts.items():
+        m.add_attachment(body, maintype="application", subtype="octet-stream", filename=name)
+    (tmp_path / "m.eml").write_bytes(m.as_bytes())
+    plain = EmailMessage()
+    plain.set_content("no attachment")
+    (tmp_path / "n.eml").write_bytes(plain.as_bytes())
+    found = files.mail_attachments(spark, str(tmp_path))
+    assert {r.name: bytes(r.content) for r in found.collect()} == {k: v for k, v in parts.items() if k != "g.exe"}
+    got = {r.name: (r.title, r.text, r.status) for r in files.parsed(found).collect()}
+    assert got == {
+        "a.docx": ("a.docx", "one", "ok"), "b.html": ("T", "T x & y", "ok"), "c.md": ("Head", "# Head\né", "ok"), "d.rtf": ("d.rtf", "Café 中😀\nend", "ok"),
+        "e.docx": ("e.docx", "", "broken"), "f.pdf": ("f.pdf", "", "binary"), "h.txt": ("h.txt", "", "binary"),
+    }
