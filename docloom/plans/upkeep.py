@@ -179,7 +179,7 @@ def batch_estimates(spark, d):
     return out.withColumn("cost", F.round("cost", 6)).withColumn("context_window", qu.context_window(F.col("model")))
 
 
-@register("json_blocks", """select event_id, case when event_id % 3 = 0 and t not like '%```%```%' then null else props end as block, case when event_id % 3 = 0 then -1 else coalesce(json_extract(props, '$.k')::bigint, -1) end as k
+@register("json_blocks", """select event_id, case when event_id % 3 = 0 and coalesce(t, '') not like '%```%```%' then null else props end as block, case when event_id % 3 = 0 then -1 else coalesce(json_extract(props, '$.k')::bigint, -1) end as k
   from events left join (select conv_id, coalesce(text, '') as t from conversations where turn = 0) on conv_id = event_id % 100""")
 def json_blocks(spark, d):
     """The JSON block of replies that quote an event's properties behind a conversation's first turn: fenced with or without a language, or not at all."""
