@@ -67,8 +67,11 @@ class TextIndex(Segments):
     def write(self, rows: DataFrame, seq: int) -> tuple[int, int]:
         """Postings are dealt by bucket and by parts of the items, so that a frequent term is split over tasks and files; items are what their heads say."""
         deal = [self._bucket(F.col("term")), F.pmod(F.xxhash64("item_id"), F.lit(self.parts))]
-        flat = rows.select("term", "item_id", "tf", "length", "head").repartition(*deal).withColumn("bucket", self._bucket(F.col("term")))
-        flat.sortWithinPartitions("bucket", "term", "item_id").write.partitionBy("bucket").parquet(f"{self.folder}/postings/seq={seq}")
+        # three columns travel: length, head and tf share one integer
+        packed = F.shiftleft(F.shiftleft(F.col("length").cast("long"), 1) + F.col("head").cast("long"), 31) + F.col("tf")
+        moved = rows.select("term", "item_id", packed.alias("p")).repartition(*deal).withColumn("bucket", self._bucket(F.col("term")))
+        ones = F.col("p").bitwiseAND(F.lit((1 << 31) - 1)).cast("int").alias("tf"), F.shiftright("p", 32).cast("int").alias("length"), (F.shiftright("p", 31) % 2 == 1).alias("head")
+        moved.sortWithinPartitions("bucket", "term", "item_id").select("term", "item_id", *ones, "bucket").write.partitionBy("bucket").parquet(f"{self.folder}/postings/seq={seq}")
         kind = f"term string, item_id {rows.schema['item_id'].dataType.simpleString()}, tf int, length int, head boolean, bucket int"
         written = self.spark.read.schema(kind).parquet(f"{self.folder}/postings/seq={seq}")
         return super().write(written.where("head").select("item_id", "length"), seq)
