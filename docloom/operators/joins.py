@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from docloom.functions.vector import cosine
-from docloom.operators import set_join
+from docloom.operators import incidence, set_join
 from docloom.operators.patterns import key_of, named, occurrences
 from docloom.operators.skew import meet, thinned
 from docloom.sources.shared import stored
@@ -39,10 +39,17 @@ def shared_entity_links(mentions: DataFrame, item: str, entity: str, min_shared:
     return links.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= degree)
 
 
-def jaccard_recommend(left: DataFrame, right: DataFrame, threshold: float = 0.6, most: int = 5) -> DataFrame:
-    """(l, r, score, overlap): pairs of (id, entity) sets with Jaccard at or above the threshold, with up to ``most`` common entities. An exact set-similarity join
-    over the classes of equal sets of both sides (``operators.set_join``); only the pairs asked for are written out."""
+def jaccard_recommend(left: DataFrame, right: DataFrame, threshold: float = 0.6, most: int = 5, once: bool = False) -> DataFrame:
+    """(l, r, score, overlap): pairs of (id, entity) sets with Jaccard at or above the threshold, with up to ``most`` common entities; of one table
+    with itself ``once`` asks for l < r alone. Exact. Sets over few entities that many of them hold are multiplied tile by tile (``operators.incidence``), others
+    are joined as classes of equal sets of both sides (``operators.set_join``); only the pairs asked for are written out."""
     left, right = (x.where(F.col("id").isNotNull() & F.col("entity").isNotNull()) for x in (left, right))
+    if threshold > 0:
+        each = lambda x: stored(x.select("id", F.col("entity").alias("token")).distinct(), "sets")
+        a = each(left)
+        b = None if once else each(right)
+        if tokens := incidence.dense(a, b):
+            return incidence.similar(a, b, tokens, threshold, most)
     both = left.select(F.struct(F.lit(0).alias("side"), F.col("id").alias("id")).alias("id"), F.col("entity").alias("token")).union(right.select(F.struct(F.lit(1).alias("side"), F.col("id").alias("id")), F.col("entity")))
     named, members = set_join.classes(both)
     pairs = stored(set_join.similar(named, threshold), "pairs")
@@ -51,7 +58,7 @@ def jaccard_recommend(left: DataFrame, right: DataFrame, threshold: float = 0.6,
     own = named.select(F.col("class").alias("a"), F.col("class").alias("b"), F.lit(1.0).alias("score"), F.slice(F.sort_array(F.transform("set", lambda s: s["token"])), 1, most).alias("overlap"))
     ways = scored.union(scored.select(F.col("b"), F.col("a"), "score", "overlap")).union(own)
     side = lambda s, c, name: members.where(F.col("id.side") == s).select(F.col("class").alias(c), F.col("id.id").alias(name))
-    return ways.join(side(0, "a", "l"), "a").join(side(1, "b", "r"), "b").select("l", "r", F.round("score", 6).alias("score"), "overlap")
+    return ways.join(side(0, "a", "l"), "a").join(side(1, "b", "r"), "b").select("l", "r", F.round("score", 6).alias("score"), "overlap").where("l < r" if once else "true")
 
 
 def overlapping(windows: DataFrame, other: DataFrame, bucket: int) -> DataFrame:

@@ -84,7 +84,7 @@ def shared_entity_links(spark, d):
   select l, r, round(k / (x.n + y.n - k), 6) as score, overlap from k join c x on x.id = l join c y on y.id = r where k / (x.n + y.n - k) >= 0.4""")
 def jaccard_recommend(spark, d):
     u = usage_events(spark, d).where("item is not null").select(F.col("agent").alias("id"), F.col("item").alias("entity"))
-    out = op.jaccard_recommend(u, u, 0.4).where("l < r")
+    out = op.jaccard_recommend(u, u, 0.4, once=True)
     return out.withColumn("overlap", F.array_join(F.transform("overlap", lambda x: x.cast("string")), " "))
 
 
