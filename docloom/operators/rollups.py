@@ -4,8 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, LongType
 from pyspark.sql.window import Window
 
+from docloom.operators import incidence
+from docloom.sources.shared import stored
+
 
 def usage_summary(events: DataFrame, start: int, end: int) -> DataFrame:
     """Global totals of the events in [start, end], both ends included; sums of nothing are 0."""
@@ -65,14 +69,22 @@ def signal_buckets(signals: DataFrame, query: str, ts: str, now: int, window_day
 def cooccurrence_expansion(buckets: DataFrame, key: str, tokens: str, weight: str, top: int = 8) -> DataFrame:
     """For each bucket the tokens of other buckets that share a token with it, weighted by how often those occur; the top ones.
 
-    Buckets meet through shared tokens only, and each meeting pair counts once."""
+    Buckets meet through shared tokens only, and each meeting pair counts once. Buckets of few tokens that many of them hold meet as tiles of a
+    matrix (``operators.incidence``)."""
+    order = Window.partitionBy("k").orderBy(F.desc("weight"), "token")
+    best = lambda scored: scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
+    if buckets.schema[weight].dataType in (LongType(), IntegerType()):
+        rows = stored(buckets.select(F.col(key).alias("id"), F.col(weight).alias("value"), F.array_distinct(tokens).alias("set")), "buckets")
+        fit = rows.agg(F.count("*").alias("n"), F.countDistinct("id").alias("ids"), F.count("value").alias("values"), F.sum(F.abs(F.col("value").cast("double"))).alias("sum")).first()
+        each = rows.select("id", "value", F.explode("set").alias("token"))
+        if fit.n == fit.ids == fit.values and (fit.sum or 0) < 1 << 53 and (found := incidence.dense(each)):
+            return best(incidence.expansions(each, found))
     each = buckets.select(F.col(key).alias("k"), F.explode(F.array_distinct(tokens)).alias("t"))
     linked = each.alias("a").join(each.alias("b"), "t").where("a.k != b.k").select(F.col("a.k").alias("k"), F.col("b.k").alias("other")).distinct()
     more = linked.join(buckets.select(F.col(key).alias("other"), F.col(weight).alias("w"), F.explode(F.array_distinct(tokens)).alias("token")), "other")
     own = each.select("k", F.col("t").alias("token"))
     scored = more.join(own, ["k", "token"], "left_anti").groupBy("k", "token").agg(F.sum("w").alias("weight"))
-    order = Window.partitionBy("k").orderBy(F.desc("weight"), "token")
-    return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
+    return best(scored)
 
 
 def cooccurrence_edges(pairs: DataFrame, doc: str, node: str) -> DataFrame:

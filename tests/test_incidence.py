@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from docloom.operators import incidence, joins
+from docloom.operators import incidence, joins, rollups
 
 
 @pytest.fixture(autouse=True)
@@ -33,6 +33,25 @@ def test_jaccard_matches_all_pairs(spark, monkeypatch, once):
     assert sorted(got) == sorted(want) and want
 
 
+@pytest.mark.parametrize("most", [3, 16])
+def test_expansion_matches_all_pairs(spark, monkeypatch, most):
+    rng = random.Random(most)
+    sets = sets_of(rng, 70, most)
+    weight = {i: rng.randint(-3, 9) for i in sets}
+    want = set()
+    for i, a in sets.items():
+        score = {}
+        for j, b in sets.items():
+            for t in b - a if i != j and a & b else ():
+                score[t] = score.get(t, 0) + weight[j]
+        want |= {(i, t, w, r) for r, (t, w) in enumerate(sorted(score.items(), key=lambda x: (-x[1], x[0]))[:8], 1)}
+    asked = []
+    monkeypatch.setattr(rollups.incidence, "expansions", lambda *a, real=incidence.expansions: asked.append(1) or real(*a))
+    buckets = spark.createDataFrame([(i, sorted(s), weight[i]) for i, s in sets.items()], "k long, toks array<long>, w long").repartition(3)
+    got = {(r.k, r.token, r.weight, r["rank"]) for r in rollups.cooccurrence_expansion(buckets, "k", "toks", "w").collect()}
+    assert got == want and want and asked
+
+
 def test_sets_over_many_tokens_are_joined(spark, monkeypatch):
     each = spark.createDataFrame([(i, i + j) for i in range(3000) for j in range(2)], "id long, token long")
     assert incidence.dense(each) is None
