@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
 from docloom.functions.line_diff import line_hunks
+from docloom.functions.text import pieces
 
 # ---- fixed values: surnames, organisation endings, capital numerals
 SURNAMES = "李王张刘陈杨赵黄周吴徐孙朱马胡郭林何高梁郑罗宋谢唐韩曹许邓萧冯曾程蔡彭潘袁于董余苏叶吕魏蒋田杜丁沈姜范江"
@@ -200,8 +201,10 @@ def token_f1(a: Column, b: Column) -> Column:
 
 
 @pandas_udf(T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.StructField("text", T.StringType())])))
-def line_diff(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([line_hunks(x or "", y or "") for x, y in zip(a, b)])
+def line_diff(texts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    for batch in texts:
+        for a, b in pieces(*batch):
+            yield pd.Series([line_hunks(x or "", y or "") for x, y in zip(a, b)])
 
 
 @pandas_udf(T.ArrayType(T.DoubleType()))
@@ -222,4 +225,5 @@ def hashed_embedding(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         return [x / size for x in v] if size else [1.0, *[0.0] * 63]
 
     for batch in texts:
-        yield batch.map(one)
+        for (piece,) in pieces(batch):
+            yield piece.map(one)

@@ -240,18 +240,36 @@ def sections_of(text: str, target: int = SECTION_SIZE) -> list[dict]:
     return out
 
 
+#: Characters, and rows, of the texts that a function answers at once.
+PIECE, PIECE_ROWS = 1 << 20, 1000
+
+
+def pieces(*batch: pd.Series) -> Iterator[tuple[pd.Series, ...]]:
+    """A batch's columns, cut where their texts reach PIECE characters: what a function makes of a batch then is not held as a whole, however long its texts are."""
+    start = size = 0
+    for at, row in enumerate(zip(*batch)):
+        size += sum(len(x) for x in row if isinstance(x, str))
+        if size >= PIECE or at + 1 - start >= PIECE_ROWS:
+            yield tuple(c.iloc[start : at + 1] for c in batch)
+            start, size = at + 1, 0
+    if start < len(batch[0]) or not len(batch[0]):
+        yield tuple(c.iloc[start:] for c in batch)
+
+
 @pandas_udf(T.ArrayType(T.StringType()))
 def chunks(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """Sliding-window chunks of each text; null and empty texts have none."""
     for batch in texts:
-        yield batch.map(lambda t: chunk_text(t) if t else [])
+        for (piece,) in pieces(batch):
+            yield piece.map(lambda t: chunk_text(t) if t else [])
 
 
 @pandas_udf(T.ArrayType(T.StructType([T.StructField("section_idx", T.IntegerType()), T.StructField("path", T.ArrayType(T.StringType())), T.StructField("content", T.StringType())])))
 def sections(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """Sections of each text with their heading path."""
     for batch in texts:
-        yield batch.map(lambda t: sections_of(t) if t else [])
+        for (piece,) in pieces(batch):
+            yield piece.map(lambda t: sections_of(t) if t else [])
 
 
 def breadcrumb(path: Column, content: Column) -> Column:
