@@ -195,6 +195,17 @@ def counted(docs: DataFrame, terms: Terms, kept: list[str]) -> DataFrame:
     return source.mapInArrow(run, ", ".join([*filter(None, [schema]), "__t array<int>", "__n array<int>"]))
 
 
+def held_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(t, n): of one task's texts those that hold term t, from their distinct terms; t = -1 counts the texts."""
+    df, texts = np.zeros(0, np.int64), 0
+    for batch in batches:
+        found = np.bincount(batch.column(0).flatten().to_numpy(zero_copy_only=False), minlength=len(df))
+        found[: len(df)] += df
+        df, texts = found, texts + batch.num_rows
+    held = np.flatnonzero(df)
+    yield pa.RecordBatch.from_arrays([pa.array(np.append(held, -1), pa.int32()), pa.array(np.append(df[held], texts), pa.int64())], names=["t", "n"])
+
+
 def choose_terms(texts: list[str], y: np.ndarray, min_examples: int, min_association: float) -> list[str]:
     """Terms of ``min_examples`` examples or more whose presence goes with the class (chi-squared of the two by two table). On texts in
     which nearly every word is one of a kind the cosine over all words finds few of the toxic texts, so it is taken over these."""
@@ -281,9 +292,13 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, folds: int = 5, held: int
     terms = Terms(choose_terms(list(sample.text), sample.y.to_numpy(), 3, 10.0))
     rows = stored(counted(docs, terms, kept), "toxicity-terms")
     df = np.zeros(len(terms.number), np.int64)
-    for r in rows.select(F.explode("__t").alias("t")).groupBy("t").count().collect():
-        df[r.t] = r["count"]
-    total = rows.count()
+    total = 0
+    # each task adds up its own texts' terms, so that no row is made for a term of a text
+    for r in rows.select("__t").mapInArrow(held_counts, "t int, n long").groupBy("t").agg(F.sum("n").alias("n")).collect():
+        if r.t < 0:
+            total = r.n
+        else:
+            df[r.t] = r.n
     index = build_index(sample, terms, total, df)
     votes = calibrate(index, sample, class_counts(docs, labels, "toxic", folds, held), k)
     del sample

@@ -95,3 +95,15 @@ def test_sample_bounds(spark):
     labels = spark.createDataFrame([(i, 1, i % 2, "clash") for i in (1, 1, 2, 3, 4)] + [(None, 1, 1, "c"), (9, 1, 1, "c")], "doc_id long, quality int, toxic int, text string")
     rows = {tuple(r) for r in toxicity.labelled_sample(docs, labels, "toxic", 1, 5, 10, 50).collect()}
     assert rows == {(1, "a", 1), (3, "", 1), (4, "t", 0)}
+
+
+def test_term_counts_leave_a_task_added_up():
+    """One row a term and task, not one a term and text."""
+    import pyarrow as pa
+
+    from docloom.llm.toxicity import held_counts
+
+    texts = [[0, 3], [3], [], [7, 0, 3]]
+    batches = [pa.RecordBatch.from_arrays([pa.array(t, pa.list_(pa.int32()))], names=["__t"]) for t in (texts[:2], [], texts[2:])]
+    out = pa.Table.from_batches(held_counts(iter(batches))).to_pydict()
+    assert dict(zip(out["t"], out["n"])) == {0: 2, 3: 3, 7: 1, -1: 4} and len(out["t"]) == 4
