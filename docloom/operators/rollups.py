@@ -41,6 +41,15 @@ def document_frequency(pairs: DataFrame, doc: str, keys: list[str]) -> DataFrame
     return pairs.groupBy(*keys).agg(F.countDistinct(doc).alias("df"))
 
 
+def term_frequency(items: DataFrame, terms: Column) -> DataFrame:
+    """(term, df): distinct items of each term; ``terms`` makes the distinct terms of a row (item_id, ...). Rows of an id that comes once are counted where they are read;
+    pairs of item and term are shuffled for repeated ids alone."""
+    known = items.where("item_id is not null")
+    again = stored(known.groupBy("item_id").agg(F.count("*").alias("n")).where("n > 1").select("item_id"), "repeated")
+    each = lambda how: known.join(again, "item_id", how).select("item_id", F.explode(terms).alias("term"))
+    return each("left_anti").select("term").union(each("left_semi").distinct().select("term")).groupBy("term").agg(F.count("*").alias("df"))
+
+
 def item_states(tasks: DataFrame, done: Column, pending: Column, key: str) -> DataFrame:
     """Total, pending and finished tasks of each key in one pass."""
     return tasks.groupBy(key).agg(F.count("*").alias("n_total"), F.count_if(pending).alias("n_pending"), F.count_if(done).alias("n_done"))

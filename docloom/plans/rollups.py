@@ -55,8 +55,7 @@ def items_by_source(spark, d):
 @register("entity_df", """with t as (select distinct doc_id, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+')) as term from documents)
   select term, count(*) as df from t group by term having count(*) >= 20""")
 def entity_df(spark, d):
-    terms = items(spark, d).select("item_id", F.explode(F.array_distinct(tx.tokens(F.col("content")))).alias("term"))
-    return op.document_frequency(terms, "item_id", ["term"]).where("df >= 20")
+    return op.term_frequency(items(spark, d).select("item_id", "content"), F.array_distinct(tx.tokens(F.col("content")))).where("df >= 20")
 
 
 @register("distinct_items_with_terms", "select count(distinct doc_id) as n_items from documents where regexp_matches(text, '[0-9]')")
