@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from docloom.sources.shared import stored
 
@@ -15,6 +16,8 @@ from docloom.sources.shared import stored
 TILE = 1024
 #: Cells of the space: one for so many tiles, within these bounds; their centres are what is broadcast.
 TILES_A_CELL, CELLS = 4, (1, 1024)
+#: Tiles meet by groups. A group has at most so many tiles and bytes of vectors, and there are so many groups at least, for tasks to share.
+GROUP_TILES, GROUP_BYTES, GROUPS = 64, 1 << 25, 12
 
 
 def centres_of(vectors: DataFrame, n_vectors: int, n: int | None = None) -> np.ndarray:
@@ -60,6 +63,14 @@ def near_pairs(first: DataFrame, second: DataFrame, centres: np.ndarray, near: C
     return a.join(F.broadcast(cells.select("cell_a", "cell_b", "apart")), "cell_a").join(b, "cell_b").where(near(least)).select(F.col("tile_a").alias("a"), F.col("tile_b").alias("b"))
 
 
+def groups_of(tiles: DataFrame, size: int) -> DataFrame:
+    """(tile, g): group numbers of tiles (tile, cell) of vectors with ``size`` values; the tiles of a cell are neighbours. Only the tiles' numbers are looked at."""
+    n = tiles.count()
+    most = max(min(GROUP_TILES, GROUP_BYTES // (TILE * size * 8)), 1)
+    groups = max(min(n, max(GROUPS, -(-n // most))), 1)
+    return stored(tiles.select("tile", F.ntile(groups).over(Window.orderBy("cell", "tile")).alias("g")), "groups")
+
+
 def met(pairs: DataFrame, first: DataFrame, second: DataFrame) -> DataFrame:
     """The pairs of tiles with the columns of both, ending in _a and _b. Each side's values move once a pair."""
     a = first.select(*[F.col(c).alias(f"{c}_a") for c in first.columns])
@@ -67,6 +78,29 @@ def met(pairs: DataFrame, first: DataFrame, second: DataFrame) -> DataFrame:
     return pairs.join(a, F.col("a") == F.col("tile_a")).join(b, F.col("b") == F.col("tile_b"))
 
 
+def met_in_groups(pairs: DataFrame, first: DataFrame, second: DataFrame | None, groups: tuple[DataFrame, DataFrame], run: Callable, shape: str) -> DataFrame:
+    """What ``run`` makes of the pairs (a, b) of tiles. It is called for two groups of tiles at a time, so that values move once a pair of groups and not once a pair of
+    tiles, with a table of tiles, columns as in ``first`` and ``second``, and a list of pairs of its rows. Without ``second`` both tiles of a pair are of ``first``, and a
+    call has all pairs of its two groups, either way round."""
+    one = second is None
+    g = [x.select(F.col("tile").alias(s), F.col("g").alias(f"g_{s}")) for x, s in zip(groups, "ab")]
+    both = pairs.join(F.broadcast(g[0]), "a").join(F.broadcast(g[1]), "b")
+    p, q = (F.least("g_a", "g_b"), F.greatest("g_a", "g_b")) if one else (F.col("g_a"), F.col("g_b"))
+    lists = stored(both.groupBy(p.alias("p"), q.alias("q")).agg(F.collect_list(F.struct("a", "b")).alias("pairs")), "meetings")
+    ends = F.explode(F.array_distinct(F.array("p", "q"))) if one else F.col("p")
+    side = lambda n, frame, end: frame.join(F.broadcast(groups[n]), "tile").join(F.broadcast(lists.select("p", "q", end.alias("g"))), "g").select("p", "q", F.lit(n).alias("side"), *frame.columns)
+    rows = side(0, first, ends).unionByName(lists.withColumn("side", F.lit(2)), allowMissingColumns=True)
+    rows = rows if one else rows.unionByName(side(1, second, F.col("q")), allowMissingColumns=True)
+
+    def call(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(list(batches)).combine_chunks()
+        at = {k: i for i, k in enumerate(zip(table.column("side").to_pylist(), table.column("tile").to_pylist()))}
+        wanted = table.column("pairs")[at[2, None]].as_py()
+        yield from run(table.to_batches()[0], sorted((at[0, z["a"]], at[0 if one else 1, z["b"]]) for z in wanted))
+
+    return rows.groupBy("p", "q").applyInArrow(call, shape)
+
+
 def values(batch: pa.RecordBatch, row: int, side: str) -> tuple[np.ndarray, np.ndarray]:
     """Ids and vectors of one side of a meeting."""
     ids, v = (np.asarray(batch.column(f"{c}{side}")[row].values) for c in ("ids", "v"))
