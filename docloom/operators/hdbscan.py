@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from docloom.operators.graph import components
-from docloom.operators.tiles import centres_of, met, near_pairs, tiled, values
+from docloom.operators.tiles import centres_of, groups_of, met_in_groups, near_pairs, tiled, values
 from docloom.sources.shared import stored
 
 #: Neighbours that are listed for each item, at least; more lists settle more Boruvka rounds without a pass over vectors.
@@ -41,6 +41,34 @@ def _nearest(ids_a: np.ndarray, a: np.ndarray, ids_b: np.ndarray, b: np.ndarray,
     return ids_a[i], ids_b[j], exact(a[i], b[j])
 
 
+class Lists:
+    """The k nearest others of each vector of a tile, ties by id, of all tiles that it is held against. Vectors beyond a bound aren't listed."""
+
+    def __init__(self, ids: np.ndarray, v: np.ndarray, bound: np.ndarray, k: int) -> None:
+        self.ids, self.v, self.k, self.limit = ids, v, k, bound.copy()
+        self.i, self.d, self.b = np.empty(0, np.int64), np.empty(0), np.empty(0, np.int64)
+        self.single, self.squares = v.astype(np.float32), (v**2).sum(axis=1)
+
+    def meet(self, other: Lists) -> None:
+        least = (self.squares[:, None] - self.limit[:, None] ** 2 * (1 + 1e-6)).astype(np.float32)
+        # above the rounding of a product of single precision; what is left is computed again from differences
+        slack = (self.v.shape[1] + 16) * 2.0**-21 * (self.squares.max(initial=0) + other.squares.max(initial=0))
+        near = self.single @ (2 * other.single.T) - other.squares.astype(np.float32) >= least - np.float32(slack)
+        if np.count_nonzero(near) > 4 * self.k * len(self.v):
+            a, b, d = _nearest(np.arange(len(self.v)), self.v, -1 - np.arange(len(other.v)), other.v, self.k, self.limit)
+            i, b = a, other.ids[-1 - b]
+        else:
+            i, j = np.nonzero(near)
+            b, d = other.ids[j], exact(self.v[i], other.v[j])
+        i, d, b = (np.concatenate(x) for x in ((self.i, i), (self.d, d), (self.b, b)))
+        order = np.lexsort((b, d, i))
+        i, d, b = i[order], d[order], b[order]
+        at = np.arange(len(i)) - np.searchsorted(i, i)
+        full = at == self.k - 1
+        self.limit[i[full]] = np.minimum(self.limit[i[full]], d[full])
+        self.i, self.d, self.b = (x[at < self.k] for x in (i, d, b))
+
+
 NEIGHBOURS = "a long, b long, d double"
 
 
@@ -48,7 +76,7 @@ def _batch(columns, names) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=names)
 
 
-def neighbours(tiles: DataFrame, centres: np.ndarray, k: int) -> DataFrame:
+def neighbours(tiles: DataFrame, groups: DataFrame, centres: np.ndarray, k: int) -> DataFrame:
     """(a, b, d): the k nearest other items of each item, exact. The lists within a tile bound how far the others can be, and with that which tiles meet."""
 
     def inside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -67,18 +95,19 @@ def neighbours(tiles: DataFrame, centres: np.ndarray, k: int) -> DataFrame:
                 kind = pa.list_(pa.list_(pa.struct([("b", pa.int64()), ("d", pa.float64())])))
                 yield pa.RecordBatch.from_arrays([batch.column("tile")[row : row + 1], pa.array([bound.tolist()]), pa.array([lists], kind)], names=["tile", "bound", "lists"])
 
-    def across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in range(batch.num_rows):
-                ids_a, a = values(batch, row, "_a")
-                ids_b, b = values(batch, row, "_b")
-                yield _batch(_nearest(ids_a, a, ids_b, b, k, np.asarray(batch.column("bound_a")[row].values)), ["a", "b", "d"])
+    def across(table: pa.RecordBatch, todo: list[tuple[int, int]]) -> Iterator[pa.RecordBatch]:
+        bound = table.column("bound")
+        lists = {row: Lists(*values(table, row, ""), np.asarray(bound[row].values), k) for row in {x for pair in todo for x in pair}}
+        for p, q in todo:
+            lists[p].meet(lists[q])
+        for own in lists.values():
+            yield _batch([own.ids[own.i], own.b, own.d], ["a", "b", "d"])
 
     own = stored(tiles.select("tile", "ids", "v").mapInArrow(inside, "tile long, bound array<double>, lists array<array<struct<b:long,d:double>>>"), "inside")
     meta = tiles.select("tile", "cell", "reach").join(own.select("tile", F.array_max("bound").alias("most")), "tile")
     pairs = near_pairs(meta, meta.drop("most"), centres, lambda least: (F.col("tile_a") != F.col("tile_b")) & (least <= F.col("most_a") * (1 + 1e-6) + 1e-6))
     held = tiles.select("tile", "ids", "v")
-    others = met(pairs, held.join(own.select("tile", "bound"), "tile"), held).select("ids_a", "v_a", "bound_a", "ids_b", "v_b").mapInArrow(across, NEIGHBOURS)
+    others = met_in_groups(pairs, held.join(own.select("tile", "bound"), "tile"), None, (groups, groups), across, NEIGHBOURS)
     flat = own.join(tiles.select("tile", "ids"), "tile").select(F.explode(F.arrays_zip("ids", "lists")).alias("z")).select(F.col("z.ids").alias("a"), F.explode("z.lists").alias("n")).select("a", "n.b", "n.d")
     best = Window.partitionBy("a").orderBy("d", "b")
     return stored(flat.union(others).withColumn("r", F.row_number().over(best)).where(F.col("r") <= k), "neighbours")
@@ -87,7 +116,7 @@ def neighbours(tiles: DataFrame, centres: np.ndarray, k: int) -> DataFrame:
 EDGE = "struct(w, least(a, b) as lo, greatest(a, b) as hi)"
 
 
-def spanning_tree(tiles: DataFrame, centres: np.ndarray, lists: DataFrame, cores: DataFrame, k: int) -> DataFrame:
+def spanning_tree(tiles: DataFrame, groups: DataFrame, centres: np.ndarray, lists: DataFrame, cores: DataFrame, k: int) -> DataFrame:
     """(w, lo, hi): a minimum spanning tree of mutual reachability, max(distance, core of either end).
 
     In each round every component takes its lightest edge to another one. The lists give it where no item of the component can have a lighter one beyond its list;
@@ -110,7 +139,7 @@ def spanning_tree(tiles: DataFrame, centres: np.ndarray, lists: DataFrame, cores
         n, settled = state.agg(F.count("*"), F.count_if(F.col("e.w") <= F.col("limit"))).first()
         if n <= 1:
             break
-        chosen = state.where(F.col("e.w") <= F.col("limit")).select("c", "e", "to") if settled else _lightest(tiles, centres, cores, of, state)
+        chosen = state.where(F.col("e.w") <= F.col("limit")).select("c", "e", "to") if settled else _lightest(tiles, groups, centres, cores, of, state)
         chosen = stored(chosen, "chosen")
         step = chosen.select("e.w", "e.lo", "e.hi").distinct()
         tree = step if tree is None else tree.union(step)
@@ -119,7 +148,7 @@ def spanning_tree(tiles: DataFrame, centres: np.ndarray, lists: DataFrame, cores
     return cores.select(F.lit(0.0).alias("w"), F.col("item_id").alias("lo"), F.col("item_id").alias("hi")).limit(0) if tree is None else tree
 
 
-def _lightest(tiles: DataFrame, centres: np.ndarray, cores: DataFrame, of: DataFrame, state: DataFrame) -> DataFrame:
+def _lightest(tiles: DataFrame, groups: DataFrame, centres: np.ndarray, cores: DataFrame, of: DataFrame, state: DataFrame) -> DataFrame:
     """(c, e, to): the lightest edge of every component by meetings of tiles; known edges bound which tiles meet."""
     place = tiles.select("tile", F.posexplode("ids").alias("pos", "node")).join(of, "node").join(cores.withColumnRenamed("item_id", "node"), "node")
     place = place.join(state.select("c", F.coalesce("e.w", F.lit(float("inf"))).alias("known")), "c")
@@ -131,28 +160,31 @@ def _lightest(tiles: DataFrame, centres: np.ndarray, cores: DataFrame, of: DataF
     pairs = near_pairs(meta, meta, centres, can)
     held = tiles.select("tile", "ids", "v").join(marks.select("tile", "cs", "cores"), "tile")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in range(batch.num_rows):
-                (ids_a, a), (ids_b, b) = values(batch, row, "_a"), values(batch, row, "_b")
-                side = lambda name: np.asarray(batch.column(name)[row].values)  # noqa: B023, E731
-                cs_a, cs_b, core_a, core_b = side("cs_a"), side("cs_b"), side("cores_a"), side("cores_b")
-                reach = np.maximum(distances(a, b), np.maximum(core_a[:, None], core_b[None, :]))
-                reach[cs_a[:, None] == cs_b[None, :]] = np.inf
-                # of each row and of each column the lightest edges, near ties included: their weights are computed again from differences
-                edge = np.zeros(reach.shape, dtype=bool)
-                edge |= reach <= reach.min(axis=1, keepdims=True) * (1 + 1e-9) + 1e-9
-                edge |= reach <= reach.min(axis=0, keepdims=True) * (1 + 1e-9) + 1e-9
-                i, j = np.nonzero(edge & np.isfinite(reach))
-                w = np.maximum(exact(a[i], b[j]), np.maximum(core_a[i], core_b[j]))
-                lo, hi = np.minimum(ids_a[i], ids_b[j]), np.maximum(ids_a[i], ids_b[j])
-                c, to = np.concatenate([cs_a[i], cs_b[j]]), np.concatenate([cs_b[j], cs_a[i]])
-                w, lo, hi = (np.concatenate([x, x]) for x in (w, lo, hi))
-                order = np.lexsort((hi, lo, w, c))
-                first = order[np.flatnonzero(np.diff(c[order], prepend=np.int64(-(1 << 62))))] if len(order) else order
-                yield _batch([x[first] for x in (c, w, lo, hi, to)], ["c", "w", "lo", "hi", "to"])
-
-    found = met(pairs, held, held).mapInArrow(run, "c long, w double, lo long, hi long, to long")
+    def first(c: np.ndarray, w: np.ndarray, lo: np.ndarray, hi: np.ndarray, to: np.ndarray) -> list[np.ndarray]:
+        """The lightest edge of each component."""
+        order = np.lexsort((hi, lo, w, c))
+        order = order[np.flatnonzero(np.diff(c[order], prepend=np.int64(-(1 << 62))))] if len(order) else order
+        return [x[order] for x in (c, w, lo, hi, to)]
+
+    def run(table: pa.RecordBatch, todo: list[tuple[int, int]]) -> Iterator[pa.RecordBatch]:
+        best = [np.empty(0, t) for t in (np.int64, float, np.int64, np.int64, np.int64)]
+        for p, q in todo:
+            (ids_a, a), (ids_b, b) = values(table, p, ""), values(table, q, "")
+            (cs_a, core_a), (cs_b, core_b) = ([np.asarray(table.column(name)[row].values) for name in ("cs", "cores")] for row in (p, q))
+            reach = np.maximum(distances(a, b), np.maximum(core_a[:, None], core_b[None, :]))
+            reach[cs_a[:, None] == cs_b[None, :]] = np.inf
+            # of each row and of each column the lightest edges, near ties included: their weights are computed again from differences
+            edge = np.zeros(reach.shape, dtype=bool)
+            edge |= reach <= reach.min(axis=1, keepdims=True) * (1 + 1e-9) + 1e-9
+            edge |= reach <= reach.min(axis=0, keepdims=True) * (1 + 1e-9) + 1e-9
+            i, j = np.nonzero(edge & np.isfinite(reach))
+            w = np.maximum(exact(a[i], b[j]), np.maximum(core_a[i], core_b[j]))
+            lo, hi = np.minimum(ids_a[i], ids_b[j]), np.maximum(ids_a[i], ids_b[j])
+            found = [np.concatenate([cs_a[i], cs_b[j]]), *(np.concatenate([x, x]) for x in (w, lo, hi)), np.concatenate([cs_b[j], cs_a[i]])]
+            best = first(*(np.concatenate(x) for x in zip(best, found)))
+        yield _batch(best, ["c", "w", "lo", "hi", "to"])
+
+    found = met_in_groups(pairs, held, None, (groups, groups), run, "c long, w double, lo long, hi long, to long")
     return found.groupBy("c").agg(F.min(F.struct(F.struct("w", "lo", "hi").alias("e"), "to")).alias("m")).select("c", "m.e", "m.to")
 
 
@@ -228,10 +260,11 @@ def hdbscan(vectors: DataFrame, min_cluster_size: int = 5, min_samples: int = 5,
     k = max(LISTED, min_samples)
     centres = centres_of(once, n)
     tiles = tiled(once, centres)
-    lists = neighbours(tiles, centres, k)
+    groups = groups_of(tiles, centres.shape[1])
+    lists = neighbours(tiles, groups, centres, k)
     nth = F.max(F.when(F.col("r") <= max(min_samples - 1, 0), F.col("d")))
     cores = stored(lists.groupBy(F.col("a").alias("item_id")).agg(F.coalesce(nth, F.lit(0.0)).alias("core")), "cores")
-    tree = spanning_tree(tiles, centres, lists, cores, k)
+    tree = spanning_tree(tiles, groups, centres, lists, cores, k)
 
     def condense(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts = [[np.asarray(c) for c in batch.columns] for batch in batches if batch.num_rows]

@@ -71,13 +71,6 @@ def groups_of(tiles: DataFrame, size: int) -> DataFrame:
     return stored(tiles.select("tile", F.ntile(groups).over(Window.orderBy("cell", "tile")).alias("g")), "groups")
 
 
-def met(pairs: DataFrame, first: DataFrame, second: DataFrame) -> DataFrame:
-    """The pairs of tiles with the columns of both, ending in _a and _b. Each side's values move once a pair."""
-    a = first.select(*[F.col(c).alias(f"{c}_a") for c in first.columns])
-    b = second.select(*[F.col(c).alias(f"{c}_b") for c in second.columns])
-    return pairs.join(a, F.col("a") == F.col("tile_a")).join(b, F.col("b") == F.col("tile_b"))
-
-
 def met_in_groups(pairs: DataFrame, first: DataFrame, second: DataFrame | None, groups: tuple[DataFrame, DataFrame], run: Callable, shape: str) -> DataFrame:
     """What ``run`` makes of the pairs (a, b) of tiles. It is called for two groups of tiles at a time, so that values move once a pair of groups and not once a pair of
     tiles, with a table of tiles, columns as in ``first`` and ``second``, and a list of pairs of its rows. Without ``second`` both tiles of a pair are of ``first``, and a

@@ -112,3 +112,40 @@ def test_edges(spark):
         hdbscan.hdbscan(mixed)
     odd = spark.createDataFrame([(1, [1.0]), (1, [2.0]), (None, [1.0]), (2, None)], "item_id long, embedding array<double>")
     assert [tuple(r) for r in hdbscan.hdbscan(odd).collect()] == [(1, -1)]
+
+
+def test_lists_are_the_nearest_of_all_tiles_with_ties_by_id():
+    rng = np.random.default_rng(8)
+    points = np.round(rng.normal(size=(90, 3)), 1)  # many equal distances
+    ids = rng.permutation(1000)[:90]
+    far = np.sqrt(((points[:, None] - points[None]) ** 2).sum(-1))
+    parts = np.split(np.arange(90), [20, 45, 50])
+    # a bound as lists inside the tile give it, or none
+    for bound in (np.full(20, np.inf), np.sort(far[:20, :20], axis=1)[:, 5]):
+        held = [hdbscan.Lists(ids[p], points[p], bound if not i else np.full(len(p), np.inf), 5) for i, p in enumerate(parts)]
+        for other in held[1:]:
+            held[0].meet(other)
+        got = {}
+        for i, d, b in zip(held[0].i, held[0].d, held[0].b):
+            got.setdefault(int(i), []).append((d, b))
+        for i in range(20):
+            want = sorted((far[i, j], ids[j]) for j in range(20, 90) if far[i, j] <= bound[i])[:5]
+            assert got.get(i, [])[: len(want)] == want
+
+
+def test_values_move_once_a_pair_of_groups(spark, monkeypatch):
+    """Meetings used to shuffle both tiles of every pair: the rows that calls get are counted."""
+    seen = []
+    plain_meet = hdbscan.met_in_groups
+
+    def counted(pairs, first, second, groups, run, shape):
+        tables = plain_meet(pairs, first, second, groups, lambda table, todo: iter([hdbscan._batch([np.array([table.num_rows - 1]), np.array([len(todo)])], ["rows", "pairs"])]), "rows long, pairs long")
+        seen.append([tuple(r) for r in tables.collect()])
+        return plain_meet(pairs, first, second, groups, run, shape)
+
+    monkeypatch.setattr(hdbscan, "met_in_groups", counted)
+    monkeypatch.setattr(tiles, "TILE", 16)
+    monkeypatch.setattr(tiles, "GROUPS", 3)
+    found(frame_of(spark, np.random.default_rng(1).normal(size=(300, 6))))
+    rows, pairs = (sum(x) for x in zip(*seen[0]))
+    assert rows < pairs / 2
