@@ -4,8 +4,12 @@ Query-side values (terms, query vector) are small literals; the corpus side is s
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import math
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -13,7 +17,6 @@ from pyspark.sql.window import Window
 from docloom.functions import text as tx
 from docloom.functions import vector as vx
 from docloom.functions.vector import let
-from docloom.operators.skew import meet
 from docloom.sources.shared import stored
 
 # ---- fixed values: the model constants of the ranking
@@ -29,31 +32,71 @@ def bm25_weight(tf: Column, df: Column, length: Column, docs: Column, mean: Colu
     return F.log(1 + (docs - df + 0.5) / (df + 0.5)) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / mean))
 
 
+#: Words that are counted at once, at about; it bounds what a task holds.
+PIECE_WORDS = 1 << 18
+#: Items of one part of a bucket of a stored index, at about: a term that all items hold has no more postings than this in one task.
+PART_ITEMS = 1 << 18
+
+
+def _counted(words: DataFrame) -> DataFrame:
+    """(term, item_id, tf, length, head) of rows (item_id, w): the distinct words of each row with their counts; head is 1 in one posting of a row and 0 in the others. Map-only."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(1)
+            sizes = pc.list_value_length(lists).to_numpy()
+            pieces = (np.cumsum(sizes) - sizes) // PIECE_WORDS
+            for start, stop in zip(starts := np.flatnonzero(np.diff(pieces, prepend=-1)), [*starts[1:], batch.num_rows]):
+                flat = lists.slice(start, stop - start).flatten().dictionary_encode()
+                row, n = np.repeat(np.arange(start, stop), sizes[start:stop]), len(flat.dictionary)
+                keys, tf = np.unique(row * n + flat.indices.to_numpy(), return_counts=True)
+                row, code = np.divmod(keys, max(n, 1))
+                columns = [flat.dictionary.take(pa.array(code)), batch.column(0).take(pa.array(row)), pa.array(tf), pa.array(sizes[row], pa.int32()), pa.array(np.diff(row, prepend=-1) != 0).cast(pa.int64())]
+                yield pa.RecordBatch.from_arrays(columns, names=["term", "item_id", "tf", "length", "head"])
+
+    return words.mapInArrow(run, f"term string, item_id {words.schema['item_id'].dataType.simpleString()}, tf long, length int, head long")
+
+
+def _postings(items: DataFrame, words: Callable[[Column], Column]) -> DataFrame:
+    """(term, item_id, tf, length, head), where head adds up to the rows with a word. Rows of an id that comes once are counted where they are read; pairs of item and
+    term are shuffled for repeated ids alone, whose rows count as one text."""
+    each = lambda rows: _counted(rows.select("item_id", words(F.col("content")).alias("w")).where(F.size("w") > 0))
+    again = stored(items.groupBy(F.col("item_id").alias("id")).agg(F.count("*").alias("n")).where("n > 1").select("id"), "repeated")
+    if not again.limit(1).count():
+        return each(items)
+    same = F.col("item_id").eqNullSafe(F.col("id"))
+    several = stored(each(items.join(again, same, "left_semi")), "repeated")
+    length = several.groupBy("item_id").agg(F.sum(F.col("length") * F.col("head")).cast("int").alias("length")).withColumnRenamed("item_id", "id")
+    one = several.groupBy("term", "item_id").agg(F.sum("tf").alias("tf"), F.sum("head").alias("head"))
+    return each(items.join(again, same, "left_anti")).unionByName(one.join(length, same).drop("id"))
+
+
 def postings(items: DataFrame, words: Callable[[Column], Column] = tx.tokens) -> DataFrame:
     """(term, item_id, tf, length): the inverted index, ready to be written bucketed by term. ``words`` makes a text's terms."""
-    each = items.select("item_id", words(F.col("content")).alias("w")).where(F.size("w") > 0)
-    return each.select("item_id", F.size("w").alias("length"), F.explode("w").alias("term")).groupBy("term", "item_id").agg(F.count("*").alias("tf"), F.first("length").alias("length"))
+    return _postings(items, words).select("term", "item_id", "tf", "length")
 
 
 def build_index(items: DataFrame, folder: str, buckets: int = 64) -> None:
-    """Writes the inverted index to ``folder``, once for all queries: postings with the term's document frequency, in folders by term bucket and
-    sorted by term, and one row of corpus totals. A query then reads the row groups of its terms and no text."""
-    each = stored(postings(items), "postings")
-    df = stored(each.groupBy("term").agg(F.count("*").alias("n")).withColumn("df", F.col("n")), "df")
-    rows = meet(each, df, "term", F.xxhash64("item_id")).withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int"))
-    rows.repartitionByRange("bucket", "term", "item_id").sortWithinPartitions("bucket", "term", "item_id").write.partitionBy("bucket").parquet(f"{folder}/postings")
-    lengths = items.select(F.size(tx.tokens(F.col("content"))).alias("n")).where("n > 0")
-    lengths.agg(F.count("*").alias("docs"), F.avg("n").alias("mean"), F.lit(buckets).alias("buckets")).write.parquet(f"{folder}/totals")
+    """Writes the inverted index to ``folder``, once for all queries: postings in folders by term bucket and sorted by term, and one row of corpus totals. A query then
+    reads the row groups of its terms and no text. Texts are read once and postings move once, dealt by bucket and by parts of the items."""
+    parts = max(math.ceil(items.count() / PART_ITEMS), 1)
+    bucket = F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int")
+    moved = _postings(items, tx.tokens).repartition(bucket, F.pmod(F.xxhash64("item_id"), F.lit(parts))).withColumn("bucket", bucket)
+    moved.sortWithinPartitions("bucket", "term", "item_id").write.partitionBy("bucket").parquet(f"{folder}/postings")
+    sums = items.sparkSession.read.schema("tf long, head long, bucket int").parquet(f"{folder}/postings").agg(F.coalesce(F.sum("head"), F.lit(0)).alias("docs"), (F.sum("tf") / F.sum("head")).alias("mean"))
+    sums.withColumn("buckets", F.lit(buckets)).write.parquet(f"{folder}/totals")
 
 
 def bm25_indexed(spark: SparkSession, folder: str, terms: list[str], top: int) -> DataFrame:
     """(item_id, score, rank) of an OR query over an index of ``build_index``: as ``bm25``, from stored postings."""
     wanted = sorted({t.lower() for t in terms})
     totals = spark.read.parquet(f"{folder}/totals").first()
-    rows = spark.read.parquet(f"{folder}/postings").where(F.col("term").isin(*wanted))
+    kind = "term string, item_id long, tf long, length int, head long, bucket int"
     places = [r.b for r in spark.range(1).select(F.explode(F.array(*[F.pmod(F.xxhash64(F.lit(t)), F.lit(totals.buckets)).cast("int") for t in wanted or [""]])).alias("b")).collect()]
+    rows = spark.read.schema(kind).parquet(f"{folder}/postings").where(F.col("bucket").isin(*places) & F.col("term").isin(*wanted))
+    df = F.broadcast(rows.groupBy("term").agg(F.count("*").alias("df")))  # one row a term of the query
     weight = bm25_weight(F.col("tf"), F.col("df"), F.col("length"), F.lit(totals.docs), F.lit(totals.mean))
-    scored = rows.where(F.col("bucket").isin(*places)).groupBy("item_id").agg(F.round(F.sum(weight), 6).alias("score"))
+    scored = rows.join(df, "term").groupBy("item_id").agg(F.round(F.sum(weight), 6).alias("score"))
     return ranked(scored, top)
 
 
