@@ -74,20 +74,27 @@ def overlapping(windows: DataFrame, other: DataFrame, bucket: int) -> DataFrame:
     return joined.where(F.col("bucket") == first).drop("bucket")
 
 
+def _may_supersede(o: DataFrame, n: DataFrame) -> DataFrame:
+    """(old_id, new_id): pairs of old sets (old_id, om, old_mask) and new sets (new_id, nm, new_mask) that need a look at their members."""
+    held = n.select("new_id", F.size("nm").alias("new_size"), "new_mask", F.explode("nm").alias("m"))
+    often = stored(held.groupBy("m").agg(F.count("*").alias("df")), "often")
+    rarest = o.select("old_id", F.size("om").alias("old_size"), "old_mask", F.explode("om").alias("m")).join(often, "m").groupBy("old_id", "old_size", "old_mask").agg(F.min(F.struct("df", "m")).alias("r"), F.count("*").alias("k"))
+    few = stored(rarest.where("k = old_size").select("old_id", "old_size", "old_mask", F.col("r.m").alias("m")), "rarest")
+    asked = held.join(few.groupBy("m").agg(F.min("old_size").alias("least")), "m").where(F.col("least") < F.col("new_size")).select("m", "new_id", "new_size", "new_mask")
+    return few.join(asked, "m").where("old_size < new_size and (old_mask & ~new_mask) = 0").select("old_id", "new_id")
+
+
 def superseded(old: DataFrame, new: DataFrame) -> DataFrame:
     """(old_id, new_id): old sets that are proper subsets of a new one. ``old`` and ``new``: id, members (array).
 
-    Pairs meet on the member of the old set that the fewest new sets hold, and on the sizes; a set with a member that no new set holds meets none. Only ids, sizes and
-    single members meet; the sets are fetched for the pairs that are left, to verify containment."""
-    o = stored(old.select(F.col("id").alias("old_id"), F.array_distinct("members").alias("om")).where(F.size("om") > 0), "old")
-    n = stored(new.select(F.col("id").alias("new_id"), F.array_distinct("members").alias("nm")), "new")
-    held = n.select("new_id", F.size("nm").alias("new_size"), F.explode("nm").alias("m"))
-    often = stored(held.groupBy("m").agg(F.count("*").alias("df")), "often")
-    rarest = o.select("old_id", F.size("om").alias("old_size"), F.explode("om").alias("m")).join(often, "m").groupBy("old_id", "old_size").agg(F.min(F.struct("df", "m")).alias("r"), F.count("*").alias("k"))
-    few = stored(rarest.where("k = old_size").select("old_id", "old_size", F.col("r.m").alias("m")), "rarest")
-    asked = held.join(few.groupBy("m").agg(F.min("old_size").alias("least")), "m").where(F.col("least") < F.col("new_size")).select("m", "new_id", "new_size")
-    met = few.join(asked, "m").where("old_size < new_size").select("old_id", "new_id")
-    return met.join(o, "old_id").join(n, "new_id").where(F.size(F.array_except("om", "nm")) == 0).select("old_id", "new_id")
+    Pairs meet on the member of the old set that the fewest new sets hold, on the sizes, and on a mask that has a bit for each member's hash: of an old set all bits must be
+    set in the new one's. A set with a member that no new set holds meets none. Only ids, sizes, masks and single members meet; the sets are fetched for the pairs that
+    are left, to verify containment."""
+    mask = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda m, x: m.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.xxhash64(x), F.lit(64)).cast("int"))))
+    o = stored(old.select(F.col("id").alias("old_id"), F.array_distinct("members").alias("om")).where(F.size("om") > 0).withColumn("old_mask", mask("om")), "old")
+    n = stored(new.select(F.col("id").alias("new_id"), F.array_distinct("members").alias("nm")).withColumn("new_mask", mask("nm")), "new")
+    met = _may_supersede(o, n)
+    return met.join(o.drop("old_mask"), "old_id").join(n.drop("new_mask"), "new_id").where(F.size(F.array_except("om", "nm")) == 0).select("old_id", "new_id")
 
 
 def cold_demotion(episodic: DataFrame, semantic: DataFrame) -> DataFrame:
