@@ -61,22 +61,37 @@ def nearest_many(vectors: DataFrame, queries: DataFrame, top: int) -> DataFrame:
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= top)
 
 
+#: Vectors that are compared with a block of queries at once, and first, when every score is sorted.
+SLICE, SEED = 1024, 64
+
+
 def _best(ids: np.ndarray, units: np.ndarray, top: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept = np.empty((len(ids), 0)), np.empty((len(ids), 0), dtype=np.int64)
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            v = np.asarray(batch.column(1).flatten(), dtype=float).reshape(batch.num_rows, -1)
-            norm = np.linalg.norm(v, axis=1)
-            fine = norm > 1e-8
-            scores = np.round(units @ (v[fine] / norm[fine, None]).T, 6)
-            items = np.broadcast_to(batch.column(0).to_numpy()[fine], scores.shape)
-            scores, items = np.concatenate([kept[0], scores], axis=1), np.concatenate([kept[1], items], axis=1)
-            order = np.lexsort((items, -scores), axis=1)[:, :top]
-            kept = np.take_along_axis(scores, order, axis=1), np.take_along_axis(items, order, axis=1)
-        n = kept[0].shape[1]
-        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, n)), pa.array(kept[1].ravel()), pa.array(kept[0].ravel())], names=["query_id", "item_id", "score"])
+        # the best so far of each query, in order; only scores that reach the last of them are sorted
+        kept = np.full((len(ids), top), -np.inf), np.zeros((len(ids), top), dtype=np.int64)
+        single = units.astype(np.float32)
+        slack = (units.shape[1] + 16) * 2.0**-23 + 1e-6  # above what single precision and six digits round
+        for whole in batches:
+            bounds = [0, *range(SEED, whole.num_rows, SLICE), whole.num_rows]
+            for batch in (whole.slice(k, m - k) for k, m in zip(bounds, bounds[1:])):
+                v = np.asarray(batch.column(1).flatten(), dtype=float).reshape(batch.num_rows, -1)
+                norm = np.linalg.norm(v, axis=1)
+                fine = norm > 1e-8
+                v, items = v[fine] / norm[fine, None], batch.column(0).to_numpy()[fine]
+                q, i = np.nonzero(single @ v.astype(np.float32).T >= (kept[0][:, -1] - slack).astype(np.float32)[:, None])
+                score = np.concatenate([np.round((units[a] * v[b]).sum(axis=1), 6) for a, b in ((q[k : k + (1 << 16)], i[k : k + (1 << 16)]) for k in range(0, max(len(q), 1), 1 << 16))])
+                better = score >= kept[0][q, -1]
+                q, i, score = q[better], items[i[better]], score[better]
+                some = np.unique(q)
+                if not len(some):
+                    continue
+                q, i, score = np.concatenate([np.repeat(some, top), q]), np.concatenate([kept[1][some].ravel(), i]), np.concatenate([kept[0][some].ravel(), score])
+                order = np.lexsort((i, -score, q))
+                at = np.arange(len(q)) - np.searchsorted(q[order], q[order])
+                first = order[at < top]
+                kept[0][some], kept[1][some] = score[first].reshape(-1, top), i[first].reshape(-1, top)
+        q, k = np.nonzero(np.isfinite(kept[0]))
+        yield pa.RecordBatch.from_arrays([pa.array(ids[q]), pa.array(kept[1][q, k]), pa.array(kept[0][q, k])], names=["query_id", "item_id", "score"])
 
     return run
 

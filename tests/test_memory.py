@@ -59,3 +59,20 @@ def test_query_reaches_every_tier(spark):
     from docloom.plans import catalog
 
     assert {r.tier for r in catalog.QUERIES["tiered_context"](spark, "/root/testdata/sf0.01").collect()} == {"L0", "L2", "L3"}
+
+
+def test_few_scores_are_sorted(monkeypatch):
+    """Of 20 queries against 8000 vectors, what is sorted after the first slice are the scores that can be among the best."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(6)
+    v, units = rng.normal(size=(8000, 8)), rng.normal(size=(20, 8))
+    units /= np.linalg.norm(units, axis=1, keepdims=True)
+    rows, plain = [], np.lexsort
+    monkeypatch.setattr(memory.np, "lexsort", lambda keys, **more: rows.append(np.size(keys[0])) or plain(keys, **more))
+    batch = pa.RecordBatch.from_arrays([pa.array(np.arange(8000)), pa.array(v.tolist())], names=["item_id", "v"])
+    out = next(memory._best(np.arange(20), units, 12)(iter([batch]))).to_pydict()
+    scores = np.round(units @ (v / np.linalg.norm(v, axis=1, keepdims=True)).T, 6)
+    for q in range(20):
+        assert [i for i, k in zip(out["item_id"], out["query_id"]) if k == q] == plain((np.arange(8000), -scores[q]))[:12].tolist()
+    assert sum(rows) < 20 * 8000 / 4
