@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: So many ids that were taken out are broadcast at most; with more, rows are dealt by id.
+SMALL = 1 << 20
 MANIFEST = "kind string, seq long, target long, docs long, terms long, note string"
 
 
@@ -53,7 +55,9 @@ class Segments:
         steps = {seq for seq, target in self.gone if target in segments}
         if not steps:
             return rows
-        last = self.stored("gone", steps).groupBy(F.col("item_id").alias("g")).agg(F.max("seq").alias("at"))
+        last = self.stored("gone", steps).where(F.col("target").isin(*segments)).groupBy(F.col("item_id").alias("g")).agg(F.max("seq").alias("at"))
+        taken = sum(docs for (_, target), (docs, _) in self.gone.items() if target in segments)
+        last = F.broadcast(last) if taken <= SMALL else last.hint("shuffle_hash")
         return rows.join(last, (F.col("item_id") == F.col("g")) & (F.col("seq") < F.col("at")), "left_anti")
 
     def items(self) -> DataFrame | None:

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from docloom.functions import analyzer
-from docloom.operators import retrieval, text_index
+from docloom.operators import retrieval, segments, text_index
 from docloom.operators.text_index import TextIndex
 from docloom.operators.vector_index import VectorIndex
 from docloom.sources.tables import items
@@ -133,6 +133,38 @@ def test_a_frequent_term_is_split(spark, monkeypatch):
     assert len(rows) > 1 and max(r["count"] for r in rows) < 3000
 
 
+def test_a_segment_is_one_table_sorted_by_term(spark):
+    """A file of postings a task, not one for each folder of terms and task; a search skips rows by the term."""
+    index = TextIndex.create(spark, f"/tmp/spark-index-{uuid.uuid4().hex}", "plain", buckets=4)
+    index.add(spark.range(400).select(F.col("id").alias("item_id"), F.concat_ws(" ", F.lit("one"), F.concat(F.lit("w"), "id"), F.lit("one")).alias("content")).repartition(4))
+    files = spark.read.parquet(f"{index.folder}/postings/seq=1").select("term", F.input_file_name().alias("f"), F.monotonically_increasing_id().alias("i")).orderBy("i").collect()
+    by_file = {}
+    for r in files:
+        by_file.setdefault(r.f, []).append(r.term)
+    assert len(by_file) <= 4 and len(files) == 800 and all(t == sorted(t) for t in by_file.values())
+    held = {i: ["one", f"w{i}", "one"] for i in range(400)}
+    assert hits(index.search(["one", "w7"], 12)) == bm25(held, ["one", "w7"], 12)
+
+
+@pytest.mark.parametrize("small", [0, 1 << 20])
+def test_ids_that_were_taken_out_are_met_without_a_sort(spark, monkeypatch, small):
+    """Few are broadcast, whatever Spark's threshold; rows are dealt by id for many, but not sorted."""
+    monkeypatch.setattr(segments, "SMALL", small)
+    index = TextIndex.create(spark, f"/tmp/spark-index-{uuid.uuid4().hex}", "plain", buckets=4)
+    index.add(spark.range(300).select(F.col("id").alias("item_id"), F.concat(F.lit("a w"), F.col("id") % 7).alias("content")))
+    index.delete(spark.range(0, 300, 3).select(F.col("id").alias("item_id")))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = index.alive(index.stored("postings", {1}), {1})._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" not in plan and ("BroadcastHashJoin" in plan) == (small > 0)
+        index.merge(0)
+        held = {i: ["a", f"w{i % 7}"] for i in range(300) if i % 3}
+        assert index.totals() == (200, 400) and hits(index.search(["a", "w2"], 9)) == bm25(held, ["a", "w2"], 9)
+        assert spark.read.parquet(f"{index.folder}/postings/seq={max(index.segments)}").count() == 400
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def brute(ids, units, query, top=10):
     scores = np.round(units @ query, 6)
     return [int(i) for i in ids[np.lexsort((ids, -scores))[:top]]]
