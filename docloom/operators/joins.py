@@ -61,17 +61,30 @@ def jaccard_recommend(left: DataFrame, right: DataFrame, threshold: float = 0.6,
     return ways.join(side(0, "a", "l"), "a").join(side(1, "b", "r"), "b").select("l", "r", F.round("score", 6).alias("score"), "overlap").where("l < r" if once else "true")
 
 
-def overlapping(windows: DataFrame, other: DataFrame, bucket: int) -> DataFrame:
-    """Pairs of half-open windows [start, end) that overlap, joined on time buckets of ``bucket`` so that no product is formed; each pair
-    is reported in its first common bucket only."""
+#: Windows of one part of a time bucket, at about: a window meets so many at once.
+PART_WINDOWS = 4096
 
-    def dealt(w: DataFrame, p: str) -> DataFrame:
-        lo, hi = F.floor(F.col("start") / bucket), F.floor((F.col("end") - 1) / bucket)
-        return w.where("start < end").select(F.col("id").alias(f"{p}_id"), F.col("start").alias(f"{p}_start"), F.col("end").alias(f"{p}_end"), F.explode(F.sequence(lo, hi)).alias("bucket"))
 
-    joined = dealt(windows, "a").join(dealt(other, "b"), "bucket").where("a_start < b_end and b_start < a_end")
-    first = F.floor(F.greatest("a_start", "b_start") / bucket)
-    return joined.where(F.col("bucket") == first).drop("bucket")
+def overlapping(windows: DataFrame, other: DataFrame, bucket: int) -> DataFrame:
+    """Pairs of half-open windows [start, end) that overlap: of two such, one starts in the other, and the bucket of that start is the only one where they meet. Buckets are
+    eighths of ``bucket``, so that no product is formed and nearly all that meet are pairs. Where many windows of ``other`` are in a bucket they are dealt over parts of it. The
+    number of tasks is given, since few bytes make many pairs and Spark would put parts together; a merge goes through a part's windows in a row."""
+    width = max(bucket // 8, 1)
+    lo, hi = F.floor(F.col("start") / width), F.floor((F.col("end") - 1) / width)
+
+    def dealt(w: DataFrame, p: str, odd: int) -> DataFrame:
+        """A row a key: 2 x is where windows of other start in bucket x, 2 x + 1 where those of windows do; a window that is met there is at all its buckets."""
+        keys = F.concat(F.transform(F.sequence(lo, hi), lambda x: 2 * x + odd), F.array(2 * lo + (1 - odd)))
+        return w.where("start < end").select(F.col("id").alias(f"{p}_id"), F.col("start").alias(f"{p}_start"), F.col("end").alias(f"{p}_end"), F.explode(keys).alias("key"))
+
+    a, b = dealt(windows, "a", 0), dealt(other, "b", 1)
+    parts = b.groupBy("key").agg(F.ceil(F.count("*") / PART_WINDOWS).cast("int").alias("parts"))
+    asked = a.join(parts, "key").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+    listed = b.join(parts, "key").withColumn("part", F.pmod(F.xxhash64("b_id", "b_start"), "parts").cast("int")).drop("parts")
+    tasks = int(windows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    met = asked.repartition(tasks, "key", "part").join(listed.repartition(tasks, "key", "part").hint("merge"), ["key", "part"])
+    first = (F.col("b_start") >= F.col("a_start")) == (F.col("key").bitwiseAND(1) == 0)
+    return met.where("a_start < b_end and b_start < a_end").where(first).drop("key", "part")
 
 
 def _may_supersede(o: DataFrame, n: DataFrame) -> DataFrame:
